@@ -123,7 +123,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if remove == "document":
         return docs.where(~F.coalesce(let(words(F.col("text")), lambda w: F.size(grams.hits(w)) > 0), F.lit(False)))
-    lead = r"(?s)[\x00-\x2F\x3A-\x60\x7B-\x7F]*" + WORD + r"|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    # Each word as written, before lower-casing, with the signs before it; and the signs behind the last word.
+    lead = r"(?s)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(lead), F.lit(0))
     inside = lambda spans, i: F.exists(spans, lambda x: (x["pos"] <= i + 1) & (i + 1 < x["pos"] + x["size"]))
     cut = let(words(F.col("text")), lambda w: let(grams.hits(w), lambda h: F.when(F.size(h) == 0, F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda p, i: ~inside(h, i)), ""))))
