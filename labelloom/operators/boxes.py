@@ -39,8 +39,11 @@ def yolo(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """One text body per image of known size (A18): class and relative centre, width and height, a line a box in order."""
     sized = images.where("width > 0 and height > 0").select("image_id", "width", "height")
     rows = boxes.join(F.broadcast(class_ids(boxes)), "label").join(sized.hint("merge"), "image_id")
-    at = [(F.col("x") + F.col("w") / 2) / F.col("width"), (F.col("y") + F.col("h") / 2) / F.col("height"), F.col("w") / F.col("width"), F.col("h") / F.col("height")]
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", *[F.bround(v, 6) for v in at])
+    # Six places from whole numbers, halves up: the same text on every engine.
+    micro = lambda a, b: f"(2000000L * ({a}) + ({b})) div (2 * ({b}))"
+    shown = lambda m: F.format_string("%d.%06d", F.expr(f"({m}) div 1000000"), F.expr(f"({m}) % 1000000"))
+    at = [shown(micro(a, b)) for a, b in (("2 * x + w", "2 * width"), ("2 * y + h", "2 * height"), ("w", "width"), ("h", "height"))]
+    line = F.concat_ws(" ", F.col("class_id").cast("string"), *at)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"])
     return rows.groupBy("image_id").agg(F.array_join(lines, "\n").alias("body"))
 

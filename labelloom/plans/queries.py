@@ -413,8 +413,13 @@ def e8(spark, sf):
     return rounded(boxes.relative_size(view(spark, sf, "f_boxes"), view(spark, sf, "f_images"), ["label"]))
 
 
+def _micro(a: str, b: str) -> str:
+    m = f"((2000000*({a})+({b}))//(2*({b})))"
+    return f"concat(CAST({m}//1000000 AS VARCHAR), '.', lpad(CAST({m}%1000000 AS VARCHAR),6,'0'))"
+
+
 @query("A18_yolo", f"""{ctes('f_boxes', 'f_images')}, c AS (SELECT label, row_number() OVER (ORDER BY label)-1 AS id FROM (SELECT DISTINCT label FROM f_boxes))
-SELECT image_id, string_agg(concat_ws(' ', CAST(id AS VARCHAR), {", ".join(f"CAST(CAST(round_even({v}, 6) AS DECIMAL(18,6)) AS VARCHAR)" for v in ("(x+w/2)/width", "(y+h/2)/height", "w/width", "h/height"))}), chr(10) ORDER BY seq) AS body
+SELECT image_id, string_agg(concat_ws(' ', CAST(id AS VARCHAR), {", ".join(map(_micro, ("2*x+w", "2*y+h", "w", "h"), ("2*width", "2*height", "width", "height")))}), chr(10) ORDER BY seq) AS body
 FROM f_boxes JOIN c USING (label) JOIN f_images USING (image_id) WHERE width>0 AND height>0 GROUP BY 1""")
 def a18(spark, sf):
     return boxes.yolo(view(spark, sf, "f_boxes"), view(spark, sf, "f_images"))
