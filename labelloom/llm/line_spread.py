@@ -24,6 +24,11 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit(1), F.trim(line)).alias("b"))
 
 
+def row_key() -> list[Column]:
+    """k1, k2: 128 bits that stand for a row's doc_id and text; both sides of a join compute them alike."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(2), "doc_id", "text").alias("k2")]
+
+
 def lines(docs: DataFrame, site: str = "source") -> DataFrame:
     """site, a, b of each line of LEAST_CHARS or more, once a document: key columns of the trimmed text."""
     own = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(x)) >= LEAST_CHARS)
@@ -38,18 +43,18 @@ def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> Da
     spread = written(spread.where(F.col("n") >= sites * (1 - MARGIN)), "spread")
     sure = spread.where(F.col("n") > sites * (1 + MARGIN)).select("a", "b", F.col("n").cast("long").alias("n_sites"), F.lit(False).alias("exact"))
     close = spread.where(F.col("n") <= sites * (1 + MARGIN)).select("a", "b")
-    # The exact count goes over distinct (line, site) rows first, so a frequent line is no task's load.
-    pairs = there.join(close.hint("merge"), ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
+    # Distinct (line, site) rows come first, map-side: a frequent line then is a row a site, no task's load.
+    pairs = there.distinct().join(close.hint("merge"), ["a", "b"], "left_semi")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites).withColumn("exact", F.lit(True))
     return sure.unionByName(counted)
 
 
 def removals(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """rid, doc_id, n_lines, gone (keys of the boilerplate lines of a row) of rows that have such lines; ``docs`` has a unique rid."""
+    """k1, k2, gone (keys of a text's boilerplate lines) of rows that have such lines; k1, k2 stand for doc_id and text, so rows alike share a row."""
     own = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(F.length(F.trim(x)).alias("n"), line_key(x).alias("k"))), lambda x: x["n"] >= LEAST_CHARS)
-    rows = docs.select("rid", "doc_id", F.explode(F.array_distinct(F.transform(own, lambda x: x["k"]))).alias("k")).select("rid", "doc_id", "k.a", "k.b")
+    rows = docs.select(*row_key(), F.explode(F.array_distinct(F.transform(own, lambda x: x["k"]))).alias("k")).select("k1", "k2", "k.a", "k.b")
     hit = rows.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_semi")
-    return hit.groupBy("rid", "doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    return hit.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
@@ -59,9 +64,10 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     their own. Short lines are no boilerplate. Other columns pass through; one named n_cut is replaced.
     """
     kept = [c for c in docs.columns if c != "n_cut"]
-    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*kept).alias("doc"), "doc_id", "text"), "rows")
-    cut = removals(rows, boilerplate(docs, site, sites))
-    joined = rows.join(cut.select("rid", "gone").hint("merge"), "rid", "left")
+    rows = docs.select(*row_key(), F.struct(*kept).alias("doc"), "text")
+    # Written first: the join below then has two plain exchanges, and a hot line's rows can be split.
+    cut = removals(docs, written(boilerplate(docs, site, sites), "boilerplate"))
+    joined = rows.join(cut.hint("merge"), ["k1", "k2"], "left")
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda x: ~(F.array_contains("gone", line_key(x)) & (F.length(F.trim(x)) >= LEAST_CHARS)))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
