@@ -1,7 +1,7 @@
 """Operator 1, secret scans: a random forest tells secrets from look-alikes among candidate strings.
 
-Native: DataFrame functions and the JVM's MLlib. A candidate is a word of the text with a run of at least
-``LEAST`` characters of the usual alphabets. Its features are its length, the transitions between kinds of
+Native: DataFrame functions and the JVM's MLlib. A candidate is a run of at least ``LEAST`` characters of the
+usual alphabets in a word of the text; a word can hold several. Its features are its length, the transitions between kinds of
 characters, how much of it dictionary words cover, whether it is a path, and the words beside it. The forest
 is trained on labelled findings, a bounded sample of them, and removes the false positives.
 
@@ -22,6 +22,8 @@ from .common import let, table, written
 
 LEAST, TRAIN_ROWS, TREES, DEPTH, SEED = 16, 20_000, 24, 6, 3
 RUN = r"[A-Za-z0-9+/_=.-]{16,}"
+#: A run with what stands before it and the signs behind it: the pieces of a word never overlap, so they stay as long as the word.
+PIECE = r"(?s)\G.*?[A-Za-z0-9+/_=.-]{16,}[^A-Za-z0-9+/_=.-]*"
 #: Words beside a candidate that speak for or against a credential, and common syllable-like words.
 NAMES = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "credential", "bearer", "auth")
 AGAINST = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "version", "see", "from", "mail", "email")
@@ -31,12 +33,13 @@ FEATURES = ["length", "turns", "digit_share", "upper_share", "hex_share", "disti
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, at (the word's place), value, word, before, before2, after of every candidate in the whole texts."""
+    """doc_id, at (the word's place), run (its place in the word), value, word (its piece of it), before, before2, after of every candidate in the whole texts."""
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
     near = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
     looks = lambda x: (F.length(x) >= LEAST) & x.rlike(RUN)
     found = let(words, lambda w: F.transform(F.filter(F.transform(w, lambda x, i: F.when(looks(x), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.get(w, i).alias("word"), near(w, i - 1).alias("before"), near(w, i - 2).alias("before2"), near(w, i + 1).alias("after"))))
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    rows = rows.select("doc_id", "at", "before", "before2", "after", F.posexplode(F.regexp_extract_all("word", F.lit(PIECE), F.lit(0))).alias("run", "word"))
     return rows.withColumn("value", F.regexp_extract("word", RUN, 0))
 
 
@@ -102,4 +105,4 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(candidates(table(spark, sf_dir, "documents")), "candidates")
     seen = featured(rows)
     found = scan(seen, fit(labelled_findings(seen)))
-    return found.select("doc_id", F.col("at").cast("long").alias("word_at"), F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+    return found.select("doc_id", F.col("at").cast("long").alias("word_at"), F.col("run").cast("long").alias("run_at"), F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")

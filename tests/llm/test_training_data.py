@@ -296,6 +296,8 @@ def test_secrets_are_told_from_look_alikes(spark, odd, none):
     seen = secrets.featured(secrets.candidates(docs(spark, rows)))
     got = secrets.scan(seen, secrets.fit(secrets.labelled_findings(seen))).select("doc_id", "value", "is_secret").collect()
     assert {r["doc_id"] for r in got if r["is_secret"]} == {k for k in range(200) if k % 2}
+    joined = "-" * 20 + "é" + "a" * 16 + '":"' + "b" * 20 + '",x@' + "c" * 15
+    assert [(r["run"], r["value"]) for r in secrets.candidates(docs(spark, [(1, joined)])).orderBy("run").collect()] == [(0, "-" * 20), (1, "a" * 16), (2, "b" * 20)]
     few = secrets.featured(secrets.candidates(odd))
     assert secrets.fit(secrets.labelled_findings(few)) is None and secrets.scan(few, None).where("not is_secret").count() == 0
     assert secrets.candidates(none).count() == 0
