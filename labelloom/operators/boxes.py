@@ -51,3 +51,8 @@ def yolo(boxes: DataFrame, images: DataFrame) -> DataFrame:
 def summary(boxes: DataFrame) -> DataFrame:
     """Boxes, images, labels, boxes an image."""
     return boxes.agg(F.count("*").alias("boxes"), F.count_distinct("image_id").alias("images"), F.count_distinct("label").alias("labels"), (F.count("*") / F.greatest(F.count_distinct("image_id"), F.lit(1))).alias("per_image"))
+
+
+def corners(boxes: DataFrame) -> DataFrame:
+    """Adds area and the corners x0, y0, x1, y1."""
+    return boxes.withColumns({"area": F.col("w") * F.col("h"), "x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x") + F.col("w"), "y1": F.col("y") + F.col("h")})

@@ -38,7 +38,7 @@ SELECT d.doc_id AS id, d.lang AS category, l.toxic AS y, CAST(d.n_chars AS DOUBL
 FROM documents d JOIN labels l ON d.doc_id=l.doc_id
 """,
     "f_eval_big": """
-SELECT row_number() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS id, p.p_brand AS category,
+SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS id, p.p_brand AS category,
   CASE WHEN l.l_returnflag='R' THEN 1 ELSE 0 END AS y, l.l_quantity AS score
 FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey
 """,
@@ -48,7 +48,7 @@ SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, ev
 FROM events
 """,
     "f_boxes": """
-SELECT row_number() OVER (ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS seq, l_orderkey AS image_id,
+SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS seq, l_orderkey AS image_id,
   l_partkey % 500 AS x, l_suppkey AS y, CAST(l_quantity AS INT) - 1 AS w, l_linenumber * 3 AS h,
   CASE WHEN l_returnflag='N' THEN 'unspecified' WHEN l_returnflag='R' THEN 'scratch' ELSE 'dent' END AS label
 FROM lineitem

@@ -5,39 +5,20 @@ Names begin with the operator's id in the survey. Doubles are rounded to six pla
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.operators import boxes, drift, labels, metrics, registry, segments
 
 from .fixtures import ctes, view
+from .register import ORACLES, QUERIES, query, rounded
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 TYPE_MAP = {"scratch_head": "scratch", "broken_large": "crack", "glue": "contamination", "poke": "hole"}
 _TYPES = ", ".join(f"'{t}'" for t in labels.STANDARD_TYPES)
 _MAP_SQL = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPE_MAP.items()) + " ELSE {0} END"
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
-
-
 # --- metrics -----------------------------------------------------------------
 
 _RATES = """tp, fp, fn, tn, round(coalesce(tp/nullif(tp+fn,0),0),6) AS recall, round(coalesce(tp/nullif(tp+fp,0),0),6) AS "precision",
@@ -442,3 +423,6 @@ def c17(spark, sf):
     b = view(spark, sf, "f_boxes")
     some = b.where("image_id % 10 = 0")
     return rounded(boxes.replace(b, some.select("image_id"), some.where("label = 'dent'")).select("seq", "box_id"))
+
+
+from . import grid_queries, path_queries, table_queries  # noqa: E402, F401 - they register theirs
