@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS, MIN_DEFECTS = 60, 5
+GOOD_AUROC, USABLE_AUROC = 0.9, 0.75
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -165,3 +166,67 @@ def live_performance(df: DataFrame, by: list) -> DataFrame:
     got = df.groupBy(*by).agg(*counts(F.col("y_true"), F.col("y_pred") == 1))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return got.withColumns({"recall": ratio(tp, tp + fn, float("nan")), "precision": ratio(tp, tp + fp, float("nan"))})
+
+
+def summary(df: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
+    """Counts, rates, auroc and average_precision of each group in one row."""
+    got = at_threshold(df, threshold, by)
+    for part in (auroc(df, by), average_precision(df, by)):
+        got = got.join(part.hint("shuffle_hash"), by)
+    return got
+
+
+def mixed_overall(df: DataFrame, per_category: DataFrame, overall: DataFrame) -> DataFrame:
+    """One row under mixed thresholds: counts, rates, the least and largest threshold used."""
+    rows = with_thresholds(df, per_category, overall)
+    return rates(rows.agg(F.min("used").alias("least_threshold"), F.max("used").alias("largest_threshold"), *counts(F.col("y"), F.col("predicted"))))
+
+
+def threshold_effect(df: DataFrame, per_category: DataFrame, overall: DataFrame) -> DataFrame:
+    """One row: what thresholds by category change against the shared one (G12); rows are read once."""
+    rows = with_thresholds(df, per_category, overall)
+    shared = F.col("score") >= F.col("shared")
+    under = lambda predicted: rates(rows.agg(*counts(F.col("y"), predicted))).select("recall", "precision", "fp", "fn")
+    one, own = under(shared), under(F.col("predicted"))
+    pair = one.select(*[F.col(c).alias(f"{c}_shared") for c in one.columns]).crossJoin(F.broadcast(own))
+    return pair.select(*[(F.col(c) - F.col(f"{c}_shared")).alias(f"{c}_change") for c in own.columns])
+
+
+def localization(cells: DataFrame) -> DataFrame:
+    """Per image: hit (the peak lies in the mask), iou of the top hundredth with the mask, pixel auroc.
+
+    ``cells`` has image_id, pos, score, y. Without a mask: no hit, NaN.
+    """
+    top = cells.groupBy("image_id").agg(F.percentile("score", 0.99).alias("cut"), F.max_by("y", F.struct("score", -F.col("pos"))).alias("peak"), F.avg(F.col("y").cast("double")).alias("area"))
+    both = cells.join(top.hint("shuffle_hash"), "image_id")
+    hot, true = F.col("score") >= F.col("cut"), F.col("y") == 1
+    iou = both.groupBy("image_id", "peak", "area").agg((F.count_if(hot & true) / F.count_if(hot | true)).alias("iou"))
+    got = iou.join(auroc(cells, ["image_id"]).hint("shuffle_hash"), "image_id")
+    masked = F.col("area") > 0
+    return got.select("image_id", (masked & (F.col("peak") == 1)).alias("hit"), "area", F.when(masked, F.col("iou")).otherwise(F.lit(float("nan"))).alias("iou"), F.when(masked, F.col("auroc")).otherwise(F.lit(float("nan"))).alias("pixel_auroc"))
+
+
+def localization_summary(images: DataFrame) -> DataFrame:
+    """One row: hit rate, mean area, how far hits beat chance, mean iou and pixel auroc without NaN."""
+    real = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    got = images.where("area > 0").agg(F.count("*").alias("images"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("area").alias("mean_area"), real("iou").alias("mean_iou"), real("pixel_auroc").alias("mean_pixel_auroc"))
+    return got.withColumn("over_chance", ratio(F.col("hit_rate"), F.col("mean_area"), float("nan")))
+
+
+def validated(df: DataFrame, target: float = 0.95) -> DataFrame:
+    """Per category: auroc and average precision on all rows, the threshold from the rows with ``first``, metrics on the others."""
+    per = thresholds_by_category(df.where("first"), target).where("threshold is not null").select("category", "threshold")
+    rest = df.where("not first").join(per.hint("shuffle_hash"), "category")
+    got = at_threshold(rest, F.col("threshold"), ["category", "threshold"])
+    for part in (auroc(df, ["category"]), average_precision(df, ["category"])):
+        got = got.join(part.hint("shuffle_hash"), "category")
+    return got
+
+
+def verdict(df: DataFrame, target: float = 0.95) -> DataFrame:
+    """Adds level and actions to rows with auroc, recall, reduction_ratio and prevalence_precision."""
+    unknown = F.col("auroc").isNull() | F.isnan("auroc")
+    level = F.when(unknown, "weak").when(F.col("auroc") >= GOOD_AUROC, "good").when(F.col("auroc") >= USABLE_AUROC, "usable").otherwise("weak")
+    codes = F.array(F.when(F.col("recall") < target, "raise_recall"), F.when(F.col("reduction_ratio") <= 0, "no_saving").when(F.col("prevalence_precision") < 0.5, "mostly_false_alarms"), F.when(level == "weak", "improve_model"))
+    listed = F.array_join(F.array_compact(codes), ",")
+    return df.withColumns({"level": level, "actions": F.when(unknown, "split_data").when(listed == "", "register").otherwise(listed)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,36 @@ def archive(registry: DataFrame, chosen: DataFrame) -> DataFrame:
 def best_run(runs: DataFrame, by: list[str]) -> DataFrame:
     """The run with most recall, then precision, then written first."""
     return runs.where("recall is not null").groupBy(*by).agg(F.max_by(F.struct("run_id", "recall", "prec"), F.struct("recall", "prec", -F.col("seq"))).alias("x")).select(*by, "x.*")
+
+
+def register(registry: DataFrame, runs: DataFrame) -> DataFrame:
+    """The registry with a candidate for each run (project, seq, recall, prec), numbered behind the project's versions."""
+    last = registry.groupBy("project").agg(F.max(F.expr("try_cast(regexp_extract(version, '^v([0-9]+)$', 1) AS INT)")).alias("last"))
+    order = Window.partitionBy("project").orderBy("seq")
+    new = runs.join(last.hint("shuffle_hash"), "project", "left").withColumn("number", F.coalesce("last", F.lit(0)) + F.row_number().over(order))
+    new = new.select("project", "seq", F.concat(F.lit("v"), F.lpad(F.col("number").cast("string"), 3, "0")).alias("version"), F.lit("candidate").alias("status"), F.lit(None).cast(registry.schema["promoted_at"].dataType).alias("promoted_at"), "recall", "prec")
+    return registry.unionByName(new)
+
+
+def in_production(registry: DataFrame) -> DataFrame:
+    """The versions in production."""
+    return registry.where("status = 'production'")
+
+
+def rebuilt_false_alarms(recall: Column, precision: Column) -> Column:
+    """The false-alarm rate that recall and precision imply at one to one, 1 at most; null without precision."""
+    return F.when(precision > 0, F.least(recall * (1 - precision) / precision, F.lit(1.0)))
+
+
+def gate(df: DataFrame, min_recall: float = 0.95, min_saving: float = 0.5, prevalence: float = 0.01) -> DataFrame:
+    """Adds problems, notes and passed to rows with recall and prec (G23): what is not measured is noted, not failed."""
+    recall, alarm = F.col("recall"), rebuilt_false_alarms(F.col("recall"), F.col("prec"))
+    saving = 1 - (recall * prevalence + alarm * (1 - prevalence))
+    listed = lambda *codes: F.array_join(F.array_compact(F.array(*codes)), ",")
+    return df.withColumns({"problems": listed(F.when(recall < min_recall, "recall"), F.when(saving < min_saving, "saving")), "notes": listed(F.when(recall.isNull(), "no_recall"), F.when(saving.isNull(), "no_saving"))}).withColumn("passed", F.col("problems") == "")
+
+
+def run_rows(runs: DataFrame) -> DataFrame:
+    """run_id, created_at, metrics as JSON: what a run's history holds."""
+    kept = [c for c in runs.columns if c not in ("run_id", "created_at", "seq")]
+    return runs.select("run_id", "created_at", F.to_json(F.struct(*kept)).alias("metrics"))

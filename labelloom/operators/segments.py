@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLACK, FLOOD, FPS = 2, 0.5, 30.0
+SLACK, FLOOD, FPS, MIN_RUNS, RECALL_DROP = 2, 0.5, 30.0, 3, 0.10
 
 
 def runs(frames: DataFrame, flag: Column, gap: int = 0) -> DataFrame:
@@ -121,3 +121,59 @@ def drop_still_frames(frames: DataFrame, least: float = 0.005, most_drops: int =
         return part.loc[keep, ["video", "pos"]]
 
     return frames.select("video", "pos", "cells").groupBy("video").applyInPandas(fold, "video long, pos long")
+
+
+def bands(frames: DataFrame, gap: int = 0) -> DataFrame:
+    """video, lane, start, end of truth, alarm, caught and missed runs, by lane and start (H6)."""
+    hit = truth_hits(frames, 1, gap)
+    lanes = {"truth": runs(frames, F.col("truth"), gap), "alarm": runs(frames, F.col("predicted"), gap), "caught": hit.where("caught"), "missed": hit.where("not caught")}
+    out = None
+    for lane, df in lanes.items():
+        rows = df.select("video", F.lit(lane).alias("lane"), "start", "end")
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("video", "lane", "start")
+
+
+def judged(frames: DataFrame, threshold: float, fps: float = FPS) -> DataFrame:
+    """Per frame: seconds, margin over the threshold, decision."""
+    return frames.select("video", "pos", F.round(F.col("pos") / fps, 3).alias("seconds"), (F.col("score") - threshold).alias("margin"), F.when(F.col("score") >= threshold, "defect").otherwise("normal").alias("decision"))
+
+
+def judgement_summary(frames: DataFrame, threshold: float) -> DataFrame:
+    """Per video: frames, defects, their rate, defect events."""
+    hot = F.col("score") >= threshold
+    events = runs(frames, hot).groupBy("video").agg(F.count("*").alias("events"))
+    got = frames.groupBy("video").agg(F.count("*").alias("frames"), F.count_if(hot).alias("defects")).join(events.hint("shuffle_hash"), "video", "left")
+    return got.select("video", "frames", "defects", (F.col("defects") / F.col("frames")).alias("rate"), F.coalesce("events", F.lit(0)).alias("events"))
+
+
+def contrast(reports: DataFrame, least: float = 0.15) -> DataFrame:
+    """Adds contrast: which of frame and segment recall is clearly higher (H5); NaN tells nothing."""
+    off = F.col("segment_recall") - F.col("frame_recall")
+    clear = off.isNotNull() & ~F.isnan(off)
+    return reports.withColumn("contrast", F.when(clear & (off > least), "segments_higher").when(clear & (off < -least), "frames_higher").otherwise("alike"))
+
+
+def compared(reports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """video, other and how the other's alarms differ (H16, H17): recall_drop is NaN unless both have three truth runs."""
+    right = reports.select(*[F.col(c).alias("other" if c == "video" else f"o_{c}") for c in reports.columns])
+    got = reports.join(pairs.hint("shuffle_hash"), "video").join(right.hint("shuffle_hash"), "other")
+    measured = (F.col("truth_runs") >= MIN_RUNS) & (F.col("o_truth_runs") >= MIN_RUNS)
+    drop = F.when(measured, F.col("segment_recall") - F.col("o_segment_recall")).otherwise(F.lit(float("nan")))
+    got = got.withColumns({"recall_drop": drop, "started_flooding": F.col("o_flooding") & ~F.col("flooding")})
+    return got.withColumn("held", ~F.isnan("recall_drop") & (F.col("recall_drop") <= RECALL_DROP) & ~F.col("started_flooding")).select("video", "other", "recall_drop", "started_flooding", "held")
+
+
+def cause(df: DataFrame) -> DataFrame:
+    """Adds cause to compared rows with measurable and changed (drift): none, capture, model or undecided."""
+    return df.withColumn("cause", F.when(F.isnan("recall_drop"), "undecided").when(F.col("held"), "none").when(~F.col("measurable"), "undecided").when(F.col("changed"), "capture").otherwise("model"))
+
+
+def label_ranges(frames: DataFrame, ranges: DataFrame, fps: float = FPS) -> DataFrame:
+    """video, pos, label: an event for each frame whose time lies in a range (video, from_sec, to_sec, label) (H9).
+
+    Ranges are what people drew. Each becomes the numbers of the frames it covers, so frames meet it on equal keys.
+    """
+    first, last = F.greatest(F.ceil(F.col("from_sec") * fps), F.lit(0)), F.floor(F.col("to_sec") * fps)
+    covered = ranges.where(first <= last).select("video", "label", F.explode(F.sequence(first, last)).alias("pos"))
+    return frames.select("video", "pos").join(covered.hint("shuffle_hash"), ["video", "pos"])
