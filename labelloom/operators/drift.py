@@ -81,3 +81,32 @@ def drift_summary(drift: DataFrame) -> DataFrame:
     n = lambda k: F.sum(F.when(F.col("level") == k, 1).otherwise(0))
     worst = F.when(n("changed") > 0, "changed").when(n("watch") > 0, "watch").when(n("stable") > 0, "stable").otherwise("insufficient")
     return drift.agg(n("changed").alias("changed"), n("watch").alias("watch"), n("stable").alias("stable"), n("insufficient").alias("insufficient"), F.avg(F.when(finite(F.col("psi")), F.col("psi"))).alias("mean_psi"), worst.alias("level"))
+
+
+#: Prefixes of feature names in the order they are tried, with what they measure and what moves them.
+FAMILIES = [("gray", "brightness", "lighting"), ("hist", "brightness", "lighting"), ("lap", "sharpness", "focus"), ("hf", "fine texture", "focus"), ("sobel", "contours", "placement"), ("canny", "contours", "background"), ("lbp", "texture", "material"), ("h_", "colour", "colour temperature"), ("s_", "colour", "colour temperature"), ("v_", "brightness", "lighting"), ("r_", "colour", "colour temperature"), ("g_", "colour", "colour temperature"), ("b_", "colour", "colour temperature"), ("dev_gt", "outlying pixels", "stains"), ("col_profile", "evenness", "light position"), ("row_profile", "evenness", "light position")]
+
+
+def _by_prefix(feature: Column, field: int) -> Column:
+    out = F.lit(None).cast("string")
+    for row in reversed(FAMILIES):
+        out = F.when(feature.startswith(row[0]), row[field]).otherwise(out)
+    return out
+
+
+def family(feature: Column) -> Column:
+    """What a feature measures by the first prefix that fits, else null."""
+    return _by_prefix(feature, 1)
+
+
+def likely_causes(drift: DataFrame, most: int = 4) -> DataFrame:
+    """cause, psi of features that moved: each once, the strongest first, ``most`` of them."""
+    moved = drift.where(finite(F.col("psi")) & (F.col("psi") > WATCH)).withColumn("cause", _by_prefix(F.col("feature"), 2))
+    return moved.where("cause is not null").groupBy("cause").agg(F.max("psi").alias("psi")).orderBy(F.desc("psi"), "cause").limit(most)
+
+
+def group_drift(values: DataFrame, group: str, reference: str, candidate: str, named: int = 3) -> DataFrame:
+    """feature, psi of the features of one group that moved most against another taken as baseline."""
+    side = lambda g: values.where(F.col(group) == g).select("feature", "value")
+    got = feature_drift(baseline(side(reference)), side(candidate))
+    return got.where(finite(F.col("psi")) & (F.col("psi") > WATCH)).orderBy(F.desc("psi"), "feature").limit(named).select("feature", "psi")

@@ -111,3 +111,32 @@ def json_rows(df: DataFrame) -> DataFrame:
     """One column, row: each row as JSON with null for numbers that JSON lacks."""
     clean = [F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("row"))
+
+
+#: What the quality flags say in words.
+WORDS = {"low_resolution": "too small", "blurry": "out of focus", "underexposed": "too dark", "overexposed": "too bright"}
+
+
+def flag_words(flags: Column) -> Column:
+    """A list of flags in words; no flag says good."""
+    words = F.create_map(*[F.lit(x) for kv in WORDS.items() for x in kv])
+    said = F.array_join(F.transform(F.split(flags, ","), lambda f: F.coalesce(F.try_element_at(words, f), f)), ", ")
+    return F.when(F.coalesce(flags, F.lit("")) == "", "good").otherwise(said)
+
+
+def adopted(drawn: DataFrame, old: DataFrame) -> DataFrame:
+    """Drawn boxes, and old single ones of images without any: image_id, adopted."""
+    new = old.join(drawn.select("image_id").distinct().hint("merge"), "image_id", "left_anti")
+    return drawn.withColumn("adopted", F.lit(False)).unionByName(new.withColumn("adopted", F.lit(True)))
+
+
+def changed(resolved: DataFrame, decisions: DataFrame) -> DataFrame:
+    """How many decisions there are on known rows, and how many change the label."""
+    both = resolved.select("seq", "label").join(decisions.hint("merge"), "seq")
+    return both.agg(F.count("*").alias("decided"), count_if(F.col("label") != F.col("decided")).alias("changed"))
+
+
+def failures(asked: DataFrame, readable: DataFrame, key: str) -> DataFrame:
+    """How many rows were asked for and how many could not be read."""
+    got = asked.join(readable.select(key).distinct().withColumn("ok", F.lit(True)).hint("merge"), key, "left")
+    return got.agg(F.count("*").alias("asked"), count_if(F.col("ok").isNull()).alias("failed"))

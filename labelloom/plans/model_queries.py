@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.operators import drift, metrics, registry, segments, tables
+from labelloom.operators import drift, learners, metrics, registry, segments, tables
 
 from .fixtures import ctes, view
 from .queries import _COUNTS, _RATES, QUERIES
@@ -167,7 +167,7 @@ def i3(spark, sf):
     return rounded(view(spark, sf, "f_manifest").agg(F.avg("blur_score").alias("blur_mean"), F.stddev_samp("blur_score").alias("blur_std"), F.avg("brightness").alias("bright_mean"), F.stddev_samp("brightness").alias("bright_std"), (F.count_if(F.col("label") == "defect") / F.nullif(known, F.lit(0))).alias("defect_ratio")))
 
 
-@query("I4_histogram", f"{ctes('f_features')} SELECT feature, CASE WHEN value < -0.1 THEN 0 WHEN value < 0 THEN 1 WHEN value < 0.1 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM f_features GROUP BY 1, 2")
+@query("I4_histogram", f"{ctes('f_features')} SELECT feature, CAST(CASE WHEN value < -0.1 THEN 0 WHEN value < 0 THEN 1 WHEN value < 0.1 THEN 2 ELSE 3 END AS BIGINT) AS bin, count(*) AS n FROM f_features GROUP BY 1, 2")
 def i4(spark, sf):
     edges = F.array(*map(F.lit, (-0.2, -0.1, 0.0, 0.1, 0.2)))
     df = view(spark, sf, "f_features").where(drift.finite(F.col("value")))
@@ -221,3 +221,51 @@ def j5(spark, sf):
 def j8(spark, sf):
     reg = view(spark, sf, "f_registry")
     return registry.in_production(registry.promote(reg, _chosen(reg), F.to_timestamp_ntz(F.lit("2026-01-01")))).select("project", "version")
+
+
+@query("I10_group_drift")
+def i10(spark, sf):
+    return rounded(drift.group_drift(view(spark, sf, "f_features").where("feature < 'f16'"), "side", "ref", "cand"))
+
+
+@query("B26_feature_family", f"{ctes('f_features')} SELECT DISTINCT feature, CASE WHEN feature < 'f32' THEN 'brightness' ELSE 'sharpness' END AS family FROM f_features")
+def b26(spark, sf):
+    name = F.concat(F.when(F.col("feature") < "f32", "gray_").otherwise("lap_"), "feature")
+    return view(spark, sf, "f_features").select("feature").distinct().select("feature", drift.family(name).alias("family"))
+
+
+@query("I11_likely_causes")
+def i11(spark, sf):
+    moved = QUERIES["I7_feature_drift"](spark, sf)
+    return rounded(drift.likely_causes(moved.withColumn("feature", F.concat(F.when(F.col("feature") < "f32", "gray_").otherwise("lap_"), "feature"))))
+
+
+@query("J2_run_comparison", f"{ctes('f_runs')} SELECT run_id, kind, round(recall,6) AS recall, round(prec,6) AS prec, CAST(fn AS BIGINT) AS fn FROM f_runs")
+def j2(spark, sf):
+    df = view(spark, sf, "f_runs").select("run_id", "kind", F.col("recall").cast("double").alias("recall"), F.col("prec").cast("double").alias("prec"), F.col("fn").cast("long").alias("fn"))
+    return rounded(df)
+
+
+def vectors(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"))
+
+
+@query("K21_defect_probability")
+def k21(spark, sf):
+    df = vectors(spark, sf)
+    return rounded(learners.probabilities(df, learners.fit(df, "logistic")).select("vec_id", "y", "probability"))
+
+
+@query("K22_feature_importance")
+def k22(spark, sf):
+    return rounded(learners.importance(spark, learners.fit(vectors(spark, sf), "forest")))
+
+
+@query("K25_batch_scores", f"{ctes('f_pixels')} SELECT DISTINCT image_id FROM f_pixels")
+def k25(spark, sf):
+    from labelloom.operators import grids, paths
+
+    from .grid_queries import scored
+
+    got = grids.image_scores(scored(spark, sf)).select("image_id", F.col("max").alias("score"))
+    return got.withColumn("decision", paths.decision(F.col("score"), F.lit(3.0))).where("decision is not null").select("image_id")

@@ -237,3 +237,55 @@ def f23(spark, sf):
 
     frames = view(spark, sf, "f_pixels").select("video", F.col("image_id").alias("pos"))
     return rounded(tables.still_rate(frames, QUERIES["H14_still_frames"](spark, sf)))
+
+
+@query("B12_flag_words", f"{M} SELECT seq, CASE WHEN blur_score < 30 THEN CASE WHEN brightness < 40 THEN 'out of focus, too dark' WHEN brightness > 220 THEN 'out of focus, too bright' ELSE 'out of focus' END WHEN brightness < 40 THEN 'too dark' WHEN brightness > 220 THEN 'too bright' ELSE 'good' END AS words FROM f_manifest WHERE least(width, height) >= 64")
+def b12(spark, sf):
+    df = manifest(spark, sf).where(F.least("width", "height") >= 64)
+    return df.select("seq", tables.flag_words(labels.quality_flags(df)).alias("words"))
+
+
+@query("C13_largest_video", f"{M} SELECT grp FROM f_manifest WHERE trim(grp) <> '' GROUP BY grp ORDER BY count(*) DESC, grp DESC LIMIT 1")
+def c13(spark, sf):
+    return tables.largest_group(manifest(spark, sf), "grp")
+
+
+@query("C15_numbered_frames", f"{M} SELECT seq FROM f_manifest WHERE trim(grp) NOT IN ('', 'nan', 'None')")
+def c15(spark, sf):
+    from labelloom.operators import paths
+
+    own = labels.group_key(F.col("grp"), F.col("image_id")) != F.col("image_id")
+    number = paths.frame_number(F.concat("category", F.lit("/"), F.col("seq").cast("string"), F.lit(".png")))
+    return manifest(spark, sf).where(own & number.isNotNull()).select("seq")
+
+
+@query("C16_boxes_of_image", f"{ctes('f_boxes')} SELECT seq, label FROM f_boxes WHERE image_id = (SELECT min(l_orderkey) FROM lineitem)")
+def c16(spark, sf):
+    df = view(spark, sf, "f_boxes")
+    first = df.agg(F.min("image_id")).first()[0]
+    return df.where(F.col("image_id") == F.lit(first)).select("seq", "label")
+
+
+@query("E9_adopted_boxes", f"{ctes('f_boxes', 'f_images')} SELECT image_id, false AS adopted FROM f_boxes WHERE image_id % 2 = 0 UNION ALL SELECT image_id, true FROM f_images WHERE image_id NOT IN (SELECT image_id FROM f_boxes WHERE image_id % 2 = 0) AND width IS NOT NULL")
+def e9(spark, sf):
+    drawn = view(spark, sf, "f_boxes").where("image_id % 2 = 0").select("image_id")
+    old = view(spark, sf, "f_images").where("width is not null").select("image_id")
+    return tables.adopted(drawn, old)
+
+
+@query("E13_verified_folders", f"{_RESOLVED} SELECT count(*) AS decided, count(*) FILTER (r.label <> e.label) AS changed FROM r JOIN e ON e.image_seq % 100 = r.seq WHERE e.verified")
+def e13(spark, sf):
+    decided = labels.latest(view(spark, sf, "f_label_events"), "image_seq").where("verified").select((F.col("image_seq") % 100).alias("seq"), F.col("label").alias("decided"))
+    return tables.changed(resolved(spark, sf), decided)
+
+
+@query("F9_unmapped_counts", f"{_RESOLVED} SELECT defect_type, count(*) AS n FROM r WHERE defect_type NOT IN ({', '.join(repr(t) for t in labels.STANDARD_TYPES)}) GROUP BY 1")
+def f9(spark, sf):
+    got = resolved(spark, sf)
+    return got.where(~F.col("defect_type").isin(*labels.STANDARD_TYPES)).groupBy("defect_type").agg(F.count("*").alias("n"))
+
+
+@query("F28_batch_failures", f"{ctes('f_inference_log')}, r AS (SELECT DISTINCT image_seq FROM f_inference_log WHERE image_seq % 7 <> 0) SELECT count(*) AS asked, count(*) FILTER (r.image_seq IS NULL) AS failed FROM (SELECT DISTINCT image_seq FROM f_inference_log) a LEFT JOIN r USING (image_seq)")
+def f28(spark, sf):
+    asked = view(spark, sf, "f_inference_log").select("image_seq").distinct()
+    return tables.failures(asked, asked.where("image_seq % 7 <> 0"), "image_seq")
