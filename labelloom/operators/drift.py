@@ -110,3 +110,23 @@ def group_drift(values: DataFrame, group: str, reference: str, candidate: str, n
     side = lambda g: values.where(F.col(group) == g).select("feature", "value")
     got = feature_drift(baseline(side(reference)), side(candidate))
     return got.where(finite(F.col("psi")) & (F.col("psi") > WATCH)).orderBy(F.desc("psi"), "feature").limit(named).select("feature", "psi")
+
+
+def retraining_signals(production: DataFrame, live: DataFrame, summary: DataFrame, new_labels: DataFrame, least_labels: int = 50, margin: float = 0.05) -> DataFrame:
+    """key, level of what speaks for fitting anew, and whether it is recommended.
+
+    Four one-row tables: production (recall), live (recall, fn), summary (level of drift), new_labels (n). Nothing is
+    recommended without a version in production.
+    """
+    row = production.agg(F.first("recall").alias("baseline"), F.count("*").alias("versions")).crossJoin(F.broadcast(live.agg(F.first("recall").alias("recall"), F.first("fn").alias("fn"), F.count("*").alias("measured"))))
+    row = row.crossJoin(F.broadcast(summary.agg(F.first("level").alias("drift")))).crossJoin(F.broadcast(new_labels.agg(F.first("n").alias("labels"))))
+    is_set, fell = F.col("versions") > 0, F.col("baseline") - F.col("recall")
+    signal = lambda key, level, when: F.when(when, F.struct(F.lit(key).alias("key"), F.lit(level).alias("level")))
+    signals = F.array(
+        signal("production", "none", ~is_set), signal("production", "ok", is_set), signal("performance", "none", is_set & (F.col("measured") == 0)),
+        signal("recall", "alert", is_set & finite(fell) & (fell > margin)), signal("recall", "ok", is_set & finite(fell) & (fell <= margin)), signal("misses", "watch", is_set & (F.col("fn") > 0)),
+        signal("drift", "alert", is_set & (F.col("drift") == "changed")), signal("drift", "watch", is_set & (F.col("drift") == "watch")), signal("drift", "ok", is_set & (F.col("drift") == "stable")), signal("drift", "none", is_set & F.coalesce(F.col("drift") == "insufficient", F.lit(True))),
+        signal("new_labels", "alert", is_set & (F.col("labels") >= least_labels)), signal("few_labels", "ok", is_set & (F.col("labels") > 0) & (F.col("labels") < least_labels)),
+    )
+    got = row.select(F.array_compact(signals).alias("s"))
+    return got.withColumn("recommended", F.exists("s", lambda x: x["level"] == "alert")).select(F.explode("s").alias("x"), "recommended").select("x.key", "x.level", "recommended")

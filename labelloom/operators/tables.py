@@ -140,3 +140,34 @@ def failures(asked: DataFrame, readable: DataFrame, key: str) -> DataFrame:
     """How many rows were asked for and how many could not be read."""
     got = asked.join(readable.select(key).distinct().withColumn("ok", F.lit(True)).hint("merge"), key, "left")
     return got.agg(F.count("*").alias("asked"), count_if(F.col("ok").isNull()).alias("failed"))
+
+
+def missed(rows: DataFrame, most: int = 8) -> DataFrame:
+    """The first missed defects by seq (C20): rows with y_true and y_pred."""
+    return rows.where((F.col("y_true") == 1) & (F.col("y_pred") == 0)).orderBy("seq").limit(most)
+
+
+def mask_pairs(files: DataFrame) -> DataFrame:
+    """image, mask of each image file whose mask is listed.
+
+    A mask lies where the image's path says ``Masks`` for ``Images``, or ``ground_truth`` for ``test`` with ``_mask``
+    behind the stem; of several the first by this order. Each path proposes its few names, which meet the listing on equality.
+    """
+    stem, masked = F.regexp_replace("path", r"\.[^./]*$", ""), lambda s: F.concat(s, F.lit("_mask.png"))
+    names = F.array(F.regexp_replace("path", "/Images/", "/Masks/"), F.concat(F.regexp_replace(stem, "/Images/", "/Masks/"), F.lit(".png")), masked(F.regexp_replace(stem, "/test/", "/ground_truth/")))
+    asked = files.select(F.col("path").alias("image"), F.posexplode(names).alias("priority", "path")).where(F.col("image") != F.col("path"))
+    found = asked.join(files.select("path").distinct().hint("merge"), "path", "left_semi")
+    return found.groupBy("image").agg(F.min_by("path", "priority").alias("mask"))
+
+
+def mask_readiness(images: DataFrame, masked: DataFrame, boxed: DataFrame) -> DataFrame:
+    """One row: images ready to draw boxes for, without a mask, already boxed."""
+    flag = lambda df, n: df.select("image_id").distinct().withColumn(n, F.lit(True)).hint("merge")
+    df = images.select("image_id").join(flag(masked, "mask"), "image_id", "left").join(flag(boxed, "box"), "image_id", "left")
+    return df.agg(count_if(F.col("mask") & F.col("box").isNull()).alias("ready"), count_if(F.col("mask").isNull()).alias("without_mask"), count_if(F.col("box")).alias("boxed"))
+
+
+def newest_types(defaults: DataFrame, own: DataFrame) -> DataFrame:
+    """raw_type, standard_type: a user's rows over the defaults, the last of each type by seq."""
+    both = defaults.withColumn("o", F.struct(F.lit(0).alias("level"), "seq")).unionByName(own.withColumn("o", F.struct(F.lit(1).alias("level"), "seq")))
+    return both.groupBy("raw_type").agg(F.max_by("standard_type", "o").alias("standard_type"))

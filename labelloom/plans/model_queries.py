@@ -269,3 +269,23 @@ def k25(spark, sf):
 
     got = grids.image_scores(scored(spark, sf)).select("image_id", F.col("max").alias("score"))
     return got.withColumn("decision", paths.decision(F.col("score"), F.lit(3.0))).where("decision is not null").select("image_id")
+
+
+@query("I12_retraining_signals")
+def i12(spark, sf):
+    production = view(spark, sf, "f_registry").where("seq = 1").select(F.col("recall").cast("double").alias("recall"))
+    live = metrics.live_performance(view(spark, sf, "f_eval").select(F.col("y").alias("y_true"), (F.col("score") >= 2000).cast("int").alias("y_pred")), [])
+    labels_ = view(spark, sf, "f_label_events").agg(F.count("*").alias("n"))
+    return drift.retraining_signals(production, live, QUERIES["I8_drift_summary"](spark, sf), labels_)
+
+
+@query("I13_train_baseline", f"{ctes('f_features')}, l AS (SELECT doc_id FROM labels) SELECT feature, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std FROM f_features WHERE id IN (SELECT doc_id FROM l) GROUP BY feature")
+def i13(spark, sf):
+    known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("id")).distinct()
+    return rounded(drift.baseline(view(spark, sf, "f_features").join(known.hint("merge"), "id", "left_semi")).select("feature", "mean", "std"))
+
+
+@query("H18_causes")
+def h18(spark, sf):
+    moved = QUERIES["I8_drift_summary"](spark, sf).select((F.col("level") != "insufficient").alias("measurable"), (F.col("level") == "changed").alias("changed"))
+    return segments.cause(segments.compared(segments.report(frames(spark, sf)), neighbours(spark, sf)).crossJoin(F.broadcast(moved))).select("video", "other", "cause")

@@ -289,3 +289,32 @@ def f9(spark, sf):
 def f28(spark, sf):
     asked = view(spark, sf, "f_inference_log").select("image_seq").distinct()
     return tables.failures(asked, asked.where("image_seq % 7 <> 0"), "image_seq")
+
+
+@query("C20_missed", f"{ctes('f_inference_log')} SELECT seq FROM f_inference_log WHERE category IN ('error','signup') AND decision='normal' ORDER BY seq LIMIT 8")
+def c20(spark, sf):
+    judged = F.col("category").isin("error", "signup").cast("int").alias("y_true"), (F.col("decision") == "defect").cast("int").alias("y_pred")
+    return tables.missed(view(spark, sf, "f_inference_log").select("seq", *judged)).select("seq")
+
+
+@query("E5_rows_with_columns", f"{ctes('f_eval', 'f_manifest')} SELECT id, round(blur_score,6) AS blur_score FROM f_eval LEFT JOIN f_manifest ON seq = id")
+def e5(spark, sf):
+    extra = manifest(spark, sf).select(F.col("seq").alias("id"), "blur_score")
+    return rounded(view(spark, sf, "f_eval").select("id").join(extra.hint("merge"), "id", "left"))
+
+
+@query("E10_mask_pairs", f"{ctes('f_paths')}, p AS (SELECT DISTINCT visa_path AS p FROM f_paths) SELECT i.p AS image, m.p AS mask FROM p i JOIN p m ON m.p = replace(i.p, '/Images/', '/Masks/') WHERE i.p LIKE '%/Images/%'")
+def e10(spark, sf):
+    return tables.mask_pairs(view(spark, sf, "f_paths").select(F.col("visa_path").alias("path")).distinct())
+
+
+@query("E11_mask_readiness", f"{ctes('f_cells')}, s AS (SELECT s_suppkey AS k, s_suppkey IN (SELECT image_id FROM f_cells) AS m, s_suppkey % 3 = 0 AS b FROM supplier) SELECT count(*) FILTER (m AND NOT b) AS ready, count(*) FILTER (NOT m) AS without_mask, count(*) FILTER (b) AS boxed FROM s")
+def e11(spark, sf):
+    images = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"))
+    return tables.mask_readiness(images, view(spark, sf, "f_cells"), images.where("image_id % 3 = 0"))
+
+
+@query("A24_newest_types", f"{M}, t AS (SELECT defect_type AS raw_type, max(seq) AS seq FROM f_manifest GROUP BY 1) SELECT raw_type, CASE WHEN raw_type IN (SELECT defect_type FROM f_manifest WHERE seq % 2 = 0) THEN 'own' ELSE 'default' END AS standard_type FROM t")
+def a24(spark, sf):
+    types = manifest(spark, sf).select("seq", F.col("defect_type").alias("raw_type"))
+    return tables.newest_types(types.withColumn("standard_type", F.lit("default")), types.where("seq % 2 = 0").withColumn("standard_type", F.lit("own")))
