@@ -23,6 +23,14 @@ def replace(stored: DataFrame, images: DataFrame, drawn: DataFrame) -> DataFrame
     return both.withColumn("box_id", F.concat_ws("#", F.col("image_id").cast("string"), n.cast("string")))
 
 
+def append(stored: DataFrame, made: DataFrame, replacing: bool = False) -> DataFrame:
+    """Stored boxes with generated ones behind them, numbered per image; ``replacing`` clears those images first."""
+    kept = stored.join(made.select("image_id").distinct().hint("merge"), "image_id", "left_anti") if replacing else stored
+    both = kept.withColumn("made", F.lit(0)).unionByName(made.select(stored.columns).withColumn("made", F.lit(1)))
+    n = F.row_number().over(Window.partitionBy("image_id").orderBy("made", "seq"))
+    return both.withColumn("box_id", F.concat_ws("#", F.col("image_id").cast("string"), n.cast("string"))).drop("made")
+
+
 def class_ids(boxes: DataFrame) -> DataFrame:
     """label, class_id from 0 in sorted order (F11); a row per label, so the window's one task holds few rows."""
     return boxes.select("label").distinct().withColumn("class_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))

@@ -58,6 +58,14 @@ def psi(expected: Column, actual: Column) -> Column:
     return F.aggregate(F.zip_with(expected, actual, lambda e, a: (hold(a) - hold(e)) * F.ln(hold(a) / hold(e))), F.lit(0.0), lambda s, x: s + x)
 
 
+def baseline_psi(base: DataFrame, current: DataFrame) -> DataFrame:
+    """feature, psi against the baseline's own bins and shares (I5); fewer than 3 edges or no rows give NaN."""
+    actual = shares(current, base.select("feature", "edges")).select("feature", F.col("props").alias("actual"))
+    got = base.join(actual.hint("shuffle_hash"), "feature", "left")
+    usable = (F.size("edges") >= 3) & F.col("actual").isNotNull()
+    return got.select("feature", F.when(usable, psi(F.col("props"), F.col("actual"))).otherwise(F.lit(float("nan"))).alias("psi"))
+
+
 def level(value: Column) -> Column:
     """insufficient, changed, watch or stable (B25); tests NaN first, as it orders above all numbers."""
     return F.when(~finite(value), "insufficient").when(value > CHANGED, "changed").when(value > WATCH, "watch").otherwise("stable")

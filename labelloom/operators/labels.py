@@ -137,6 +137,17 @@ def even_sample(df: DataFrame, by: list[str], order: list[str], limit: int) -> D
     return ranked.where((F.col("n") <= limit) | near[0] | near[1] | near[2]).drop("p", "n")
 
 
+def frames_as_rows(frames: DataFrame, category: str) -> DataFrame:
+    """Manifest rows of kept frames: the video is their group, nothing is labelled yet."""
+    fixed = {"category": category, "label": "unlabeled", "defect_type": "none", "split": "unassigned"}
+    return frames.select(F.col("image_seq").alias("seq"), F.concat(F.lit("vid-"), F.col("video").cast("string")).alias("grp"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def preview(df: DataFrame, path: str, read: Column, rows: int = 10) -> DataFrame:
+    """The first paths of a folder with what a layout reads in them (A4): a top-k, not a sort of the listing."""
+    return df.orderBy(path).limit(rows).select(F.col(path).alias("path"), read.alias("p")).select("path", "p.*")
+
+
 def progress(resolved: DataFrame) -> DataFrame:
     """The counters of labelling progress in one pass (F2)."""
     n = lambda ok: F.sum(F.when(ok, 1).otherwise(0))

@@ -108,6 +108,16 @@ def seconds(frame: Column, fps: Column) -> Column:
     return F.when(fps > 0, frame / fps)
 
 
+def fingerprint(*parts: Column) -> Column:
+    """16 hex digits that tell one definition from another."""
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def stamp(changed: Column, size: Column) -> Column:
+    """What shows that a file is not the one it was: time of change and size."""
+    return F.concat(changed.cast("string"), F.lit(":"), size.cast("string"))
+
+
 def content_id(content: Column) -> Column:
     """The first 16 digits of the content's SHA-1."""
     return F.substring(F.sha1(content), 1, 16)

@@ -64,6 +64,11 @@ def gate(df: DataFrame, min_recall: float = 0.95, min_saving: float = 0.5, preva
     return df.withColumns({"problems": listed(F.when(recall < min_recall, "recall"), F.when(saving < min_saving, "saving")), "notes": listed(F.when(recall.isNull(), "no_recall"), F.when(saving.isNull(), "no_saving"))}).withColumn("passed", F.col("problems") == "")
 
 
+def read(registry: DataFrame, metrics: tuple[str, ...] = ("recall", "prec")) -> DataFrame:
+    """The registry, newest registration first, with metrics as numbers; what is none is null."""
+    return registry.withColumns({c: F.col(c).try_cast("double") for c in metrics}).orderBy(F.desc("seq"))
+
+
 def run_rows(runs: DataFrame) -> DataFrame:
     """run_id, created_at, metrics as JSON: what a run's history holds."""
     kept = [c for c in runs.columns if c not in ("run_id", "created_at", "seq")]

@@ -27,6 +27,19 @@ def described(segments: DataFrame, fps: float = FPS) -> DataFrame:
     return segments.withColumns({"length": F.col("end") - F.col("start") + 1, "start_sec": s, "end_sec": e, "duration": F.greatest(e - s, F.lit(0.0))})
 
 
+def overlap(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    """Whether two closed segments share a position (H2)."""
+    return (start <= other_end) & (other_start <= end)
+
+
+def from_feedback(feedback: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames (video, pos, truth, predicted) of fed-back rows with a position, of videos with two such rows or more."""
+    place = frames.where("pos is not null").groupBy("image_seq").agg(F.min(F.struct("video", "pos")).alias("at"))
+    rows = feedback.join(place.hint("merge"), "image_seq").select("at.video", "at.pos", (F.col("y_true") == 1).alias("truth"), (F.col("y_pred") == 1).alias("predicted"))
+    many = rows.groupBy("video").count().where("count > 1").select("video")
+    return rows.join(many.hint("merge"), "video", "left_semi")
+
+
 def truth_hits(frames: DataFrame, min_hits: int = 1, gap: int = 0) -> DataFrame:
     """Truth runs with the predicted frames inside them and whether they are caught.
 

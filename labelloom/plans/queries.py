@@ -425,4 +425,4 @@ def c17(spark, sf):
     return rounded(boxes.replace(b, some.select("image_id"), some.where("label = 'dent'")).select("seq", "box_id"))
 
 
-from . import grid_queries, model_queries, path_queries, stream_queries, table_queries  # noqa: E402, F401 - they register theirs
+from . import detail_queries, grid_queries, model_queries, path_queries, stream_queries, table_queries  # noqa: E402, F401 - they register theirs

@@ -53,6 +53,40 @@ def official_split(spark: SparkSession, path: str, columns: dict[str, tuple[str,
     return df.select(*[next((F.col(f"`{named[s]}`") for s in spelt if s in named), F.lit(None).cast("string")).alias(ours) for ours, spelt in columns.items()])
 
 
+def chosen_split(split: DataFrame, categories: tuple[str, ...], bad: str = "anomaly") -> DataFrame:
+    """The rows of a foreign split in some categories, with y: 1 where the label says ``bad``."""
+    return split.where(F.col("category").isin(*categories)).withColumn("y", (F.lower("label") == bad).cast("long"))
+
+
+def filled(df: DataFrame, schema: StructType) -> DataFrame:
+    """``conformed`` with 0 or an empty text for what is absent or does not read as its type."""
+    got = conformed(df, schema)
+    return got.fillna(0).fillna("").select(*got.columns)
+
+
+def csv_copy(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as CSV files with a header and read it back with its own types."""
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return df.sparkSession.read.schema(df.schema).option("header", True).option("escape", '"').csv(path)
+
+
+def replace_splits(df: DataFrame, path: str, key: str = "seq") -> DataFrame:
+    """The splits table in full, its files in order of the key, in place of what lies at ``path``.
+
+    ``df`` must not read from ``path``: the old files go before the new ones are complete.
+    """
+    rows = df.select(key, "split").repartitionByRange(key).sortWithinPartitions(key)
+    rows.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def uploaded(batch: DataFrame, content: str, suffix: str = ".png") -> DataFrame:
+    """Adds sha1, image_id and path, named by content, to rows of bytes with a category (A5); null content has none of them."""
+    named = batch.withColumn("sha1", F.sha1(content))
+    image = F.substring("sha1", 1, 16)
+    return named.withColumns({"image_id": image, "path": F.concat("category", F.lit("/"), image, F.lit(suffix))})
+
+
 def import_outcomes(listing: DataFrame, stored: DataFrame) -> DataFrame:
     """Each listed file with its outcome: failed, mask, duplicate or added (A3, A5).
 
