@@ -10,9 +10,10 @@ from labelloom.sources import tables as files
 from labelloom.sources.scratch import scratch
 
 from .fixtures import ctes, view
-from .queries import _ALLOC, _BASE, _COUNTS, _FEEDBACK, _RESOLVED, _RUNS, _sides, fed_back, resolved
+from . import grid_queries, model_queries, stream_queries  # noqa: F401 - their SQL is built on below
+from .queries import _ALLOC, _BASE, _COUNTS, _FEEDBACK, _Q60, _RATES, _RESOLVED, _RUNS, _sides, fed_back, resolved
 from .register import ORACLES, query, rounded
-from .table_queries import _SPLIT, split_manifest
+from .table_queries import _OUT, _SPLIT, split_manifest
 
 M = ctes("f_manifest")
 
@@ -180,3 +181,65 @@ def i6(spark, sf):
 @query("K24_fingerprints", f"{M} SELECT seq, substr(sha256(concat_ws('|', category, source, CAST(width AS VARCHAR))),1,16) AS definition, concat(CAST(ingested_epoch AS VARCHAR), ':', CAST(filesize AS VARCHAR)) AS stamp FROM f_manifest")
 def k24(spark, sf):
     return view(spark, sf, "f_manifest").select("seq", paths.fingerprint(F.col("category"), F.col("source"), F.col("width").cast("string")).alias("definition"), paths.stamp(F.col("ingested_epoch"), F.col("filesize")).alias("stamp"))
+
+
+# --- SQL of queries that build on others -----------------------------------------------
+
+def _nested(name: str, **whole: str) -> str:
+    """The SQL of a registered query as a subselect; ``whole`` names columns to take unrounded, with their expression."""
+    sql = ORACLES[name]
+    for column, value in whole.items():
+        rounded_ = f"round({value},6) AS {column}"
+        assert rounded_ in sql, rounded_
+        sql = sql.replace(rounded_, f"{value} AS {column}")
+    return f"({sql})"
+
+
+_DRIFT = _nested("I7_feature_drift")
+ORACLES["D11_strongest_drift"] = ORACLES["I7_feature_drift"]
+ORACLES["I8_drift_summary"] = f"""WITH d AS (SELECT * FROM {_nested("I7_feature_drift", psi="psi")}),
+n AS (SELECT count(*) FILTER (level='changed') AS changed, count(*) FILTER (level='watch') AS watch, count(*) FILTER (level='stable') AS stable, count(*) FILTER (level='insufficient') AS insufficient, round(avg(psi) FILTER (NOT isnan(psi)),6) AS mean_psi FROM d)
+SELECT *, CASE WHEN changed>0 THEN 'changed' WHEN watch>0 THEN 'watch' WHEN stable>0 THEN 'stable' ELSE 'insufficient' END AS level FROM n"""
+ORACLES["I10_group_drift"] = f"SELECT feature, psi FROM {_DRIFT} WHERE feature < 'f16' AND psi > 0.1 AND NOT isnan(psi) ORDER BY psi DESC, feature LIMIT 3"
+ORACLES["I11_likely_causes"] = f"SELECT CASE WHEN feature < 'f32' THEN 'lighting' ELSE 'focus' END AS cause, max(psi) AS psi FROM {_DRIFT} WHERE psi > 0.1 AND NOT isnan(psi) GROUP BY 1"
+
+_REPORT = _nested("H3_segment_report", segment_recall="coalesce(c/nullif(tr,0),'NaN'::DOUBLE)", frame_recall="coalesce(tp/nullif(t,0),'NaN'::DOUBLE)")
+ORACLES["H5_recall_contrast"] = f"""WITH o AS (SELECT video, segment_recall-frame_recall AS off FROM {_REPORT})
+SELECT video, CASE WHEN isnan(off) THEN 'alike' WHEN off>0.15 THEN 'segments_higher' WHEN off<-0.15 THEN 'frames_higher' ELSE 'alike' END AS contrast FROM o"""
+_COMPARED = f"""WITH r AS (SELECT * FROM {_REPORT}), d AS (SELECT a.video, b.video AS other, CASE WHEN a.truth_runs>=3 AND b.truth_runs>=3 THEN a.segment_recall-b.segment_recall ELSE 'NaN'::DOUBLE END AS recall_drop,
+  b.flooding AND NOT a.flooding AS started_flooding FROM r a JOIN r b ON b.video=a.video+1), h AS (SELECT *, NOT isnan(recall_drop) AND recall_drop<=0.1 AND NOT started_flooding AS held FROM d)"""
+ORACLES["H17_compared_videos"] = f"{_COMPARED} SELECT video, other, round(recall_drop,6) AS recall_drop, started_flooding, held FROM h"
+ORACLES["H18_causes"] = f"""{_COMPARED}, l AS (SELECT level FROM ({ORACLES["I8_drift_summary"]}))
+SELECT video, other, CASE WHEN isnan(recall_drop) THEN 'undecided' WHEN held THEN 'none' WHEN level='insufficient' THEN 'undecided' WHEN level='changed' THEN 'capture' ELSE 'model' END AS cause FROM h, l"""
+ORACLES["H7_sampling_tick"] = f"""{ctes('f_frames')}, g AS (SELECT video, round(pos/30.0::DOUBLE - lag(pos/30.0::DOUBLE) OVER (PARTITION BY video ORDER BY pos), 9) AS g FROM f_frames),
+k AS (SELECT video, list_sort(list(g) FILTER (g > 0)) AS g FROM g GROUP BY 1) SELECT video, round(coalesce(g[len(g)//2+1], 0), 6) AS tick FROM k"""
+
+ORACLES["A19_export_rows"] = _OUT.replace("o AS (SELECT split,", "o AS (SELECT seq, split,") + " SELECT seq AS image_id, split, label FROM o WHERE reason='exported'"
+ORACLES["A20_json_rows"] = f"""{ctes('f_inference_log')} SELECT concat('{{"seq":', seq, ',"version":"', version, '","score":', CASE WHEN score IS NULL THEN 'null' ELSE CAST(score AS VARCHAR) END, '}}') AS row FROM f_inference_log"""
+
+_RANKED = """s AS (SELECT {by}, score, count(*) FILTER (y=1) AS pos, count(*) FILTER (y<>1) AS neg FROM {rows} GROUP BY 1,2),
+u AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below, sum(pos) OVER d AS tp, sum(pos+neg) OVER d AS m FROM s WINDOW d AS (PARTITION BY {by} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT {by}, CAST(sum(pos*(below+neg/2)) AS DOUBLE)/nullif(CAST(sum(pos) AS DOUBLE)*CAST(sum(neg) AS DOUBLE),0) AS auroc, CAST(sum(pos*tp/m) AS DOUBLE)/CAST(sum(pos) AS DOUBLE) AS average_precision FROM u GROUP BY 1)"""
+_SUMMED = f"""{ctes('f_eval_big')}, {_RANKED.format(by='category', rows='f_eval_big')}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY category),
+x AS (SELECT category, auroc, average_precision, coalesce(tp/nullif(tp+fn,0),0) AS recall, coalesce(fp/nullif(fp+tn,0),0) AS alarm FROM a JOIN c USING (category))"""
+ORACLES["F16_mean_over_categories"] = f"{_SUMMED} SELECT round(avg(auroc),6) AS auroc, round(avg(average_precision),6) AS average_precision, round(avg(recall),6) AS recall, round(avg(alarm),6) AS false_alarm_rate FROM x"
+ORACLES["G22_verdict"] = f"""{_SUMMED}, v AS (SELECT *, CASE WHEN auroc>=0.9 THEN 'good' WHEN auroc>=0.75 THEN 'usable' ELSE 'weak' END AS level, recall*0.01+alarm*0.99 AS load FROM x),
+w AS (SELECT category, auroc, level, concat_ws(',', CASE WHEN recall<0.95 THEN 'raise_recall' END, CASE WHEN 1-load<=0 THEN 'no_saving' WHEN coalesce(recall*0.01/nullif(load,0),0)<0.5 THEN 'mostly_false_alarms' END, CASE WHEN level='weak' THEN 'improve_model' END) AS listed FROM v)
+SELECT category, level, CASE WHEN auroc IS NULL THEN 'split_data' WHEN listed='' THEN 'register' ELSE listed END AS actions FROM w"""
+ORACLES["G4_roc_points"] = f"""{ctes('f_eval_big')}, s AS (SELECT category, score, count(*) FILTER (y=1) AS pos, count(*) FILTER (y<>1) AS neg FROM f_eval_big GROUP BY 1,2),
+u AS (SELECT *, sum(pos) OVER d AS tps, sum(neg) OVER d AS fps, sum(pos) OVER (PARTITION BY category) AS p, sum(neg) OVER (PARTITION BY category) AS n, row_number() OVER d AS k, lead(pos) OVER d AS np, lead(neg) OVER d AS nn FROM s WINDOW d AS (PARTITION BY category ORDER BY score DESC))
+SELECT category, round(fps/n,6) AS fpr, round(tps/p,6) AS tpr, round(CAST(score AS DOUBLE),6) AS threshold FROM u WHERE p>0 AND n>0 AND (np IS NULL OR np<>pos OR nn<>neg OR k=1)
+UNION ALL SELECT DISTINCT category, 0.0::DOUBLE, 0.0::DOUBLE, 'infinity'::DOUBLE FROM u WHERE p>0 AND n>0"""
+
+# With fewer rows than steps the thresholds of a sweep are the scores themselves.
+_CHOSEN = """{n} AS (SELECT {by} AS category, count(*) AS n, count(*) FILTER (y=1) AS defects FROM f_eval GROUP BY 1),
+{n}t AS (SELECT {n}.category, score AS threshold FROM f_eval JOIN {n} ON {n}.category={by} WHERE n<60 UNION SELECT {n}.category, unnest(quantile_cont(score, {q})) FROM f_eval JOIN {n} ON {n}.category={by} WHERE n>=60 GROUP BY {n}.category),
+{n}c AS (SELECT t.category, threshold, {counts} FROM {n}t t JOIN f_eval ON t.category={by} GROUP BY 1,2),
+{n}r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY fp, threshold DESC) AS k FROM {n}c WHERE tp/nullif(tp+fn,0) >= 0.95),
+{n}g AS (SELECT n.category, defects, threshold FROM {n} n LEFT JOIN {n}r ON {n}r.category=n.category AND k=1)"""
+_OWN = _CHOSEN.format(n="own_", by="f_eval.category", q=_Q60, counts=_COUNTS.format(p="score >= threshold"))
+_SHARED = _CHOSEN.format(n="all_", by="'all'", q=_Q60, counts=_COUNTS.format(p="score >= threshold"))
+ORACLES["G7_thresholds_by_category"] = f"""{ctes('f_eval')}, {_OWN} SELECT category, defects, CASE WHEN defects>=5 THEN round(threshold,6) END AS threshold, CASE WHEN defects<5 THEN 'few_defects' WHEN threshold IS NULL THEN 'infeasible' END AS skipped FROM own_g"""
+ORACLES["G10_mixed_thresholds"] = f"""{ctes('f_eval')}, {_OWN}, {_SHARED}, j AS (SELECT f_eval.category, y, score, CASE WHEN own_g.defects>=5 THEN own_g.threshold END AS own, all_g.threshold AS shared FROM f_eval LEFT JOIN own_g USING (category), all_g),
+c AS (SELECT category, max(coalesce(own, shared)) AS threshold, max(own) IS NOT NULL AS own, {_COUNTS.format(p='score >= coalesce(own, shared)')} FROM j GROUP BY 1)
+SELECT category, round(threshold,6) AS threshold, own, {_RATES} FROM c"""
