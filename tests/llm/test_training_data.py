@@ -323,6 +323,17 @@ def test_licences_are_confirmed_by_wording(spark, odd, none):
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(none).count() == 0
 
 
+def test_licences_are_found_within_long_and_over_wrapped_lines(spark):
+    t, filler = licenses.TEMPLATES, "lorem ipsum dolor sit amet consectetur " * 60
+    wrapped = "\n".join(" * " + " ".join(t["MIT-text"].split()[k : k + 1 if k == 0 else k + 6]) for k in (0, *range(1, 40, 6)))
+    prefix = "\n".join("# " + " ".join(t["GPL-3.0-header"].split()[k : k + 7]) for k in range(0, 45, 7))
+    texts = [filler + t["MIT"] + " " + filler, filler + t["Apache-2.0"] + " " + filler + t["GPL-3.0"] + " " + filler, "/*\n" + wrapped + "\n */", "x\n" + prefix, t["MIT"] + " " + t["MIT"] + " Copyright 2020 " + t["MPL-2.0"], t["Apache-2.0-header"]]
+    got = defaultdict(list)
+    for r in licenses.license_scan(docs(spark, list(enumerate(texts)))).where("confirmed").collect():
+        got[r["doc_id"]].append((r["line"], r["license"]))
+    assert {k: sorted(v) for k, v in got.items()} == {0: [(0, "MIT")], 1: [(0, "Apache-2.0"), (0, "GPL-3.0")], 2: [(1, "MIT-text")], 3: [(1, "GPL-3.0-header")], 4: [(0, "MIT"), (0, "MIT"), (0, "MPL-2.0")], 5: [(0, "Apache-2.0"), (0, "Apache-2.0-header")]}
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 
