@@ -315,6 +315,13 @@ def test_boilerplate_lines_go_and_near_threshold_ones_are_exact(spark, odd, none
     assert line_spread.without_boilerplate(none).count() == 0
 
 
+def test_short_boilerplate_lines_go_too(spark):
+    rows = [(k, f"Of, edti oner.\nown {k}\n\n \t\nEnd." + ("\nSeven." if k < 7 else ""), "en", f"s{k}") for k in range(30)]
+    got = {r["doc_id"]: r for r in line_spread.without_boilerplate(docs(spark, rows)).collect()}
+    assert all((r["n_cut"], r["text"]) == (2, f"own {k}\n\n \t" + ("\nSeven." if k < 7 else "")) for k, r in got.items())
+    assert line_spread.without_boilerplate(docs(spark, rows), least=20).where("n_cut > 0").count() == 0
+
+
 def test_licences_are_confirmed_by_wording(spark, odd, none):
     text = "intro\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nThis work is licensed under the GNU General Public License, version 2.\nthe driver's licence was lost in the warranty office today"
     got = licenses.license_scan(docs(spark, [(1, text)])).orderBy("line").collect()
