@@ -75,18 +75,25 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
 
 
+def joined_hits(kept: DataFrame, grams: Grams) -> DataFrame:
+    """rid, hits of the rows (rid, text) that have hits. For any number of n-grams; a rid must stay a row's own when it is read again."""
+    if not grams.sizes:
+        return kept.select("rid", F.array().cast("array<struct<pos:int,size:int,gram:string>>").alias("hits")).limit(0)
+    # Too many n-grams for a set: windows meet them by hash in a shuffled join, salted by nothing as a window is
+    # looked up in distinct n-grams; AQE splits a hash that many documents share.
+    every = F.concat(*[_windows(F.col("w"), s, lambda h: h.isNotNull()) for s in grams.sizes])
+    there = kept.select("rid", F.explode(F.array(words(F.col("text")))).alias("w")).select("rid", F.explode(every).alias("x")).select("rid", "x.*", gram_hash(F.col("x.size"), F.col("x.gram")).alias("h"))
+    found = there.join(grams.table.select("h", "size", "gram").distinct().hint("merge"), ["h", "size", "gram"])
+    return found.groupBy("rid").agg(F.collect_list(F.struct("pos", "size", "gram")).alias("hits"))
+
+
 def hits(docs: DataFrame, grams: Grams, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: rid, doc_id, n_words, hits (array of struct(pos, size, gram)); the rid tells rows with one doc_id apart."""
     if grams.small:
         both = lambda w: F.struct(F.size(w).alias("n_words"), grams.hits(w).alias("hits"))
         return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), let(words(F.col(text)), both).alias("x")).select("rid", "doc_id", "x.*")
-    # Too many n-grams for a set: windows meet them by hash in a shuffled join, salted by nothing as a window is
-    # looked up in distinct n-grams; AQE splits a hash that many documents share.
     kept = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rows")
-    every = F.concat(*[_windows(F.col("w"), s, lambda h: h.isNotNull()) for s in grams.sizes])
-    there = kept.select("rid", F.explode(F.array(words(F.col("text")))).alias("w")).select("rid", F.explode(every).alias("x")).select("rid", "x.*", gram_hash(F.col("x.size"), F.col("x.gram")).alias("h"))
-    found = there.join(grams.table.select("h", "size", "gram").distinct().hint("merge"), ["h", "size", "gram"])
-    by_row = found.groupBy("rid").agg(F.collect_list(F.struct("pos", "size", "gram")).alias("hits"))
+    by_row = joined_hits(kept, grams)
     none = F.array().cast(by_row.schema["hits"].dataType)
     return kept.select("rid", "doc_id", F.size(words(F.col("text"))).alias("n_words")).join(by_row.hint("merge"), "rid", "left").withColumn("hits", F.coalesce("hits", none))
 
@@ -110,24 +117,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     return by_row.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text without its words that an array of struct(pos, size, ..) covers."""
+    # Each word as written, before lower-casing, with the signs before it; and the signs behind the last word.
+    lead = r"(?s)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    pieces = F.regexp_extract_all(text, F.lit(lead), F.lit(0))
+    inside = lambda i: F.exists(spans, lambda x: (x["pos"] <= i + 1) & (i + 1 < x["pos"] + x["size"]))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.filter(pieces, lambda p, i: ~inside(i)), ""))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document", window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """``docs`` without contaminated rows (``remove="document"``) or without the hit words (``"span"``); same columns.
 
-    With a set of n-grams that fits the plan this is one pass without a shuffle.
+    With a set of n-grams that fits the plan this is one pass without a shuffle. With more, the rows are written once
+    and joined by rid with their hits; each row is decided by itself either way.
     """
     grams = Grams(benchmark, window, max_set)
     if not grams.small:
-        if remove != "document":
-            raise ValueError("spans are removed with a benchmark within max_set only")
-        bad = hits(docs, grams).where(F.size("hits") > 0).select("doc_id").distinct()
-        return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+        rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("doc")), "rows")
+        found = joined_hits(rows.select("rid", F.col("doc.text").alias("text")), grams)
+        if remove == "document":
+            return rows.join(found.select("rid").hint("merge"), "rid", "left_anti").select("doc.*").select(docs.columns)
+        spans = found.select("rid", F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))).alias("spans"))
+        both = rows.join(spans.hint("merge"), "rid", "left")
+        text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(without_spans(F.col("doc.text"), F.col("spans")))
+        return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(docs.columns)
     if remove == "document":
         return docs.where(~F.coalesce(let(words(F.col("text")), lambda w: F.size(grams.hits(w)) > 0), F.lit(False)))
-    # Each word as written, before lower-casing, with the signs before it; and the signs behind the last word.
-    lead = r"(?s)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(lead), F.lit(0))
-    inside = lambda spans, i: F.exists(spans, lambda x: (x["pos"] <= i + 1) & (i + 1 < x["pos"] + x["size"]))
-    cut = let(words(F.col("text")), lambda w: let(grams.hits(w), lambda h: F.when(F.size(h) == 0, F.col("text")).otherwise(F.array_join(F.filter(pieces, lambda p, i: ~inside(h, i)), ""))))
+    cut = let(words(F.col("text")), lambda w: let(grams.hits(w), lambda h: without_spans(F.col("text"), h)))
     return docs.withColumn("text", cut)
 
 

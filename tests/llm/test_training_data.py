@@ -104,6 +104,19 @@ def test_spans_are_cut(spark):
     assert [r["text"] for r in decontamination.decontaminate(df, bench, "span").orderBy("doc_id").collect()] == ["A of text", "clean text", None]
 
 
+@pytest.mark.parametrize("max_set", [decontamination.MAX_SET, 0])
+def test_each_row_is_decided_by_itself(spark, odd, max_set):
+    bench = spark.createDataFrame([(1, "short item"), (2, "leaked")], "item_id long, text string")
+    df = odd.unionByName(docs(spark, [(None, "null id, short ITEM."), (7, "A short, ITEM of text"), (7, "clean twin"), (8, "all leaked short item"), (8, "all leaked short item"), (9, "item short")]), allowMissingColumns=True)
+    told = lambda x: sorted(((r["doc_id"], r["text"]) for r in x.collect()), key=str)
+    clean = [(r[0], r[1]) for r in ODD] + [(7, "clean twin"), (9, "item short")]
+    kept = decontamination.decontaminate(df, bench, max_set=max_set)
+    cut = decontamination.decontaminate(df, bench, "span", max_set=max_set)
+    assert told(kept) == sorted(clean, key=str) and kept.columns == cut.columns == df.columns
+    assert told(cut) == sorted([*clean, (None, "null id."), (7, "A of text"), (8, "all"), (8, "all")], key=str)
+    assert {r["size"] for r in cut.where("doc_id = 3").collect()} == {"clash"}
+
+
 # --- 4 -----------------------------------------------------------------------------
 
 
