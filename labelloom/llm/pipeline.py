@@ -32,7 +32,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the written shards hold of each row: doc_id, start, n_tokens, ids_crc32."""
     import public_tokenizers
 
-    return token_shards.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_shards.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]

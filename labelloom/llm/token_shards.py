@@ -67,9 +67,12 @@ class Encoder:
     a line feed between non-spaces. Texts are split there, pieces into the tokenizer's words by its own
     pattern, and the library's model encodes each distinct word once; the ids of a text are those of its
     words. Texts with other runs of white space are split only where the first rule holds.
+
+    With ``added_tokens``, as the library does by default, a text that names one of the tokenizer's added tokens
+    goes to the library whole, which gives the token's id there; else its spelling is encoded as any other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -78,6 +81,8 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.normalizer is not None or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path} is not a plain byte-level tokenizer")
+        self.tokenizer = tokenizer
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         #: How the byte-level alphabet writes each byte.
         self.letters = {b: tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         left = iter(sorted(set(ByteLevel.alphabet()) - set(self.letters.values())))
@@ -108,17 +113,21 @@ class Encoder:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(map(self.known.__getitem__, self.pieces(t))) for t in texts]
+        return [self._whole(t) if any(x in t for x in self.added) else b"".join(map(self.known.__getitem__, self.pieces(t))) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        got = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(got)}I", *got)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
     """The worker's encoder; tasks that reuse the worker reuse what it has learnt."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added_tokens) not in _encoders:
+        _encoders[path, added_tokens] = Encoder(path, added_tokens)
+    return _encoders[path, added_tokens]
 
 
 def filesystem(uri: str):
@@ -221,12 +230,12 @@ class ShardReader:
         return b"".join(out)
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encode ``docs`` and write shards under ``out``; returns the manifest, a row per shard, with ``first`` the number of ids before it.
 
     A null text is an empty one: its document holds the end id alone. A null doc_id sorts first. Rows with
     one doc_id are all written, ordered by text. An empty table gives an empty manifest. Columns other than
-    the two named are not read.
+    the two named are not read. ``added_tokens`` as in ``Encoder``.
     """
     spark = docs.sparkSession
     filesystem(out)[0].create_dir(filesystem(out)[1], recursive=True)
@@ -239,7 +248,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc
         shard = TaskContext.get().partitionId()
         path = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}.tok.zst"
         files, inner = filesystem(path)
-        code, n = encoder(tokenizer), 0
+        code, n = encoder(tokenizer, added_tokens), 0
         with files.open_output_stream(inner, compression=None) as sink:
             shard_file = ShardWriter(sink)
             batch = first
@@ -326,13 +335,13 @@ def read_index(manifest: DataFrame) -> DataFrame:
     return manifest.mapInArrow(read, "doc_id long, path string, n_bytes long, position long")
 
 
-def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
     """Write ``docs`` as shards in the shared folder and read every one back: doc_id, start, n_tokens, ids_crc32."""
-    manifest = write_shards(docs, scratch(docs.sparkSession, "tokens"), tokenizer)
+    manifest = write_shards(docs, scratch(docs.sparkSession, "tokens"), tokenizer, added_tokens=added_tokens)
     return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)

@@ -80,6 +80,22 @@ def test_lookup_reads_wanted_documents_and_broken_frames_are_noticed(spark, tmp_
         token_shards.read_shards(manifest).collect()
 
 
+def test_added_tokens_get_the_librarys_default_ids(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    t, texts = Tokenizer.from_file(BPE), ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n  y\t", "<|endoftext", "plain text"]
+    for text, ids in zip(texts, token_shards.Encoder(BPE, added_tokens=True).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)["tokens"]
+    for got in (token_shards.op2_token_binary(spark, str(tmp_path)), stage(spark, odd, str(tmp_path))):
+        at = 0
+        for g, r in zip(got.orderBy("start").collect(), sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0)), strict=True):
+            ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
+            assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (r[0], at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+            at += len(ids)
+
+
 # --- 3 -----------------------------------------------------------------------------
 
 
