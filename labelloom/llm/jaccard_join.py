@@ -1,20 +1,22 @@
 """Operator 5, n-gram Jaccard join with signature trees.
 
 1. Every text becomes its set of word shingles, as 64-bit hashes. Per row stay its size, a fingerprint of the
-   set, a bitmap that each shingle sets one bit of, and ``BANDS`` keys, each of ``ROWS`` minima of the hashed set.
-   Rows with one fingerprint are one class; its smallest doc_id stands for it, so copies cost a row each, no pairs.
-2. Sets that are linked share a key (else with probability (1 - 0.75**ROWS)**BANDS, below 3e-11 a pair at the very
-   threshold and less above it). In each key's group the smallest id is the pivot and all others are checked against
-   it, by bitmap and then by exact shingles; links give components. That settles copies with small changes in
-   linear time.
-3. Groups that still hold several components get a signature tree: nodes hold the OR of their bitmaps and their
-   range of sizes; a dual traversal from the root drops node pairs whose largest possible overlap is too small,
-   whose sizes are too far apart, or which are one component already. Pairs of leaves that remain are checked by
-   exact shingles. Groups over ``GROUP`` rows are cut into blocks, and each pair of blocks gets a tree, so no pair
-   is left out and no task holds more than two blocks.
+   set, a bitmap that each shingle sets one bit of, and the head of the set: its first shingles in one order of all
+   shingles, as many as two similar sets cannot both spare. Rows with one fingerprint are one class; its smallest
+   doc_id stands for it, so copies cost a row each, no pairs.
+2. The root of the trees has a child for each shingle: the sets with it in their heads. Two similar sets have a
+   head's shingle in common, so they meet under one child at least; none is missed. The order puts shingles that many
+   heads hold behind all others, so that a passage or line of many documents gathers few of them under a child.
+3. Below, nodes hold the OR of their bitmaps and their range of sizes. Children of over ``GROUP`` sets are cut into
+   nodes by size; their pairs are dropped or kept in a join of the table of nodes. Within a pair of nodes a task goes
+   down both trees at once. A pair of nodes is dropped if its largest possible overlap is too small, its sizes are
+   too far apart, or it is one component already.
+4. The first descent returns no more pairs than join a child's sets to each other; they are checked by exact shingles
+   and give components. The second descent, over children that still hold several components, returns every pair
+   of sets that is left, for the same check. So copies with small changes take pairs in proportion to their number.
 
 Nothing of all documents reaches the driver; joins on ids and keys are sort-merge joins, which adaptive execution
-splits where a key is hot.
+splits where a key is hot, or broadcasts behind a count.
 """
 
 from __future__ import annotations
@@ -24,20 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, sized, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
-BANDS, ROWS, BITS = 64, 4, 2048
-#: Rows of a block and children of a tree's node.
+BITS = 2048
+#: Sets of a node that one task descends from, and children of a node below it.
 GROUP, FAN = 1024, 16
+#: A shingle in more heads than HOT goes behind the others, the most frequent MAX_HOT of them (8 MB); any choice gives the same links.
+HOT, MAX_HOT = 256, 1_000_000
 
-_rng = np.random.default_rng(5)
-_MUL = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], dtype=np.uint64)
 
 
@@ -61,20 +62,23 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def band_keys(tokens: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band: its number and ROWS minima of the set."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    short = (tokens >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(short), 1024):
-        np.minimum(low, (short[k : k + 1024, None] * _MUL + _ADD).min(axis=0), out=low)
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    return _mix((rows * _POWERS[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _POWERS[9])
+def head(tokens: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set, by hash, those of the sorted ``hot`` behind all others.
+
+    A set of n shingles overlaps with a similar one in at least SIMILARITY * n of them, so it can spare all but the head
+    of the rest and one: were two heads apart, the smaller rest could not hold the whole overlap.
+    """
+    num, den = SIMILARITY
+    if hot is not None and len(hot) and len(tokens):
+        common = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+        tokens = np.concatenate([tokens[~common], tokens[common]])
+    return tokens[: len(tokens) + num * len(tokens) // -den + 1] if len(tokens) else tokens
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, dtype=np.uint8)
     bits[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+    return np.packbits(bits).view(np.int64)
 
 
 def enough(common, a, b):
@@ -89,28 +93,28 @@ def needed(total: np.ndarray) -> np.ndarray:
     return -(-num * total // (num + den))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """A column of lists of longs from arrays."""
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, hi, lo (fingerprint), keys, sig. Empty sets have no keys."""
+    """Per row: doc_id, n, hi, lo (fingerprint), head, sig (bitmap). Empty sets have no head."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, hi, lo, keys, sig = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                t = shingles(text)
-                mark = np.frombuffer(xxhash.xxh3_128_digest(t.tobytes()), dtype="<i8")
-                n.append(len(t))
-                hi.append(mark[0])
-                lo.append(mark[1])
-                keys.append(band_keys(t).view(np.int64) if len(t) else np.zeros(0, np.int64))
-                sig.append(bitmap(t).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sig, pa.binary())})
+            tokens = [shingles(text) for text in b.column(1).to_pylist()]
+            marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(t.tobytes()), dtype="<i8") for t in tokens], dtype=np.int64).reshape(-1, 2)
+            sig = [bitmap(t).view(np.uint64) for t in tokens]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "hi": marks[:, 0].copy(), "lo": marks[:, 1].copy(), "head": _lists([head(t) for t in tokens]), "sig": _lists(sig)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(measure, "doc_id long, n long, hi long, lo long, keys array<long>, sig binary")
+    return rows.mapInArrow(measure, "doc_id long, n long, hi long, lo long, head array<long>, sig array<long>")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), BITS // 64)
+    return np.asarray(column.flatten()).view(np.uint64).reshape(len(column), BITS // 64)
 
 
 def may_link(na, sa, nb, sb) -> np.ndarray:
@@ -121,32 +125,21 @@ def may_link(na, sa, nb, sb) -> np.ndarray:
     return (total - apart >= 2 * needed(total)) & (num * np.maximum(na, nb) <= den * np.minimum(na, nb))
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow a link."""
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")).hint("merge")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                ok = may_link(np.asarray(x.column(2)), _bits(x.column(3)), np.asarray(x.column(4)), _bits(x.column(5)))
-                yield x.select(["a", "b"]).filter(pa.array(ok))
-
-    return both.mapInArrow(keep, "a long, b long")
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the ``ids``, a row an id: of rows that share a doc_id any of the largest text stands for it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids), "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of doc_ids that are linked, by exact shingles of the whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "t": pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    # One row an id: of rows that share a doc_id any of the largest text stands for it.
-    texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    known = written(texts.mapInArrow(tokens, "id long, t binary"), "tokens")
+    known = written(_texts(ids, docs).mapInArrow(tokens, "id long, t binary"), "tokens")
     side = lambda k: known.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
@@ -158,64 +151,115 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(bool(enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    out = written(both.mapInArrow(check, "a long, b long"), "links")
+    for done in (ids, known):
+        forget(done)
+    return out
 
 
 class Tree:
-    """A signature tree over rows of one group: levels of nodes from the rows up, FAN children to a node."""
+    """A signature tree over rows of one node: levels from the rows up, FAN children to a node, ``height`` levels at least."""
 
-    def __init__(self, label: np.ndarray, n: np.ndarray, sig: np.ndarray):
+    def __init__(self, label: np.ndarray, n: np.ndarray, sig: np.ndarray, height: int = 1):
         excess = n - np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
         # low, high: sizes; more: shingles beyond one a bit; one: the only component of the node, or -1 for several.
         self.levels = [{"low": n, "high": n, "more": excess, "sig": sig, "one": label}]
-        while len(self.levels[-1]["low"]) > FAN:
+        while len(self.levels[-1]["low"]) > FAN or len(self.levels) < height:
             x = self.levels[-1]
             cut = np.arange(0, len(x["low"]), FAN)
             low, high = np.minimum.reduceat(x["one"], cut), np.maximum.reduceat(x["one"], cut)
             self.levels.append({"low": np.minimum.reduceat(x["low"], cut), "high": np.maximum.reduceat(x["high"], cut), "more": np.maximum.reduceat(x["more"], cut), "sig": np.bitwise_or.reduceat(x["sig"], cut, axis=0), "one": np.where(low == high, low, -1)})
 
-    def _open(self, x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        num, den = SIMILARITY
-        common = np.bitwise_count(x["sig"][i] & x["sig"][j]).sum(axis=1, dtype=np.int64) + np.minimum(x["more"][i], x["more"][j])
-        most = np.minimum(common, np.minimum(x["high"][i], x["high"][j]))
-        fits = (num * x["low"][i] <= den * x["high"][j]) & (num * x["low"][j] <= den * x["high"][i])
-        return fits & (most >= needed(x["low"][i] + x["low"][j])) & ((x["one"][i] != x["one"][j]) | (x["one"][i] < 0))
-
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row pairs that no bound rules out, in parts."""
-        top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top]["low"]))
-        stack = [(top, i, j)]
-        while stack:
-            level, i, j = stack.pop()
-            if len(i) > 1 << 14:
-                half = len(i) // 2
-                stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
-                continue
-            x = self.levels[level]
-            go = self._open(x, i, j)
-            i, j = i[go], j[go]
-            if not level:
-                ok = (i < j) & may_link(x["low"][i], x["sig"][i], x["low"][j], x["sig"][j])
-                if ok.any():
-                    yield i[ok], j[ok]
-                continue
-            size, step = len(self.levels[level - 1]["low"]), np.arange(FAN)
-            ci = np.repeat(i[:, None] * FAN + step, FAN, axis=1).ravel()
-            cj = np.tile(j[:, None] * FAN + step, (1, FAN)).ravel()
-            ok = (ci < size) & (cj < size) & (ci <= cj)
-            stack.append((level - 1, ci[ok], cj[ok]))
-
 
-def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) from a signature tree over each (key, p, q) of rows key, p, q, rep, label, n, sig."""
+def _open(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether nodes i of a level and j of another tree's level can hold a similar pair of two components."""
+    num, den = SIMILARITY
+    common = np.bitwise_count(x["sig"][i] & y["sig"][j]).sum(axis=1, dtype=np.int64) + np.minimum(x["more"][i], y["more"][j])
+    most = np.minimum(common, np.minimum(x["high"][i], y["high"][j]))
+    fits = (num * x["low"][i] <= den * y["high"][j]) & (num * y["low"][j] <= den * x["high"][i])
+    return fits & (most >= needed(x["low"][i] + y["low"][j])) & ((x["one"][i] != y["one"][j]) | (x["one"][i] < 0))
+
+
+def tree_pairs(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of two trees of one height that no bound rules out, in parts; for a tree and itself each pair once."""
+    top, same = len(one.levels) - 1, one is two
+    i, j = (x.ravel() for x in np.indices((len(one.levels[top]["low"]), len(two.levels[top]["low"]))))
+    stack = [(top, i[i <= j], j[i <= j]) if same else (top, i, j)]
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > 1 << 14:
+            half = len(i) // 2
+            stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+            continue
+        x, y = one.levels[level], two.levels[level]
+        go = _open(x, y, i, j)
+        i, j = i[go], j[go]
+        if not level:
+            ok = may_link(x["low"][i], x["sig"][i], y["low"][j], y["sig"][j]) & ((i < j) if same else True)
+            if ok.any():
+                yield i[ok], j[ok]
+            continue
+        step = np.arange(FAN)
+        ci = np.repeat(i[:, None] * FAN + step, FAN, axis=1).ravel()
+        cj = np.tile(j[:, None] * FAN + step, (1, FAN)).ravel()
+        ok = (ci < len(one.levels[level - 1]["low"])) & (cj < len(two.levels[level - 1]["low"]))
+        if same:
+            ok &= ci <= cj
+        stack.append((level - 1, ci[ok], cj[ok]))
+
+
+def joining_pairs(rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs of a node's rows that no bound rules out as many as join them: the row of the smallest id with all that it reaches, and a forest of the rest."""
+    root = int(np.argmin(rep))
+    near = np.flatnonzero(may_link(n[root], sig[root], n, sig))
+    near = near[near != root]
+    yield np.full(len(near), root), near
+    up = np.arange(len(n))
+    up[near] = root
+    if len(near) == len(n) - 1:
+        return
+    order = np.lexsort((n, up))
+    tree = Tree(up[order], n[order], sig[order])
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in tree_pairs(tree, tree):
+        got = []
+        for a, b in zip(order[i].tolist(), order[j].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                got.append((a, b))
+        if got:
+            yield np.array(got)[:, 0], np.array(got)[:, 1]
+
+
+def _descend(rows: DataFrame, every: bool) -> DataFrame:
+    """(a, b) from the trees over each (key, p, q) of rows key, p, q, side, rep, label, n, sig: every pair, or those that join rows."""
+
+    def pairs(t: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rep, side, label, n, sig = np.asarray(t.column("rep")), np.asarray(t.column("side")), np.asarray(t.column("label")), np.asarray(t.column("n")), _bits(t.column("sig"))
+        if not every:
+            yield from ((rep[i], rep[j]) for i, j in joining_pairs(rep, n, sig))
+            return
+        k = int((side == 0).sum())
+        if k == len(rep):
+            one = two = Tree(label, n, sig)
+        else:
+            height = max(len(Tree(label[x], n[x], sig[x]).levels) for x in (slice(0, k), slice(k, None)))
+            one, two = (Tree(label[x], n[x], sig[x], height) for x in (slice(0, k), slice(k, None)))
+        first = 0 if one is two else k
+        yield from ((rep[i], rep[j + first]) for i, j in tree_pairs(one, two))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            rep, label, n, sig = np.asarray(t.column("rep")), np.asarray(t.column("label")), np.asarray(t.column("n")), _bits(t.column("sig"))
-            for i, j in Tree(label, n, sig).pairs():
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(rep[i], rep[j])), "b": pa.array(np.maximum(rep[i], rep[j]))})
+            t = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            if t.num_rows > 1:
+                for a, b in pairs(t):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -223,7 +267,7 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids = np.stack([np.asarray(batch.column(k)) for k in ("key", "p", "q")], axis=1).astype(np.int64)
-            cut = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(ids)]
+            cut = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
             for a, b in zip(cut, cut[1:], strict=False):
                 if held and tuple(ids[a]) != last:
                     yield from done(held)
@@ -233,8 +277,113 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    ordered = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "label", "n", "rep")
-    return ordered.mapInArrow(grow, "a long, b long").distinct()
+    columns = ["key", "p", "q", "side", "rep", "label", "n", "sig"]
+    ordered = rows.select(columns).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "label", "n", "rep")
+    return ordered.mapInArrow(grow, "a long, b long").where("a <> b").distinct()
+
+
+def _hot(counts: DataFrame) -> np.ndarray:
+    """The shingles in the most heads, sorted: those of over HOT, or of over as many as leave MAX_HOT at most."""
+    power = F.floor(F.log2("c")).cast("int").alias("power")
+    by_power = sorted(counts.where(F.col("c") > HOT).groupBy(power).count().collect(), reverse=True)  # a row a power of two
+    taken, least = 0, None
+    for p, k in by_power:
+        taken += k
+        if taken > MAX_HOT:
+            break
+        least = p
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = counts.where((F.col("c") > HOT) & (power >= least)).select("key").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _reordered(reps: DataFrame, hot: np.ndarray, docs: DataFrame) -> DataFrame:
+    """rep, n, head, sig of the rows of ``reps`` with a hot shingle in their heads, with heads in the order that has those last; and the ids of such rows."""
+    spark = reps.sparkSession
+    keys = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "key long")
+    ids = written(reps.select("rep", F.explode("head").alias("key")).join(F.broadcast(keys), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "hot")
+    shared = spark.sparkContext.broadcast(hot)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [shingles(text) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"rep": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "head": _lists([head(t, shared.value) for t in tokens]), "sig": _lists([bitmap(t).view(np.uint64) for t in tokens])})
+
+    return written(_texts(ids, docs).mapInArrow(measure, "rep long, n long, head array<long>, sig array<long>"), "heads"), ids
+
+
+def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, rep, c of the root's children that hold two sets or more, one child for all with the same sets; and rep, n, sig of the sets."""
+    heads = lambda r: r.select("rep", F.explode("head").alias("key"))
+    counts = written(heads(reps).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    hot = _hot(counts)
+    keys = counts.select("key")
+    if len(hot):
+        late, ids = _reordered(reps, hot, docs)
+        cold = reps.join(sized(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_anti").select("rep", "n", "head", "sig")
+        reps = cold.unionByName(late)
+        keys = written(keys.unionByName(heads(late).select("key")).distinct(), "keys")
+    met = written(heads(reps).join(keys.hint("merge"), "key", "left_semi").distinct(), "met")
+    # Children with the same sets have the same count and sums of hashes: one of them stands for all.
+    marks = met.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")).where("c > 1")
+    own = written(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "own")
+    return written(met.join(own.hint("merge"), "key"), "children"), reps.select("rep", "n", "sig")
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """rows with ``node``: a child of up to GROUP sets is one node; a larger one is cut by size, and by hash where many have one size."""
+    num, den = SIMILARITY
+    small = rows.where(F.col("c") <= GROUP).withColumn("node", F.lit(0).cast("long"))
+    size = F.floor(F.ln("n") / F.lit(float(np.log(den / num)))).cast("long")
+    large = rows.where(F.col("c") > GROUP).withColumn("size", size)
+    counted = written(large.groupBy("key", "size").agg(F.count("*").alias("m")), "sizes")
+    large = large.join(counted.hint("merge"), ["key", "size"])
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / GROUP).cast("long"))
+    return small.unionByName(large.withColumn("node", F.shiftleft(F.col("size") + 1, 40) + part).drop("size", "m"))
+
+
+def _size_class(node: str) -> Column:
+    return F.shiftright(node, 40)
+
+
+def _node_pairs(rows: DataFrame) -> DataFrame:
+    """key, p, q of the pairs of nodes of a child that can hold a similar pair of two components, by their bitmaps, sizes and components."""
+    num, den = SIMILARITY
+    word = lambda k: F.bit_or(F.get("sig", F.lit(k)))
+    ones = F.aggregate("sig", F.lit(0), lambda acc, x: acc + F.bit_count(x))
+    nodes = rows.groupBy("key", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l"), F.max("label").alias("m"), F.max(F.col("n") - ones).alias("more"), F.array(*[word(k) for k in range(BITS // 64)]).alias("sig"))
+    nodes = written(nodes, "nodes")
+    a, b = nodes.alias("a"), nodes.alias("b")
+    both = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") <= F.col("b.node")) & (_size_class("b.node") - _size_class("a.node") <= 2))
+    common = F.aggregate(F.zip_with("a.sig", "b.sig", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda acc, x: acc + x) + F.least("a.more", "b.more")
+    most = F.least(common, "a.high", "b.high")
+    fits = (num * F.col("a.low") <= den * F.col("b.high")) & (num * F.col("b.low") <= den * F.col("a.high"))
+    several = F.least("a.l", "b.l") < F.greatest("a.m", "b.m")
+    return both.where(fits & several & ((num + den) * most >= num * (F.col("a.low") + F.col("b.low")))).select(F.col("a.key").alias("key"), F.col("a.node").alias("p"), F.col("b.node").alias("q"))
+
+
+def similar(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links between the sets of ``reps`` (rep, n, head, sig) that give the components of all links."""
+    under, known = children(reps, docs)
+    rows = under.join(known.hint("merge"), "rep")
+    first = _nodes(rows).select("key", F.col("node").alias("p"), F.col("node").alias("q"), F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), "n", "sig")
+    near = written(_descend(first, every=False), "near")
+    links = _verified(near, docs)
+
+    label = components(links).withColumnRenamed("node", "rep")
+    told = written(under.join(label.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "told")
+    open_ = told.where("c > 2").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    left = told.join(written(open_, "open").hint("merge"), "key", "left_semi").join(known.hint("merge"), "rep")
+    left = written(_nodes(left), "left")
+    pairs = written(_node_pairs(left), "pairs")
+    one = left.join(pairs.withColumn("node", F.col("p")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(0))
+    two = left.join(pairs.where("p <> q").withColumn("node", F.col("q")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(1))
+    rest = written(_descend(one.unionByName(two), every=True).join(near.hint("merge"), ["a", "b"], "left_anti"), "near")
+    out = links.unionByName(_verified(rest, docs))
+    for done in (told, left, rest):
+        forget(done)
+    return out
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -245,40 +394,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     its very set, or null. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     rows = written(sets(docs), "sets")
-    filled = rows.where("n > 0")
-    classes = written(filled.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.join(classes.where("rep is not null").select("hi", "lo", "n", F.col("rep").alias("doc_id")).hint("merge"), ["doc_id", "hi", "lo", "n"])
-    reps = written(reps.select(F.col("doc_id").alias("rep"), "n", "keys", "sig").dropDuplicates(["rep"]), "reps")
-    bands = reps.select("rep", F.explode("keys").alias("key"))
-    groups = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    shared = written(bands.join(groups.hint("merge"), "key").select("key", "rep", "pivot", "c"), "shared")
-
-    star = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_verified(written(_near(star, reps), "near"), docs), "links")
-    first = components(links)
-
-    told = shared.where("c > 2").join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    told = written(told.select("key", "rep", "c", "label"), "told")
-    open_ = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = told.join(open_.hint("merge"), "key").join(reps.select("rep", "n", "sig").hint("merge"), "rep")
-    blocks = F.ceil(F.col("c") / GROUP).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "rep", "label", "n", "sig")
-    more = written(_verified(written(_tree_pairs(left), "near"), docs), "links")
-    final = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-
-    named = classes.join(final.hint("merge"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("label"))
-    out = rows.select("doc_id", "n", "hi", "lo").join(named.hint("merge"), ["hi", "lo", "n"], "left")
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("sig").alias("sig"))
+    reps = written(reps, "reps")
+    final = components(similar(reps, docs)).withColumnRenamed("node", "rep")
+    named = reps.select("hi", "lo", "n", "rep").join(final.hint("merge"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("label"))
+    # Copies of one set are many rows of one key: a written table of names is a side to whose rows they can be joined in parts.
+    out = rows.select("doc_id", "n", "hi", "lo").join(written(named, "named").hint("merge"), ["hi", "lo", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id, or that repeat a doc_id; rows without doc_id stay. Same columns."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    rows = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    named = rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(rows.where(F.col("doc_id").isNull()))
+    told = written(jaccard_components(docs).select("doc_id", "component_id"), "components")
+    gone = written(told.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    twice = written(told.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    rows = docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+    if not twice.head(1):
+        return rows
+    once = rows.join(sized(twice), "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(rows.join(sized(twice), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

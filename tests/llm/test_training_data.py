@@ -199,7 +199,8 @@ def brute_components(rows):
 
 
 def test_components_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "GROUP", 8)  # several blocks to a group
+    monkeypatch.setattr(jaccard_join, "GROUP", 8)  # several nodes to a child of the root
+    monkeypatch.setattr(jaccard_join, "HOT", 4)  # and a second order of the shingles
     rng, rows = random.Random(6), []
     for g in range(12):
         base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 5, 12, 80, 300]))]
@@ -213,17 +214,33 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
-def test_signature_tree_finds_every_similar_pair():
+def test_signature_trees_find_every_similar_pair():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, (6, 200), dtype=np.uint64)
     tokens = [np.unique(np.where(rng.random(200) < 0.06, rng.integers(0, 1 << 63, 200, dtype=np.uint64), base[k % 6])) for k in range(150)]
-    sig = np.stack([np.frombuffer(jaccard_join.bitmap(t).tobytes(), np.uint64) for t in tokens])
-    label = np.arange(150)
-    found = {(int(a), int(b)) for i, j in jaccard_join.Tree(label, np.array([len(t) for t in tokens]), sig).pairs() for a, b in zip(i, j, strict=True)}
+    sig = np.stack([jaccard_join.bitmap(t).view(np.uint64) for t in tokens])
+    n, label = np.array([len(t) for t in tokens]), np.arange(150)
+    whole, left, right = (jaccard_join.Tree(label[x], n[x], sig[x], 2) for x in (slice(0, 150), slice(0, 60), slice(60, 150)))
+    told = lambda a, b, at: {(int(x), int(y) + at) for i, j in jaccard_join.tree_pairs(a, b) for x, y in zip(i, j, strict=True)}
+    found, across = told(whole, whole, 0), told(left, right, 60)
+    joined = [(int(a), int(b)) for i, j in jaccard_join.joining_pairs(label, n, sig) for a, b in zip(i, j, strict=True)]
     for a in range(150):
         for b in range(a + 1, 150):
             if jaccard_join.enough(len(np.intersect1d(tokens[a], tokens[b])), len(tokens[a]), len(tokens[b])):
-                assert (a, b) in found
+                assert (a, b) in found and ((a, b) in across or not a < 60 <= b)
+                assert len(np.intersect1d(jaccard_join.head(tokens[a]), jaccard_join.head(tokens[b])))
+    assert len(joined) < 150 and set(map(lambda p: (min(p), max(p)), joined)) <= found
+
+
+def test_similar_sets_share_a_shingle_of_their_heads_in_any_order():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        size = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + size // 8)), dtype=np.uint64)]))
+        if len(b) and jaccard_join.enough(len(np.intersect1d(a, b)), len(a), len(b)):
+            hot = np.sort(rng.choice(np.union1d(a, b), int(rng.integers(0, len(a) + 1)), replace=False)) if len(a) > 1 else None
+            assert len(np.intersect1d(jaccard_join.head(a, hot), jaccard_join.head(b, hot)))
 
 
 def test_join_of_odd_rows(spark, odd, none):
