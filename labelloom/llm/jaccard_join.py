@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, sized, table, written
+from .common import forget, sized, slices, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
@@ -103,7 +103,7 @@ def sets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n, hi, lo (fingerprint), head, sig (bitmap). Empty sets have no head."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             tokens = [shingles(text) for text in b.column(1).to_pylist()]
             marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(t.tobytes()), dtype="<i8") for t in tokens], dtype=np.int64).reshape(-1, 2)
             sig = [bitmap(t).view(np.uint64) for t in tokens]
@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "t": pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())})
 
     known = written(_texts(ids, docs).mapInArrow(tokens, "id long, t binary"), "tokens")
@@ -144,7 +144,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             ok = []
             for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
                 a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
@@ -306,7 +306,7 @@ def _reordered(reps: DataFrame, hot: np.ndarray, docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(hot)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             tokens = [shingles(text) for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"rep": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "head": _lists([head(t, shared.value) for t in tokens]), "sig": _lists([bitmap(t).view(np.uint64) for t in tokens])})
 

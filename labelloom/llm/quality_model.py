@@ -15,17 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import slices, table, written
 
 N_FEATURES, RIDGE, SEED, N_BINS = 256, 1e-3, 8, 512
 #: Rows with this remainder of crc32(doc_id as text) by FOLDS are held out; those with CALIBRATE calibrate.
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
+#: Partitions whose sums of one row of the equations are added up in one group.
+SPREAD = 1024
 THRESHOLD = 0.3
 
 STATISTICS = ("log_chars", "log_words", "word_length", "word_length_spread", "long_words", "one_char_words", "distinct_words", "top_word", "repeated_bigrams", "repeated_neighbours", "dup_lines", "words_a_line", "upper", "digits", "symbols", "pipes", "marks", "sentence_ends", "commas", "other_letters", "ends_marked", "all_upper_words")
@@ -108,7 +109,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "fold", "y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = _matrix(b.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"fold": b.column(1), "y": b.column(2), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
@@ -137,12 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             total += z.T @ np.hstack([z, np.asarray(b.column("y"))[:, None]])
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "v": pa.array([r.tobytes() for r in total], pa.binary())})
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": part["i"].iloc[:1], "v": [np.sum([np.frombuffer(v) for v in part["v"]], axis=0).tobytes()]})
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, total = None, np.zeros(N_FEATURES + 2)
+        for b in parts:
+            i = b.column("i").slice(0, 1) if b.num_rows else i
+            for v in b.column("v").to_pylist():
+                total += np.frombuffer(v)
+        yield pa.RecordBatch.from_pydict({"i": i, "v": pa.array([total.tobytes()], pa.binary())})
 
-    # A part of fixed size from each partition; row i of all parts meets in one group.
+    # A part of fixed size from each partition. Row i of all parts is added up in two levels: a group of the
+    # first has that row of SPREAD partitions, 2 KB each, one of the second a row for each of those groups.
     parts = rows.where(F.col("fold") != CALIBRATE).mapInArrow(sums, "i int, v binary")
-    solved = sorted(parts.groupBy("i").applyInPandas(add, "i int, v binary").collect())
+    some = parts.withColumn("g", F.floor(F.spark_partition_id() / SPREAD)).groupBy("i", "g").applyInArrow(add, "i int, v binary")
+    solved = sorted(some.groupBy("i").applyInArrow(add, "i int, v binary").collect())
     both = np.array([np.frombuffer(r[1]) for r in solved])
     gram, right = both[:, :-1], both[:, -1]
     weights = np.linalg.solve(gram + RIDGE * n * np.eye(len(gram)) / N_FEATURES, right)
@@ -169,7 +177,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = rows.schema["doc"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = _matrix(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x) if model else np.full(len(x), 0.5))], names=["doc", "score"])
 

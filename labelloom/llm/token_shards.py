@@ -21,20 +21,22 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, slices, written
 
 FRAME_TOKENS = 1 << 16
-#: Pieces of text, and words, whose ids a Python worker remembers.
-CACHE_PIECES = 700_000
+#: Bytes of pieces and ids that a Python worker remembers; characters that are encoded at once.
+CACHE_BYTES, PORTION_CHARS = 32 << 20, 8 << 20
 # Fixed values of the Zstandard Seekable Format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
@@ -44,35 +46,22 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 #: White space other than single spaces and line feeds between other characters: a text with it is split by the second pattern.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BEFORE_WORD = re.compile(r" (?=\S)")
-
-
-class _Learnt(dict):
-    """Remembers what ``learn`` gives for a key; forgets all beyond a bound."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[key] = out = self.learn(key)
-        return out
+#: A sign behind a letter at the end of a piece is a word of its own, so it becomes a piece too and the letters are one piece with and without it.
+_SIGN = "([A-Za-z])([.,]\\x00)"
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer of the tokenizers library.
+    """Ids of texts by a byte-level BPE tokenizer of the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
 
     Such a tokenizer never merges across the place before a space that a non-space follows, nor around
-    a line feed between non-spaces. Texts are split there, pieces into the tokenizer's words by its own
-    pattern, and the library's model encodes each distinct word once; the ids of a text are those of its
-    words. Texts with other runs of white space are split only where the first rule holds.
-
-    With ``added_tokens``, as the library does by default, a text that names one of the tokenizer's added tokens
-    goes to the library whole, which gives the token's id there; else its spelling is encoded as any other text.
+    a line feed between non-spaces. Texts are split there by Arrow, and each distinct piece of a batch is cut into the
+    tokenizer's words by its own pattern; the library's model encodes a distinct word once. The ids of a text are
+    gathered from those of its pieces. Texts with other runs of white space are split only where the first rule holds.
+    A text that names one of the tokenizer's added tokens, or holds the sign that pieces are split at, goes to the
+    library whole. A worker remembers pieces and their ids in arrays of ``CACHE_BYTES`` at most.
     """
 
-    def __init__(self, path: str, added_tokens: bool = False):
+    def __init__(self, path: str):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -82,7 +71,7 @@ class Encoder:
         if not isinstance(tokenizer.pre_tokenizer, ByteLevel) or tokenizer.normalizer is not None or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path} is not a plain byte-level tokenizer")
         self.tokenizer = tokenizer
-        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.whole = ["\0", *(t.content for t in tokenizer.get_added_tokens_decoder().values())]
         #: How the byte-level alphabet writes each byte.
         self.letters = {b: tokenizer.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         left = iter(sorted(set(ByteLevel.alphabet()) - set(self.letters.values())))
@@ -90,44 +79,82 @@ class Encoder:
         rest = [c for c in left if c not in taken.values()]
         self.letters |= taken | dict(zip((b for b in range(128, 256) if b not in taken), rest, strict=True))
         self.model, self.words = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
-        self.word_ids, self.known = _Learnt(self._word), _Learnt(self._piece)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces, self.ids, self.starts, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _word(self, word: str) -> bytes:
         got = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(got)}I", *[t.id for t in got])
 
     def _piece(self, piece: str) -> bytes:
-        # The two usual shapes, letters and letters with one sign behind them, need no pattern.
-        if piece[1:].isalpha():
-            return self.word_ids[piece] if piece[0] == " " or piece[0].isalpha() else b"".join(map(self.word_ids.__getitem__, self.words(piece)))
-        if piece[-1:] in (".", ",") and piece[0] == " " and piece[1:-1].isalpha():
-            return self.word_ids[piece[:-1]] + self.word_ids[piece[-1]]
-        return b"".join(map(self.word_ids.__getitem__, self.words(piece)))
+        # The usual shape, letters, needs no pattern.
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._word(piece)
+        return b"".join(map(self._word, self.words(piece)))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of distinct pieces stands among those remembered; new ones are added."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = pieces.filter(at.is_null())
+        places = np.asarray(at.fill_null(-1)).astype(np.int64)
+        places[places < 0] = len(self.pieces) + np.arange(len(new))
+        own = [self._piece(x) for x in new.to_pylist()]
+        sizes = np.array([len(x) // 4 for x in own], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, np.frombuffer(b"".join(own), "<u4")])
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        return places
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or "\0" in text or _ODD.search(text):
-            first, *rest = _BEFORE_WORD.split(text)
-            return [first, *[" " + p for p in rest]]
+    def _marked(text: str) -> str:
+        """The text with a NUL between its pieces."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _ODD.search(text):
+            return _BEFORE_WORD.sub("\0 ", text)
         # Each line feed becomes a piece; a space stays at the head of the word behind it.
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._whole(t) if any(x in t for x in self.added) else b"".join(map(self.known.__getitem__, self.pieces(t))) for t in texts]
+        whole = [any(x in t for x in self.whole) for t in texts]
+        marked = pa.array(["" if w else self._marked(t) for t, w in zip(texts, whole, strict=True)], pa.large_string())
+        pieces = pc.split_pattern(pc.replace_substring_regex(marked, _SIGN, "\\1\0\\2"), "\0")
+        coded = pieces.flatten().dictionary_encode()
+        places = self._places(coded.dictionary)[np.asarray(coded.indices)]
+        per = self.sizes[places]
+        ends = np.cumsum(per)
+        # Each piece's ids stand one behind the other in ``ids``: the gathered place is its start and how far into it.
+        out = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[places] - (ends - per), per)]
+        if self.pieces.nbytes + self.ids.nbytes + 2 * self.sizes.nbytes > CACHE_BYTES:
+            self._forget()
+        at = np.concatenate([[0], ends])[np.asarray(pieces.offsets)]
+        return [self._whole(t) if w else out[a:b].tobytes() for t, w, a, b in zip(texts, whole, at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def _whole(self, text: str) -> bytes:
         got = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(got)}I", *got)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, added_tokens: bool = False) -> Encoder:
+def encoder(path: str) -> Encoder:
     """The worker's encoder; tasks that reuse the worker reuse what it has learnt."""
-    if (path, added_tokens) not in _encoders:
-        _encoders[path, added_tokens] = Encoder(path, added_tokens)
-    return _encoders[path, added_tokens]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters; a longer text is a range of its own."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t) > chars:
+            yield start, k
+            start, held = k, 0
+        held += len(t)
+    if texts:
+        yield start, len(texts)
 
 
 def filesystem(uri: str):
@@ -230,12 +257,12 @@ class ShardReader:
         return b"".join(out)
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added_tokens: bool = False) -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` and write shards under ``out``; returns the manifest, a row per shard, with ``first`` the number of ids before it.
 
     A null text is an empty one: its document holds the end id alone. A null doc_id sorts first. Rows with
     one doc_id are all written, ordered by text. An empty table gives an empty manifest. Columns other than
-    the two named are not read. ``added_tokens`` as in ``Encoder``.
+    the two named are not read. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     filesystem(out)[0].create_dir(filesystem(out)[1], recursive=True)
@@ -248,17 +275,15 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc
         shard = TaskContext.get().partitionId()
         path = f"{out}/shard-{shard:06d}-{uuid.uuid4().hex}.tok.zst"
         files, inner = filesystem(path)
-        code, n = encoder(tokenizer, added_tokens), 0
+        code, n = encoder(tokenizer), 0
         with files.open_output_stream(inner, compression=None) as sink:
             shard_file = ShardWriter(sink)
-            batch = first
-            while batch is not None:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for k in range(0, len(texts), 512):
-                    for key, ids in zip(keys[k : k + 512], code.encode([t or "" for t in texts[k : k + 512]]), strict=True):
+            for batch in slices(chain([first], batches), 2000):
+                keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for a, b in portions(texts, PORTION_CHARS):
+                    for key, ids in zip(keys[a:b], code.encode(texts[a:b]), strict=True):
                         shard_file.add(key, ids + end)
                         n += len(ids) // 4 + 1
-                batch = next(batches, None)
             shard_file.close()
             size = sink.tell()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([len(shard_file.ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
@@ -335,13 +360,13 @@ def read_index(manifest: DataFrame) -> DataFrame:
     return manifest.mapInArrow(read, "doc_id long, path string, n_bytes long, position long")
 
 
-def token_output(docs: DataFrame, tokenizer: str, added_tokens: bool = False) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write ``docs`` as shards in the shared folder and read every one back: doc_id, start, n_tokens, ids_crc32."""
-    manifest = write_shards(docs, scratch(docs.sparkSession, "tokens"), tokenizer, added_tokens=added_tokens)
+    manifest = write_shards(docs, scratch(docs.sparkSession, "tokens"), tokenizer)
     return read_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    return token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -44,7 +44,6 @@ def test_shards_hold_the_librarys_ids_in_order(spark, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     got = token_shards.token_output(odd, BPE).orderBy("start").collect()
     rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
     at = 0
@@ -60,7 +59,6 @@ def test_encoder_equals_the_library_on_odd_white_space():
     from tokenizers import Tokenizer
 
     t, mine, rng = Tokenizer.from_file(BPE), token_shards.Encoder(BPE), random.Random(1)
-    t.encode_special_tokens = True
     texts = ["".join(rng.choice(" \n\tab,.1'é\xa0s\x1cñ") for _ in range(rng.randrange(40))) for _ in range(2000)] + ["it's  don't\r\n", "\n", " a", "a \n\nb c"]
     for text, ids in zip(texts, mine.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -84,7 +82,7 @@ def test_added_tokens_get_the_librarys_default_ids(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
     t, texts = Tokenizer.from_file(BPE), ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n  y\t", "<|endoftext", "plain text"]
-    for text, ids in zip(texts, token_shards.Encoder(BPE, added_tokens=True).encode(texts), strict=True):
+    for text, ids in zip(texts, token_shards.Encoder(BPE).encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)["tokens"]
