@@ -49,6 +49,11 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what finished jobs left, so that Spark's cleaner deletes their shuffle files now and not at some later time."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of narrow rows as the right side of a join: broadcast if a count shows it small, else hinted to merge."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

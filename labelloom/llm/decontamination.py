@@ -1,9 +1,10 @@
 """Operator 3, benchmark decontamination: the windows of benchmark items are looked up in every document.
 
-Native: DataFrame functions only. The normalised n-grams of the benchmark are a hash set of a checked
-size that is shipped with the plan; each document's word windows are hashed and probed against it inside
-one expression, so nothing but hits leaves the row. A hit is verified by its exact words. With more
-n-grams than ``MAX_SET`` the windows of the documents meet them in a shuffled join instead.
+Native: DataFrame functions only. The normalised n-grams of the benchmark are a table of hashes and words. Every window
+of a document's words is hashed and meets that table; a hit is verified by its exact words. Up to ``MAX_SET``
+n-grams, by a count, the table is broadcast as a hash set and windows are probed where they are made; beyond, windows
+and table are shuffled to each other. Both joins give the same hits. Hits go back to the rows by 128 bits of
+doc_id and text, so rows alike share them and every row is decided by itself.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import sized, table, written
 
 #: What a word is made of, and the letters that are lower-cased.
 WORD, UPPER, LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
-#: N-grams that are shipped with the plan at most: about 30 MB on each executor.
-MAX_SET = 200_000
+#: N-grams that are broadcast at most, some 30 MB on each executor, and rows with hits.
+MAX_SET, MAX_ROWS = 200_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -33,35 +34,46 @@ def ngrams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", size.alias("size"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, size), " "))).alias("gram")).distinct()
 
 
-def _windows(w: Column, size: int, keep) -> Column:
-    """struct(pos, size, gram) of the windows of a word array that ``keep`` takes by their hash."""
-    starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(starts, lambda i: keep(F.xxhash64(F.slice(w, i, size))))
-    return F.transform(found, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_join(F.slice(w, i, size), " ").alias("gram")))
+class Grams:
+    """The benchmark's n-grams as a written table (item_id, size, gram, h), their sizes, and whether they are few enough to broadcast."""
 
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET):
+        self.table = written(ngrams(benchmark, window).withColumn("h", F.xxhash64(F.split("gram", " "))), "ngrams")
+        self.sizes = sorted(r[0] for r in self.table.select("size").distinct().collect())  # at most ``window`` of them
+        self.grams = written(self.table.select("h", "size", "gram").distinct(), "grams")
+        self.small = self.grams.limit(max_set + 1).count() <= max_set
 
-def gram_hash(size: Column, gram: Column) -> Column:
-    """The hash that ``_windows`` gives for an n-gram's words."""
-    return F.xxhash64(F.split(gram, " "))
 
+def row_key() -> list[Column]:
+    """k1, k2: 128 bits that stand for a row's doc_id and text; both sides of a join compute them alike."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("k2")]
 
-class Grams:
-    """The benchmark's n-grams: as a table, and as sets of hashes by length if they are few enough."""
 
-    def __init__(self, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET):
-        self.table = written(ngrams(benchmark, window).withColumn("h", gram_hash(F.col("size"), F.col("gram"))), "ngrams")
-        self.sizes = sorted(r[0] for r in self.table.select("size").distinct().collect())  # at most ``window`` of them
-        self.small = self.table.select("h").distinct().limit(max_set + 1).count() <= max_set
-        self.sets = {s: [r[0] for r in self.table.where(F.col("size") == s).select("h").distinct().collect()] for s in self.sizes} if self.small else {}
-        self.texts = {s: [r[0] for r in self.table.where(F.col("size") == s).select("gram").distinct().collect()] for s in self.sizes} if self.small else {}
+def hits(docs: DataFrame, grams: Grams) -> DataFrame:
+    """k1, k2, pos, size, gram: each occurrence of an n-gram in the rows of ``docs`` (doc_id, text), written."""
+    if not grams.sizes:
+        none = docs.select(*row_key(), F.lit(1).alias("pos"), F.lit(1).alias("size"), F.lit("").alias("gram")).limit(0)
+        return written(none, "hits")
+    rows = docs.select(*row_key(), F.explode(F.array(words(F.col("text")))).alias("w"))
+    gram = lambda i, size: F.array_join(F.slice("w", i, size), " ")
 
-    def hits(self, w: Column) -> Column:
-        """array<struct<pos,size,gram>> of the exact occurrences in a word array, by hash and then by words; for a small set."""
-        none = F.array().cast("array<struct<pos:int,size:int,gram:string>>")
-        return F.concat(none, *[self._hits(w, s) for s in self.sizes])
+    def windows(size: int) -> Column:
+        starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice("w", i, size)).alias("h")))
+
+    there = rows.select("k1", "k2", "w", F.explode(F.concat(*[windows(s) for s in grams.sizes])).alias("x")).select("k1", "k2", "w", "x.*")
+    if grams.small:
+        # Windows stay within their stage: the probe by hash lets few through, and those are compared word by word.
+        met = there.join(F.broadcast(grams.grams), ["h", "size"]).where(F.col("gram") == gram("pos", F.col("size")))
+    else:
+        # Words travel with their windows; adaptive execution splits a hash that many documents share.
+        met = there.select("k1", "k2", "pos", "size", "h", gram("pos", F.col("size")).alias("gram")).join(grams.grams.hint("merge"), ["h", "size", "gram"])
+    return written(met.select("k1", "k2", "pos", "size", "gram"), "hits")
 
-    def _hits(self, w: Column, size: int) -> Column:
-        return F.filter(_windows(w, size, lambda h: h.isin(self.sets[size])), lambda x: x["gram"].isin(self.texts[size]))
+
+def _spans(found: DataFrame) -> DataFrame:
+    """k1, k2, spans (sorted array of struct(pos, size)) of rows with hits."""
+    return written(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("pos", "size"))).alias("spans")), "spans")
 
 
 def _covered(spans: Column) -> Column:
@@ -75,46 +87,26 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["n"])
 
 
-def joined_hits(kept: DataFrame, grams: Grams) -> DataFrame:
-    """rid, hits of the rows (rid, text) that have hits. For any number of n-grams; a rid must stay a row's own when it is read again."""
-    if not grams.sizes:
-        return kept.select("rid", F.array().cast("array<struct<pos:int,size:int,gram:string>>").alias("hits")).limit(0)
-    # Too many n-grams for a set: windows meet them by hash in a shuffled join, salted by nothing as a window is
-    # looked up in distinct n-grams; AQE splits a hash that many documents share.
-    every = F.concat(*[_windows(F.col("w"), s, lambda h: h.isNotNull()) for s in grams.sizes])
-    there = kept.select("rid", F.explode(F.array(words(F.col("text")))).alias("w")).select("rid", F.explode(every).alias("x")).select("rid", "x.*", gram_hash(F.col("x.size"), F.col("x.gram")).alias("h"))
-    found = there.join(grams.table.select("h", "size", "gram").distinct().hint("merge"), ["h", "size", "gram"])
-    return found.groupBy("rid").agg(F.collect_list(F.struct("pos", "size", "gram")).alias("hits"))
-
-
-def hits(docs: DataFrame, grams: Grams, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: rid, doc_id, n_words, hits (array of struct(pos, size, gram)); the rid tells rows with one doc_id apart."""
-    if grams.small:
-        both = lambda w: F.struct(F.size(w).alias("n_words"), grams.hits(w).alias("hits"))
-        return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), let(words(F.col(text)), both).alias("x")).select("rid", "doc_id", "x.*")
-    kept = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rows")
-    by_row = joined_hits(kept, grams)
-    none = F.array().cast(by_row.schema["hits"].dataType)
-    return kept.select("rid", "doc_id", F.size(words(F.col("text"))).alias("n_words")).join(by_row.hint("merge"), "rid", "left").withColumn("hits", F.coalesce("hits", none))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null or empty texts have no words and no hits; null or wordless items have no windows. An item
-    without item_id marks words but is counted nowhere. Rows that repeat a doc_id are rows of their own.
-    Columns other than doc_id and text, and item_id and text, are not read.
+    without item_id marks words but is counted nowhere. Rows that repeat a doc_id are rows of their own; repeated items
+    count once. Texts of any length are read whole. Empty tables give no rows or no hits. Columns other than doc_id and
+    text, and item_id and text, are not read.
     """
     grams = Grams(benchmark, window, max_set)
-    found = hits(docs, grams).select(
-        "rid", "doc_id", F.col("n_words").cast("long").alias("n_words"),
-        _covered(F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size")))).cast("long").alias("n_hit"),
-        F.explode_outer(F.array_distinct(F.transform("hits", lambda x: x["gram"]))).alias("gram"),
-    )
-    items = grams.table.where(F.col("item_id").isNotNull()).groupBy("gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    items = F.broadcast(items) if grams.small else items.hint("merge")
-    by_row = found.join(items, "gram", "left").groupBy("rid", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return by_row.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = hits(docs, grams)
+    named = grams.table.where(F.col("item_id").isNotNull()).groupBy("size", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    named = written(named, "items")
+    named = F.broadcast(named) if grams.small else named.hint("merge")
+    by_gram = found.select("k1", "k2", "size", "gram").distinct().join(named, ["size", "gram"])
+    items = by_gram.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    told = written(_spans(found).join(items.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", _covered(F.col("spans")).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), "contaminated")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", *row_key(), n_words.alias("n_words")).join(sized(told, MAX_ROWS), ["k1", "k2"], "left")
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without_spans(text: Column, spans: Column) -> Column:
@@ -129,23 +121,17 @@ def without_spans(text: Column, spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document", window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """``docs`` without contaminated rows (``remove="document"``) or without the hit words (``"span"``); same columns.
 
-    With a set of n-grams that fits the plan this is one pass without a shuffle. With more, the rows are written once
-    and joined by rid with their hits; each row is decided by itself either way.
+    Null and empty texts stay. Each row is decided by itself, whatever its doc_id and whatever other rows share it. An empty
+    benchmark changes nothing. Other columns pass through, whatever their names.
     """
-    grams = Grams(benchmark, window, max_set)
-    if not grams.small:
-        rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("doc")), "rows")
-        found = joined_hits(rows.select("rid", F.col("doc.text").alias("text")), grams)
-        if remove == "document":
-            return rows.join(found.select("rid").hint("merge"), "rid", "left_anti").select("doc.*").select(docs.columns)
-        spans = found.select("rid", F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"))).alias("spans"))
-        both = rows.join(spans.hint("merge"), "rid", "left")
-        text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(without_spans(F.col("doc.text"), F.col("spans")))
-        return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(docs.columns)
+    found = hits(docs, Grams(benchmark, window, max_set))
+    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("doc"))
     if remove == "document":
-        return docs.where(~F.coalesce(let(words(F.col("text")), lambda w: F.size(grams.hits(w)) > 0), F.lit(False)))
-    cut = let(words(F.col("text")), lambda w: let(grams.hits(w), lambda h: without_spans(F.col("text"), h)))
-    return docs.withColumn("text", cut)
+        gone = written(found.select("k1", "k2").distinct(), "gone")
+        return rows.join(sized(gone), ["k1", "k2"], "left_anti").select("doc.*").select(docs.columns)
+    both = rows.join(sized(_spans(found), MAX_ROWS), ["k1", "k2"], "left")
+    text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(without_spans(F.col("doc.text"), F.col("spans")))
+    return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

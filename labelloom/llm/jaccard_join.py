@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, sized, slices, table, written
+from .common import forget, settle, sized, slices, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
@@ -208,42 +208,48 @@ def tree_pairs(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         stack.append((level - 1, ci[ok], cj[ok]))
 
 
-def joining_pairs(rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of the pairs of a node's rows that no bound rules out as many as join them: the row of the smallest id with all that it reaches, and a forest of the rest."""
+def joining_pairs(rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the pairs of a node's rows that no bound rules out as many as join them, and whether they are all of them.
+
+    The row of the smallest id comes with all that it reaches, then a forest of the rest.
+    """
     root = int(np.argmin(rep))
     near = np.flatnonzero(may_link(n[root], sig[root], n, sig))
     near = near[near != root]
-    yield np.full(len(near), root), near
     up = np.arange(len(n))
     up[near] = root
-    if len(near) == len(n) - 1:
-        return
-    order = np.lexsort((n, up))
-    tree = Tree(up[order], n[order], sig[order])
+    got, whole = [(root, x) for x in near.tolist()], len(near) < 2
 
     def find(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    for i, j in tree_pairs(tree, tree):
-        got = []
-        for a, b in zip(order[i].tolist(), order[j].tolist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                got.append((a, b))
-        if got:
-            yield np.array(got)[:, 0], np.array(got)[:, 1]
+    if len(near) < len(n) - 1:
+        order = np.lexsort((n, up))
+        tree = Tree(up[order], n[order], sig[order])
+        for i, j in tree_pairs(tree, tree):
+            for a, b in zip(order[i].tolist(), order[j].tolist(), strict=True):
+                x, y = find(a), find(b)
+                whole &= x != y
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    got.append((a, b))
+    pairs = np.array(got, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], whole
 
 
 def _descend(rows: DataFrame, every: bool) -> DataFrame:
-    """(a, b) from the trees over each (key, p, q) of rows key, p, q, side, rep, label, n, sig: every pair, or those that join rows."""
+    """a, b, key from the trees over each (key, p, q) of rows key, p, q, side, rep, label, n, sig, written.
+
+    Rows a, b are every pair, or those that join rows; in the second case a row with a key says that pairs of it are left.
+    """
 
-    def pairs(t: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(t: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         rep, side, label, n, sig = np.asarray(t.column("rep")), np.asarray(t.column("side")), np.asarray(t.column("label")), np.asarray(t.column("n")), _bits(t.column("sig"))
         if not every:
-            yield from ((rep[i], rep[j]) for i, j in joining_pairs(rep, n, sig))
+            i, j, whole = joining_pairs(rep, n, sig)
+            yield rep[i], rep[j], whole
             return
         k = int((side == 0).sum())
         if k == len(rep):
@@ -252,14 +258,19 @@ def _descend(rows: DataFrame, every: bool) -> DataFrame:
             height = max(len(Tree(label[x], n[x], sig[x]).levels) for x in (slice(0, k), slice(k, None)))
             one, two = (Tree(label[x], n[x], sig[x], height) for x in (slice(0, k), slice(k, None)))
         first = 0 if one is two else k
-        yield from ((rep[i], rep[j + first]) for i, j in tree_pairs(one, two))
+        yield from ((rep[i], rep[j + first], True) for i, j in tree_pairs(one, two))
+
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             if t.num_rows > 1:
-                for a, b in pairs(t):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                for a, b, whole in pairs(t):
+                    if not whole:
+                        yield pa.RecordBatch.from_pydict({"a": [None], "b": [None], "key": t.column("key").slice(0, 1)}, names)
+                    if len(a):
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": pa.nulls(len(a), pa.int64())}, names)
 
         held: list[pa.RecordBatch] = []
         last = None
@@ -279,7 +290,7 @@ def _descend(rows: DataFrame, every: bool) -> DataFrame:
 
     columns = ["key", "p", "q", "side", "rep", "label", "n", "sig"]
     ordered = rows.select(columns).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "label", "n", "rep")
-    return ordered.mapInArrow(grow, "a long, b long").where("a <> b").distinct()
+    return written(ordered.mapInArrow(grow, "a long, b long, key long").where("key is not null or a <> b").distinct(), "near")
 
 
 def _hot(counts: DataFrame) -> np.ndarray:
@@ -316,19 +327,27 @@ def _reordered(reps: DataFrame, hot: np.ndarray, docs: DataFrame) -> DataFrame:
 def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """key, rep, c of the root's children that hold two sets or more, one child for all with the same sets; and rep, n, sig of the sets."""
     heads = lambda r: r.select("rep", F.explode("head").alias("key"))
-    counts = written(heads(reps).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    counted = lambda r: written(heads(r).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    counts = counted(reps)
     hot = _hot(counts)
-    keys = counts.select("key")
     if len(hot):
         late, ids = _reordered(reps, hot, docs)
         cold = reps.join(sized(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_anti").select("rep", "n", "head", "sig")
         reps = cold.unionByName(late)
-        keys = written(keys.unionByName(heads(late).select("key")).distinct(), "keys")
-    met = written(heads(reps).join(keys.hint("merge"), "key", "left_semi").distinct(), "met")
+        settle(reps.sparkSession)
+        counts = counted(reps)
+    met = heads(reps).join(sized(counts.select("key")), "key", "left_semi")
+    if reps.groupBy("rep").count().where("count > 1").head(1):
+        met = met.distinct()  # an id of several texts stands once under a child
+    met = written(met, "met")
     # Children with the same sets have the same count and sums of hashes: one of them stands for all.
     marks = met.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")).where("c > 1")
     own = written(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "own")
-    return written(met.join(own.hint("merge"), "key"), "children"), reps.select("rep", "n", "sig")
+    out = written(met.join(sized(own), "key"), "children")
+    for done in (met, own, counts):
+        forget(done)
+    settle(reps.sparkSession)
+    return out, reps.select("rep", "n", "sig")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -368,21 +387,27 @@ def similar(reps: DataFrame, docs: DataFrame) -> DataFrame:
     under, known = children(reps, docs)
     rows = under.join(known.hint("merge"), "rep")
     first = _nodes(rows).select("key", F.col("node").alias("p"), F.col("node").alias("q"), F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), "n", "sig")
-    near = written(_descend(first, every=False), "near")
-    links = _verified(near, docs)
+    near = _descend(first, every=False)
+    pairs = written(near.where("key is null").select("a", "b"), "near")
+    links = _verified(pairs, docs)
+    settle(docs.sparkSession)
 
+    # Left are children of several components of which not all pairs were returned.
     label = components(links).withColumnRenamed("node", "rep")
-    told = written(under.join(label.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "told")
-    open_ = told.where("c > 2").groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    some = near.where("key is not null").select("key").unionByName(under.where(F.col("c") > GROUP).select("key")).distinct()
+    told = under.join(written(some, "some").hint("merge"), "key", "left_semi").join(label.hint("merge"), "rep", "left")
+    told = written(told.withColumn("label", F.coalesce("label", "rep")), "told")
+    open_ = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     left = told.join(written(open_, "open").hint("merge"), "key", "left_semi").join(known.hint("merge"), "rep")
     left = written(_nodes(left), "left")
-    pairs = written(_node_pairs(left), "pairs")
-    one = left.join(pairs.withColumn("node", F.col("p")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(0))
-    two = left.join(pairs.where("p <> q").withColumn("node", F.col("q")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(1))
-    rest = written(_descend(one.unionByName(two), every=True).join(near.hint("merge"), ["a", "b"], "left_anti"), "near")
-    out = links.unionByName(_verified(rest, docs))
-    for done in (told, left, rest):
+    nodes = written(_node_pairs(left), "pairs")
+    one = left.join(nodes.withColumn("node", F.col("p")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(0))
+    two = left.join(nodes.where("p <> q").withColumn("node", F.col("q")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(1))
+    rest = _descend(one.unionByName(two), every=True).select("a", "b").join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    out = links.unionByName(_verified(written(rest, "near"), docs))
+    for done in (told, left, near, pairs):
         forget(done)
+    settle(docs.sparkSession)
     return out
 
 
@@ -396,10 +421,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = written(sets(docs), "sets")
     reps = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("sig").alias("sig"))
     reps = written(reps, "reps")
+    ids = written(rows.select("doc_id", "n", "hi", "lo"), "ids")
+    forget(rows)
+    settle(docs.sparkSession)
     final = components(similar(reps, docs)).withColumnRenamed("node", "rep")
     named = reps.select("hi", "lo", "n", "rep").join(final.hint("merge"), "rep", "left").select("hi", "lo", "n", F.coalesce("label", "rep").alias("label"))
     # Copies of one set are many rows of one key: a written table of names is a side to whose rows they can be joined in parts.
-    out = rows.select("doc_id", "n", "hi", "lo").join(written(named, "named").hint("merge"), ["hi", "lo", "n"], "left")
+    out = ids.join(written(named, "named").hint("merge"), ["hi", "lo", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 

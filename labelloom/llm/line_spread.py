@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sized, table, written
 
 SITES, LG_K = 8, 8
 #: Relative error that an estimate of a sketch of 2**LG_K registers stays within: over four standard errors.
 MARGIN = 0.3
-#: The bound in the registered query and its SQL; the functions have none unless they are given one.
-LEAST_CHARS = 20
 
 
 def line_key(line: Column) -> Column:
@@ -48,9 +46,9 @@ def boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, least
     spread = there.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n"))
     spread = written(spread.where(F.col("n") >= sites * (1 - MARGIN)), "spread")
     sure = spread.where(F.col("n") > sites * (1 + MARGIN)).select("a", "b", F.col("n").cast("long").alias("n_sites"), F.lit(False).alias("exact"))
-    close = spread.where(F.col("n") <= sites * (1 + MARGIN)).select("a", "b")
-    # Distinct (line, site) rows come first, map-side: a frequent line then is a row a site, no task's load.
-    pairs = there.distinct().join(close.hint("merge"), ["a", "b"], "left_semi")
+    close = written(spread.where(F.col("n") <= sites * (1 + MARGIN)).select("a", "b"), "close")
+    # Behind a broadcast, distinct (line, site) rows are made map-side: a frequent line then is a row a site, no task's load.
+    pairs = there.join(sized(close), ["a", "b"], "left_semi").distinct()
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n_sites")).where(F.col("n_sites") >= sites).withColumn("exact", F.lit(True))
     return sure.unionByName(counted)
 
@@ -59,7 +57,8 @@ def removals(docs: DataFrame, found: DataFrame, least: int | None = None) -> Dat
     """k1, k2, gone (keys of a text's boilerplate lines) of rows that have such lines; k1, k2 stand for doc_id and text, so rows alike share a row."""
     own = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(counts(x, least).alias("ok"), line_key(x).alias("k"))), lambda x: x["ok"])
     rows = docs.select(*row_key(), F.explode(F.array_distinct(F.transform(own, lambda x: x["k"]))).alias("k")).select("k1", "k2", "k.a", "k.b")
-    hit = rows.join(found.select("a", "b").hint("merge"), ["a", "b"], "left_semi")
+    # Boilerplate lines are few as a rule: behind a count they are broadcast, so that no line's rows are dealt out by the line.
+    hit = rows.join(sized(found.select("a", "b")), ["a", "b"], "left_semi")
     return hit.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
 
@@ -82,14 +81,14 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), least=LEAST_CHARS)
+    got = without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "n_cut", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 OP7_SQL = r"""
 WITH l AS (SELECT doc_id, coalesce(source, '') AS site, i, string_split(text, chr(10))[i] AS line, trim(string_split(text, chr(10))[i]) AS t
            FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
-b AS (SELECT t FROM l WHERE length(t) >= 20 GROUP BY t HAVING count(DISTINCT site) >= 8),
+b AS (SELECT t FROM l WHERE regexp_matches(t, '[^\x20\x09-\x0D]') GROUP BY t HAVING count(DISTINCT site) >= 8),
 k AS (SELECT l.*, b.t IS NOT NULL AS gone FROM l LEFT JOIN b ON l.t = b.t),
 x AS (SELECT doc_id, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t FROM k GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(x.n, 0) AS BIGINT) AS n_cut, CAST(length(coalesce(x.t, '')) AS BIGINT) AS n_chars_left, sha256(coalesce(x.t, '')) AS text_sha256

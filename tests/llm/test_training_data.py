@@ -221,7 +221,9 @@ def test_signature_trees_find_every_similar_pair():
     whole, left, right = (jaccard_join.Tree(label[x], n[x], sig[x], 2) for x in (slice(0, 150), slice(0, 60), slice(60, 150)))
     told = lambda a, b, at: {(int(x), int(y) + at) for i, j in jaccard_join.tree_pairs(a, b) for x, y in zip(i, j, strict=True)}
     found, across = told(whole, whole, 0), told(left, right, 60)
-    joined = [(int(a), int(b)) for i, j in jaccard_join.joining_pairs(label, n, sig) for a, b in zip(i, j, strict=True)]
+    i, j, whole_of_it = jaccard_join.joining_pairs(label, n, sig)
+    joined = list(zip(i.tolist(), j.tolist(), strict=True))
+    assert not whole_of_it and jaccard_join.joining_pairs(label[:2], n[:2], sig[:2])[2]
     for a in range(150):
         for b in range(a + 1, 150):
             if jaccard_join.enough(len(np.intersect1d(tokens[a], tokens[b])), len(tokens[a]), len(tokens[b])):
@@ -322,6 +324,31 @@ def test_statistics_equal_brute_force(spark, odd, none):
     assert quality_rules.cascade(none).count() == 0
 
 
+def test_a_rejected_row_is_given_to_no_later_rule(spark):
+    first = quality_rules.Rule(("n_words",), lambda s: s("n_words") < 3)
+    second = quality_rules.Rule(("n_symbols",), lambda s: F.when(s("n_words") < 3, F.raise_error(F.lit("evaluated"))).otherwise(s("n_symbols") > 0))
+    df = docs(spark, [(1, "a b"), (2, "a b c #"), (3, "a b c d"), (4, None)])
+    judged = quality_rules.cascade(df, ["first", "second"], {"first": first, "second": second})
+    assert {r["doc_id"]: r["failed_rule"] for r in judged.collect()} == {1: "first", 2: "second", 3: None, 4: "first"}
+    assert [tuple(r) for r in quality_rules.evaluated(judged, ["first", "second"]).collect()] == [("first", 4, 2), ("second", 2, 1)]
+    with pytest.raises(Exception, match="evaluated"):
+        quality_rules.cascade(df, ["second", "first"], {"first": first, "second": second}).collect()
+
+
+def test_rules_are_ordered_by_rejection_per_cost_and_reruns_agree(spark):
+    rows = [(k, ("* x\n" * 60 if k % 2 else "word and other things " * 30) + ("12 34 " * 200 if k % 10 == 0 else "")) for k in range(60)]
+    df = docs(spark, rows)
+    order = quality_rules.order_rules(df)
+    assert order == quality_rules.order_rules(df) and sorted(order) == sorted(quality_rules.RULES)
+    told = [sorted((r["doc_id"], r["failed_rule"] or "") for r in quality_rules.cascade(df).collect()) for _ in range(2)]
+    assert told[0] == told[1]
+    brute = {k: quality_rules.cascade(df, [k]).where("failed_rule is not null").count() for k in quality_rules.RULES}
+    assert brute[order[0]] == max(v for k, v in brute.items() if k != "repeated")
+    texts = ["... \n..\n\u2026\n....", "- a\n * b\n\u2022c\nd - e", "1 2a 3- \u00e9 \n--\n", "", None]
+    got = docs(spark, list(enumerate(texts))).select("doc_id", *[f(F.col("text")).alias(k) for k, f in quality_rules.STATISTICS.items() if k not in quality_rules.BASE_STATISTICS]).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [(3, 4, 0, 3), (2, 4, 3, 0), (3, 2, 1, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+
+
 def test_order_changes_no_verdict(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = [{r["doc_id"] for r in quality_rules.cascade(df, order).where("failed_rule is null").collect()} for order in (list(quality_rules.RULES), list(quality_rules.RULES)[::-1])]
@@ -359,11 +386,14 @@ def test_boilerplate_lines_go_and_near_threshold_ones_are_exact(spark, odd, none
     assert line_spread.without_boilerplate(none).count() == 0
 
 
-def test_short_boilerplate_lines_go_too(spark):
+def test_short_boilerplate_lines_go_too(spark, monkeypatch):
     rows = [(k, f"Of, edti oner.\nown {k}\n\n \t\nEnd." + ("\nSeven." if k < 7 else ""), "en", f"s{k}") for k in range(30)]
     got = {r["doc_id"]: r for r in line_spread.without_boilerplate(docs(spark, rows)).collect()}
     assert all((r["n_cut"], r["text"]) == (2, f"own {k}\n\n \t" + ("\nSeven." if k < 7 else "")) for k, r in got.items())
     assert line_spread.without_boilerplate(docs(spark, rows), least=20).where("n_cut > 0").count() == 0
+    monkeypatch.setattr(line_spread, "sized", lambda df: df.hint("merge"))
+    again = {r["doc_id"]: (r["n_cut"], r["text"]) for r in line_spread.without_boilerplate(docs(spark, rows)).collect()}
+    assert again == {k: (r["n_cut"], r["text"]) for k, r in got.items()}
 
 
 def test_licences_are_confirmed_by_wording(spark, odd, none):
