@@ -49,26 +49,36 @@ def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(3), "doc_id", "text").alias("k2")]
 
 
-def hits(docs: DataFrame, grams: Grams) -> DataFrame:
-    """k1, k2, pos, size, gram: each occurrence of an n-gram in the rows of ``docs`` (doc_id, text), written."""
-    if not grams.sizes:
-        none = docs.select(*row_key(), F.lit(1).alias("pos"), F.lit(1).alias("size"), F.lit("").alias("gram")).limit(0)
-        return written(none, "hits")
-    rows = docs.select(*row_key(), F.explode(F.array(words(F.col("text")))).alias("w"))
-    gram = lambda i, size: F.array_join(F.slice("w", i, size), " ")
-
-    def windows(size: int) -> Column:
-        starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice("w", i, size)).alias("h")))
-
-    there = rows.select("k1", "k2", "w", F.explode(F.concat(*[windows(s) for s in grams.sizes])).alias("x")).select("k1", "k2", "w", "x.*")
-    if grams.small:
+def hits(docs: DataFrame, grams: Grams, every: bool = False) -> DataFrame:
+    """k1, k2, pos, size, gram: each occurrence of an n-gram in the rows of ``docs`` (doc_id, text), written.
+
+    With ``every``: rid, doc_id, n_words, pos, size, gram, and a row of pos 0 for each row of ``docs``, in one pass over the texts.
+    """
+    keys = ["rid", "doc_id", "n_words"] if every else ["k1", "k2"]
+    named = [F.monotonically_increasing_id().alias("rid"), F.col("doc_id")] if every else row_key()
+    rows = docs.select(*named, "text")
+    if every and not grams.small:
+        rows = written(rows, "rows")  # read twice, so the rids must stay
+    rows = rows.select(*[k for k in keys if k != "n_words"], F.explode(F.array(words(F.col("text")))).alias("w"))
+    n, kinds, p = F.size("w"), max(1, len(grams.sizes)), F.col("p")
+    rows = rows.select(*[n.alias(k) if k == "n_words" else k for k in keys], "w", F.explode(F.sequence(F.lit(-1), n * len(grams.sizes) - 1)).alias("p"))
+    # Place p stands for a word and a size of n-gram; what is computed from it stays in the stage's generated code.
+    size = F.get(F.array(*[F.lit(x) for x in grams.sizes or [1]]), F.pmod(p, F.lit(kinds)))
+    there = rows.select(*keys, "w", F.when(p < 0, 0).otherwise(F.floor(p / kinds) + 1).cast("int").alias("pos"), size.alias("size"))
+    here = there.where((F.col("pos") > 0) & (F.col("pos") + F.col("size") - 1 <= n))
+    gram, h = F.array_join(F.slice("w", F.col("pos"), F.col("size")), " "), F.xxhash64(F.slice("w", F.col("pos"), F.col("size")))
+    if grams.small and every:
         # Windows stay within their stage: the probe by hash lets few through, and those are compared word by word.
-        met = there.join(F.broadcast(grams.grams), ["h", "size"]).where(F.col("gram") == gram("pos", F.col("size")))
+        probed = there.where((F.col("pos") == 0) | (F.col("pos") + F.col("size") - 1 <= n)).withColumn("h", F.when(F.col("pos") > 0, h))
+        met = probed.join(F.broadcast(grams.grams), ["h", "size"], "left").where((F.col("pos") == 0) | (F.col("gram") == gram))
+    elif grams.small:
+        met = here.withColumn("h", h).join(F.broadcast(grams.grams), ["h", "size"]).where(F.col("gram") == gram)
     else:
         # Words travel with their windows; adaptive execution splits a hash that many documents share.
-        met = there.select("k1", "k2", "pos", "size", "h", gram("pos", F.col("size")).alias("gram")).join(grams.grams.hint("merge"), ["h", "size", "gram"])
-    return written(met.select("k1", "k2", "pos", "size", "gram"), "hits")
+        met = here.select(*keys, "pos", "size", h.alias("h"), gram.alias("gram")).join(grams.grams.hint("merge"), ["h", "size", "gram"])
+        if every:
+            met = met.select(*keys, "pos", "size", "gram").unionByName(there.where("pos = 0").select(*keys, "pos", "size", F.lit(None).cast("string").alias("gram")))
+    return written(met.select(*keys, "pos", "size", "gram"), "hits")
 
 
 def _spans(found: DataFrame) -> DataFrame:
@@ -96,17 +106,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     text, and item_id and text, are not read.
     """
     grams = Grams(benchmark, window, max_set)
-    found = hits(docs, grams)
-    named = grams.table.where(F.col("item_id").isNotNull()).groupBy("size", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    named = written(named, "items")
-    named = F.broadcast(named) if grams.small else named.hint("merge")
-    by_gram = found.select("k1", "k2", "size", "gram").distinct().join(named, ["size", "gram"])
-    items = by_gram.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    told = written(_spans(found).join(items.hint("merge"), ["k1", "k2"], "left").select("k1", "k2", _covered(F.col("spans")).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")), "contaminated")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", *row_key(), n_words.alias("n_words")).join(sized(told, MAX_ROWS), ["k1", "k2"], "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    found = hits(docs.select("doc_id", "text"), grams, every=True)
+    named = written(grams.table.where(F.col("item_id").isNotNull()).groupBy("size", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "items")
+    items = found.where("pos > 0").select("rid", "size", "gram").distinct().join(F.broadcast(named) if grams.small else named.hint("merge"), ["size", "gram"])
+    items = items.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    rows = found.groupBy("rid", "doc_id", "n_words").agg(F.array_sort(F.collect_set(F.when(F.col("pos") > 0, F.struct("pos", "size")))).alias("spans"))
+    both = rows.join(written(items, "items").hint("merge"), "rid", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    n_hit = _covered(F.col("spans")).cast("long")
+    return both.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
 def without_spans(text: Column, spans: Column) -> Column:

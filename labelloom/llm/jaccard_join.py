@@ -13,7 +13,7 @@
    too far apart, or it is one component already.
 4. The first descent returns no more pairs than join a child's sets to each other; they are checked by exact shingles
    and give components. The second descent, over children that still hold several components, returns every pair
-   of sets that is left, for the same check. So copies with small changes take pairs in proportion to their number.
+   of sets that is left, for the same check. Pairs of large sets, which fill the trees' bitmaps, pass a wider one first. So copies with small changes take pairs in proportion to their number.
 
 Nothing of all documents reaches the driver; joins on ids and keys are sort-merge joins, which adaptive execution
 splits where a key is hot, or broadcasts behind a count.
@@ -33,7 +33,8 @@ from .common import forget, settle, sized, slices, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
-BITS = 2048
+#: Bits of the trees' bitmaps; sets of over WIDE shingles, which fill those, also have one of half a bit to a bit a shingle.
+BITS, WIDE = 2048, 1536
 #: Sets of a node that one task descends from, and children of a node below it.
 GROUP, FAN = 1024, 16
 #: A shingle in more heads than HOT goes behind the others, the most frequent MAX_HOT of them (8 MB); any choice gives the same links.
@@ -75,12 +76,17 @@ def head(tokens: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
     return tokens[: len(tokens) + num * len(tokens) // -den + 1] if len(tokens) else tokens
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = 1
+def bitmap(tokens: np.ndarray, size: int = BITS) -> np.ndarray:
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes | None:
+    """Of as many bits as the next power of two; of two such bitmaps the larger, its halves laid over each other, has the smaller one's bits."""
+    return bitmap(tokens, 1 << len(tokens).bit_length()).tobytes() if len(tokens) > WIDE else None
+
+
 def enough(common, a, b):
     """Whether an overlap of ``common`` makes sets of sizes a and b similar."""
     num, den = SIMILARITY
@@ -100,17 +106,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n, hi, lo (fingerprint), head, sig (bitmap). Empty sets have no head."""
+    """Per row: doc_id, n, hi, lo (fingerprint), head, sig (bitmap), wide (bitmap of large sets). Empty sets have no head."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             tokens = [shingles(text) for text in b.column(1).to_pylist()]
             marks = np.array([np.frombuffer(xxhash.xxh3_128_digest(t.tobytes()), dtype="<i8") for t in tokens], dtype=np.int64).reshape(-1, 2)
             sig = [bitmap(t).view(np.uint64) for t in tokens]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "hi": marks[:, 0].copy(), "lo": marks[:, 1].copy(), "head": _lists([head(t) for t in tokens]), "sig": _lists(sig)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "hi": marks[:, 0].copy(), "lo": marks[:, 1].copy(), "head": _lists([head(t) for t in tokens]), "sig": _lists(sig), "wide": pa.array([wide_bitmap(t) for t in tokens], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(measure, "doc_id long, n long, hi long, lo long, head array<long>, sig array<long>")
+    return rows.mapInArrow(measure, "doc_id long, n long, hi long, lo long, head array<long>, sig array<long>, wide binary")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -125,6 +131,28 @@ def may_link(na, sa, nb, sb) -> np.ndarray:
     return (total - apart >= 2 * needed(total)) & (num * np.maximum(na, nb) <= den * np.minimum(na, nb))
 
 
+def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) but those of large sets whose wide bitmaps differ too much, written."""
+    side = lambda k: reps.where("wide is not null").select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")).hint("merge")
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "na", "nb", "wa", "wb")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = []
+            for na, nb, p, q in zip(*(x.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if p is None or q is None:
+                    ok.append(True)
+                    continue
+                a, b = (np.frombuffer(y, np.uint64) for y in (p, q))
+                while len(a) != len(b):
+                    a, b = sorted((a, b), key=len)
+                    b = b[: len(b) // 2] | b[len(b) // 2 :]
+                ok.append(bool(na + nb - np.bitwise_count(a ^ b).sum(dtype=np.int64) >= 2 * needed(na + nb)))
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return written(both.mapInArrow(keep, "a long, b long"), "near")
+
+
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, text of the ``ids``, a row an id: of rows that share a doc_id any of the largest text stands for it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids), "doc_id", "left_semi")
@@ -319,20 +347,20 @@ def _reordered(reps: DataFrame, hot: np.ndarray, docs: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             tokens = [shingles(text) for text in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"rep": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "head": _lists([head(t, shared.value) for t in tokens]), "sig": _lists([bitmap(t).view(np.uint64) for t in tokens])})
+            yield pa.RecordBatch.from_pydict({"rep": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "head": _lists([head(t, shared.value) for t in tokens]), "sig": _lists([bitmap(t).view(np.uint64) for t in tokens]), "wide": pa.array([wide_bitmap(t) for t in tokens], pa.binary())})
 
-    return written(_texts(ids, docs).mapInArrow(measure, "rep long, n long, head array<long>, sig array<long>"), "heads"), ids
+    return written(_texts(ids, docs).mapInArrow(measure, "rep long, n long, head array<long>, sig array<long>, wide binary"), "heads"), ids
 
 
 def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, rep, c of the root's children that hold two sets or more, one child for all with the same sets; and rep, n, sig of the sets."""
+    """key, rep, c of the root's children that hold two sets or more, one child for all with the same sets; and rep, n, sig, wide of the sets."""
     heads = lambda r: r.select("rep", F.explode("head").alias("key"))
     counted = lambda r: written(heads(r).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     counts = counted(reps)
     hot = _hot(counts)
     if len(hot):
         late, ids = _reordered(reps, hot, docs)
-        cold = reps.join(sized(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_anti").select("rep", "n", "head", "sig")
+        cold = reps.join(sized(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_anti").select("rep", "n", "head", "sig", "wide")
         reps = cold.unionByName(late)
         settle(reps.sparkSession)
         counts = counted(reps)
@@ -347,7 +375,7 @@ def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for done in (met, own, counts):
         forget(done)
     settle(reps.sparkSession)
-    return out, reps.select("rep", "n", "sig")
+    return out, reps.select("rep", "n", "sig", "wide")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -383,13 +411,14 @@ def _node_pairs(rows: DataFrame) -> DataFrame:
 
 
 def similar(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: links between the sets of ``reps`` (rep, n, head, sig) that give the components of all links."""
+    """a, b: links between the sets of ``reps`` (rep, n, head, sig, wide) that give the components of all links."""
     under, known = children(reps, docs)
-    rows = under.join(known.hint("merge"), "rep")
+    sigs = known.select("rep", "n", "sig")
+    rows = under.join(sigs.hint("merge"), "rep")
     first = _nodes(rows).select("key", F.col("node").alias("p"), F.col("node").alias("q"), F.lit(0).alias("side"), "rep", F.col("rep").alias("label"), "n", "sig")
     near = _descend(first, every=False)
     pairs = written(near.where("key is null").select("a", "b"), "near")
-    links = _verified(pairs, docs)
+    links = _verified(_near(pairs, known), docs)
     settle(docs.sparkSession)
 
     # Left are children of several components of which not all pairs were returned.
@@ -398,13 +427,13 @@ def similar(reps: DataFrame, docs: DataFrame) -> DataFrame:
     told = under.join(written(some, "some").hint("merge"), "key", "left_semi").join(label.hint("merge"), "rep", "left")
     told = written(told.withColumn("label", F.coalesce("label", "rep")), "told")
     open_ = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = told.join(written(open_, "open").hint("merge"), "key", "left_semi").join(known.hint("merge"), "rep")
+    left = told.join(written(open_, "open").hint("merge"), "key", "left_semi").join(sigs.hint("merge"), "rep")
     left = written(_nodes(left), "left")
     nodes = written(_node_pairs(left), "pairs")
     one = left.join(nodes.withColumn("node", F.col("p")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(0))
     two = left.join(nodes.where("p <> q").withColumn("node", F.col("q")).hint("merge"), ["key", "node"]).withColumn("side", F.lit(1))
     rest = _descend(one.unionByName(two), every=True).select("a", "b").join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    out = links.unionByName(_verified(written(rest, "near"), docs))
+    out = links.unionByName(_verified(_near(rest, known), docs))
     for done in (told, left, near, pairs):
         forget(done)
     settle(docs.sparkSession)
@@ -419,7 +448,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     its very set, or null. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     rows = written(sets(docs), "sets")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("sig").alias("sig"))
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.first("head").alias("head"), F.first("sig").alias("sig"), F.first("wide").alias("wide"))
     reps = written(reps, "reps")
     ids = written(rows.select("doc_id", "n", "hi", "lo"), "ids")
     forget(rows)

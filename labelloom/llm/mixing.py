@@ -8,7 +8,9 @@ end: whole documents, but for the two in which the taken range begins and ends.
 shard's number of blocks takes all of them again, three times at most.
 
 Per-source totals are small rows and are summed map-side; the hot source is dealt over as many shards as
-its words need, and positions are window sums within a shard, so that no source meets in one task.
+its words need, and positions are window sums within a shard, so that no source meets in one task. Quotas of
+many shards are dealt in levels, ``FAN`` at a time. Up to ``DRIVER_SOURCES`` sources are apportioned on the driver,
+more by aggregations over the table of sources, by the same rule.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sized, table, written
 
 BLOCK = 16
-SHARD_WORDS, MAX_SHARDS = 1 << 15, 4096
-#: Sources are a dimension, not data: beyond this many the mix is refused, as its weights could not be set by hand.
-MAX_SOURCES = 100_000
+#: Words of a shard, about, and shards whose quotas one task deals at once.
+SHARD_WORDS, FAN = 1 << 15, 4096
+#: Sources that are apportioned on the driver at most: some 10 MB.
+DRIVER_SOURCES = 100_000
 SEED = 20_240_607
 #: Fixed values of the contract: weights by rank of the source, and how often a word may be taken.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -81,6 +84,88 @@ def measured(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
     return docs.select(F.struct(*keep).alias("doc"), F.col("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("at"))
 
 
+PLAN = "sid long, source string, source_size long, target double, quota long"
+
+
+def _driver_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """PLAN of few sources."""
+    rows = sorted(totals.collect(), key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [n for _, n in rows]
+    target = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))])
+    n_blocks = blocks(sizes)
+    votes = [t * b / n if n else 0.0 for t, b, n in zip(target, n_blocks, sizes, strict=True)]
+    quota = sainte_lague(votes, round(sum(votes)), MOST * n_blocks)
+    return totals.sparkSession.createDataFrame([(k, s, n, t, int(q)) for k, ((s, n), t, q) in enumerate(zip(rows, target, quota, strict=True))], PLAN)
+
+
+def _wide_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """PLAN of any number of sources: ranks by range partitions, targets and divisor from sums over the table."""
+    ranged = totals.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    # Within a sorted range the generated id counts up from the partition's own base.
+    placed = written(ranged.select("source", F.col("size").alias("n"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")), "sources")
+    parts = sorted(placed.groupBy("p").agg(F.count("*"), F.min("at")).collect())  # a row a partition
+    before = [0]
+    for _, k, _ in parts:
+        before.append(before[-1] + k)
+    base = placed.sparkSession.createDataFrame([(p, low - b) for (p, _, low), b in zip(parts, before, strict=False)], "p int, less long")
+    weight = F.array(*[F.lit(float(w)) for w in weights])
+    sid = (F.col("at") - F.col("less")).alias("sid")
+    n_blocks = F.when(F.col("n") > 0, F.greatest(F.lit(1), F.bround(F.col("n") / BLOCK))).otherwise(0).cast("long")
+    rows = placed.join(F.broadcast(base), "p").select(sid, "source", "n", n_blocks.alias("blocks")).withColumn("w", F.get(weight, (F.col("sid") % len(weights)).cast("int")))
+    rows = written(rows, "ranked")
+    total = rows.agg(F.sum("n")).first()[0]
+    cap, unit, full = MOST * F.col("n"), 0.0, -1
+    while True:
+        over = unit * F.col("w") > cap
+        k, taken, open_ = rows.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, cap)), F.lit(0)), F.sum(F.when(~over, F.col("w")))).first()
+        if k == full or not open_:
+            break
+        full, unit = k, (total - taken) / open_
+    target = F.least(cap.cast("double"), F.lit(unit) * F.col("w"))
+    votes = F.when(F.col("n") > 0, target * F.col("blocks") / F.col("n")).otherwise(0.0)
+    rows = written(rows.withColumns({"target": target, "votes": votes}), "voted")
+    total_votes, most, caps = rows.agg(F.sum("votes"), F.max("votes"), F.sum(F.when(F.col("votes") > 0, MOST * F.col("blocks")))).first()
+    seats = min(round(total_votes), int(caps or 0))
+    by = lambda d: F.least(MOST * F.col("blocks"), F.floor(F.col("votes") / d + 0.5))
+    low, high = 1e-12, most * 2 + 1
+    for _ in range(40):  # each pass narrows the divisor to a sixteenth
+        cuts = [low + (high - low) * k / 16 for k in range(17)]
+        sums = rows.agg(*[F.sum(by(d)) for d in cuts[1:-1]]).first()
+        k = sum(x > seats for x in sums)
+        if not low < cuts[k] + (cuts[k + 1] - cuts[k]) / 2 < high or (low, high) == (cuts[k], cuts[k + 1]):
+            break
+        low, high = cuts[k], cuts[k + 1]
+    rows = rows.withColumn("got", by(high).cast("long"))
+    left = seats - int(rows.agg(F.sum("got")).first()[0])
+    if left > 0:  # sources at the very divisor, the earlier first; few, as the divisor is exact to a double
+        extra = rows.where((F.col("votes") > 0) & (F.col("got") < MOST * F.col("blocks"))).orderBy(F.desc(F.col("votes") / (2 * F.col("got") + 1)), "sid").limit(left).select("sid", F.lit(1).alias("one"))
+        rows = rows.join(written(extra, "extra").hint("merge"), "sid", "left").withColumn("got", F.col("got") + F.coalesce("one", F.lit(0)))
+    return rows.select("sid", "source", F.col("n").alias("source_size"), "target", F.col("got").alias("quota"))
+
+
+def _share(part: pd.DataFrame) -> pd.DataFrame:
+    """Of up to FAN shards: the quota of their parent, by Sainte-Laguë over their words."""
+    part = part.sort_values("shard")
+    return part.assign(quota=sainte_lague(part["words"], int(part["quota"].iloc[0]), MOST * part["n_blocks"]))
+
+
+def shard_quotas(shards: DataFrame, quotas: DataFrame) -> DataFrame:
+    """sid, shard, words, n_blocks, quota of shards (sid, shard, words, n_blocks) under the quotas (sid, quota), level by level."""
+    most = shards.agg(F.max("shard")).first()[0] or 0
+    if most < FAN:
+        given = shards.join(sized(quotas), "sid")
+        keys = ["sid"]
+    else:
+        parent = F.floor(F.col("shard") / FAN).cast("long")
+        above = shards.groupBy("sid", parent.alias("shard")).agg(F.sum("words").alias("words"), F.sum("n_blocks").alias("n_blocks"))
+        given = shard_quotas(written(above, "shards"), quotas).select("sid", F.col("shard").alias("parent"), "quota")
+        given = shards.withColumn("parent", parent).join(given.hint("merge"), ["sid", "parent"])
+        keys = ["sid", "parent"]
+    schema = "sid long, shard long, words long, n_blocks long, quota long" + ", parent long" * (len(keys) - 1)
+    got = given.select("sid", "shard", "words", "n_blocks", "quota", *keys[1:]).groupBy(*keys).applyInPandas(_share, schema)
+    return written(got.select("sid", "shard", "words", "n_blocks", "quota"), "quotas")
+
+
 def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """For ``measured`` rows: doc, size, source_size, target, taken, spans.
 
@@ -89,35 +174,23 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED)
     that repeat a doc_id are rows of their own; an empty table gives no rows. The same rows give the same mix, whatever
     their partitions: only rows alike in doc_id and text can change places with each other.
     """
-    spark = rows.sparkSession
-    totals = [(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()]
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [n for _, n in totals]
-    target = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))])
-    n_blocks = blocks(sizes)
-    votes = [t * b / n if n else 0.0 for t, b, n in zip(target, n_blocks, sizes, strict=True)]
-    quota = sainte_lague(votes, round(sum(votes)), MOST * n_blocks)
-    plan = [(k, s, n, t, int(q), max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS)))) for k, ((s, n), t, q) in enumerate(zip(totals, target, quota, strict=True))]
-    sources = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, quota long, n_shards int")
-    known = rows.alias("r").join(F.broadcast(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).drop("source")
-    dealt = known.withColumn("shard", F.pmod(F.xxhash64("at"), F.col("n_shards")).cast("int"))
-
-    def share(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("shard")
-        n = blocks(part["words"].to_numpy())
-        return part.assign(n_blocks=n, quota=sainte_lague(part["words"], int(part["quota"].iloc[0]), MOST * n))
-
-    by_shard = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
-    # A group here is the shards of one source, MAX_SHARDS small rows at most.
-    shards = by_shard.groupBy("sid").applyInPandas(share, "sid int, shard int, words long, quota long, n_blocks long")
-    placed = dealt.drop("quota").join(shards.hint("merge"), ["sid", "shard"])
+    totals = written(rows.groupBy("source").agg(F.sum("size").alias("size")), "totals")
+    few = totals.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES
+    plan = written((_driver_plan if few else _wide_plan)(totals, weights), "plan")
+    sources = plan.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
+    # The rows' side of the join is the larger one by far; a hot source's rows are split by adaptive execution where they are not broadcast to.
+    sources = F.broadcast(sources) if few else sources.hint("merge")
+    known = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).drop("source")
+    dealt = known.drop("quota").withColumn("shard", F.pmod(F.xxhash64("at"), F.col("n_shards")))
+    n_blocks = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.bround(F.col("words") / BLOCK))).otherwise(0).cast("long")
+    by_shard = written(dealt.groupBy("sid", "shard").agg(F.sum("size").alias("words")).withColumn("n_blocks", n_blocks), "shards")
+    placed = dealt.join(sized(shard_quotas(by_shard, plan.select("sid", "quota"))), ["sid", "shard"])
     order = Window.partitionBy("sid", "shard").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("s", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    full, extra = F.expr("quota div n_blocks"), F.col("quota") % F.col("n_blocks")
-    first = F.pmod(F.xxhash64(F.lit(seed), "sid", "shard"), F.col("n_blocks"))
-    word = lambda block: F.floor(block * F.col("words") / F.col("n_blocks"))
+    whole = F.greatest(F.lit(1), F.col("n_blocks"))  # a shard without words has no blocks, and no quota
+    full, extra = F.floor(F.col("quota") / whole), F.col("quota") % whole
+    first = F.pmod(F.xxhash64(F.lit(seed), "sid", "shard"), whole)
+    word = lambda block: F.floor(block * F.col("words") / whole)
     end = first + extra
     ranges = {"lo": word(first), "hi": word(F.least(end, "n_blocks")), "over": word(F.greatest(end - F.col("n_blocks"), F.lit(0)))}
     placed = placed.withColumns({"full": F.coalesce(full, F.lit(0)).cast("int")} | {k: F.coalesce(v, F.lit(0)) for k, v in ranges.items()})

@@ -1,13 +1,16 @@
 """Operator 1, secret scans: a random forest tells secrets from look-alikes among candidate strings.
 
 Native: DataFrame functions and the JVM's MLlib. A candidate is a run of at least ``LEAST`` characters of the
-usual alphabets in a word of the text; a word can hold several. Its features are its length, the transitions between kinds of
-characters, how much of it dictionary words cover, whether it is a path, and the words beside it. The forest
-is trained on labelled findings, a bounded sample of them, and removes the false positives.
-
-No table of labelled findings comes with the corpus. ``labelled_findings`` makes them from the corpus: a
-quoted value of full length assigned to a credential's name is a finding, any other candidate is not. A caller
-with reviewed findings passes them instead.
+usual alphabets in a word of the text, or of at least ``ASSIGNED`` behind a credential's name; a word can hold several.
+Its features are its length, the transitions between kinds of characters, how much of its letters the corpus's own
+frequent words and pieces of words cover, the shares of its characters, whether it is a path or address, and the
+words beside it. The forest is trained on labelled findings, a bounded sample of them, and removes the false positives.
+
+No table of labelled findings comes with the corpus. ``labelled_findings`` makes them from two places. Candidates of the
+corpus are labelled only where their form or place leaves no doubt: formats that issuers publish and values given to a
+credential's name are findings, addresses, paths, digests behind a word for one and frequent words are not; all
+others train nothing. Forms that the corpus lacks come from ``example_findings``, lines that Spark derives from hashes.
+A caller with reviewed findings passes them instead.
 """
 
 from __future__ import annotations
@@ -20,16 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import let, table, written
 
-LEAST, TRAIN_ROWS, TREES, DEPTH, SEED = 16, 20_000, 24, 6, 3
+LEAST, ASSIGNED, TRAIN_ROWS, EXAMPLES, TREES, DEPTH, SEED = 16, 8, 20_000, 3_000, 32, 9, 3
+#: How many of the corpus's most frequent words and 4-letter pieces of words make the dictionary.
+WORDS, PIECES = 1_000, 1_500
 RUN = r"[A-Za-z0-9+/_=.-]{16,}"
+SHORT_RUN = r"[A-Za-z0-9+/_=.-]{8,}"
 #: A run with what stands before it and the signs behind it: the pieces of a word never overlap, so they stay as long as the word.
-PIECE = r"(?s)\G.*?[A-Za-z0-9+/_=.-]{16,}[^A-Za-z0-9+/_=.-]*"
-#: Words beside a candidate that speak for or against a credential, and common syllable-like words.
-NAMES = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "credential", "bearer", "auth")
-AGAINST = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "version", "see", "from", "mail", "email")
-DICTIONARY = ("example", "test", "mail", "user", "name", "com", "org", "http", "www", "the", "and", "ing", "tion", "ent", "for", "with", "that", "this", "from", "cion", "ment", "ung", "lich", "que", "ado", "eau", "ver", "sch")
+PIECE = r"(?s)\G.*?[A-Za-z0-9+/_=.-]{%d,}[^A-Za-z0-9+/_=.-]*"
+#: Words beside a candidate that speak for or against a credential.
+NAMES = ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "credential", "credentials", "bearer", "auth", "authorization")
+AGAINST = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "version", "rev", "revision", "etag", "see", "from", "mail", "email")
+#: Formats of credentials that their issuers publish.
+ISSUED = (r"^(AKIA|ASIA)[A-Z0-9]{16,20}$", r"^gh[pousr]_[A-Za-z0-9]{30,}$", r"^github_pat_[A-Za-z0-9_]{22,}$", r"^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$", r"^xox[abprs]-[A-Za-z0-9-]{20,}$", r"^sk_(live|test)_[A-Za-z0-9]{16,}$", r"^glpat-[A-Za-z0-9_-]{20,}$")
+
+FEATURES = ["length", "transitions", "lower_digit", "lower_upper", "digit_share", "upper_share", "hex_share", "distinct_share", "dictionary", "longest_letters", "dashes", "dots", "slashes", "path", "mail", "named", "against", "quoted", "assigned"]
 
-FEATURES = ["length", "turns", "digit_share", "upper_share", "hex_share", "distinct_share", "covered", "path", "mail", "named", "against", "quoted", "assigned"]
+
+def _named(x: Column, names: tuple[str, ...]) -> Column:
+    """Whether one of the names stands in a text, alone or as a part that signs set off."""
+    return F.lower(x).rlike(r"(?<![a-z0-9])(" + "|".join(names) + r")(?![a-z0-9])")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -37,41 +49,104 @@ def candidates(docs: DataFrame) -> DataFrame:
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
     near = lambda w, i: F.coalesce(F.get(w, i), F.lit(""))
     looks = lambda x: (F.length(x) >= LEAST) & x.rlike(RUN)
-    found = let(words, lambda w: F.transform(F.filter(F.transform(w, lambda x, i: F.when(looks(x), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.get(w, i).alias("word"), near(w, i - 1).alias("before"), near(w, i - 2).alias("before2"), near(w, i + 1).alias("after"))))
+    # A shorter value counts behind an assignment: name = value, name: value, or name=value in one word.
+    given = lambda w, x, i: (F.length(x) >= ASSIGNED) & x.rlike(SHORT_RUN) & ((near(w, i - 1).rlike("[=:]$") & _named(F.concat_ws(" ", near(w, i - 2), near(w, i - 1)), NAMES)) | (x.rlike("[=:].") & _named(x, NAMES)))
+    found = let(words, lambda w: F.transform(F.filter(F.transform(w, lambda x, i: F.when(looks(x) | given(w, x, i), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("at"), F.get(w, i).alias("word"), near(w, i - 1).alias("before"), near(w, i - 2).alias("before2"), near(w, i + 1).alias("after"))))
     rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
-    rows = rows.select("doc_id", "at", "before", "before2", "after", F.posexplode(F.regexp_extract_all("word", F.lit(PIECE), F.lit(0))).alias("run", "word"))
-    return rows.withColumn("value", F.regexp_extract("word", RUN, 0))
-
-
-def featured(rows: DataFrame) -> DataFrame:
+    pieces = F.when(F.col("word").rlike(RUN), F.regexp_extract_all("word", F.lit(PIECE % LEAST), F.lit(0))).otherwise(F.regexp_extract_all("word", F.lit(PIECE % ASSIGNED), F.lit(0)))
+    rows = rows.select("doc_id", "at", "before", "before2", "after", F.posexplode(pieces).alias("run", "word"))
+    value = F.when(F.col("word").rlike(RUN), F.regexp_extract("word", RUN, 0)).otherwise(F.regexp_extract("word", SHORT_RUN, 0))
+    # name=value is one run: the value is what stands behind the sign.
+    return rows.withColumn("value", F.regexp_replace(value, r"^[A-Za-z_.-]+=(?=[^=]{8})", ""))
+
+
+class Dictionary:
+    """The corpus's most frequent words and pieces of words, lists of a fixed length, counted over all its texts."""
+
+    def __init__(self, docs: DataFrame | None):
+        self.words, self.pieces = [], []
+        if docs is None:
+            return
+        letters = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![a-z0-9])[a-z]{4,12}(?![a-z0-9])"), F.lit(0))
+        counts = written(docs.select(F.explode(letters).alias("w")).groupBy("w").count().where("count > 1"), "words")
+        self.words = [r[0] for r in counts.orderBy(F.desc("count"), "w").limit(WORDS).collect()]
+        cut = counts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 3), lambda i: F.substr("w", i, F.lit(4)))).alias("p"), "count")
+        self.pieces = [r[0] for r in cut.groupBy("p").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "p").limit(PIECES).collect()]
+
+    def covered(self, value: Column) -> Column:
+        """Share of a value's characters in frequent words or within frequent pieces of words."""
+        runs = F.regexp_extract_all(F.lower(value), F.lit("[a-z]+"), F.lit(0))
+        parts = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 3)), lambda i: F.substr(r, i, F.lit(4)))
+        known = lambda r: F.when(r.isin(self.words), F.length(r)).otherwise(F.size(F.filter(parts(r), lambda p: p.isin(self.pieces))))
+        total = F.aggregate(runs, F.lit(0), lambda acc, r: acc + known(r))
+        return total / F.length(value) if self.words else F.lit(0.0)
+
+
+def featured(rows: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Candidates with the columns of FEATURES."""
     v, n = F.col("value"), F.length("value").cast("double")
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "b"), "[0-9]+", "c"), "", "")
+    kinds = F.translate(F.translate(F.translate(v, "bcdefghijklmnopqrstuvwxyz", "a" * 25), "BCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 25), "123456789", "0" * 9)
     count = lambda pattern: (n - F.length(F.regexp_replace(v, pattern, ""))) / n
-    said = lambda names: F.lower(F.concat_ws(" ", "before2", "before", "word")).rlike("|".join(rf"\b{x}\b" for x in names)).cast("double")
+    pairs = lambda *two: sum((F.regexp_count(kinds, F.lit(f"(?={x})")) for x in two), F.lit(0)) / n
+    beside = F.concat_ws(" ", "before2", "before", F.regexp_extract("word", r"(?s)^.*?(?=[^=:]*$)", 0))
     return rows.withColumns(
         {
             "length": n,
-            "turns": F.length(kinds) / n,
+            "transitions": F.regexp_count(kinds, F.lit(r"(?=(.)(?!\1).)")) / n,
+            "lower_digit": pairs("a0", "0a"),
+            "lower_upper": pairs("aA", "Aa"),
             "digit_share": count("[0-9]"),
             "upper_share": count("[A-Z]"),
             "hex_share": count("[0-9a-f]"),
             "distinct_share": F.size(F.array_distinct(F.split(v, ""))) / n,
-            "covered": (n - F.length(F.regexp_replace(F.lower(v), "|".join(DICTIONARY), ""))) / n,
-            "path": v.rlike(r"/|\.(py|js|txt|html|json|md|com|org|net)\b").cast("double"),
+            "dictionary": dictionary.covered(v).cast("double"),
+            "longest_letters": F.array_max(F.transform(F.split(v, "[^A-Za-z]+"), F.length)).cast("double"),
+            "dashes": count("[-_]"),
+            "dots": count("[.]"),
+            "slashes": count("/"),
+            "path": F.col("word").rlike(r"://|^[\"'(]?[/.]|[A-Za-z0-9]/[A-Za-z0-9._-]+/|\.(py|js|txt|html|json|md|com|org|net)\b").cast("double"),
             "mail": F.col("word").contains("@").cast("double"),
-            "named": said(NAMES),
-            "against": said(AGAINST),
+            "named": _named(beside, NAMES).cast("double"),
+            "against": _named(F.concat_ws(" ", "before2", "before"), AGAINST).cast("double"),
             "quoted": F.col("word").rlike("[\"'`]").cast("double"),
-            "assigned": F.concat_ws(" ", "before", "word").rlike("[=:]").cast("double"),
+            "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike("[=:].")).cast("double"),
         }
     )
 
 
 def labelled_findings(rows: DataFrame) -> DataFrame:
-    """Candidates with label: 1.0 where a quoted value without dictionary words or signs is assigned to a credential's name."""
-    named = F.lower("before2").isin(*NAMES) & F.col("before").isin("=", ":", ":=")
-    return rows.withColumn("label", (named & F.col("word").rlike(r"^[\"'`][A-Za-z0-9]{20,}[\"'`]")).cast("double"))
+    """The candidates whose form or place leaves no doubt, with label: 1.0 a credential, 0.0 none. It looks at texts, not at features."""
+    v, word = F.col("value"), F.col("word")
+    issued = F.lit(False)
+    for form in ISSUED:
+        issued = issued | v.rlike(form)
+    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    given = F.lower(F.col("before2")).rlike(r"(^|[^a-z])(" + "|".join(NAMES) + r")[\"']?$") & F.col("before").isin("=", ":", ":=")
+    inside = F.lower(word).rlike(r"(^|[^a-z])(" + "|".join(NAMES) + r")[\"']?[=:]")
+    place = word.contains("@") | word.rlike("://") | v.rlike(r"^\.{0,2}/|^[A-Za-z0-9._-]+(/[A-Za-z0-9._-]+){2,}$")
+    digest = v.rlike("^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$") & F.lower(F.concat_ws(" ", "before2", "before")).rlike(r"\b(" + "|".join(AGAINST) + r")\b")
+    plain = v.rlike("^[A-Za-z]+([._-][A-Za-z]*)*$")
+    label = F.when(issued, 1.0).when(place | digest, 0.0).when((given | inside) & mixed, 1.0).when(plain & ~given & ~inside, 0.0)
+    return rows.withColumn("label", label).where("label is not null")
+
+
+def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
+    """doc_id, text: lines with credentials of published formats and with look-alikes, their values cut from hashes."""
+    hexes = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    mixed = lambda salt, size: F.substr(F.regexp_replace(F.base64(F.unhex(F.concat(hexes(salt), hexes(salt + "+")))), "[+/=]", "x"), F.lit(1), F.lit(size))
+    upper = lambda salt, size: F.upper(mixed(salt, size))
+    lower = lambda salt: F.translate(F.lower(mixed(salt, 9)), "0123456789", "aeioulnrst")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("API_KEY", "db.password", "client_secret", "auth-token", "SECRET_KEY")]), (F.col("id") % 5 + 1).cast("int"))
+    lines = [
+        F.concat(F.lit("aws AKIA"), upper("a", 16), F.lit(" set")), F.concat(F.lit("GITHUB_TOKEN=ghp_"), mixed("b", 36)), F.concat(F.lit("use ghp_"), mixed("c", 36), F.lit(" here")),
+        F.concat(F.lit("Authorization: Bearer eyJ"), mixed("d", 17), F.lit(".eyJ"), mixed("e", 30), F.lit("."), mixed("f", 43)), F.concat(F.lit("then eyJ"), mixed("g", 20), F.lit(".eyJ"), mixed("h", 40), F.lit("."), mixed("i", 43)),
+        F.concat(name, F.lit(' = "'), mixed("j", 32), F.lit('"')), F.concat(name, F.lit("="), mixed("k", 24)), F.concat(name, F.lit(": '"), hexes("l"), F.lit("'")), F.concat(F.lit('{"'), name, F.lit('": "'), mixed("m", 12), F.lit('"}')),
+        F.concat(F.lit("slack xoxb-"), mixed("n", 12), F.lit("-"), mixed("o", 24)), F.concat(F.lit("pay sk_live_"), mixed("p", 24)),
+        F.concat(F.lit("see commit "), F.substr(hexes("q"), F.lit(1), F.lit(40)), F.lit(" for more")), F.concat(F.lit("sha256 "), hexes("r"), F.lit(" file")), F.concat(F.lit("md5: "), F.md5(F.col("id").cast("string").cast("binary")), F.lit(" ok")),
+        F.concat(F.lit("open /usr/"), lower("s"), F.lit("/lib/"), lower("t"), F.lit(".py now")), F.concat(F.lit("at src/"), lower("u"), F.lit("/"), lower("v"), F.lit("/main.js line")), F.concat(F.lit("go https://www."), lower("w"), F.lit(".com/docs/"), lower("x"), F.lit("/index.html")),
+        F.concat(F.lit("write to "), lower("y"), F.lit("@"), lower("z"), F.lit(".example.org today")), F.concat(F.lit("the "), lower("1"), F.lit("-"), lower("2"), F.lit("-"), lower("3"), F.lit(" of")), F.concat(F.lit("uuid "), F.substr(hexes("4"), F.lit(1), F.lit(8)), F.lit("-"), F.substr(hexes("5"), F.lit(1), F.lit(4)), F.lit("-4"), F.substr(hexes("6"), F.lit(1), F.lit(3)), F.lit("-a"), F.substr(hexes("7"), F.lit(1), F.lit(3)), F.lit("-"), F.substr(hexes("8"), F.lit(1), F.lit(12))),
+    ]
+    return spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.element_at(F.array(*lines), (F.col("id") % len(lines) + 1).cast("int")).alias("text"))
 
 
 def fit(findings: DataFrame):
@@ -100,9 +175,25 @@ def redacted(text: Column, values: Column) -> Column:
     return F.aggregate(values, text, lambda t, v: F.replace(t, v, F.lit("<SECRET>")))
 
 
+def secret_scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Every candidate of ``docs`` (doc_id, text) with its features, score and is_secret.
+
+    ``findings`` are reviewed candidates with a label, featured by the same dictionary; without them ``labelled_findings``
+    makes some. Null and empty texts have no candidates; rows that repeat a doc_id are scanned each; a text of any length is
+    read whole. Equal values get equal scores where the words beside them are alike; which of equally hashed findings train
+    is told by doc_id and place. An empty table gives no rows. Columns other than doc_id and text are not read.
+    """
+    docs = docs.select("doc_id", "text")
+    dictionary = Dictionary(docs)
+    rows = written(candidates(docs), "candidates")
+    seen = featured(rows, dictionary)
+    if findings is None:
+        made = candidates(example_findings(docs.sparkSession).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text"))
+        findings = featured(labelled_findings(rows.unionByName(made)), dictionary)
+    return scan(seen, fit(findings))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of ``documents`` with its score. Null and empty texts have none; rows that repeat a doc_id are scanned each."""
-    rows = written(candidates(table(spark, sf_dir, "documents")), "candidates")
-    seen = featured(rows)
-    found = scan(seen, fit(labelled_findings(seen)))
+    """Every candidate of ``documents`` with its score; see ``secret_scan``."""
+    found = secret_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("at").cast("long").alias("word_at"), F.col("run").cast("long").alias("run_at"), F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")

@@ -168,6 +168,19 @@ def test_mix_meets_targets_and_bounds(spark, odd, none):
     assert mixing.mix(mixing.measured(none, ["doc_id"])).count() == 0
 
 
+def test_mix_of_many_sources_and_shards_is_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(k, " ".join(["w"] * rng.randrange(0, 90)), "en", rng.choice(["big"] * 30 + [None] + [f"s{j}" for j in range(40)])) for k in range(900)]
+    pick = lambda: sorted((r["doc"]["doc_id"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.mix(mixing.measured(docs(spark, rows), ["doc_id"])).collect())
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 64)
+    small = pick()
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 3)  # the plan is made by aggregations
+    assert pick() == small
+    monkeypatch.setattr(mixing, "FAN", 16)  # quotas are dealt in levels
+    deep = pick()
+    assert [r[:3] for r in deep] == [r[:3] for r in small] and abs(sum(r[3] for r in deep) - sum(r[3] for r in small)) <= 16 * 60
+
+
 def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([10, 1000, 1000], [5, 2, 1]) == [30.0, 1980 * 2 / 3, 1980 / 3]
     assert mixing.targets([0, 0], [5, 2]) == [0.0, 0.0]
@@ -360,18 +373,30 @@ def test_order_changes_no_verdict(spark):
 
 def test_secrets_are_told_from_look_alikes(spark, odd, none):
     rng = random.Random(11)
-    rows = []
-    for k in range(200):
-        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
-        rows.append((k, f'lorem token = "{key}" ipsum' if k % 2 else f"see commit {key} and mail.user{k}@example.example.com of verylongordinarywordings"))
-    seen = secrets.featured(secrets.candidates(docs(spark, rows)))
-    got = secrets.scan(seen, secrets.fit(secrets.labelled_findings(seen))).select("doc_id", "value", "is_secret").collect()
-    assert {r["doc_id"] for r in got if r["is_secret"]} == {k for k in range(200) if k % 2}
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alnum, hexes, word = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef", lambda: made("aeioulnrstdm", 7)
+    secret = [lambda: f"then AKIA{made(alnum[26:], 16)} came", lambda: f"GITHUB_TOKEN=ghp_{made(alnum, 36)}", lambda: f"header eyJ{made(alnum, 17)}.eyJ{made(alnum, 33)}.{made(alnum, 43)}", lambda: f'lorem token = "{made(hexes, 40)}" ipsum', lambda: f"DB_PASSWORD: {made(alnum, 14)} end"]
+    plain = [lambda: f"see commit {made(hexes, 40)} and more", lambda: f"file /opt/{word()}/{word()}/{word()}.py is", lambda: f"mail {word()}.{word()}@{word()}.org to", lambda: f"of {word()}{word()}{word()} it", lambda: f"sha256 {made(hexes, 64)} sum", lambda: f"at https://{word()}.com/{word()}/{word()}"]
+    forms = [*secret, *plain]
+    rows = [(k, " ".join(word() for _ in range(9)) + " " + forms[k % len(forms)]()) for k in range(880)]
+    # The corpus alone has one form of credential; the others are judged by what the examples taught.
+    corpus = docs(spark, [r for r in rows if r[0] % len(forms) in (3, 5, 6, 7, 8, 9, 10)])
+    dictionary = secrets.Dictionary(corpus)
+    known = secrets.candidates(corpus).unionByName(secrets.candidates(secrets.example_findings(spark)))
+    model = secrets.fit(secrets.featured(secrets.labelled_findings(known), dictionary))
+    held = docs(spark, [(k, " ".join(word() for _ in range(9)) + " " + forms[k % len(forms)]()) for k in range(440)])
+    told = {r["doc_id"] for r in secrets.scan(secrets.featured(secrets.candidates(held), dictionary), model).where("is_secret").collect()}
+    by = {f: sum(k in told for k in range(f, 440, len(forms))) / 40 for f in range(len(forms))}
+    assert all(by[f] >= 0.9 for f in range(len(secret))) and all(by[f] <= 0.1 for f in range(len(secret), len(forms))), by
+    found = secrets.secret_scan(held)
+    assert found.where("is_secret").select("doc_id").distinct().count() >= 180
     joined = "-" * 20 + "é" + "a" * 16 + '":"' + "b" * 20 + '",x@' + "c" * 15
     assert [(r["run"], r["value"]) for r in secrets.candidates(docs(spark, [(1, joined)])).orderBy("run").collect()] == [(0, "-" * 20), (1, "a" * 16), (2, "b" * 20)]
-    few = secrets.featured(secrets.candidates(odd))
-    assert secrets.fit(secrets.labelled_findings(few)) is None and secrets.scan(few, None).where("not is_secret").count() == 0
-    assert secrets.candidates(none).count() == 0
+    short = docs(spark, [(1, 'password = "hunter2hunter" pin'), (2, "pwd=a1b2c3d4e5"), (3, "word = a1b2c3d4e5")])
+    assert {r["doc_id"]: r["value"] for r in secrets.candidates(short).collect()} == {1: "hunter2hunter", 2: "a1b2c3d4e5"}
+    few = secrets.featured(secrets.candidates(odd), secrets.Dictionary(None))
+    assert secrets.fit(few.withColumn("label", F.lit(0.0))) is None and secrets.scan(few, None).where("not is_secret").count() == 0
+    assert secrets.candidates(none).count() == 0 and secrets.secret_scan(none).count() == 0 and secrets.secret_scan(odd).count() == few.count()
     assert spark.range(1).select(secrets.redacted(F.lit("a key b"), F.array(F.lit("key")))).first()[0] == "a <SECRET> b"
 
 
