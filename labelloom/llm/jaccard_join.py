@@ -321,8 +321,8 @@ def _descend(rows: DataFrame, every: bool) -> DataFrame:
     return written(ordered.mapInArrow(grow, "a long, b long, key long").where("key is not null or a <> b").distinct(), "near")
 
 
-def _hot(counts: DataFrame) -> np.ndarray:
-    """The shingles in the most heads, sorted: those of over HOT, or of over as many as leave MAX_HOT at most."""
+def _hot(counts: DataFrame) -> DataFrame | None:
+    """key: the shingles in the most heads, those of over HOT, or of over as many as leave MAX_HOT at most; None if there are none."""
     power = F.floor(F.log2("c")).cast("int").alias("power")
     by_power = sorted(counts.where(F.col("c") > HOT).groupBy(power).count().collect(), reverse=True)  # a row a power of two
     taken, least = 0, None
@@ -331,18 +331,14 @@ def _hot(counts: DataFrame) -> np.ndarray:
         if taken > MAX_HOT:
             break
         least = p
-    if least is None:
-        return np.zeros(0, np.uint64)
-    rows = counts.where((F.col("c") > HOT) & (power >= least)).select("key").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    return None if least is None else counts.where((F.col("c") > HOT) & (power >= least)).select("key")
 
 
-def _reordered(reps: DataFrame, hot: np.ndarray, docs: DataFrame) -> DataFrame:
-    """rep, n, head, sig of the rows of ``reps`` with a hot shingle in their heads, with heads in the order that has those last; and the ids of such rows."""
-    spark = reps.sparkSession
-    keys = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "key long")
+def _reordered(reps: DataFrame, keys: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rep, n, head, sig of the rows of ``reps`` with a shingle of ``keys`` in their heads, with heads in the order that has those last; and the ids of such rows."""
     ids = written(reps.select("rep", F.explode("head").alias("key")).join(F.broadcast(keys), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "hot")
-    shared = spark.sparkContext.broadcast(hot)
+    hot = np.sort(keys.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -358,7 +354,7 @@ def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = lambda r: written(heads(r).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     counts = counted(reps)
     hot = _hot(counts)
-    if len(hot):
+    if hot is not None:
         late, ids = _reordered(reps, hot, docs)
         cold = reps.join(sized(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_anti").select("rep", "n", "head", "sig", "wide")
         reps = cold.unionByName(late)
