@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.sources.scratch import scratch
+
 #: The standard defect types and the default names for raw ones.
 STANDARD_TYPES = ("scratch", "crack", "contamination", "dent", "hole", "discoloration", "missing", "deformation", "print_error", "other", "none", "unspecified")
 SPLITS = ("train", "val", "test")
@@ -87,43 +90,96 @@ def allocate(total: Column, ratios: tuple[float, ...]) -> Column:
     return F.transform(F.reverse(F.array_sort(given)), lambda x: x["n"])
 
 
-def split_in_order(df: DataFrame, order: list, ratios=(0.6, 0.2, 0.2), strata=("category", "label")) -> DataFrame:
-    """Each stratum's rows in order: the first allotment to train, the next to val, the rest to test."""
-    stratum = Window.partitionBy(*strata)
-    ranked = df.withColumn("r", F.row_number().over(stratum.orderBy(*order))).withColumn("quota", allocate(F.count("*").over(stratum), ratios))
-    return ranked.withColumn("split", F.when(F.col("r") <= F.col("quota")[0], "train").when(F.col("r") <= F.col("quota")[0] + F.col("quota")[1], "val").otherwise("test")).drop("r", "quota")
+def ranked(df: DataFrame, by: list[str], order: list, key: list[str]) -> DataFrame:
+    """``by``, ``key``, r and size: each row's number in its group's order, from 1, and the group's rows.
+
+    Rows are cut into ranges by group and order and the ranges counted, so a large group is sorted in as many tasks as its
+    rows need; a range's rows get the number of rows in the group's earlier ranges and their place in their own.
+    """
+    keys = df.select(*by, *key, *[o.alias(f"o{k}") if isinstance(o, Column) else F.col(o).alias(f"o{k}") for k, o in enumerate(order)])
+    places = [f"o{k}" for k in range(len(order))]
+    path = scratch(df.sparkSession, "ranked")
+    keys.repartitionByRange(*by, *places).withColumn("range", F.spark_partition_id()).write.parquet(path)  # a range's number must stay
+    rows = df.sparkSession.read.parquet(path)
+    counts = rows.groupBy(*by, "range").agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)
+    before = counts.withColumns({"before": F.sum("c").over(group.orderBy("range")) - F.col("c"), "size": F.sum("c").over(group)}).drop("c")
+    placed = rows.join(before.hint("merge"), [*by, "range"])
+    own = Window.partitionBy(*by, "range").orderBy(*places)
+    return placed.withColumn("r", F.col("before") + F.row_number().over(own)).select(*by, *key, "r", "size")
+
+
+def split_in_order(df: DataFrame, order: list, ratios=(0.6, 0.2, 0.2), strata=("category", "label"), key: str = "seq") -> DataFrame:
+    """Each stratum's rows in order: the first allotment to train, the next to val, the rest to test."""
+    quota = allocate(F.col("size"), ratios)
+    placed = ranked(df, list(strata), order, [key]).withColumn("quota", quota)
+    split = F.when(F.col("r") <= F.col("quota")[0], "train").when(F.col("r") <= F.col("quota")[0] + F.col("quota")[1], "val").otherwise("test")
+    return df.drop("split").join(placed.select(key, split.alias("split")).hint("merge"), key)
 
 
 def split_random(df: DataFrame, seed: int = 42, key: str = "seq", **options) -> DataFrame:
-    return split_in_order(df, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)], **options)
+    return split_in_order(df, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)], key=key, **options)
+
+
+def _quotient_counts(weights: np.ndarray, held: np.ndarray, unit: float, seats: int) -> np.ndarray:
+    """How many of ``seats`` equal units each weight gets when each unit goes where (held + unit / 2) / weight is least, ties to the earlier."""
+    start = held / unit + 0.5
+    low, high = 0.0, float(((start + seats) / weights).max()) + 1
+    for _ in range(100):  # the level up to which each fills
+        mid = (low + high) / 2
+        low, high = (low, mid) if np.maximum(0, np.floor(mid * weights - start) + 1).sum() > seats else (mid, high)
+    got = np.maximum(0, np.floor((low - 1e-9) * weights - start) + 1).astype(np.int64)
+    while got.sum() < seats:
+        got[np.argmin(np.round((start + got) / weights, 7))] += 1
+    return got
+
+
+def _group_quotas(sizes: pd.DataFrame, ratios: tuple[float, ...]) -> pd.DataFrame:
+    """Of a stratum's rows (n, c), c groups of n rows: how many of them go to each split."""
+    sizes = sizes.sort_values("n", ascending=False)
+    open_ = np.array([k for k, r in enumerate(ratios) if r > 0])
+    weights, held = np.array([ratios[k] for k in open_]), np.zeros(len(open_))
+    left, out = int(sizes["c"].sum()), []
+    for n, c in zip(sizes["n"].tolist(), sizes["c"].tolist(), strict=True):
+        given, c = np.zeros(len(open_), np.int64), int(c)
+        # Until no more groups are left than splits are empty, units go by quotient: in one reckoning while all are filled, else one by one.
+        while c:
+            empty = np.flatnonzero(held == 0)
+            if not len(empty):
+                add = _quotient_counts(weights, held, n, c)
+            else:
+                add = np.zeros(len(open_), np.int64)
+                add[empty[0] if left <= len(empty) else np.argmin(np.round((held + n / 2) / weights, 9))] = 1
+            given, held, left, c = given + add, held + add * n, left - int(add.sum()), c - int(add.sum())
+        whole = np.zeros(len(ratios), np.int64)
+        whole[open_] = given
+        out.append(whole.tolist())
+    return sizes.assign(quota=out)
 
 
-def split_by_group(df: DataFrame, group: str, ratios=(0.6, 0.2, 0.2), strata=("category", "label"), seed: int = 42) -> DataFrame:
-    """Every group of a stratum goes to one split (D4): Spark sums group sizes, a fold over those sums places them.
+def split_by_group(df: DataFrame, group: str, ratios=(0.6, 0.2, 0.2), strata=("category", "label"), seed: int = 42, key: str = "seq") -> DataFrame:
+    """Every group of a stratum goes to one split, large groups first, each to the split that its middle would leave lowest against
+    its target; when no more groups than empty splits are left they fill those (D4).
 
-    Largest group first, equal sizes in seeded order, to the split that is least full for its target; when no more
-    groups than empty splits are left, an empty split comes first. A stratum's fold holds a row per group.
+    Groups of one size are alike, so only their number is reckoned with: a stratum's task holds a row for each size, never one for
+    each group, and quotients deal equal groups out at once. Which of them go where is their seeded rank among their equals.
     """
+    strata = list(strata)
     sizes = df.groupBy(*strata, group).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("mixed", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group))))
-
-    def place(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n", "mixed"], ascending=[False, True])
-        goals, full, used, chosen = [part["n"].sum() * r for r in ratios], [0.0] * 3, set(), []
-        for step, n in enumerate(part["n"]):
-            empty = [k for k in range(3) if ratios[k] > 0 and k not in used]
-            if empty and len(part) - step <= len(empty):
-                k = empty[0]
-            else:
-                k = min((k for k in range(3) if ratios[k] > 0), key=lambda k: (full[k] + n / 2) / goals[k])
-            full[k] += n
-            used.add(k)
-            chosen.append(SPLITS[k])
-        return part.assign(split=chosen)[[*strata, group, "split"]]
-
-    schema = ", ".join(f"{c} string" for c in (*strata, group, "split"))
-    placed = sizes.groupBy(*strata).applyInPandas(place, schema)
-    return df.drop("split").join(placed.hint("merge"), [*strata, group])
+    path = scratch(df.sparkSession, "groups")
+    sizes.write.parquet(path)
+    sizes = df.sparkSession.read.parquet(path)
+
+    def quotas(part: pd.DataFrame) -> pd.DataFrame:
+        return _group_quotas(part, ratios)
+
+    kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in strata) + ", n long, c long, quota array<long>"
+    quota = sizes.groupBy(*strata, "n").agg(F.count("*").alias("c")).groupBy(*strata).applyInPandas(quotas, schema).drop("c")
+    placed = ranked(sizes, [*strata, "n"], [F.md5(F.concat(F.lit(f"{seed}:"), F.col(group))), F.col(group)], [group])
+    split = F.when(F.col("r") <= F.col("quota")[0], SPLITS[0]).when(F.col("r") <= F.col("quota")[0] + F.col("quota")[1], SPLITS[1]).otherwise(SPLITS[2])
+    chosen = placed.join(quota.hint("merge"), [*strata, "n"]).select(*strata, group, split.alias("split"))
+    return df.drop("split").join(chosen.hint("merge"), [*strata, group])
 
 
 def even_sample(df: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:

@@ -103,13 +103,17 @@ def sampling_tick(frames: DataFrame, seconds: Column) -> DataFrame:
 
 
 def highlights(frames: DataFrame, threshold: float, k: int = 3) -> DataFrame:
-    """The peak frame of each event of frames at the threshold or over it, the k with most margin of a video, in time order."""
+    """The peak frame of each event of frames at the threshold or over it, the k with most margin of a video, in time order.
+
+    A video without an event gives its k frames nearest to the threshold, their margins below 0.
+    """
     w = Window.partitionBy("video").orderBy("pos")
-    hot = frames.where(F.col("score") >= threshold).withColumn("margin", F.col("score") - threshold)
-    hot = hot.withColumn("event", F.sum(F.when(F.col("pos") - F.lag("pos").over(w) > 1, 1).otherwise(0)).over(w))
+    judged = frames.withColumn("margin", F.col("score") - threshold)
+    hot = judged.where("margin >= 0").withColumn("event", F.sum(F.when(F.col("pos") - F.lag("pos").over(w) > 1, 1).otherwise(0)).over(w))
     peak = hot.groupBy("video", "event").agg(F.max_by(F.struct("pos", "margin"), F.struct("margin", -F.col("pos"))).alias("x")).select("video", "x.*")
+    quiet = judged.join(peak.select("video").distinct().hint("merge"), "video", "left_anti").select("video", "pos", "margin")
     best = Window.partitionBy("video").orderBy(F.desc("margin"), "pos")
-    return peak.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r").orderBy("video", "pos")
+    return peak.unionByName(quiet).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r").orderBy("video", "pos")
 
 
 def changed_ratio(a: Column, b: Column, step: float = 0.05) -> Column:

@@ -200,7 +200,7 @@ ORACLES["D11_strongest_drift"] = ORACLES["I7_feature_drift"]
 ORACLES["I8_drift_summary"] = f"""WITH d AS (SELECT * FROM {_nested("I7_feature_drift", psi="psi")}),
 n AS (SELECT count(*) FILTER (level='changed') AS changed, count(*) FILTER (level='watch') AS watch, count(*) FILTER (level='stable') AS stable, count(*) FILTER (level='insufficient') AS insufficient, round(avg(psi) FILTER (NOT isnan(psi)),6) AS mean_psi FROM d)
 SELECT *, CASE WHEN changed>0 THEN 'changed' WHEN watch>0 THEN 'watch' WHEN stable>0 THEN 'stable' ELSE 'insufficient' END AS level FROM n"""
-ORACLES["I10_group_drift"] = f"SELECT feature, psi FROM {_DRIFT} WHERE feature < 'f16' AND psi > 0.1 AND NOT isnan(psi) ORDER BY psi DESC, feature LIMIT 3"
+ORACLES["I10_group_drift"] = f"SELECT feature, psi FROM {_DRIFT} WHERE psi > 0.1 AND NOT isnan(psi) ORDER BY psi DESC, feature LIMIT 3"
 ORACLES["I11_likely_causes"] = f"SELECT CASE WHEN feature < 'f32' THEN 'lighting' ELSE 'focus' END AS cause, max(psi) AS psi FROM {_DRIFT} WHERE psi > 0.1 AND NOT isnan(psi) GROUP BY 1"
 
 _REPORT = _nested("H3_segment_report", segment_recall="coalesce(c/nullif(tr,0),'NaN'::DOUBLE)", frame_recall="coalesce(tp/nullif(t,0),'NaN'::DOUBLE)")

@@ -58,7 +58,7 @@ SELECT o_orderkey AS image_id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 200
   concat('raw/',CAST(o_orderkey AS VARCHAR(20)),'.jpg') AS path FROM orders
 """,
     "f_cells": """
-SELECT DISTINCT l_suppkey AS image_id, l_partkey % 24 AS cy, l_orderkey % 24 AS cx FROM lineitem WHERE l_returnflag='R' AND l_linenumber <= 3
+SELECT DISTINCT l_suppkey AS image_id, l_partkey % 24 AS cy, l_orderkey % 24 AS cx FROM lineitem WHERE l_returnflag='R' 
 """,
     "f_score_map": """
 SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey,l_linenumber,l_partkey,l_extendedprice) AS pos,
@@ -72,7 +72,7 @@ FROM orders
 """,
     "f_runs": """
 SELECT o_orderkey AS seq, concat('run-',CAST(o_orderkey AS VARCHAR(20))) AS run_id, o_orderpriority AS kind, o_orderdate AS created_at,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 0.7 + (o_orderkey % 30)/100.0 END AS recall, 0.5 + (o_orderkey % 50)/100.0 AS prec, o_orderkey % 7 AS fn FROM orders
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(70 + o_orderkey % 30 AS DOUBLE) / 100 END AS recall, CAST(50 + o_orderkey % 50 AS DOUBLE) / 100 AS prec, o_orderkey % 7 AS fn FROM orders
 """,
     "f_reviews": """
 SELECT turn AS seq, conv_id AS image_seq, CASE WHEN role='assistant' THEN 'ok' WHEN role='user' THEN 'error' ELSE 'refusal' END AS status,
@@ -89,7 +89,7 @@ SELECT vec_id AS id, CASE WHEN label < 5 THEN 'ref' ELSE 'cand' END AS side,
 FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, v
 """,
     "f_pixels": """
-SELECT vec_id AS image_id, label % 3 AS video, CAST(pos div 8 AS INT) AS gy, CAST(pos % 8 AS INT) AS gx,
+SELECT vec_id AS image_id, CAST(vec_id div 20 AS INT) AS video, CAST(pos div 8 AS INT) AS gy, CAST(pos % 8 AS INT) AS gx,
   CAST(128 + 200 * CAST(v AS DOUBLE) AS DOUBLE) AS value
 FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, v
 """,
@@ -101,7 +101,7 @@ SELECT vec_id AS id, CASE WHEN label < 5 THEN 'ref' ELSE 'cand' END AS side,
 FROM embeddings, unnest(range(1,65)) AS t(pos)
 """,
     "f_pixels": """
-SELECT vec_id AS image_id, label % 3 AS video, CAST((pos-1)//8 AS INT) AS gy, CAST((pos-1)%8 AS INT) AS gx,
+SELECT vec_id AS image_id, CAST(vec_id // 20 AS INT) AS video, CAST((pos-1)//8 AS INT) AS gy, CAST((pos-1)%8 AS INT) AS gx,
   128 + 200 * CAST(embedding[pos] AS DOUBLE) AS value
 FROM embeddings, unnest(range(1,65)) AS t(pos)
 """,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import grids
 
 from .fixtures import ctes, view
-from .register import query, rounded
+from .register import ORACLES, query, rounded
 
 P = ctes("f_pixels")
 _EDGES = f"""{P}, a AS (SELECT image_id, gy, gx, value, coalesce(lag(value) OVER c, lead(value) OVER c) AS u, coalesce(lead(value) OVER c, lag(value) OVER c) AS d,
@@ -155,3 +155,6 @@ def k23(spark, sf):
     mark = grids.stamp(["hist", "16"])
     stored = rows.withColumn("definition", F.when(F.col("image_id") % 3 == 0, mark).otherwise("older"))
     return grids.to_compute(rows, stored, mark).select("image_id")
+
+
+ORACLES["K25_batch_scores"] = f"{_GRID} SELECT image_id, round(max(score),6) AS score, 3.0::DOUBLE AS threshold, CASE WHEN max(score) >= 3 THEN 'defect' ELSE 'normal' END AS decision FROM s GROUP BY 1"

@@ -225,7 +225,7 @@ def j8(spark, sf):
 
 @query("I10_group_drift")
 def i10(spark, sf):
-    return rounded(drift.group_drift(view(spark, sf, "f_features").where("feature < 'f16'"), "side", "ref", "cand"))
+    return rounded(drift.group_drift(view(spark, sf, "f_features"), "side", "ref", "cand"))
 
 
 @query("B26_feature_family", f"{ctes('f_features')} SELECT DISTINCT feature, CASE WHEN feature < 'f32' THEN 'brightness' ELSE 'sharpness' END AS family FROM f_features")
@@ -261,14 +261,14 @@ def k22(spark, sf):
     return rounded(learners.importance(spark, learners.fit(vectors(spark, sf), "forest")))
 
 
-@query("K25_batch_scores", f"{ctes('f_pixels')} SELECT DISTINCT image_id FROM f_pixels")
+@query("K25_batch_scores")
 def k25(spark, sf):
     from labelloom.operators import grids, paths
 
     from .grid_queries import scored
 
-    got = grids.image_scores(scored(spark, sf)).select("image_id", F.col("max").alias("score"))
-    return got.withColumn("decision", paths.decision(F.col("score"), F.lit(3.0))).where("decision is not null").select("image_id")
+    got = grids.image_scores(scored(spark, sf)).select("image_id", F.col("max").alias("score"), F.lit(3.0).alias("threshold"))
+    return rounded(got.withColumn("decision", paths.decision(F.col("score"), F.col("threshold"))))
 
 
 @query("I12_retraining_signals")

@@ -91,13 +91,13 @@ def b17(spark, sf):
     return view(spark, sf, "f_inference_log").select("seq", paths.decision(F.col("score"), F.col("threshold")).alias("decision"))
 
 
-_RATES = f"""{ctes('f_runs')}, r AS (SELECT seq, recall, prec / 2 AS alarm, (fn + 1) / 100.0 AS p FROM f_runs)
+_RATES = f"""{ctes('f_runs')}, r AS (SELECT seq, recall, prec / 2 AS alarm, CAST(fn + 1 AS DOUBLE) / 100 AS p FROM f_runs)
 SELECT seq, round(CASE WHEN recall*p + alarm*(1-p) > 0 THEN recall*p / (recall*p + alarm*(1-p)) ELSE 0 END, 6) AS value FROM r WHERE recall IS NOT NULL"""
 
 
 def _rated(spark, sf, f):
     df = view(spark, sf, "f_runs").where("recall is not null")
-    return rounded(df.select("seq", f(F.col("recall").cast("double"), F.col("prec").cast("double") / 2, (F.col("fn") + 1) / F.lit(100.0)).alias("value")))
+    return rounded(df.select("seq", f(F.col("recall").cast("double"), F.col("prec").cast("double") / 2, (F.col("fn") + 1).cast("double") / 100).alias("value")))
 
 
 @query("B23_precision_at_prevalence", _RATES)
@@ -105,7 +105,7 @@ def b23(spark, sf):
     return _rated(spark, sf, metrics.precision_at)
 
 
-@query("B24_review_load", f"{ctes('f_runs')} SELECT seq, round(recall*((fn+1)/100.0) + prec/2*(1-(fn+1)/100.0), 6) AS value FROM f_runs WHERE recall IS NOT NULL")
+@query("B24_review_load", f"{ctes('f_runs')} SELECT seq, round(recall*(CAST(fn+1 AS DOUBLE)/100) + prec/2*(1-CAST(fn+1 AS DOUBLE)/100), 6) AS value FROM f_runs WHERE recall IS NOT NULL")
 def b24(spark, sf):
     return _rated(spark, sf, metrics.review_load)
 

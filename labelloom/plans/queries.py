@@ -209,7 +209,21 @@ def d3(spark, sf):
     return labels.split_in_order(view(spark, sf, "f_manifest"), ["ingested_epoch", "image_id"]).select("seq", "split")
 
 
-@query("D4_split_by_group")
+#: One step a group: the largest left goes where its middle stands lowest against the target; the last groups fill empty splits.
+_GROUPS = f"""{ctes('f_manifest').replace("WITH ", "WITH RECURSIVE ", 1)}, m AS (SELECT seq, category, label, CASE WHEN trim(grp) IN ('', 'nan', 'None') THEN image_id ELSE trim(grp) END AS g FROM f_manifest),
+z AS (SELECT category, label, g, count(*) AS n FROM m GROUP BY 1,2,3),
+o AS (SELECT *, row_number() OVER (PARTITION BY category, label ORDER BY n DESC, md5(concat('42:', g)), g) AS i, count(*) OVER (PARTITION BY category, label) AS k, sum(n) OVER (PARTITION BY category, label) AS t FROM z),
+f AS (SELECT category, label, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c, '' AS split, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT category, label FROM z)
+UNION ALL SELECT category, label, i, CASE WHEN s='train' THEN a+n ELSE a END, CASE WHEN s='val' THEN b+n ELSE b END, CASE WHEN s='test' THEN c+n ELSE c END, s, n FROM (
+SELECT f.category, f.label, o.i, f.a, f.b, f.c, o.n, CASE WHEN (f.a=0)::INT + (f.b=0)::INT + (f.c=0)::INT >= o.k - o.i + 1 THEN CASE WHEN f.a=0 THEN 'train' WHEN f.b=0 THEN 'val' ELSE 'test' END
+WHEN (f.a+o.n/2.0)/0.6 <= (f.b+o.n/2.0)/0.2 + 1e-9 AND (f.a+o.n/2.0)/0.6 <= (f.c+o.n/2.0)/0.2 + 1e-9 THEN 'train' WHEN (f.b+o.n/2.0)/0.2 <= (f.c+o.n/2.0)/0.2 + 1e-9 THEN 'val' ELSE 'test' END AS s
+FROM f JOIN o ON o.category=f.category AND o.label=f.label AND o.i=f.i+1)),
+q AS (SELECT category, label, n, count(*) FILTER (split='train') AS x, count(*) FILTER (split IN ('train','val')) AS y FROM f WHERE i>0 GROUP BY 1,2,3),
+r AS (SELECT o.*, row_number() OVER (PARTITION BY category, label, n ORDER BY i) AS j FROM o)
+SELECT m.seq, m.g, CASE WHEN r.j<=q.x THEN 'train' WHEN r.j<=q.y THEN 'val' ELSE 'test' END AS split FROM m JOIN r USING (category, label, g) JOIN q ON q.category=r.category AND q.label=r.label AND q.n=r.n"""
+
+
+@query("D4_split_by_group", _GROUPS)
 def d4(spark, sf):
     df = view(spark, sf, "f_manifest").withColumn("g", labels.group_key(F.col("grp"), F.col("image_id")))
     return labels.split_by_group(df, "g").select("seq", "g", "split")
@@ -305,11 +319,12 @@ def h3(spark, sf):
     return rounded(segments.report(view(spark, sf, "f_frames")))
 
 
-@query("D12_highlights", f"""{ctes('f_frames')}, e AS (SELECT video, pos, score-50 AS margin, sum(b) OVER (PARTITION BY video ORDER BY pos) AS ev FROM (SELECT *, CASE WHEN pos-lag(pos) OVER (PARTITION BY video ORDER BY pos)>1 THEN 1 ELSE 0 END AS b FROM f_frames WHERE score>=50)),
-p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, ev ORDER BY margin DESC, pos) AS k FROM e) WHERE k=1)
-SELECT video, CAST(pos AS BIGINT) AS pos, round(margin,6) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY margin DESC, pos) AS r FROM p) WHERE r<=3""")
+@query("D12_highlights", f"""{ctes('f_frames')}, e AS (SELECT video, pos, score-80 AS margin, sum(b) OVER (PARTITION BY video ORDER BY pos) AS ev FROM (SELECT *, CASE WHEN pos-lag(pos) OVER (PARTITION BY video ORDER BY pos)>1 THEN 1 ELSE 0 END AS b FROM f_frames WHERE score>=80)),
+p AS (SELECT video, pos, margin FROM (SELECT *, row_number() OVER (PARTITION BY video, ev ORDER BY margin DESC, pos) AS k FROM e) WHERE k=1),
+a AS (SELECT * FROM p UNION ALL SELECT video, pos, score-80 FROM f_frames WHERE video NOT IN (SELECT video FROM e))
+SELECT video, CAST(pos AS BIGINT) AS pos, round(margin,6) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY margin DESC, pos) AS r FROM a) WHERE r<=3""")
 def d12(spark, sf):
-    return rounded(segments.highlights(view(spark, sf, "f_frames"), 50.0))
+    return rounded(segments.highlights(view(spark, sf, "f_frames"), 80.0))
 
 
 @query("H7_sampling_tick")

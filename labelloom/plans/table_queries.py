@@ -273,9 +273,9 @@ def e9(spark, sf):
     return tables.adopted(drawn, old)
 
 
-@query("E13_verified_folders", f"{_RESOLVED} SELECT count(*) AS decided, count(*) FILTER (r.label <> e.label) AS changed FROM r JOIN e ON e.image_seq % 100 = r.seq WHERE e.verified")
+@query("E13_verified_folders", f"{_RESOLVED} SELECT count(*) AS decided, count(*) FILTER (r.label <> e.label) AS changed FROM r JOIN e ON e.image_seq = r.seq WHERE e.verified")
 def e13(spark, sf):
-    decided = labels.latest(view(spark, sf, "f_label_events"), "image_seq").where("verified").select((F.col("image_seq") % 100).alias("seq"), F.col("label").alias("decided"))
+    decided = labels.latest(view(spark, sf, "f_label_events"), "image_seq").where("verified").select(F.col("image_seq").alias("seq"), F.col("label").alias("decided"))
     return tables.changed(resolved(spark, sf), decided)
 
 

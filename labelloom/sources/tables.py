@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -73,11 +75,24 @@ def csv_copy(df: DataFrame, path: str) -> DataFrame:
 def replace_splits(df: DataFrame, path: str, key: str = "seq") -> DataFrame:
     """The splits table in full, its files in order of the key, in place of what lies at ``path``.
 
-    ``df`` must not read from ``path``: the old files go before the new ones are complete.
+    The new files are written beside the old ones and swapped in by name when all are there: a write that fails leaves
+    the old table as it is, and ``df`` may read from it.
     """
-    rows = df.select(key, "split").repartitionByRange(key).sortWithinPartitions(key)
-    rows.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}", f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+    df.select(key, "split").repartitionByRange(key).sortWithinPartitions(key).write.parquet(new)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(at(path))
+    if had:
+        files.rename(at(path), at(old))
+    if not files.rename(at(new), at(path)):
+        if had:
+            files.rename(at(old), at(path))
+        raise OSError(f"{path} could not be replaced")
+    if had:
+        files.delete(at(old), True)
+    return spark.read.parquet(path)
 
 
 def uploaded(batch: DataFrame, content: str, suffix: str = ".png") -> DataFrame:

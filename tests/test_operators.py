@@ -103,3 +103,40 @@ def test_rollback_takes_the_archived_version_promoted_last(spark):
 def test_box_spec_keeps_commas_of_labels(spark):
     df = spark.createDataFrame([(1, "1,2,3,4,a,b;5,6,7,8;bad;1,x,3,4")], "id int, spec string")
     assert [(r["x"], r["label"]) for r in boxes.parse_spec(df).orderBy("k").collect()] == [(1, "a,b"), (5, "")]
+
+
+def test_groups_stay_whole_and_fill_splits_by_their_rows(spark):
+    from labelloom.operators import labels
+
+    rows = [(k, "c", "normal", name) for k, name in enumerate([n for n, c in (("big", 40), ("s1", 2), ("s2", 2), ("s3", 2)) for _ in range(c)] + [f"one{j}" for j in range(50)])]
+    df = spark.createDataFrame(rows, "seq long, category string, label string, g string")
+    got = labels.split_by_group(df, "g").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], set()).add(r["split"])
+    count = {s: sum(r["split"] == s for r in got) for s in ("train", "val", "test")}
+    assert len(got) == 96 and all(len(s) == 1 for s in by.values()) and by["big"] == {"train"}
+    assert abs(count["train"] - 57.6) <= 1 and abs(count["val"] - 19.2) <= 1 and abs(count["test"] - 19.2) <= 1
+
+
+def test_a_failed_write_leaves_the_old_splits(spark, tmp_path):
+    import pytest
+
+    from labelloom.sources import tables
+
+    path = f"file://{tmp_path}/splits"
+    old = spark.createDataFrame([(1, "train"), (2, "val")], "seq long, split string")
+    tables.replace_splits(old, path)
+    with pytest.raises(Exception, match="no"):
+        tables.replace_splits(old.selectExpr("seq", "CASE WHEN seq = 2 THEN raise_error('no') ELSE split END AS split"), path)
+    assert spark.read.parquet(path).count() == 2
+    back = tables.replace_splits(spark.read.parquet(path).selectExpr("seq", "'test' AS split"), path)
+    assert {r["split"] for r in back.collect()} == {"test"}
+
+
+def test_a_video_without_an_event_gives_its_nearest_frames(spark):
+    from labelloom.operators import segments
+
+    frames = spark.createDataFrame([(1, 0, 0.1), (1, 1, 0.4), (1, 2, 0.3), (2, 0, 0.9), (2, 1, 0.2)], "video long, pos long, score double")
+    got = [(r["video"], r["pos"], round(r["margin"], 6)) for r in segments.highlights(frames, 0.5, 2).collect()]
+    assert got == [(1, 1, -0.1), (1, 2, -0.2), (2, 0, 0.4)]
