@@ -154,9 +154,16 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, text of the ``ids``, a row an id: of rows that share a doc_id any of the largest text stands for it."""
+    """doc_id, text of the ``ids``, a row an id: of rows that share a doc_id any of the largest text stands for it.
+
+    Only texts of ids that several rows have are shuffled to be compared.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids), "doc_id", "left_semi")
-    return rows.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    twice = written(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if not twice.head(1):
+        return rows
+    several = rows.join(sized(twice), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    return rows.join(sized(twice), "doc_id", "left_anti").unionByName(several)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -360,6 +367,7 @@ def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         reps = cold.unionByName(late)
         settle(reps.sparkSession)
         counts = counted(reps)
+        settle(reps.sparkSession)
     met = heads(reps).join(sized(counts.select("key")), "key", "left_semi")
     if reps.groupBy("rep").count().where("count > 1").head(1):
         met = met.distinct()  # an id of several texts stands once under a child
