@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of ids or hashes that are broadcast at most: some 20 MB on each executor.
 BROADCAST_ROWS = 500_000
+#: Spark's setting by which a finished query's shuffle files are deleted at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +36,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    """The rows of ``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    The write's own shuffle files, which nothing reads again, go when it is done.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelloom.llm import chat, components, decontamination, jaccard_join, licenses, line_spread, mixing, quality_model, quality_rules, queries, secrets, token_shards
+from labelloom.llm import chat, common, components, decontamination, jaccard_join, licenses, line_spread, mixing, quality_model, quality_rules, queries, secrets, token_shards
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word" + " lorem ipsum dolor sit amet" * 8000
@@ -469,3 +469,10 @@ def test_registered_sql_matches(spark):
         cols = sorted(want.columns)
         assert sorted(got.columns) == cols
         assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values)), name
+
+
+def test_texts_of_repeated_ids_are_the_largest(spark):
+    rows = docs(spark, [(1, "a"), (2, "b c"), (2, "b"), (2, None), (3, "d"), (None, "e")])
+    ids = common.written(spark.createDataFrame([(1,), (2,)], "doc_id long"), "ids")
+    assert sorted(map(tuple, jaccard_join._texts(ids, rows).collect())) == [(1, "a"), (2, "b c")]
+    assert spark.conf.get(common.CLEANUP) == "false"
