@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, settle, sized, slices, table, written
+from .common import forget, in_arrow, settle, sized, slices, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
@@ -116,7 +116,7 @@ def sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "hi": marks[:, 0].copy(), "lo": marks[:, 1].copy(), "head": _lists([head(t) for t in tokens]), "sig": _lists(sig), "wide": pa.array([wide_bitmap(t) for t in tokens], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(measure, "doc_id long, n long, hi long, lo long, head array<long>, sig array<long>, wide binary")
+    return in_arrow(rows, measure, "doc_id long, n long, hi long, lo long, head array<long>, sig array<long>, wide binary")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -150,7 +150,7 @@ def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 ok.append(bool(na + nb - np.bitwise_count(a ^ b).sum(dtype=np.int64) >= 2 * needed(na + nb)))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.mapInArrow(keep, "a long, b long"), "near")
+    return written(in_arrow(both, keep, "a long, b long"), "near")
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "t": pa.array([shingles(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())})
 
-    known = written(_texts(ids, docs).mapInArrow(tokens, "id long, t binary"), "tokens")
+    known = written(in_arrow(_texts(ids, docs), tokens, "id long, t binary"), "tokens")
     side = lambda k: known.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")).hint("merge")
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
@@ -186,7 +186,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(bool(enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = written(both.mapInArrow(check, "a long, b long"), "links")
+    out = written(in_arrow(both, check, "a long, b long"), "links")
     for done in (ids, known):
         forget(done)
     return out
@@ -325,7 +325,7 @@ def _descend(rows: DataFrame, every: bool) -> DataFrame:
 
     columns = ["key", "p", "q", "side", "rep", "label", "n", "sig"]
     ordered = rows.select(columns).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "label", "n", "rep")
-    return written(ordered.mapInArrow(grow, "a long, b long, key long").where("key is not null or a <> b").distinct(), "near")
+    return written(in_arrow(ordered, grow, "a long, b long, key long").where("key is not null or a <> b").distinct(), "near")
 
 
 def _hot(counts: DataFrame) -> DataFrame | None:
@@ -352,7 +352,7 @@ def _reordered(reps: DataFrame, keys: DataFrame, docs: DataFrame) -> tuple[DataF
             tokens = [shingles(text) for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"rep": b.column(0), "n": pa.array([len(t) for t in tokens], pa.int64()), "head": _lists([head(t, shared.value) for t in tokens]), "sig": _lists([bitmap(t).view(np.uint64) for t in tokens]), "wide": pa.array([wide_bitmap(t) for t in tokens], pa.binary())})
 
-    return written(_texts(ids, docs).mapInArrow(measure, "rep long, n long, head array<long>, sig array<long>, wide binary"), "heads"), ids
+    return written(in_arrow(_texts(ids, docs), measure, "rep long, n long, head array<long>, sig array<long>, wide binary"), "heads"), ids
 
 
 def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

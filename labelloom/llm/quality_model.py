@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, written
+from .common import in_arrow, slices, table, written
 
 N_FEATURES, RIDGE, SEED, N_BINS = 256, 1e-3, 8, 512
 #: Rows with this remainder of crc32(doc_id as text) by FOLDS are held out; those with CALIBRATE calibrate.
@@ -113,7 +113,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = _matrix(b.column(0).to_pylist())
             yield pa.RecordBatch.from_pydict({"fold": b.column(1), "y": b.column(2), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    return rows.mapInArrow(measure, "fold int, y int, x array<double>")
+    return in_arrow(rows, measure, "fold int, y int, x array<double>")
 
 
 def _x(batch: pa.RecordBatch) -> np.ndarray:
@@ -182,7 +182,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x) if model else np.full(len(x), 0.5))], names=["doc", "score"])
 
     out = T.StructType([T.StructField("doc", kind), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(score, out).select("doc.*", "score")
+    return in_arrow(rows, score, out).select("doc.*", "score")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

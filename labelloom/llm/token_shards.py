@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, written
+from .common import in_arrow, scratch, slices, written
 
 FRAME_TOKENS = 1 << 16
 #: Bytes of pieces and ids that a Python worker remembers; characters that are encoded at once.
-CACHE_BYTES, PORTION_CHARS = 32 << 20, 8 << 20
+CACHE_BYTES, PORTION_CHARS = 16 << 20, 4 << 20
 # Fixed values of the Zstandard Seekable Format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
@@ -289,7 +289,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": pa.array([len(shard_file.ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(write, MANIFEST), "shards")
+    manifest = written(in_arrow(ordered, write, MANIFEST), "shards")
     # One row per shard: the window's single task reads no document.
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("first", F.coalesce(before, F.lit(0)))
