@@ -9,17 +9,17 @@ from .common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; null and empty texts are scored as empty, repeated rows each, and without labels all stay."""
     return quality_model.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies; rows without words or without a doc_id are no copies, of rows that repeat a doc_id one stays."""
     return jaccard_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window, each row decided by itself; null and empty texts stay, and with an empty benchmark all do."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
-#: Shingle components, fitted scores and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Shingle components, fitted scores and tokenizers are beyond SQL; tests hold their operators against brute force, round trips or held-out labels, and check that each stage takes effect.
 ORACLE_SQL = None
 
 
