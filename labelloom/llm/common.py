@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """The columns of those names, dots and backticks in them included."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def hand_back() -> None:
     """Give memory that a Python worker has freed back to the system: workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()

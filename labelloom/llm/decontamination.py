@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table, written
+from .common import quoted, sized, table, written
 
 #: What a word is made of, and the letters that are lower-cased.
 WORD, UPPER, LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,9 +107,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     grams = Grams(benchmark, window, max_set)
     found = hits(docs.select("doc_id", "text"), grams, every=True)
-    named = written(grams.table.where(F.col("item_id").isNotNull()).groupBy("size", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "items")
-    items = found.where("pos > 0").select("rid", "size", "gram").distinct().join(F.broadcast(named) if grams.small else named.hint("merge"), ["size", "gram"])
-    items = items.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # A row an n-gram and item: what many items share stays rows, and their number is counted before they are broadcast.
+    named = written(grams.table.where(F.col("item_id").isNotNull()).select("size", "gram", F.col("item_id").cast("string").alias("item")), "items")
+    items = found.where("pos > 0").select("rid", "size", "gram").distinct().join(sized(named, max_set), ["size", "gram"])
+    items = items.groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
     rows = found.groupBy("rid", "doc_id", "n_words").agg(F.array_sort(F.collect_set(F.when(F.col("pos") > 0, F.struct("pos", "size")))).alias("spans"))
     both = rows.join(written(items, "items").hint("merge"), "rid", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_hit = _covered(F.col("spans")).cast("long")
@@ -132,13 +133,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     benchmark changes nothing. Other columns pass through, whatever their names.
     """
     found = hits(docs, Grams(benchmark, window, max_set))
-    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("doc"))
+    rows = docs.select(*row_key(), F.struct(*quoted(docs.columns)).alias("doc"))
     if remove == "document":
         gone = written(found.select("k1", "k2").distinct(), "gone")
-        return rows.join(sized(gone), ["k1", "k2"], "left_anti").select("doc.*").select(docs.columns)
+        return rows.join(sized(gone), ["k1", "k2"], "left_anti").select("doc.*").select(quoted(docs.columns))
     both = rows.join(sized(_spans(found), MAX_ROWS), ["k1", "k2"], "left")
     text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(without_spans(F.col("doc.text"), F.col("spans")))
-    return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(docs.columns)
+    return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(quoted(docs.columns))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

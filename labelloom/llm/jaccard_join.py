@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, in_arrow, settle, sized, slices, table, written
+from .common import forget, in_arrow, quoted, settle, sized, slices, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
@@ -469,11 +469,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     told = written(jaccard_components(docs).select("doc_id", "component_id"), "components")
     gone = written(told.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     twice = written(told.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
-    rows = docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+    rows = docs.join(sized(gone), "doc_id", "left_anti").select(quoted(docs.columns))
     if not twice.head(1):
         return rows
-    once = rows.join(sized(twice), "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(rows.join(sized(twice), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    once = rows.join(sized(twice), "doc_id", "left_anti").select(quoted(docs.columns))
+    return once.unionByName(rows.join(sized(twice), "doc_id", "left_semi").select(quoted(docs.columns)).dropDuplicates(["doc_id"]))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

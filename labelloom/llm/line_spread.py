@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table, written
+from .common import quoted, sized, table, written
 
 SITES, LG_K = 8, 8
 #: Relative error that an estimate of a sketch of 2**LG_K registers stays within: over four standard errors.
@@ -69,7 +69,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     their own. White space alone is no boilerplate, nor are lines under ``least`` characters if it is given. Other columns pass through; one named n_cut is replaced.
     """
     kept = [c for c in docs.columns if c != "n_cut"]
-    rows = docs.select(*row_key(), F.struct(*kept).alias("doc"), "text")
+    rows = docs.select(*row_key(), F.struct(*quoted(kept)).alias("doc"), "text")
     # Written first: the join below then has two plain exchanges, and a hot line's rows can be split.
     cut = removals(docs, written(boilerplate(docs, site, sites, least), "boilerplate"), least)
     joined = rows.join(cut.hint("merge"), ["k1", "k2"], "left")
@@ -77,7 +77,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     left = F.filter(parts, lambda x: ~(F.array_contains("gone", line_key(x)) & counts(x, least)))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n_cut = F.when(F.col("gone").isNull(), 0).otherwise(F.size(parts) - F.size(left)).cast("long")
-    return joined.select(F.col("doc").withField("text", text).alias("doc"), n_cut.alias("n_cut")).select("doc.*", "n_cut").select(*kept, "n_cut")
+    return joined.select(F.col("doc").withField("text", text).alias("doc"), n_cut.alias("n_cut")).select("doc.*", "n_cut").select(*quoted(kept), "n_cut")
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sized, table, written
+from .common import quoted, sized, table, written
 
 BLOCK = 16
 #: Words of a shard, about, and shards whose quotas one task deals at once.
@@ -81,7 +81,7 @@ def blocks(words):
 def measured(docs: DataFrame, keep: list[str], seed: int = SEED) -> DataFrame:
     """doc (struct of the columns to keep), source, size, at (the seeded place of a row)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.struct(*keep).alias("doc"), F.col("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("at"))
+    return docs.select(F.struct(*quoted(keep)).alias("doc"), F.col("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("at"))
 
 
 PLAN = "sid long, source string, source_size long, target double, quota long"
@@ -124,7 +124,7 @@ def _wide_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     target = F.least(cap.cast("double"), F.lit(unit) * F.col("w"))
     votes = F.when(F.col("n") > 0, target * F.col("blocks") / F.col("n")).otherwise(0.0)
     rows = written(rows.withColumns({"target": target, "votes": votes}), "voted")
-    total_votes, most, caps = rows.agg(F.sum("votes"), F.max("votes"), F.sum(F.when(F.col("votes") > 0, MOST * F.col("blocks")))).first()
+    total_votes, most, caps = rows.agg(F.sum(F.col("votes").cast("decimal(38,9)")), F.max("votes"), F.sum(F.when(F.col("votes") > 0, MOST * F.col("blocks")))).first()
     seats = min(round(total_votes), int(caps or 0))
     by = lambda d: F.least(MOST * F.col("blocks"), F.floor(F.col("votes") / d + 0.5))
     low, high = 1e-12, most * 2 + 1
@@ -213,7 +213,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents with the columns of ``docs``: a row for each span that is taken."""
     got = mix(measured(docs, docs.columns)).select("doc", "size", F.explode("spans").alias("x"))
     text = span_text(F.col("doc.text"), F.col("x.start"), F.col("x.end"), F.col("size"))
-    return got.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(docs.columns)
+    return got.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*").select(quoted(docs.columns))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, jaccard_join, mixing, quality_model, token_shards
-from .common import table, written
+from .common import forget, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source weights: a row for each time a document, or a part of it, is taken."""
+    """The mix by source weights: a row for each time a document, or a part of it, is taken.
+
+    Nothing is taken of null and empty texts; a null source is a source; rows that repeat a doc_id are mixed each; an empty table gives no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the written shards hold of each row: doc_id, start, n_tokens, ids_crc32."""
+    """What the written shards hold of each row: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts are the end id alone; rows that repeat a doc_id, and those without one, are written each; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return token_shards.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,9 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            if before is not None:
+                forget(before)  # the next stage's documents are written: nothing reads these again
+            before = docs
     return docs

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow, slices, table, written
+from .common import in_arrow, quoted, slices, table, written
 
 N_FEATURES, RIDGE, SEED, N_BINS = 256, 1e-3, 8, 512
 #: Rows with this remainder of crc32(doc_id as text) by FOLDS are held out; those with CALIBRATE calibrate.
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
+#: Labelled rows that train, about: some 10 MB of ids on each executor.
+TRAIN_ROWS = 400_000
 #: Partitions whose sums of one row of the equations are added up in one group.
 SPREAD = 1024
 THRESHOLD = 0.3
@@ -103,10 +105,18 @@ def isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """fold, y, x (statistics) of the documents with a label, held-out ones left out before any text is read by Python."""
+    """fold, y, x (statistics) of the documents with a label, held-out ones left out before any text is read by Python.
+
+    A document of several labels counts once, as good if one of them says so. Up to ``TRAIN_ROWS`` labels all train; of more,
+    a part of about that many does, taken by hash. Their ids are broadcast, so no text is shuffled to find its label.
+    """
     fold_of = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y")).withColumn("fold", fold_of).where(F.col("fold") != HELD_OUT)
-    rows = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "fold", "y")
+    told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
+    known = written(told.withColumn("fold", fold_of).where(F.col("fold") != HELD_OUT), "known")
+    n = known.count()
+    if n > TRAIN_ROWS:
+        known = known.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * TRAIN_ROWS / n))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "fold", "y")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -173,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``score``, from 0 to 1. Without a model every score is 0.5. Null and empty texts are scored as empty; a column named score is replaced."""
     kept = [c for c in docs.columns if c != "score"]
-    rows = docs.select(F.struct(*kept).alias("doc"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*quoted(kept)).alias("doc"), F.col("text").alias("text"))
     kind = rows.schema["doc"].dataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +197,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(docs.columns)
+    return scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(quoted(docs.columns))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -476,3 +476,56 @@ def test_texts_of_repeated_ids_are_the_largest(spark):
     ids = common.written(spark.createDataFrame([(1,), (2,)], "doc_id long"), "ids")
     assert sorted(map(tuple, jaccard_join._texts(ids, rows).collect())) == [(1, "a"), (2, "b c")]
     assert spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_columns_with_dots_pass_through(spark):
+    df = docs(spark, [(k, f"text number {k} of a few words\nand a line", "en", "s") for k in range(6)]).withColumn("a.b", F.lit("x")).withColumn("c`d", F.lit("y"))
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    kept = [decontamination.decontaminate(df, bench), decontamination.decontaminate(df, bench, "span"), line_spread.without_boilerplate(df).drop("n_cut"), jaccard_join.one_of_each(df), quality_rules.cascade(df).drop("failed_rule"), quality_model.scored(df, quality_model.fit(df, labels)).drop("score")]
+    for got in [*kept, mixing.mixed_documents(df)]:
+        assert got.columns == df.columns
+    for got in kept:
+        assert sorted(r["doc_id"] for r in got.collect()) == list(range(6)) and {(r["a.b"], r["c`d"]) for r in got.collect()} == {("x", "y")}
+    assert {(r["a.b"], r["c`d"]) for r in mixing.mixed_documents(df).collect()} == {("x", "y")}
+
+
+def test_an_item_prefix_that_many_share_is_counted_for_each(spark):
+    shared = " ".join(f"p{k}" for k in range(10))
+    items = [(k, f"{shared} own{k}") for k in range(40)]
+    df = docs(spark, [(1, f"before {shared} behind"), (2, f"{shared} own7"), (3, "p1 p2")])
+    want = {1: 40, 2: 40, 3: 0}
+    for most in (200_000, 10, 0):
+        got = decontamination.contamination(df, spark.createDataFrame(items, "item_id long, text string"), max_set=most).collect()
+        assert {r["doc_id"]: r["n_items"] for r in got} == want and len({r["items_sha256"] for r in got}) == 2
+
+
+def test_labelled_rows_are_found_without_a_shuffle_of_texts(spark, monkeypatch):
+    df = docs(spark, [(k, f"word {k} " * (k % 7 + 1)) for k in range(200)])
+    labels = spark.createDataFrame([*[(k, k % 2, 0) for k in range(150)], *[(k, 1, 1) for k in range(0, 20)], (None, 1, 0), (5, None, 0), (6, 7, 0)], "doc_id long, quality int, toxic int")
+    rows = quality_model.labelled_statistics(df, labels)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x or "SortMergeJoin" in x) and "BroadcastHashJoin" in plan
+    got = sorted((r["fold"], r["y"]) for r in rows.collect())
+    assert got == sorted((quality_model.fold(k), 1 if k < 20 else k % 2) for k in range(150) if quality_model.fold(k) != quality_model.HELD_OUT)
+    monkeypatch.setattr(quality_model, "TRAIN_ROWS", 40)
+    assert 10 < quality_model.labelled_statistics(df, labels).count() < 80
+
+
+def test_partition_sums_solve_the_normal_equations(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["aa", "B", "c1", "dd.", "#", "eee"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    y = [int(t.count("#") < len(t) / 40) for t in texts]
+    df, labels = docs(spark, list(enumerate(texts))).repartition(7), spark.createDataFrame([(k, v, 0) for k, v in enumerate(y)], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(df, labels)
+    own = [k for k in range(300) if quality_model.fold(k) not in (quality_model.HELD_OUT, quality_model.CALIBRATE)]
+    x = np.array([quality_model.statistics(texts[k]) for k in own])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, np.maximum(x.std(0), 1e-9), atol=1e-7)
+    z = quality_model.fourier((x - model.mean) / model.spread)
+    want = np.linalg.solve(z.T @ z + quality_model.RIDGE * len(own) * np.eye(z.shape[1]) / quality_model.N_FEATURES, z.T @ np.array([y[k] for k in own]))
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    # Inner products of the features approach the kernel as their number grows.
+    pts = np.random.default_rng(1).normal(size=(40, 22))
+    f = quality_model.fourier(pts, n=20_000)[:, :-1]
+    kernel = np.exp(-((pts[:, None] - pts[None]) ** 2).sum(2) / (2 * 22))
+    assert np.abs(f @ f.T - kernel).max() < 0.05
