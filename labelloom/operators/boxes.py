@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def parse_spec(df: DataFrame) -> DataFrame:
     """Rows of a text ``x,y,w,h,label;...`` (B13); a label may hold commas, parts without four numbers are left out."""
@@ -40,7 +42,7 @@ def relative_size(boxes: DataFrame, images: DataFrame, by: list[str] = ()) -> Da
     """The exact median of min(w / W, h / H) of boxes on images of known size."""
     sized = images.where("width > 0 and height > 0").select("image_id", "width", "height")
     part = boxes.join(sized.hint("merge"), "image_id").select(*by, F.least(F.col("w") / F.col("width"), F.col("h") / F.col("height")).alias("f"))
-    return part.groupBy(*by).agg(F.median("f").alias("fraction"), F.count("*").alias("boxes"))
+    return quantiles(part, by, "f", [0.5]).select(*by, F.col("q")[0].alias("fraction"), F.col("n").alias("boxes"))
 
 
 def yolo(boxes: DataFrame, images: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.sources.scratch import sized, written
+
+from .ordered import cuts, prefix_sums, value_counts
+
 BINS, MIN_ROWS, PER_BIN, EPSILON = 10, 200, 100, 1e-4
 WATCH, CHANGED = 0.10, 0.25
 
@@ -23,21 +27,34 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= value))
 
 
-def shares(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """feature, props: the share of each bin, empty ones included."""
-    rows = values.where(finite(F.col("value"))).join(F.broadcast(edges), "feature")
-    by_bin = rows.groupBy("feature", "edges", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("*").alias("c"))
-    found = by_bin.groupBy("feature", "edges").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"))
-    props = F.transform(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)) / F.col("n"))
-    return found.select("feature", "edges", props.alias("props"))
+def binned(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """feature, edges, counts (rows of each bin, empty ones 0), n and mean of the values of each feature that has edges, in one pass."""
+    rows = values.where(finite(F.col("value"))).join(sized(edges), "feature")
+    by_bin = rows.groupBy("feature", "edges", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.count("*").alias("c"), F.sum("value").alias("s"))
+    found = by_bin.groupBy("feature", "edges").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("n"), F.sum("s").alias("s"))
+    counts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)))
+    return found.select("feature", "edges", counts.alias("counts"), "n", (F.col("s") / F.col("n")).alias("mean"))
+
+
+def shares_of(counts: Column, n: Column) -> Column:
+    return F.transform(counts, lambda c: c / n)
 
 
 def baseline(values: DataFrame, bins: int = BINS) -> DataFrame:
-    """Per feature: distinct quantile edges, actual shares, mean, population std, rows."""
+    """Per feature: distinct quantile edges, actual shares, mean, population std, rows (I1), as a written table.
+
+    Edges and how many values lie under each come from the same running sums over ranges of values.
+    """
     ok = values.where(finite(F.col("value")))
-    at = ", ".join(str(k / bins) for k in range(bins + 1))
-    stats = ok.groupBy("feature").agg(F.expr(f"array_distinct(percentile(value, array({at})))").alias("edges"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
-    return stats.join(shares(ok, stats.select("feature", "edges")).drop("edges").hint("shuffle_hash"), "feature")
+    met = cuts(prefix_sums(value_counts(ok, ["feature"], "value"), ["feature"], "v", ["c"]), ["feature"], "v", ["c"], [k / bins for k in range(bins + 1)])
+    once = met.groupBy("feature", F.col("t").alias("edge")).agg(F.min("under_c").alias("under"), F.max("total_c").alias("n"))
+    edges = once.groupBy("feature", "n").agg(F.array_sort(F.collect_list(F.struct("edge", "under"))).alias("x"))
+    # The ends are open: nothing lies under the first edge, everything under the last.
+    under = lambda k: F.when(k == 0, 0).when(k == F.size("x") - 1, F.col("n")).otherwise(F.get(F.col("x"), k)["under"])
+    props = F.transform(F.sequence(F.lit(0), F.greatest(F.size("x") - 2, F.lit(0))), lambda k: F.when(F.size("x") == 1, 1.0).otherwise((under(k + 1) - under(k)) / F.col("n")))
+    moments = ok.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    cut = edges.select("feature", F.transform("x", lambda x: x["edge"]).alias("edges"), props.alias("props"), "n")
+    return written(moments.join(cut.hint("merge"), "feature").select("feature", "edges", "mean", "std", "n", "props"), "baseline")
 
 
 def coarsened(edges: Column, props: Column, n: Column, per_bin: int = PER_BIN) -> Column:
@@ -59,9 +76,13 @@ def psi(expected: Column, actual: Column) -> Column:
 
 
 def baseline_psi(base: DataFrame, current: DataFrame) -> DataFrame:
-    """feature, psi against the baseline's own bins and shares (I5); fewer than 3 edges or no rows give NaN."""
-    actual = shares(current, base.select("feature", "edges")).select("feature", F.col("props").alias("actual"))
-    got = base.join(actual.hint("shuffle_hash"), "feature", "left")
+    """feature, psi against the baseline's own bins and shares (I5); fewer than 3 edges or no rows give NaN.
+
+    A baseline whose shares are not one fewer than its edges is an error.
+    """
+    base = base.withColumn("props", F.when(F.size("props") == F.greatest(F.size("edges") - 1, F.lit(1)), F.col("props")).otherwise(F.raise_error(F.concat(F.lit("wrong number of shares of "), "feature"))))
+    actual = binned(current, written(base.select("feature", "edges"), "edges")).select("feature", shares_of(F.col("counts"), F.col("n")).alias("actual"))
+    got = base.join(actual.hint("merge"), "feature", "left")
     usable = (F.size("edges") >= 3) & F.col("actual").isNotNull()
     return got.select("feature", F.when(usable, psi(F.col("props"), F.col("actual"))).otherwise(F.lit(float("nan"))).alias("psi"))
 
@@ -73,14 +94,12 @@ def level(value: Column) -> Column:
 
 def feature_drift(base: DataFrame, current: DataFrame) -> DataFrame:
     """Per feature: psi, level, means, shift in sigmas, n_current (I7). Too few current rows withhold the index."""
-    now = current.groupBy("feature").agg(F.count("*").alias("n_current"), F.avg("value").alias("current_mean"))
-    both = base.join(now.hint("shuffle_hash"), "feature")
-    cut = both.withColumn("c", coarsened(F.col("edges"), F.col("props"), F.least("n", "n_current")))
-    edges = cut.select("feature", F.col("c.edges").alias("edges"))
-    actual = shares(current, edges).select("feature", F.col("props").alias("actual"))
-    got = cut.join(actual.hint("shuffle_hash"), "feature", "left")
-    usable = (F.col("n_current") >= MIN_ROWS) & (F.size("c.edges") >= 3) & F.col("actual").isNotNull()
-    value = F.when(usable, psi(F.col("c.props"), F.col("actual"))).otherwise(F.lit(float("nan")))
+    # Merged bins are unions of the baseline's own: the current rows are counted once, on those.
+    now = binned(current, base.select("feature", "edges")).select("feature", "counts", F.col("n").alias("n_current"), F.col("mean").alias("current_mean"))
+    few = F.least("n", "n_current")
+    got = base.join(now.hint("merge"), "feature").withColumn("c", coarsened(F.col("edges"), F.col("props"), few)).withColumn("a", coarsened(F.col("edges"), shares_of(F.col("counts"), F.col("n_current")), few))
+    usable = (F.col("n_current") >= MIN_ROWS) & (F.size("c.edges") >= 3)
+    value = F.when(usable, psi(F.col("c.props"), F.col("a.props"))).otherwise(F.lit(float("nan")))
     return got.select("feature", value.alias("psi"), level(value).alias("level"), F.col("mean").alias("baseline_mean"), "current_mean", F.when(F.col("std") > 0, (F.col("current_mean") - F.col("mean")) / F.col("std")).otherwise(F.lit(float("nan"))).alias("shift_sigma"), "n_current")
 
 

@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.sources.scratch import written
+
+from .components import connected
+
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 BINS, LEAST_AREA = 16, 9
 
@@ -69,7 +73,7 @@ def profiles(cells: DataFrame) -> DataFrame:
     """image_id and the spread of column and row means (K5)."""
     df = cells.repartition("image_id")
     spread = lambda axis, name: df.groupBy("image_id", axis).agg(F.avg("value").alias("m")).groupBy("image_id").agg(F.stddev_pop("m").alias(name))
-    return spread("gx", "col_profile_std").join(spread("gy", "row_profile_std"), "image_id")
+    return spread("gx", "col_profile_std").join(spread("gy", "row_profile_std").hint("merge"), "image_id")
 
 
 def _shares(df: DataFrame, key: str, bins: int, name: str) -> DataFrame:
@@ -151,35 +155,64 @@ def bounding_boxes(cells: DataFrame, by: list[str]) -> DataFrame:
     return cells.groupBy(*by).agg(x.alias("x"), y.alias("y"), (F.max("gx") - x + 1).alias("w"), (F.max("gy") - y + 1).alias("h"), F.count("*").alias("area"))
 
 
-def blobs(cells: DataFrame) -> DataFrame:
-    """image_id, gy, gx, blob: cells that touch, corners included, share a number (K14). A task holds one image's mask."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, number = set(zip(pdf.gy, pdf.gx)), {}
-        for start in sorted(free):
-            if start in number:
-                continue
-            number[start], edge = len(number), [start]
-            while edge:
-                y, x = edge.pop()
-                for c in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
-                    if c in free and c not in number:
-                        number[c] = number[start]
-                        edge.append(c)
-        return pd.DataFrame({"image_id": pdf.image_id, "gy": pdf.gy, "gx": pdf.gx, "blob": [number[c] for c in zip(pdf.gy, pdf.gx)]})
+#: Columns of the stripes by which runs of neighbouring rows meet.
+STRIPE = 64
 
+
+def row_runs(cells: DataFrame) -> DataFrame:
+    """image_id, gy, x0, x1, run: the unbroken runs of cells in each row of an image, with a number of their own, written."""
     cells = cells.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "gy", "gx")]).distinct()
-    return cells.groupBy("image_id").applyInPandas(one, "image_id long, gy long, gx long, blob long")
+    w = Window.partitionBy("image_id", "gy").orderBy("gx")
+    # In a run place and column rise together, so their difference names it.
+    got = cells.withColumn("d", F.col("gx") - F.row_number().over(w)).groupBy("image_id", "gy", "d").agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"))
+    return written(got.drop("d").withColumn("run", F.monotonically_increasing_id()), "runs")
+
 
+def touching(runs: DataFrame) -> DataFrame:
+    """a, b: runs of adjacent rows that touch, corners included. Runs meet by the stripes of columns that they reach."""
+    stripes = lambda low, high: F.explode(F.sequence(F.floor((F.col("x0") - low) / STRIPE), F.floor((F.col("x1") + high) / STRIPE))).alias("stripe")
+    up = runs.select("image_id", (F.col("gy") + 1).alias("gy"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("a"), stripes(1, 1))
+    down = runs.select("image_id", "gy", F.col("x0").alias("d0"), F.col("x1").alias("d1"), F.col("run").alias("b"), stripes(0, 0))
+    met = up.hint("merge").join(down, ["image_id", "gy", "stripe"])
+    return met.where("u0 <= d1 + 1 and d0 <= u1 + 1").select("a", "b").distinct()
 
-def boxes_of(cells: DataFrame, least: int = LEAST_AREA, most: int | None = None) -> DataFrame:
-    """image_id, k, x, y, w, h, area: a box a blob of ``least`` cells or more, the largest first, ``most`` of an image if given."""
-    got = bounding_boxes(blobs(cells), ["image_id", "blob"]).where(F.col("area") >= least)
+
+def blobs(cells: DataFrame) -> DataFrame:
+    """image_id, gy, x0, x1, blob: runs of cells; those that touch, corners included, share a number.
+
+    Rows fall into runs, runs of adjacent rows into edges, and edges into components: no task holds an image's mask.
+    """
+    runs = row_runs(cells)
+    return runs.join(connected(runs.select(F.col("run").alias("id")), touching(runs)).withColumnRenamed("id", "run").withColumnRenamed("label", "blob").hint("merge"), "run").drop("run")
+
+
+def boxes_of(cells: DataFrame, least: int = LEAST_AREA, most: int | None = None, share: float = 0.0, sizes: DataFrame | None = None) -> DataFrame:
+    """image_id, k, x, y, w, h, area: a box a blob of ``least`` cells or more, the largest first, ``most`` of an image if given.
+
+    With ``sizes`` (image_id, cells of the whole map) a blob must also hold ``share`` of its map.
+    """
+    x, y = F.min("x0"), F.min("gy")
+    spans = blobs(cells).groupBy("image_id", "blob").agg(x.alias("x"), y.alias("y"), (F.max("x1") - x + 1).alias("w"), (F.max("gy") - y + 1).alias("h"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    got = spans.where(F.col("area") >= least)
+    if sizes is not None:
+        got = got.join(sizes.hint("merge"), "image_id").where(F.col("area") >= share * F.col("cells")).drop("cells")
     order = F.col("area") if most else F.col("w") * F.col("h")
     got = got.withColumn("k", F.row_number().over(Window.partitionBy("image_id").orderBy(order.desc(), "y", "x", "blob")))
     return (got.where(F.col("k") <= most) if most else got).drop("blob")
 
 
+#: Of a score map: boxes an image has at most, and share of the map that a blob holds at least.
+MOST_BOXES, LEAST_SHARE = 8, 0.0002
+
+
+def score_map_boxes(scores: DataFrame, threshold: float, decisions: DataFrame) -> DataFrame:
+    """Boxes of the blobs of each map at its cut level (K16): at least LEAST_AREA cells and LEAST_SHARE of the map, the MOST_BOXES largest."""
+    level = cut_levels(scores, threshold, decisions)
+    sizes = scores.groupBy("image_id").agg(F.count("*").alias("cells"))
+    hot = scores.join(level.hint("merge"), "image_id").where("score >= level")
+    return boxes_of(hot, most=MOST_BOXES, share=LEAST_SHARE, sizes=sizes)
+
+
 def mask_outcomes(images: DataFrame, boxed: DataFrame, drawn: DataFrame, cells: DataFrame) -> DataFrame:
     """image_id, reason of every image: existing, no_mask, all_specks or drawn (K15); images with boxes keep theirs."""
     flag = lambda df, n: df.select("image_id").distinct().withColumn(n, F.lit(True)).hint("merge")
@@ -191,7 +224,7 @@ def mask_outcomes(images: DataFrame, boxed: DataFrame, drawn: DataFrame, cells:
 
 def cut_levels(scores: DataFrame, threshold: float, decisions: DataFrame) -> DataFrame:
     """image_id, level: the threshold, or the 99.5 percentile where a defect has nothing over it."""
-    got = scores.groupBy("image_id").agg(F.max("score").alias("top"), F.percentile("score", 0.995).alias("p")).join(decisions, "image_id")
+    got = scores.groupBy("image_id").agg(F.max("score").alias("top"), F.percentile("score", 0.995).alias("p")).join(decisions.hint("merge"), "image_id")
     return got.select("image_id", F.when((F.col("decision") == "defect") & (F.col("top") < threshold), F.col("p")).otherwise(F.lit(threshold)).alias("level"))
 
 

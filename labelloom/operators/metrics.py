@@ -1,15 +1,17 @@
 """Evaluation metrics: thresholds, ranking measures, business effect (section G).
 
 Inputs have ``y`` (1: defect) and ``score``. Every function takes ``by``, grouping columns; ranking measures
-first reduce to one row per distinct score, so their ordered windows hold scores, not rows, and each group's
-window is its own partition. An offline 0/0 is 0.0, a live one NaN.
+first reduce to one row per distinct score and then take running sums over ranges of scores, so one large group is
+many tasks' work. An offline 0/0 is 0.0, a live one NaN.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import cuts, prefix_sums
+
 STEPS, MIN_DEFECTS = 60, 5
 GOOD_AUROC, USABLE_AUROC = 0.9, 0.75
 
@@ -43,58 +45,54 @@ def by_score(df: DataFrame, by: list[str] = ()) -> DataFrame:
     return df.groupBy(*by, "score").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
 
 
+def _steps(df: DataFrame, by: list[str]) -> DataFrame:
+    """A row per distinct score with pos and neg, what lies under it and in its group: no group meets in one task."""
+    return prefix_sums(by_score(df, by), by, "score", ["pos", "neg"])
+
+
+def ranking(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """auroc (G2) and average_precision (G3) of each group in one pass: ties as half, steps over distinct scores; NaN with one class."""
+    p, n = F.sum("pos"), F.sum("neg")
+    both, nan = (p > 0) & (n > 0), F.lit(float("nan"))
+    area = F.sum(F.col("pos") * (F.col("under_neg") + F.col("neg") / 2.0))
+    # Alarmed at a score are all rows that do not lie under it.
+    tp, alarms = F.col("total_pos") - F.col("under_pos"), F.col("total_pos") + F.col("total_neg") - F.col("under_pos") - F.col("under_neg")
+    steps = F.sum(F.col("pos") * tp / alarms)
+    return _steps(df, by).groupBy(*by).agg(F.when(both, area / (p.cast("double") * n)).otherwise(nan).alias("auroc"), F.when(both, steps / p).otherwise(nan).alias("average_precision"))
+
+
 def auroc(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Area under the ROC curve, ties as half; NaN with one class."""
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    steps = by_score(df, by).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    p, n = F.sum("pos"), F.sum("neg")
-    area = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0))
-    return steps.groupBy(*by).agg(F.when((p > 0) & (n > 0), area / (p.cast("double") * n)).otherwise(F.lit(float("nan"))).alias("auroc"))
+    return ranking(df, by).drop("average_precision")
 
 
 def average_precision(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """Step-wise average precision over distinct scores; NaN with one class."""
-    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by_score(df, by).withColumns({"tp": F.sum("pos").over(above), "n": F.sum(F.col("pos") + F.col("neg")).over(above)})
-    p, neg = F.sum("pos"), F.sum("neg")
-    return steps.groupBy(*by).agg(F.when((p > 0) & (neg > 0), F.sum(F.col("pos") * F.col("tp") / F.col("n")) / p).otherwise(F.lit(float("nan"))).alias("average_precision"))
+    return ranking(df, by).drop("auroc")
 
 
 def roc_points(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """fpr, tpr, threshold along the curve without collinear points, from (0, 0, infinity) on."""
-    above = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(*by).orderBy(F.desc("score"))
-    steps = by_score(df, by)
-    total = Window.partitionBy(*by)
-    at = steps.withColumns({"tps": F.sum("pos").over(above), "fps": F.sum("neg").over(above), "p": F.sum("pos").over(total), "n": F.sum("neg").over(total)}).where("p > 0 and n > 0")
-    bend = (F.lead("pos").over(order) != F.col("pos")) | (F.lead("neg").over(order) != F.col("neg")) | F.lead("pos").over(order).isNull() | (F.row_number().over(order) == 1)
-    kept = at.withColumn("bend", bend).where("bend").select(*by, (F.col("fps") / F.col("n")).alias("fpr"), (F.col("tps") / F.col("p")).alias("tpr"), F.col("score").cast("double").alias("threshold"))
-    start = at.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")).distinct()
+    at = _steps(df, by).where("total_pos > 0 and total_neg > 0")
+    # The curve bends where the next lower score adds other counts, and ends at the least; the highest score is kept as it is.
+    bend = F.col("prev_pos").isNull() | (F.col("prev_pos") != F.col("pos")) | (F.col("prev_neg") != F.col("neg"))
+    top = (F.col("under_pos") + F.col("pos") == F.col("total_pos")) & (F.col("under_neg") + F.col("neg") == F.col("total_neg"))
+    reached = lambda c: (F.col(f"total_{c}") - F.col(f"under_{c}")) / F.col(f"total_{c}")
+    kept = at.where(bend | top).select(*by, reached("neg").alias("fpr"), reached("pos").alias("tpr"), F.col("score").cast("double").alias("threshold"))
+    start = at.where(top).select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
     return start.unionByName(kept)
 
 
 def sweep(df: DataFrame, by: list[str] = (), steps: int = STEPS) -> DataFrame:
     """Counts and rates at the distinct linear quantiles of the scores, ``steps`` of them at most.
 
-    Rows meet at most ``steps`` thresholds of their group without a product of rows and thresholds: each distinct
-    score is placed among the sorted thresholds, and cumulative sums over the places give every threshold's counts.
+    Quantiles and their counts are read from the same running sums of pos and neg over the distinct scores: rows meet no
+    table of thresholds. With fewer rows than steps the quantiles are the scores themselves.
     """
-    key = list(by)
-    together = lambda a, b: a.join(b.hint("shuffle_hash"), key) if key else a.crossJoin(F.broadcast(b))
-    stats = df.groupBy(*key).agg(F.expr(f"percentile(score, array({', '.join(str(k / (steps - 1)) for k in range(steps))}))").alias("q"), F.count("score").alias("n"))
-    scores = by_score(df, key)
-    # With fewer rows than steps the quantiles are the scores themselves.
-    own = together(scores, stats.where(F.col("n") < steps).select(*key)) if key else scores.crossJoin(F.broadcast(stats.where(F.col("n") < steps).select("n")))
-    all_ = own.select(*key, F.col("score").cast("double").alias("t")).unionByName(stats.where(F.col("n") >= steps).select(*key, F.explode("q").alias("t")))
-    quantiles = all_.groupBy(*key).agg(F.sort_array(F.collect_set("t")).alias("q"))
-    placed = together(scores, quantiles)
-    place = F.size(F.filter("q", lambda t: t <= F.col("score")))  # how many thresholds a row reaches
-    bins = placed.select(*by, place.alias("place"), "pos", "neg").groupBy(*by, "place").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    thresholds = quantiles.select(*by, F.posexplode("q").alias("k", "threshold"), F.size("q").alias("m"))
-    joined = thresholds.join(bins.hint("shuffle_hash"), list(by), "left") if by else thresholds.crossJoin(F.broadcast(bins))
-    hit = F.col("place") > F.col("k")
-    side = lambda c, ok: F.sum(F.when(ok, F.col(c)).otherwise(0))
-    return rates(joined.groupBy(*by, "threshold").agg(side("pos", hit).alias("tp"), side("neg", hit).alias("fp"), side("pos", ~hit).alias("fn"), side("neg", ~hit).alias("tn")))
+    met = cuts(_steps(df, by), by, "score", ["pos", "neg"], [k / (steps - 1) for k in range(steps)], least=steps)
+    once = met.groupBy(*by, F.col("t").alias("threshold")).agg(*[F.first(c).alias(c) for c in ("under_pos", "under_neg", "total_pos", "total_neg")])
+    at = {"tp": F.col("total_pos") - F.col("under_pos"), "fp": F.col("total_neg") - F.col("under_neg"), "fn": F.col("under_pos"), "tn": F.col("under_neg")}
+    return rates(once.select(*by, "threshold", *[c.alias(n) for n, c in at.items()]))
 
 
 def threshold_for_recall(df: DataFrame, target: float = 0.95, by: list[str] = ()) -> DataFrame:
@@ -105,8 +103,8 @@ def threshold_for_recall(df: DataFrame, target: float = 0.95, by: list[str] = ()
 
 def thresholds_by_category(df: DataFrame, target: float = 0.95) -> DataFrame:
     """Per category: threshold, or null and the reason it was skipped."""
-    defects = df.groupBy("category").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("defects"))
-    got = defects.join(threshold_for_recall(df, target, ["category"]).hint("merge"), "category", "left")
+    order = F.when(F.col("recall") >= target, F.struct("fp", -F.col("threshold")))
+    got = sweep(df, ["category"]).groupBy("category").agg(F.max(F.col("tp") + F.col("fn")).alias("defects"), F.min_by("threshold", order).alias("threshold"))
     reason = F.when(F.col("defects") < MIN_DEFECTS, "few_defects").when(F.col("threshold").isNull(), "infeasible")
     return got.select("category", "defects", F.when(reason.isNull(), F.col("threshold")).alias("threshold"), reason.alias("skipped"))
 
@@ -170,10 +168,7 @@ def live_performance(df: DataFrame, by: list) -> DataFrame:
 
 def summary(df: DataFrame, threshold: Column, by: list[str]) -> DataFrame:
     """Counts, rates, auroc and average_precision of each group in one row."""
-    got = at_threshold(df, threshold, by)
-    for part in (auroc(df, by), average_precision(df, by)):
-        got = got.join(part.hint("shuffle_hash"), by)
-    return got
+    return at_threshold(df, threshold, by).join(ranking(df, by).hint("merge"), by)
 
 
 def mixed_overall(df: DataFrame, per_category: DataFrame, overall: DataFrame) -> DataFrame:
@@ -185,11 +180,12 @@ def mixed_overall(df: DataFrame, per_category: DataFrame, overall: DataFrame) ->
 def threshold_effect(df: DataFrame, per_category: DataFrame, overall: DataFrame) -> DataFrame:
     """One row: what thresholds by category change against the shared one (G12); rows are read once."""
     rows = with_thresholds(df, per_category, overall)
-    shared = F.col("score") >= F.col("shared")
-    under = lambda predicted: rates(rows.agg(*counts(F.col("y"), predicted))).select("recall", "precision", "fp", "fn")
-    one, own = under(shared), under(F.col("predicted"))
-    pair = one.select(*[F.col(c).alias(f"{c}_shared") for c in one.columns]).crossJoin(F.broadcast(own))
-    return pair.select(*[(F.col(c) - F.col(f"{c}_shared")).alias(f"{c}_change") for c in own.columns])
+    names = ("tp", "fp", "fn", "tn")
+    under = lambda predicted, tag: [c.alias(f"{n}{tag}") for c, n in zip(counts(F.col("y"), predicted), names, strict=True)]
+    both = rows.agg(*under(F.col("score") >= F.col("shared"), "_shared"), *under(F.col("predicted"), "_own"))
+    rate = lambda a, b, tag: ratio(F.col(f"{a}{tag}"), F.col(f"{a}{tag}") + F.col(f"{b}{tag}"))
+    change = lambda a, b: rate(a, b, "_own") - rate(a, b, "_shared")
+    return both.select(change("tp", "fn").alias("recall_change"), change("tp", "fp").alias("precision_change"), *[(F.col(f"{c}_own") - F.col(f"{c}_shared")).alias(f"{c}_change") for c in ("fp", "fn")])
 
 
 def localization(cells: DataFrame) -> DataFrame:
@@ -217,10 +213,7 @@ def validated(df: DataFrame, target: float = 0.95) -> DataFrame:
     """Per category: auroc and average precision on all rows, the threshold from the rows with ``first``, metrics on the others."""
     per = thresholds_by_category(df.where("first"), target).where("threshold is not null").select("category", "threshold")
     rest = df.where("not first").join(per.hint("shuffle_hash"), "category")
-    got = at_threshold(rest, F.col("threshold"), ["category", "threshold"])
-    for part in (auroc(df, ["category"]), average_precision(df, ["category"])):
-        got = got.join(part.hint("shuffle_hash"), "category")
-    return got
+    return at_threshold(rest, F.col("threshold"), ["category", "threshold"]).join(ranking(df, ["category"]).hint("merge"), "category")
 
 
 def verdict(df: DataFrame, target: float = 0.95) -> DataFrame:

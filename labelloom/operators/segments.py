@@ -6,7 +6,10 @@ every window. Interval tests between runs of one video use the runs' order, not
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,25 +68,44 @@ def false_alarms(frames: DataFrame, gap: int = 0, slack: int = SLACK) -> DataFra
     both = alarms.unionByName(runs(frames, F.col("truth"), gap).withColumn("alarm", F.lit(False)))
     w = Window.partitionBy("video").orderBy("start", "end")
     before = F.max(F.when(~F.col("alarm"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    behind = F.min(F.when(~F.col("alarm"), F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("video").orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = F.min(F.when(~F.col("alarm"), F.col("start"))).over(back)
     near = F.coalesce(F.col("start") - before - 1 <= slack, F.lit(False)) | F.coalesce(behind - F.col("end") - 1 <= slack, F.lit(False))
     short = F.col("end") - F.col("start") + 1 <= slack
     return both.withColumn("slop", short & near).where("alarm and not slop").select("video", "start", "end")
 
 
-def report(frames: DataFrame, min_hits: int = 1, gap: int = 0, fps: float = FPS) -> DataFrame:
-    """One row per video: run counts, frame and segment rates, false alarms a minute, flooding (H3, H4)."""
+def report(frames: DataFrame, min_hits: int = 1, gap: int = 0, fps: float = FPS, slack: int = SLACK) -> DataFrame:
+    """One row per video: run counts, frame and segment rates, false alarms a minute, flooding (H3, H4).
+
+    One pass: frames are dealt out by video once. A window in order finds where runs of the four flags begin, one in
+    reverse order where they end, and a last one carries a run's begin to its end, where the run is judged.
+    """
+    order = Window.partitionBy("video").orderBy("pos")
+    back = Window.partitionBy("video").orderBy(F.desc("pos"))
+    so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    t, p, pos = F.col("truth"), F.col("predicted"), F.col("pos")
+    flags = {"t": t, "p": p, "r": t & p, "w": ~t & p}
+    far = lambda a, b: a.isNull() | b.isNull() | (F.abs(a - b) - 1 > gap)
+    df = frames.select("video", "pos", *[F.coalesce(c, F.lit(False)).alias(c2) for c, c2 in ((t, "truth"), (p, "predicted"))])
+    df = df.withColumns({f"last_{k}": F.max(F.when(c, pos)).over(earlier) for k, c in flags.items()})
+    df = df.withColumns({f"next_{k}": F.min(F.when(flags[k], pos)).over(later) for k in ("t", "w")})
+    inside = t | ~far(F.col("last_t"), F.col("next_t"))
+    df = df.withColumns({f"new_{k}": c & far(F.col(f"last_{k}"), pos) for k, c in flags.items()} | {"inside": inside, "hit": F.when(p & inside, 1).otherwise(0)})
+    at_start = lambda k, value: F.last(F.when(F.col(f"new_{k}"), value), ignorenulls=True).over(so_far)
+    hits = F.sum("hit").over(so_far)
+    beside = inside | F.coalesce(pos - F.col("last_t") - 1 <= slack, F.lit(False))
+    df = df.withColumn("hits", hits)
+    df = df.withColumns({"hits_before": at_start("t", F.col("hits") - F.col("hit")), "w_start": at_start("w", pos), "w_beside": at_start("w", beside)})
+    ends = {k: flags[k] & far(F.col(f"next_{k}"), pos) for k in ("t", "w")}
+    forgiven = (pos - F.col("w_start") + 1 <= slack) & (F.col("w_beside") | inside | F.coalesce(F.col("next_t") - pos - 1 <= slack, F.lit(False)))
     n = lambda ok: F.sum(F.when(ok, 1).otherwise(0))
-    t, p = F.col("truth"), F.col("predicted")
-    base = frames.groupBy("video").agg(F.count("*").alias("frames"), n(t).alias("t"), n(p).alias("p"), n(t & p).alias("tp"), n(~t & p).alias("wrong"), n(~t).alias("normal"), ((F.max("pos") - F.min("pos")) / fps).alias("duration_sec"))
-    hit = truth_hits(frames, min_hits, gap).groupBy("video").agg(F.count("*").alias("truth_runs"), n(F.col("caught")).alias("caught"))
-    alarm = false_alarms(frames, gap).groupBy("video").agg(F.count("*").alias("false_alarms"))
-    pred = runs(frames, p, gap).groupBy("video").agg(F.count("*").alias("predicted_runs"))
-    right = runs(frames, t & p, gap).groupBy("video").agg(F.count("*").alias("on_target"))
-    got = base
-    for part in (hit, alarm, pred, right):
-        got = got.join(part.hint("shuffle_hash"), "video", "left")
-    got = got.fillna(0, ["truth_runs", "caught", "false_alarms", "predicted_runs", "on_target"])
+    caught = ends["t"] & (F.col("hits") - F.col("hits_before") >= max(min_hits, 1))
+    got = df.groupBy("video").agg(
+        n(F.col("new_t")).alias("truth_runs"), n(F.col("new_p")).alias("predicted_runs"), n(F.col("new_r")).alias("on_target"), n(caught).alias("caught"), n(ends["w"] & ~forgiven).alias("false_alarms"),
+        n(t).alias("t"), n(p).alias("p"), n(t & p).alias("tp"), n(~t & p).alias("wrong"), n(~t).alias("normal"), ((F.max("pos") - F.min("pos")) / fps).alias("duration_sec"),
+    )
     nan = F.lit(float("nan"))
     ratio = lambda a, b, empty=nan: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(empty)
     return got.select(
@@ -122,22 +144,63 @@ def changed_ratio(a: Column, b: Column, step: float = 0.05) -> Column:
     return F.aggregate(diff, F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def drop_still_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20, step: float = 0.05) -> DataFrame:
-    """video, pos of frames that differ from the last kept one, or come after ``most_drops`` drops.
+def changes(frames: DataFrame) -> DataFrame:
+    """video, pos, changed: the share of cells that each frame changes against the one before it."""
+    before = F.lag("cells").over(Window.partitionBy("video").orderBy("pos"))
+    return frames.withColumn("before", before).where("before is not null").select("video", "pos", changed_ratio(F.col("cells"), F.col("before")).alias("changed"))
+
 
-    Each decision depends on the last kept frame, so a video is folded in order, in one group.
+FOLDED = "video long, pos long, kept boolean, drops int, cells array<double>"
+
+
+def fold_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20, step: float = 0.05) -> DataFrame:
+    """FOLDED rows of frames (video, pos, cells, drops), taken video by video in order of pos: the kept ones, and last of each video what the fold goes on from.
+
+    A frame whose ``drops`` is not null is no frame but such a row of an earlier fold: the cells last kept, and how many
+    frames were dropped since. Each decision depends on the last kept frame, so one video's frames go through one task;
+    the task holds that frame and an Arrow batch, however long the video. The rows to go on from have kept false; all kept
+    ones have no cells.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, last, drops, keep = part.sort_values("pos"), None, 0, []
-        for cells in part["cells"]:
-            same = last is not None and sum(abs(x - y) > step for x, y in zip(cells, last, strict=True)) / len(cells) < least
-            drop = same and drops < most_drops
-            drops, last = (drops + 1, last) if drop else (0, cells)
-            keep.append(not drop)
-        return part.loc[keep, ["video", "pos"]]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video = last = pos = None
+        drops = 0
+        names = ["video", "pos", "kept", "drops", "cells"]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.float64())]
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for b in batches:
+            out = []
+            ends, values = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(zero_copy_only=False)
+            for k, (v, p, before) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                grid = values[ends[k] : ends[k + 1]]
+                if v != video:
+                    if last is not None:
+                        out.append((video, pos, False, drops, last.tolist()))
+                    video, last, drops = v, None, 0
+                pos = p
+                if before is not None:
+                    last, drops = grid.copy(), before
+                elif last is None or len(last) != len(grid) or drops >= most_drops or np.count_nonzero(np.abs(grid - last) > step) >= least * len(grid):
+                    last, drops = grid.copy(), 0
+                    out.append((v, p, True, 0, None))
+                else:
+                    drops += 1
+            if out:
+                yield told(out)
+        if last is not None:
+            yield told([(video, pos, False, drops, last.tolist())])
+
+    rows = frames.select(F.col("video").cast("long").alias("video"), F.col("pos").cast("long").alias("pos"), F.col("cells").cast("array<double>").alias("cells"), F.col("drops").cast("int").alias("drops"))
+    ordered = rows.repartition("video").sortWithinPartitions("video", F.col("drops").isNull(), "pos")
+    return ordered.mapInArrow(fold, FOLDED)
 
-    return frames.select("video", "pos", "cells").groupBy("video").applyInPandas(fold, "video long, pos long")
+
+def drop_still_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20, step: float = 0.05) -> DataFrame:
+    """video, pos of frames that differ from the last kept one, or come after ``most_drops`` drops."""
+    return fold_frames(frames.withColumn("drops", F.lit(None).cast("int")), least, most_drops, step).where("kept").select("video", "pos")
 
 
 def bands(frames: DataFrame, gap: int = 0) -> DataFrame:

@@ -21,14 +21,14 @@ SELECT d.doc_id AS seq, substr(sha1(d.text),1,16) AS image_id, sha1(d.text) AS s
 FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id
 """,
     "f_label_events": """
-SELECT e.event_id AS seq, e.event_id % 200 AS image_seq,
+SELECT e.event_id AS seq, e.event_id % (SELECT count(*) FROM documents) AS image_seq,
   CASE e.event_type WHEN 'error' THEN 'defect' WHEN 'signup' THEN 'defect' WHEN 'click' THEN 'normal' WHEN 'purchase' THEN 'normal' ELSE 'unlabeled' END AS label,
   CASE e.event_type WHEN 'error' THEN 'scratch' WHEN 'signup' THEN 'poke' ELSE 'none' END AS defect_type,
   e.user_id % 2 = 0 AS verified, concat('user-',CAST(e.user_id AS VARCHAR(20))) AS labeled_by, e.ts AS labeled_at
 FROM events e
 """,
     "f_inference_log": """
-SELECT e.event_id AS seq, e.ts AS logged_at, concat('v00',CAST(1 + e.event_id % 3 AS VARCHAR(20))) AS version, e.event_id % 200 AS image_seq,
+SELECT e.event_id AS seq, e.ts AS logged_at, concat('v00',CAST(1 + e.event_id % 3 AS VARCHAR(20))) AS version, e.event_id % (SELECT count(*) FROM documents) AS image_seq,
   e.event_type AS category, concat('u',CAST(e.user_id AS VARCHAR(20))) AS grp, e.value AS score, CAST(50.0 AS DOUBLE) AS threshold,
   CASE WHEN e.value >= 50.0 THEN 'defect' ELSE 'normal' END AS decision, e.props AS props
 FROM events e
@@ -39,7 +39,7 @@ FROM documents d JOIN labels l ON d.doc_id=l.doc_id
 """,
     "f_eval_big": """
 SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS id, p.p_brand AS category,
-  CASE WHEN l.l_returnflag='R' THEN 1 ELSE 0 END AS y, l.l_quantity AS score
+  CASE WHEN l.l_returnflag='R' THEN 1 ELSE 0 END AS y, CAST(l.l_quantity AS DOUBLE) + CAST(floor(l.l_extendedprice) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS score
 FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey
 """,
     "f_frames": """
@@ -87,6 +87,10 @@ FROM documents
 SELECT vec_id AS id, CASE WHEN label < 5 THEN 'ref' ELSE 'cand' END AS side,
   concat('f',lpad(CAST(pos AS STRING),2,'0')) AS feature, CAST(v AS DOUBLE) AS value
 FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, v
+""",
+    "f_clips": """
+SELECT vec_id div 20 AS video, vec_id * 32 + j AS pos, transform(embedding, v -> (128 + 200 * CAST(v AS DOUBLE)) / 255 + CAST(j AS DOUBLE) * CAST(0.004 AS DOUBLE)) AS cells
+FROM embeddings LATERAL VIEW explode(sequence(0, CAST(vec_id % 30 AS INT))) t AS j
 """,
     "f_pixels": """
 SELECT vec_id AS image_id, CAST(vec_id div 20 AS INT) AS video, CAST(pos div 8 AS INT) AS gy, CAST(pos % 8 AS INT) AS gx,
@@ -95,6 +99,10 @@ FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, v
 """,
 }
 DUCKDB = {
+    "f_clips": """
+SELECT vec_id // 20 AS video, vec_id * 32 + j AS pos, list_transform(embedding, lambda v: (128 + 200 * CAST(v AS DOUBLE)) / 255 + CAST(j AS DOUBLE) * CAST(0.004 AS DOUBLE)) AS cells
+FROM embeddings, LATERAL (SELECT unnest(range(0, vec_id % 30 + 1)) AS j)
+""",
     "f_features": """
 SELECT vec_id AS id, CASE WHEN label < 5 THEN 'ref' ELSE 'cand' END AS side,
   concat('f',lpad(CAST(pos-1 AS VARCHAR),2,'0')) AS feature, CAST(embedding[pos] AS DOUBLE) AS value
@@ -120,3 +128,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ctes(*names: str) -> str:
     """The views as a WITH list for DuckDB, to be followed by a comma or a SELECT."""
     return "WITH " + ",\n".join(f"{n} AS ({DUCKDB.get(n, VIEWS[n])})" for n in names)
+
+
+#: The frames that move, frame after frame: what is kept depends on the last kept one, so the recursion carries it.
+MOVING = ctes("f_clips").replace("WITH f_clips AS", "WITH RECURSIVE f_clips AS MATERIALIZED") + """, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video ORDER BY pos) AS k FROM f_clips),
+r AS (SELECT video, k, pos, cells, 0 AS drops, true AS keep FROM n WHERE k = 1
+  UNION ALL SELECT video, k, pos, CASE WHEN keep THEN now ELSE cells END, CASE WHEN keep THEN 0 ELSE drops + 1 END, keep FROM (
+    SELECT n.video, n.k, n.pos, n.cells AS now, r.cells, r.drops,
+      r.drops >= 20 OR len(list_filter(list_zip(n.cells, r.cells), lambda z: abs(z[1] - z[2]) > 0.05)) >= 0.005 * len(n.cells) AS keep FROM r JOIN n ON n.video = r.video AND n.k = r.k + 1))
+SELECT video, pos FROM r WHERE keep"""

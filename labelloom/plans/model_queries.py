@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.operators import drift, learners, metrics, registry, segments, tables
+from labelloom.operators import drift, learners, metrics, ordered, registry, segments, tables
 
 from .fixtures import ctes, view
 from .queries import _COUNTS, _RATES, QUERIES
@@ -154,11 +154,12 @@ def h17(spark, sf):
     return rounded(segments.compared(segments.report(frames(spark, sf)), neighbours(spark, sf)))
 
 
-@query("I2_score_baseline", f"{ctes('f_inference_log')} SELECT round(avg(score),6) AS mean, round(stddev_pop(score),6) AS std, round(quantile_cont(score,0.05),6) AS p05, round(quantile_cont(score,0.5),6) AS p50, round(quantile_cont(score,0.95),6) AS p95 FROM f_inference_log")
+@query("I2_score_baseline", f"{ctes('f_inference_log')} SELECT round(avg(score),6) AS mean, round(stddev_pop(score),6) AS std, round(quantile_cont(score,0.05),6) AS p05, round(quantile_cont(score,0.25),6) AS p25, round(quantile_cont(score,0.5),6) AS p50, round(quantile_cont(score,0.75),6) AS p75, round(quantile_cont(score,0.95),6) AS p95 FROM f_inference_log")
 def i2(spark, sf):
-    q = F.percentile("score", F.array(*map(F.lit, (0.05, 0.5, 0.95))))
-    got = view(spark, sf, "f_inference_log").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), q.alias("q"))
-    return rounded(got.select("mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))]))
+    log = view(spark, sf, "f_inference_log")
+    q = ordered.quantiles(log, [], "score", [0.05, 0.25, 0.5, 0.75, 0.95])
+    got = log.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).crossJoin(F.broadcast(q))
+    return rounded(got.select("mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))]))
 
 
 @query("I3_quality_baseline", f"{ctes('f_manifest')} SELECT round(avg(blur_score),6) AS blur_mean, round(stddev_samp(blur_score),6) AS blur_std, round(avg(brightness),6) AS bright_mean, round(stddev_samp(brightness),6) AS bright_std, round(count(*) FILTER (label='defect')/nullif(count(*) FILTER (label<>'unlabeled'),0),6) AS defect_ratio FROM f_manifest")

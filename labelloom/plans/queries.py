@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.operators import boxes, drift, labels, metrics, registry, segments
+from labelloom.operators import boxes, drift, labels, metrics, ordered, registry, segments
 
-from .fixtures import ctes, view
+from .fixtures import MOVING, ctes, view
 from .register import ORACLES, QUERIES, query, rounded
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -270,7 +270,10 @@ round(quantile_cont(CAST(json_extract_string(props,'$.k') AS DOUBLE),0.95),6) AS
 def f14(spark, sf):
     log = view(spark, sf, "f_inference_log").withColumn("latency", F.from_json("props", "k double")["k"])
     is_defect = F.when(F.col("decision") == "defect", 1).otherwise(0)
-    return rounded(log.agg(F.count("*").alias("total"), F.count_distinct("version").alias("versions"), F.sum(is_defect).alias("defects"), F.avg(is_defect).alias("defect_rate"), F.percentile("latency", F.lit(0.95)).alias("p95_latency")))
+    counted = log.agg(F.count("*").alias("total"), F.count_distinct("version").alias("versions"), F.sum(is_defect).alias("defects"), F.avg(is_defect).alias("defect_rate"))
+    # Without any latency there is no quantile: a left join by a constant, one row on either side.
+    q = ordered.quantiles(log, [], "latency", [0.95]).select(F.lit(1).alias("one"), F.col("q")[0].alias("p95_latency"))
+    return rounded(counted.withColumn("one", F.lit(1)).join(F.broadcast(q), "one", "left").drop("one"))
 
 
 @query("E3_suffix_match", f"""{ctes('f_paths')}, p AS (SELECT seq, string_split(visa_path,'/') AS s FROM f_paths),
@@ -332,11 +335,15 @@ def h7(spark, sf):
     return rounded(segments.sampling_tick(view(spark, sf, "f_frames"), F.col("pos") / 30.0))
 
 
-@query("H14_still_frames")
+@query("H14_still_frames", MOVING)
 def h14(spark, sf):
-    px = view(spark, sf, "f_pixels")
-    cells = px.groupBy("video", "image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gy", "gx", "value"))), lambda x: x["value"] / 255).alias("cells"))
-    return segments.drop_still_frames(cells.select(F.col("video").cast("long").alias("video"), F.col("image_id").alias("pos"), "cells"), least=0.95)
+    return segments.drop_still_frames(view(spark, sf, "f_clips"))
+
+
+@query("H15_changed_ratio", f"""{ctes('f_clips')} SELECT video, pos, round(len(list_filter(list_zip(cells, p), lambda z: abs(z[1] - z[2]) > 0.05)) / len(cells), 6) AS changed
+FROM (SELECT *, lag(cells) OVER (PARTITION BY video ORDER BY pos) AS p FROM f_clips) WHERE p IS NOT NULL""")
+def h15(spark, sf):
+    return rounded(segments.changes(view(spark, sf, "f_clips")))
 
 
 # --- drift -----------------------------------------------------------------------

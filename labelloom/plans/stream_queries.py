@@ -9,7 +9,7 @@ from labelloom.sources import tables as sources
 from labelloom.sources.scratch import scratch
 from labelloom.streaming import streams
 
-from .fixtures import ctes, view
+from .fixtures import MOVING, ctes, view
 from .register import query, rounded
 
 _DEFECT = "event_type IN ('error','signup')"
@@ -76,6 +76,11 @@ def a20(spark, sf):
     return tables.json_rows(view(spark, sf, "f_inference_log").select("seq", "version", "score"))
 
 
+def _images(spark, sf):
+    """How many images events speak of: all documents."""
+    return spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def _events(spark, sf):
     """The event stream; its times have no zone, and a watermark needs one."""
     return streams.read(spark, sf, "events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
@@ -84,7 +89,7 @@ def _events(spark, sf):
 @query("N1_latest_labels", f"{ctes('f_label_events')} SELECT image_seq, max(seq) AS seq, arg_max(label, seq) AS label, arg_max(verified, seq) AS verified FROM f_label_events GROUP BY 1")
 def n1(spark, sf):
     label = F.when(F.expr(_DEFECT), "defect").when(F.col("event_type").isin("click", "purchase"), "normal").otherwise("unlabeled")
-    return streams.latest_labels(_events(spark, sf).select(F.col("event_id").alias("seq"), (F.col("event_id") % 200).alias("image_seq"), label.alias("label"), (F.col("user_id") % 2 == 0).alias("verified")))
+    return streams.latest_labels(_events(spark, sf).select(F.col("event_id").alias("seq"), (F.col("event_id") % _images(spark, sf)).alias("image_seq"), label.alias("label"), (F.col("user_id") % 2 == 0).alias("verified")))
 
 
 @query("N2_new_contents", "SELECT DISTINCT sha1(text) AS sha1 FROM documents")
@@ -106,12 +111,12 @@ def n4(spark, sf):
     return streams.drained(streams.alarm_sessions(alarms, "video", "at", "1 hour"), "sessions")
 
 
-@query("N5_moving_frames")
+@query("N5_moving_frames", MOVING)
 def n5(spark, sf):
     vectors = streams.read(spark, sf, "embeddings.parquet")
-    cells = F.transform("embedding", lambda v: (128 + 200 * v.cast("double")) / 255)
-    rows = vectors.select(F.floor(F.col("vec_id") / 20).cast("long").alias("video"), F.col("vec_id").alias("pos"), cells.alias("cells"))
-    return streams.drained(streams.moving_frames(rows, least=0.95), "moving")
+    cells = F.transform("embedding", lambda v: (128 + 200 * v.cast("double")) / 255 + F.col("j").cast("double") * F.lit(0.004))
+    rows = vectors.select("*", F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 30).cast("int"))).alias("j"))
+    return streams.moving_frames(rows.select(F.floor(F.col("vec_id") / 20).cast("long").alias("video"), (F.col("vec_id") * 32 + F.col("j")).alias("pos"), cells.alias("cells")))
 
 
 @query("N6_feedback", f"{ctes('f_inference_log', 'f_label_events')}, t AS (SELECT image_seq, arg_max(label, seq) AS label, arg_max(verified, seq) AS v FROM f_label_events GROUP BY 1) SELECT l.seq, CAST(label='defect' AS INT)::BIGINT AS y_true, CAST(decision='defect' AS INT)::BIGINT AS y_pred FROM f_inference_log l JOIN t USING (image_seq) WHERE v AND label <> 'unlabeled'")
@@ -119,5 +124,5 @@ def n6(spark, sf):
     from labelloom.operators import labels
 
     truth = labels.latest(view(spark, sf, "f_label_events"), "image_seq").where("verified and label <> 'unlabeled'")
-    log = _events(spark, sf).select(F.col("event_id").alias("seq"), (F.col("event_id") % 200).alias("image_seq"), F.when(F.col("value") >= 50, "defect").otherwise("normal").alias("decision"))
+    log = _events(spark, sf).select(F.col("event_id").alias("seq"), (F.col("event_id") % _images(spark, sf)).alias("image_seq"), F.when(F.col("value") >= 50, "defect").otherwise("normal").alias("decision"))
     return rounded(streams.drained(streams.feedback(log, truth), "feedback"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelloom.operators import labels, metrics, tables
+from labelloom.operators import labels, metrics, ordered, segments, tables
 
-from .fixtures import ctes, view
+from .fixtures import MOVING, ctes, view
 from .queries import _RESOLVED, resolved
 from .register import query, rounded
 
@@ -210,7 +210,9 @@ def f24(spark, sf):
 @query("F25_mask_area", f"{ctes('f_score_map')}, s AS (SELECT image_id, 100.0*count(*) FILTER (truth)/count(*) AS share FROM f_score_map GROUP BY 1) SELECT image_id % 3 AS category, round(median(share),6) AS median, round(avg(share),6) AS mean, round(min(share),6) AS least FROM s GROUP BY 1")
 def f25(spark, sf):
     share = view(spark, sf, "f_score_map").groupBy("image_id").agg((100.0 * F.count_if("truth") / F.count("*")).alias("share"))
-    return rounded(share.groupBy((F.col("image_id") % 3).alias("category")).agg(F.median("share").alias("median"), F.avg("share").alias("mean"), F.min("share").alias("least")))
+    share = share.withColumn("category", F.col("image_id") % 3)
+    got = share.groupBy("category").agg(F.avg("share").alias("mean"), F.min("share").alias("least")).join(ordered.quantiles(share, ["category"], "share", [0.5]).hint("merge"), "category")
+    return rounded(got.select("category", F.col("q")[0].alias("median"), "mean", "least"))
 
 
 @query("F27_new_labels", f"{ctes('f_label_events')} SELECT count(*) AS n FROM f_label_events WHERE labeled_at >= (SELECT date_trunc('second', median(labeled_at)) FROM f_label_events WHERE label='defect' AND seq <= 1)")
@@ -231,12 +233,10 @@ def f31(spark, sf):
     return manifest(spark, sf).agg(tables.count_if(own).alias("grouped"), F.count_distinct(F.when(own, F.col("grp"))).alias("videos"))
 
 
-@query("F23_still_rate")
+@query("F23_still_rate", MOVING.replace("SELECT video, pos FROM r WHERE keep", "SELECT video, count(*) AS scanned, count(*) FILTER (NOT keep) AS dropped, round(count(*) FILTER (NOT keep) / count(*), 6) AS rate, count(*) >= 5 AND count(*) FILTER (NOT keep) / count(*) >= 0.8 AS mostly_dropped FROM r GROUP BY 1"))
 def f23(spark, sf):
-    from .queries import QUERIES
-
-    frames = view(spark, sf, "f_pixels").select("video", F.col("image_id").alias("pos"))
-    return rounded(tables.still_rate(frames, QUERIES["H14_still_frames"](spark, sf)))
+    frames = view(spark, sf, "f_clips")
+    return rounded(tables.still_rate(frames, segments.drop_still_frames(frames)))
 
 
 @query("B12_flag_words", f"{M} SELECT seq, CASE WHEN blur_score < 30 THEN CASE WHEN brightness < 40 THEN 'out of focus, too dark' WHEN brightness > 220 THEN 'out of focus, too bright' ELSE 'out of focus' END WHEN brightness < 40 THEN 'too dark' WHEN brightness > 220 THEN 'too bright' ELSE 'good' END AS words FROM f_manifest WHERE least(width, height) >= 64")

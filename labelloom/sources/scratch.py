@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,3 +21,23 @@ def scratch(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and no lost executor takes them."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that is read no more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows as the right side of a join: broadcast if a count shows it small, else hinted to merge."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from labelloom.operators.segments import fold_frames
 from labelloom.sources.scratch import scratch
 
 
@@ -55,27 +51,34 @@ def alarm_sessions(alarms: DataFrame, video: str, time: str, gap: str, late: str
 
 
 def moving_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20, step: float = 0.05) -> DataFrame:
-    """video, pos of frames that differ from the last kept one, which is carried as state with the drops since.
+    """video, pos of frames that differ from the last kept one, which is carried from batch to batch with the drops since.
 
-    ``frames`` has video, pos, cells (array of doubles). Frames of a batch are taken by pos; a later batch goes on behind them.
+    ``frames`` has video, pos, cells (array of doubles). A batch's frames are taken by pos, behind those of earlier batches,
+    by the same sorted fold as the batch form: no task holds more than the last kept frame. What a video goes on from is
+    a row of the state's table, written anew by each batch under its number, so a batch that is run again finds the
+    state that it found before.
     """
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, drops = state.get if state.exists else ([], 0)
-        last = np.asarray(last, dtype=float)
-        rows, kept = pd.concat(list(parts)).sort_values("pos"), []
-        for pos, grid in zip(rows.pos, rows.cells):
-            grid = np.asarray(grid, dtype=float)
-            moved = len(last) != len(grid) or np.mean(np.abs(grid - last) > step) >= least
-            if moved or drops >= most_drops:
-                last, drops = grid, 0
-                kept.append(pos)
-            else:
-                drops += 1
-        state.update((last.tolist(), drops))
-        yield pd.DataFrame({"video": [key[0]] * len(kept), "pos": kept})
-
-    return frames.groupBy("video").applyInPandasWithState(fold, "video long, pos long", "last array<double>, drops int", "append", GroupStateTimeout.NoTimeout)
+    spark, path = frames.sparkSession, scratch(frames.sparkSession, "moving")
+    schema = "video long, pos long, kept boolean, drops int, cells array<double>"
+
+    def state(batch: int) -> DataFrame:
+        if batch == 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{path}/state/{batch - 1:09d}")
+
+    def fold(df: DataFrame, batch: int) -> None:
+        before = state(batch)
+        here = df.select("video", "pos", "cells", F.lit(None).cast("int").alias("drops"))
+        # Only the videos of this batch go through the fold; the others' rows of the state stay as they are.
+        now = before.join(df.select("video").distinct().hint("merge"), "video", "left_semi")
+        folded = fold_frames(here.unionByName(now.select("video", "pos", "cells", "drops")), least, most_drops, step)
+        folded.write.mode("overwrite").partitionBy("kept").parquet(f"{path}/folded/{batch:09d}")
+        moved = spark.read.schema(schema).parquet(f"{path}/folded/{batch:09d}")
+        kept = before.join(moved.where("not kept").select("video").hint("merge"), "video", "left_anti")
+        kept.unionByName(moved.where("not kept")).write.mode("overwrite").parquet(f"{path}/state/{batch:09d}")
+
+    frames.writeStream.foreachBatch(fold).option("checkpointLocation", path + "-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/folded").where("drops = 0 and cells is null").select("video", "pos")
 
 
 def feedback(log: DataFrame, truth: DataFrame) -> DataFrame:

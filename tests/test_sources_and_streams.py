@@ -42,7 +42,7 @@ def test_state_carries_over_batches(spark, tmp_path):
     for k in range(4):
         frames.where(f"pos >= {10 * k} and pos < {10 * k + 10}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {tuple(r) for r in streams.drained(streams.moving_frames(stream, most_drops=5), "moving").collect()}
+    got = {tuple(r) for r in streams.moving_frames(stream, most_drops=5).collect()}
     assert got == {tuple(r) for r in segments.drop_still_frames(frames, most_drops=5).collect()}
 
 
