@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.sources.scratch import sized, written
+
+from .labels import ranked
 from .ordered import quantiles
 
 
@@ -34,21 +37,21 @@ def append(stored: DataFrame, made: DataFrame, replacing: bool = False) -> DataF
 
 
 def class_ids(boxes: DataFrame) -> DataFrame:
-    """label, class_id from 0 in sorted order (F11); a row per label, so the window's one task holds few rows."""
-    return boxes.select("label").distinct().withColumn("class_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    """label, class_id from 0 in sorted order (F11), from counted ranges of the labels."""
+    return ranked(boxes.select("label").distinct(), [], ["label"], ["label"]).select("label", (F.col("r") - 1).cast("long").alias("class_id"))
 
 
 def relative_size(boxes: DataFrame, images: DataFrame, by: list[str] = ()) -> DataFrame:
     """The exact median of min(w / W, h / H) of boxes on images of known size."""
-    sized = images.where("width > 0 and height > 0").select("image_id", "width", "height")
-    part = boxes.join(sized.hint("merge"), "image_id").select(*by, F.least(F.col("w") / F.col("width"), F.col("h") / F.col("height")).alias("f"))
+    known = images.where("width > 0 and height > 0").select("image_id", "width", "height")
+    part = boxes.join(known.hint("merge"), "image_id").select(*by, F.least(F.col("w") / F.col("width"), F.col("h") / F.col("height")).alias("f"))
     return quantiles(part, by, "f", [0.5]).select(*by, F.col("q")[0].alias("fraction"), F.col("n").alias("boxes"))
 
 
 def yolo(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """One text body per image of known size (A18): class and relative centre, width and height, a line a box in order."""
-    sized = images.where("width > 0 and height > 0").select("image_id", "width", "height")
-    rows = boxes.join(F.broadcast(class_ids(boxes)), "label").join(sized.hint("merge"), "image_id")
+    known = images.where("width > 0 and height > 0").select("image_id", "width", "height")
+    rows = boxes.join(sized(written(class_ids(boxes), "classes")), "label").join(known.hint("merge"), "image_id")
     # Six places from whole numbers, halves up: the same text on every engine.
     micro = lambda a, b: f"(2000000L * ({a}) + ({b})) div (2 * ({b}))"
     shown = lambda m: F.format_string("%d.%06d", F.expr(f"({m}) div 1000000"), F.expr(f"({m}) % 1000000"))

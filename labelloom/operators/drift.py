@@ -57,6 +57,12 @@ def baseline(values: DataFrame, bins: int = BINS) -> DataFrame:
     return written(moments.join(cut.hint("merge"), "feature").select("feature", "edges", "mean", "std", "n", "props"), "baseline")
 
 
+def train_baseline(values: DataFrame, train: DataFrame) -> DataFrame:
+    """``baseline`` of the rows (id) that train a version, with the share of defects among them (I13); ``train`` has id and defect, a row a labelled training row."""
+    ratio = train.agg(F.avg(F.col("defect").cast("double")).alias("defect_ratio"))
+    return baseline(values.join(train.select("id").hint("merge"), "id", "left_semi")).crossJoin(F.broadcast(ratio))
+
+
 def coarsened(edges: Column, props: Column, n: Column, per_bin: int = PER_BIN) -> Column:
     """struct(edges, props) with bins merged until each can hold ``per_bin`` of n rows, two bins at least."""
     bins = F.size(edges) - 1

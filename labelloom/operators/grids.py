@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.sources.scratch import written
+from labelloom.sources.scratch import sized, written
 
 from .components import connected
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 BINS, LEAST_AREA = 16, 9
+#: Places of a model that are broadcast at most; a place has d + d * d doubles.
+MODEL_ROWS = 4_000
 
 
 def _row():
@@ -137,7 +139,7 @@ def fit(grids: DataFrame, planes: list[str], shrinkage: float = 0.05) -> DataFra
 def distances(grids: DataFrame, model: DataFrame, planes: list[str]) -> DataFrame:
     """image_id, py, px, score: Mahalanobis distance from the place's distribution (K11). The model has one row a place."""
     d = len(planes)
-    df = grids.join(F.broadcast(model), ["py", "px"])
+    df = grids.join(sized(written(model, "model"), MODEL_ROWS), ["py", "px"])
     off = [F.col(c) - F.col("centre")[i] for i, c in enumerate(planes)]
     q = sum((off[i] * off[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
     return df.select("image_id", "py", "px", F.sqrt(F.greatest(q, F.lit(0.0))).alias("score"))

@@ -33,10 +33,24 @@ def normalized_type(raw: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(pairs, raw), raw)
 
 
-def resolve(manifest: DataFrame, events: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Manifest rows overridden by their latest event (E1): raw_defect_type, label_source, verified."""
-    ev = latest(events, "image_seq").select(F.col("image_seq").alias("seq"), F.col("label").alias("ev_label"), F.col("defect_type").alias("ev_type"), F.col("verified").alias("ev_verified"))
-    df = manifest.join(ev.hint("merge"), "seq", "left")
+#: Where in an image a person found the defect.
+ROI = ("roi_x", "roi_y", "roi_w", "roi_h")
+
+
+def resolve(manifest: DataFrame, events: DataFrame, mapping: dict[str, str], splits: DataFrame | None = None) -> DataFrame:
+    """Manifest rows overridden by their latest event (E1): raw_defect_type, label_source, verified, the columns of ROI.
+
+    With ``splits`` (seq, split) of which there is a row at all, rows take theirs, and those without one are unassigned;
+    an empty table of splits leaves the manifest's own.
+    """
+    events = events.withColumns({c: F.lit(None).cast("long") for c in ROI if c not in events.columns})
+    ev = latest(events, "image_seq").select(F.col("image_seq").alias("seq"), F.col("label").alias("ev_label"), F.col("defect_type").alias("ev_type"), F.col("verified").alias("ev_verified"), *ROI)
+    df = manifest.drop(*ROI).join(ev.hint("merge"), "seq", "left")
+    if splits is not None:
+        there = splits.agg((F.count("*") > 0).alias("any_split"))
+        chosen = splits.select("seq", F.col("split").alias("chosen_split")).hint("merge")
+        df = df.join(chosen, "seq", "left").crossJoin(F.broadcast(there))
+        df = df.withColumn("split", F.when(F.col("any_split"), F.coalesce("chosen_split", F.lit("unassigned"))).otherwise(F.col("split"))).drop("chosen_split", "any_split")
     has = F.col("ev_label").isNotNull()
     kind = F.when(has, F.col("ev_type")).otherwise(F.col("defect_type"))
     return df.withColumns(
@@ -184,13 +198,16 @@ def split_by_group(df: DataFrame, group: str, ratios=(0.6, 0.2, 0.2), strata=("c
 
 def even_sample(df: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
     """``limit`` rows of each group at the positions floor(k * (n / limit)), all of a smaller group."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"p": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count("*").over(w)})
+    path = scratch(df.sparkSession, "sample")
+    df.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)  # a row's number must stay
+    rows = df.sparkSession.read.parquet(path)
+    placed = ranked(rows, by, order, ["row"]).select("row", (F.col("r") - 1).alias("p"), F.col("size").alias("n"))
     step = F.col("n") / F.lit(limit)
     k = F.floor(F.col("p") / step).cast("long")
     # The positions near p are those of k - 1, k and k + 1: no list of positions is joined.
     near = [(F.floor((k + d) * step) == F.col("p")) & (k + d >= 0) & (k + d < limit) for d in (-1, 0, 1)]
-    return ranked.where((F.col("n") <= limit) | near[0] | near[1] | near[2]).drop("p", "n")
+    taken = placed.where((F.col("n") <= limit) | near[0] | near[1] | near[2]).select("row")
+    return rows.join(taken.hint("merge"), "row", "left_semi").drop("row")
 
 
 def frames_as_rows(frames: DataFrame, category: str) -> DataFrame:

@@ -34,6 +34,16 @@ def probabilities(df: DataFrame, model: PipelineModel) -> DataFrame:
     return got.withColumn("probability", vector_to_array("probability")[1]).select(*df.columns, "probability")
 
 
+def cross_fitted(df: DataFrame, kind: str = "logistic", key: str = "vec_id", folds: int = 3) -> DataFrame:
+    """Rows with probability by a model that was fitted without them (K21): a fold is a hash of the key, each is scored by the fit of the others."""
+    fold = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(folds))
+    out = None
+    for k in range(folds):
+        part = probabilities(df.where(fold == k), fit(df.where(fold != k), kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def importance(spark: SparkSession, model: PipelineModel, most: int = 15) -> DataFrame:
     """feature, importance of the features that weigh most: a tree's importance or a coefficient's size."""
     last = model.stages[-1]

@@ -38,12 +38,15 @@ def best_run(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def register(registry: DataFrame, runs: DataFrame) -> DataFrame:
-    """The registry with a candidate for each run (project, seq, recall, prec), numbered behind the project's versions."""
+    """The registry with a candidate for each run (project, seq, run_id, thresholds, recall, prec), numbered behind the project's versions.
+
+    ``thresholds`` is a map of the categories' own thresholds, kept as JSON, null where a run has none.
+    """
     last = registry.groupBy("project").agg(F.max(F.expr("try_cast(regexp_extract(version, '^v([0-9]+)$', 1) AS INT)")).alias("last"))
     order = Window.partitionBy("project").orderBy("seq")
     new = runs.join(last.hint("shuffle_hash"), "project", "left").withColumn("number", F.coalesce("last", F.lit(0)) + F.row_number().over(order))
-    new = new.select("project", "seq", F.concat(F.lit("v"), F.lpad(F.col("number").cast("string"), 3, "0")).alias("version"), F.lit("candidate").alias("status"), F.lit(None).cast(registry.schema["promoted_at"].dataType).alias("promoted_at"), "recall", "prec")
-    return registry.unionByName(new)
+    new = new.select("project", "seq", F.concat(F.lit("v"), F.lpad(F.col("number").cast("string"), 3, "0")).alias("version"), F.lit("candidate").alias("status"), F.lit(None).cast(registry.schema["promoted_at"].dataType).alias("promoted_at"), "recall", "prec", "run_id", F.when(F.size("thresholds") > 0, F.to_json("thresholds")).alias("thresholds"))
+    return registry.unionByName(new, allowMissingColumns=True)
 
 
 def in_production(registry: DataFrame) -> DataFrame:
@@ -69,7 +72,12 @@ def read(registry: DataFrame, metrics: tuple[str, ...] = ("recall", "prec")) ->
     return registry.withColumns({c: F.col(c).try_cast("double") for c in metrics}).orderBy(F.desc("seq"))
 
 
-def run_rows(runs: DataFrame) -> DataFrame:
-    """run_id, created_at, metrics as JSON: what a run's history holds."""
-    kept = [c for c in runs.columns if c not in ("run_id", "created_at", "seq")]
-    return runs.select("run_id", "created_at", F.to_json(F.struct(*kept)).alias("metrics"))
+def run_rows(runs: DataFrame, settings: tuple[str, ...] = ()) -> DataFrame:
+    """run_id, created_at, metrics and config_json of runs (J1): the columns named as settings, and all others, as JSON.
+
+    A number that is none, or not finite, is null in it.
+    """
+    given = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)) if dict(runs.dtypes)[c] in ("double", "float") else F.col(c)
+    told = lambda names: F.to_json(F.struct(*[given(c).alias(c) for c in names]), {"ignoreNullFields": "false"})
+    measured = [c for c in runs.columns if c not in ("run_id", "created_at", "seq", *settings)]
+    return runs.select("run_id", "created_at", told(measured).alias("metrics"), (told(settings) if settings else F.lit(None).cast("string")).alias("config_json"))

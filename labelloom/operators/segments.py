@@ -104,12 +104,12 @@ def report(frames: DataFrame, min_hits: int = 1, gap: int = 0, fps: float = FPS,
     caught = ends["t"] & (F.col("hits") - F.col("hits_before") >= max(min_hits, 1))
     got = df.groupBy("video").agg(
         n(F.col("new_t")).alias("truth_runs"), n(F.col("new_p")).alias("predicted_runs"), n(F.col("new_r")).alias("on_target"), n(caught).alias("caught"), n(ends["w"] & ~forgiven).alias("false_alarms"),
-        n(t).alias("t"), n(p).alias("p"), n(t & p).alias("tp"), n(~t & p).alias("wrong"), n(~t).alias("normal"), ((F.max("pos") - F.min("pos")) / fps).alias("duration_sec"),
+        F.count("*").alias("frames"), n(t).alias("t"), n(p).alias("p"), n(t & p).alias("tp"), n(~t & p).alias("wrong"), n(~t).alias("normal"), ((F.max("pos") - F.min("pos")) / fps).alias("duration_sec"),
     )
     nan = F.lit(float("nan"))
     ratio = lambda a, b, empty=nan: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(empty)
     return got.select(
-        "video", "truth_runs", "predicted_runs", "caught", (F.col("truth_runs") - F.col("caught")).alias("missed"), "false_alarms", "on_target", ratio("tp", "t").alias("frame_recall"), ratio("tp", "p").alias("frame_precision"),
+        "video", "frames", "truth_runs", "predicted_runs", "caught", (F.col("truth_runs") - F.col("caught")).alias("missed"), "false_alarms", "on_target", ratio("tp", "t").alias("frame_recall"), ratio("tp", "p").alias("frame_precision"),
         "duration_sec", ratio("wrong", "normal", F.lit(0.0)).alias("alarm_time_ratio"), ratio("caught", "truth_runs").alias("segment_recall"), F.when(F.col("duration_sec") > 0, F.col("false_alarms") * 60 / F.col("duration_sec")).otherwise(nan).alias("false_alarms_per_min"),
     ).withColumn("flooding", F.col("alarm_time_ratio") >= FLOOD)
 
@@ -244,6 +244,22 @@ def compared(reports: DataFrame, pairs: DataFrame) -> DataFrame:
     return got.withColumn("held", ~F.isnan("recall_drop") & (F.col("recall_drop") <= RECALL_DROP) & ~F.col("started_flooding")).select("video", "other", "recall_drop", "started_flooding", "held")
 
 
+#: What two videos are compared by.
+MEASURES = ("frames", "truth_runs", "segment_recall", "frame_recall", "false_alarms_per_min", "alarm_time_ratio")
+
+
+def side_by_side(reports: DataFrame, pairs: DataFrame) -> DataFrame:
+    """left, right, measure, left_value, right_value: six measures of two videos each.
+
+    Reports become a row a measure, which meets the pairs that name its video and is set back on the side that it stands on.
+    """
+    long = reports.select("video", *[F.col(c).cast("double").alias(c) for c in MEASURES]).unpivot("video", list(MEASURES), "measure", "value")
+    sides = pairs.select(F.col("video").alias("left"), F.col("other").alias("right"))
+    named = sides.select("left", "right", F.explode(F.array(F.struct(F.lit("left_value").alias("side"), F.col("left").alias("video")), F.struct(F.lit("right_value").alias("side"), F.col("right").alias("video")))).alias("x")).select("left", "right", "x.*")
+    met = named.hint("merge").join(long, "video")
+    return met.groupBy("left", "right", "measure").pivot("side", ["left_value", "right_value"]).agg(F.first("value")).where("left_value is not null and right_value is not null")
+
+
 def cause(df: DataFrame) -> DataFrame:
     """Adds cause to compared rows with measurable and changed (drift): none, capture, model or undecided."""
     return df.withColumn("cause", F.when(F.isnan("recall_drop"), "undecided").when(F.col("held"), "none").when(~F.col("measurable"), "undecided").when(F.col("changed"), "capture").otherwise("model"))
@@ -256,4 +272,4 @@ def label_ranges(frames: DataFrame, ranges: DataFrame, fps: float = FPS) -> Data
     """
     first, last = F.greatest(F.ceil(F.col("from_sec") * fps), F.lit(0)), F.floor(F.col("to_sec") * fps)
     covered = ranges.where(first <= last).select("video", "label", F.explode(F.sequence(first, last)).alias("pos"))
-    return frames.select("video", "pos").join(covered.hint("shuffle_hash"), ["video", "pos"])
+    return frames.select("video", "pos").join(covered.hint("merge"), ["video", "pos"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import even_sample, ranked
+
 LEAST_DEFECTS, LEAST_NORMALS, THIN_CLASS = 10, 15, 50
 SPLITS = ("train", "val", "test")
 
@@ -18,10 +20,17 @@ def without_source(manifest: DataFrame, source: str) -> DataFrame:
     return manifest.where(~F.col("source").eqNullSafe(F.lit(source)))
 
 
-def in_scope(manifest: DataFrame, scope: str, value: str | None = None) -> DataFrame:
-    """Rows to run a model on: all, test, unlabeled, or those of one category or group."""
+def in_scope(manifest: DataFrame, scope: str, value: str | None = None, limit: int | None = None, key: str = "seq") -> DataFrame:
+    """Rows to run a model on: all, test, unlabeled, or those of one category or group, the first ``limit`` of them by key if given.
+
+    A category that is not there, or none, is the first by name.
+    """
+    if scope == "category":
+        known = manifest.where(F.col("category").isNotNull()).agg(F.max(F.when(F.col("category") == value, value)), F.min("category")).first()
+        value = known[0] or known[1]
     tests = {"all": F.lit(True), "test": F.col("split") == "test", "unlabeled": F.col("label") == "unlabeled", "category": F.col("category") == value, "group": F.trim("grp") == value}
-    return manifest.where(tests[scope])
+    rows = manifest.where(tests[scope])
+    return rows.orderBy(key).limit(limit) if limit is not None else rows
 
 
 def largest_group(df: DataFrame, group: str) -> DataFrame:
@@ -29,12 +38,28 @@ def largest_group(df: DataFrame, group: str) -> DataFrame:
     return df.where(F.trim(group) != "").groupBy(group).count().agg(F.max_by(group, F.struct("count", group)).alias(group))
 
 
+def video_subset(df: DataFrame, group: str, order: list[str], limit: int, name: str | None = None) -> DataFrame:
+    """An even sample of the frames of one video, the largest unless ``name`` is one of them."""
+    known = df.where(F.trim(group) != "").groupBy(group).count()
+    picked = known.agg(F.coalesce(F.max(F.when(F.col(group) == F.lit(name), F.col(group))), F.max_by(group, F.struct("count", group)))).first()[0]
+    return even_sample(df.where(F.col(group) == picked), [group], order, limit)
+
+
 def half_split(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Adds first: whether the row lies in the half of its label that thresholds are chosen on.
 
-    Halves are cut at a hash of the key, so no label's rows are sorted in one task; a row's half does not change as rows come.
+    The first floor(n / 2) of a label's n rows in seeded order; ranks come from counted ranges, so no label is sorted in one task.
     """
-    return df.withColumn("first", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(label).cast("string"), F.col(key).cast("string"))), 1, 1) < "8")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    halves = ranked(df, [label], [order, F.col(key)], [key]).select(key, (F.col("r") <= F.floor(F.col("size") / 2)).alias("first"))
+    return df.join(halves.hint("merge"), key)
+
+
+def last_batch(log: DataFrame, at: str = "logged_at") -> DataFrame:
+    """Per version, of its last day: n, how many of each decision, mean latency, rows that failed, having no score."""
+    per_day = log.groupBy("version", F.to_date(at).alias("day")).agg(F.count("*").alias("n"), count_if(F.col("decision") == "defect").alias("defect"), count_if(F.col("decision") == "normal").alias("normal"), F.avg("latency").alias("latency_mean"), count_if(F.col("score").isNull()).alias("failed"))
+    figures = F.struct(F.col("day").cast("string").alias("day"), "n", "defect", "normal", "latency_mean", "failed")
+    return per_day.groupBy("version").agg(F.max_by(figures, "day").alias("x")).select("version", "x.*")
 
 
 def balance(df: DataFrame) -> DataFrame:
@@ -83,11 +108,18 @@ def split_gap(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), count_if(~free).alias("assigned"), count_if(free & F.col("label").isin("normal", "defect")).alias("labelled_unassigned"), count_if(free & F.col("boxed")).alias("boxed_unassigned"))
 
 
-def detection_readiness(boxes: DataFrame, least: int = THIN_CLASS) -> DataFrame:
-    """One row: classes, thin ones and their names, ready."""
-    per = boxes.groupBy("label").count()
-    got = per.agg(F.count("*").alias("classes"), count_if(F.col("count") < least).alias("n_thin"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("count") < least, F.col("label")))), ",").alias("thin"))
-    return got.withColumn("ready", (F.col("classes") > 0) & (F.col("n_thin") == 0))
+def detection_readiness(boxes: DataFrame, images: DataFrame, least: int = THIN_CLASS) -> DataFrame:
+    """One row: images with boxes, boxes, classes, boxes by class as JSON, thin classes, images that a split holds, ready.
+
+    Ready means boxes on ``least`` images or more and a split assigned.
+    """
+    per = boxes.groupBy("label").agg(F.count("*").alias("count"))
+    thin = F.col("count") < least
+    kinds = per.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("boxes"), F.count("*").alias("classes"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "count"))))).alias("per_class"), F.array_join(F.sort_array(F.collect_list(F.when(thin, F.col("label")))), ",").alias("thin"))
+    drawn = boxes.agg(F.count_distinct("image_id").alias("images_with_boxes"))
+    held = images.agg(count_if(F.col("split").isin(*SPLITS)).alias("splits_assigned"))
+    got = kinds.crossJoin(F.broadcast(drawn)).crossJoin(F.broadcast(held))
+    return got.withColumn("ready", (F.col("images_with_boxes") >= least) & (F.col("splits_assigned") > 0))
 
 
 def still_rate(frames: DataFrame, kept: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
@@ -102,7 +134,7 @@ def trace(sources: dict[str, DataFrame], key: str) -> DataFrame:
     """key, stage, at, detail: what each table says of a row, as JSON; for one image filter by key."""
     out = None
     for stage, df in sources.items():
-        rows = df.select(key, F.lit(stage).alias("stage"), F.col("seq").cast("long").alias("at"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("detail"))
+        rows = df.select(key, F.lit(stage).alias("stage"), F.col("seq").cast("long").alias("at"), F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}).alias("detail"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

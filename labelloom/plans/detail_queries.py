@@ -68,9 +68,13 @@ def _foreign(spark, sf):
 _FOREIGN = f"{M}, s AS (SELECT seq, category, CASE WHEN label='defect' THEN 'Anomaly' ELSE 'Normal' END AS label, {_SPLIT} AS split FROM f_manifest)"
 
 
-@query("A13_foreign_split", f"{_FOREIGN} SELECT CAST(seq AS VARCHAR) AS seq, category, label, split FROM s")
+@query("A13_foreign_split", f"{_FOREIGN} SELECT CAST(seq AS VARCHAR) AS seq, category, CASE WHEN label='Anomaly' THEN '불량' ELSE '정상' END AS label, split FROM s")
 def a13(spark, sf):
-    return _foreign(spark, sf)
+    # What a tool of cp949 would write: its bytes, one a sign.
+    path, other = scratch(spark, "foreign"), lambda x: x.encode("cp949").decode("latin-1")
+    said = F.when(F.col("label") == "defect", other("불량")).otherwise(other("정상"))
+    split_manifest(spark, sf).select(F.col("seq").alias(other("이미지")), F.col("category").alias("Object"), said.alias(other("라벨")), F.col("split").alias("Set")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return files.official_split(spark, path, {"seq": ("image", "이미지"), "category": ("category", "object"), "label": ("label", "라벨"), "split": ("split", "set")})
 
 
 @query("A14_chosen_categories", f"{_FOREIGN} SELECT CAST(seq AS VARCHAR) AS seq, split, CAST(CASE WHEN label='Anomaly' THEN 1 ELSE 0 END AS BIGINT) AS y FROM s WHERE category IN ('en','de')")

@@ -24,8 +24,13 @@ FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id
 SELECT e.event_id AS seq, e.event_id % (SELECT count(*) FROM documents) AS image_seq,
   CASE e.event_type WHEN 'error' THEN 'defect' WHEN 'signup' THEN 'defect' WHEN 'click' THEN 'normal' WHEN 'purchase' THEN 'normal' ELSE 'unlabeled' END AS label,
   CASE e.event_type WHEN 'error' THEN 'scratch' WHEN 'signup' THEN 'poke' ELSE 'none' END AS defect_type,
-  e.user_id % 2 = 0 AS verified, concat('user-',CAST(e.user_id AS VARCHAR(20))) AS labeled_by, e.ts AS labeled_at
+  e.user_id % 2 = 0 AS verified, concat('user-',CAST(e.user_id AS VARCHAR(20))) AS labeled_by, e.ts AS labeled_at,
+  CASE WHEN e.event_type IN ('error','signup') AND e.user_id % 3 = 0 THEN e.user_id % 50 END AS roi_x, CASE WHEN e.event_type IN ('error','signup') AND e.user_id % 3 = 0 THEN e.user_id % 40 END AS roi_y,
+  CASE WHEN e.event_type IN ('error','signup') AND e.user_id % 3 = 0 THEN 8 + e.user_id % 9 END AS roi_w, CASE WHEN e.event_type IN ('error','signup') AND e.user_id % 3 = 0 THEN 8 + e.user_id % 7 END AS roi_h
 FROM events e
+""",
+    "f_splits": """
+SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM documents WHERE doc_id % 9 <> 0
 """,
     "f_inference_log": """
 SELECT e.event_id AS seq, e.ts AS logged_at, concat('v00',CAST(1 + e.event_id % 3 AS VARCHAR(20))) AS version, e.event_id % (SELECT count(*) FROM documents) AS image_seq,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from labelloom.operators import drift, learners, metrics, ordered, registry, segments, tables
 
 from .fixtures import ctes, view
-from .queries import _COUNTS, _RATES, QUERIES
-from .register import query, rounded
+from .queries import _COUNTS, _Q60, _RATES, QUERIES
+from .register import ORACLES, query, rounded
 
 B = ctes("f_eval_big")
 _OWN = "CASE category WHEN 'Brand#11' THEN 10.0 WHEN 'Brand#12' THEN 20.0 ELSE 25.0 END"
@@ -41,9 +41,15 @@ def g12(spark, sf):
     return rounded(metrics.threshold_effect(df, *own_thresholds(df)))
 
 
-@query("G11_metrics_summary", f"{B}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY 1), a AS (SELECT x.category, sum(CASE WHEN x.score > z.score THEN x.n*z.n WHEN x.score = z.score THEN x.n*z.n/2.0 ELSE 0 END)/sum(x.n*z.n) AS auroc FROM (SELECT category, score, count(*) AS n FROM f_eval_big WHERE y=1 GROUP BY 1,2) x JOIN (SELECT category, score, count(*) AS n FROM f_eval_big WHERE y=0 GROUP BY 1,2) z USING (category) GROUP BY 1) SELECT category, tp, fp, fn, tn, round(auroc,6) AS auroc FROM c JOIN a USING (category)")
+#: auroc by ranks, average precision by running sums from the highest score.
+_RANKED = f"""s AS (SELECT category, score, count(*) FILTER (y=1) AS pos, count(*) FILTER (y<>1) AS neg FROM f_eval_big GROUP BY 1,2),
+u AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY category ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below, sum(pos) OVER w AS tp_at, sum(pos+neg) OVER w AS m FROM s WINDOW w AS (PARTITION BY category ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT category, CAST(sum(pos*(below+neg/2)) AS DOUBLE)/(CAST(sum(pos) AS DOUBLE)*CAST(sum(neg) AS DOUBLE)) AS auroc, CAST(sum(pos*tp_at/m) AS DOUBLE)/CAST(sum(pos) AS DOUBLE) AS average_precision FROM u GROUP BY 1)"""
+
+
+@query("G11_metrics_summary", f"{B}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY 1), {_RANKED} SELECT category, {_RATES}, round(auroc,6) AS auroc, round(average_precision,6) AS average_precision FROM c JOIN k USING (category)")
 def g11(spark, sf):
-    return rounded(metrics.summary(rows(spark, sf), F.lit(25.0), ["category"]).select("category", "tp", "fp", "fn", "tn", "auroc"))
+    return rounded(metrics.summary(rows(spark, sf), F.lit(25.0), ["category"]))
 
 
 @query("F16_mean_over_categories")
@@ -52,9 +58,11 @@ def f16(spark, sf):
     return rounded(got.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("auroc", "average_precision", "recall", "false_alarm_rate")]))
 
 
-@query("G13_impact", f"{B}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY 1) SELECT category, round(1000*0.01*tp/(tp+fn),6) AS caught, round(1000*0.99*fp/(fp+tn),6) AS false_alarms FROM c")
+@query("G13_impact", f"""{B}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY 1), r AS (SELECT category, tp/(tp+fn) AS r, fp/(fp+tn) AS a FROM c), l AS (SELECT *, r*0.01::DOUBLE+a*0.99::DOUBLE AS load FROM r)
+SELECT category, 0.01::DOUBLE AS prevalence, round(load,6) AS reviewed_ratio, round(1-load,6) AS reduction_ratio, round(coalesce(r*0.01/nullif(load,0),0),6) AS prevalence_precision, 10.0::DOUBLE AS defects, round(10*r,6) AS caught, round(10*(1-r),6) AS missed, round(1000*load,6) AS reviewed, round(1000*(1-load),6) AS saved, round(990*a,6) AS false_alarms FROM l""")
 def g13(spark, sf):
-    return rounded(metrics.impact(metrics.at_threshold(rows(spark, sf), F.lit(25.0), ["category"]), F.lit(0.01)).select("category", "caught", "false_alarms"))
+    got = metrics.impact(metrics.at_threshold(rows(spark, sf), F.lit(25.0), ["category"]), F.lit(0.01))
+    return rounded(got.select("category", "prevalence", "reviewed_ratio", "reduction_ratio", "prevalence_precision", "defects", "caught", "missed", "reviewed", "saved", "false_alarms"))
 
 
 def score_map(spark, sf):
@@ -66,19 +74,32 @@ def g15(spark, sf):
     return rounded(metrics.localization(score_map(spark, sf)).where("area > 0").select("image_id", "hit", "area", "iou"))
 
 
-@query("G16_localization_summary")
+@query("G16_localization_summary", f"""{ctes('f_score_map')}, t AS (SELECT image_id, quantile_cont(score,0.99) AS cut, arg_max(truth, score) AS peak FROM f_score_map GROUP BY 1),
+k AS (SELECT image_id, truth, score, rank() OVER (PARTITION BY image_id ORDER BY score) + (count(*) OVER (PARTITION BY image_id, score) - 1) / 2 AS r FROM f_score_map),
+a AS (SELECT image_id, (sum(r) FILTER (truth) - count(*) FILTER (truth) * (count(*) FILTER (truth) + 1) / 2) / nullif(count(*) FILTER (truth) * count(*) FILTER (NOT truth), 0) AS auroc FROM k GROUP BY 1),
+i AS (SELECT image_id, any_value(peak) AS hit, avg(CAST(truth AS INT)) AS area, count(*) FILTER (truth AND score >= cut) / count(*) FILTER (truth OR score >= cut) AS iou FROM f_score_map JOIN t USING (image_id) GROUP BY 1 HAVING bool_or(truth))
+SELECT count(*) AS images, round(avg(CAST(hit AS INT)),6) AS hit_rate, round(avg(area),6) AS mean_area, round(avg(iou),6) AS mean_iou, round(avg(auroc),6) AS mean_pixel_auroc, round(avg(CAST(hit AS INT))/avg(area),6) AS over_chance FROM i JOIN a USING (image_id)""")
 def g16(spark, sf):
     return rounded(metrics.localization_summary(metrics.localization(score_map(spark, sf))))
 
 
-@query("G17_validation")
+_FIRST = "h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) <= count(*) OVER (PARTITION BY y) // 2 AS first FROM f_eval_big)"
+
+
+@query("G17_validation", f"""{B}, {_FIRST}, {_RANKED}, q AS (SELECT DISTINCT category, unnest(CASE WHEN count(*) < 60 THEN list(score) ELSE quantile_cont(score, {_Q60}) END) AS threshold FROM h WHERE first GROUP BY category),
+v AS (SELECT q.category, threshold, {_COUNTS.format(p='score >= threshold')} FROM q JOIN h ON h.category = q.category AND h.first GROUP BY 1, 2),
+b AS (SELECT category, threshold FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY fp, threshold DESC) AS n FROM v WHERE tp >= 0.95*(tp+fn) AND tp+fn >= 5) WHERE n = 1),
+c AS (SELECT b.category, threshold, {_COUNTS.format(p='score >= threshold')} FROM b JOIN h ON h.category = b.category AND NOT h.first GROUP BY 1, 2)
+SELECT category, round(threshold,6) AS threshold, {_RATES}, round(auroc,6) AS auroc, round(average_precision,6) AS average_precision FROM c JOIN k USING (category)""")
 def g17(spark, sf):
     return rounded(metrics.validated(tables.half_split(rows(spark, sf), "y", "id")))
 
 
-@query("G18_mean_rates", f"{B}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY 1) SELECT round(avg(tp/(tp+fn)),6) AS recall, round(avg(fp/(fp+tn)),6) AS false_alarm_rate FROM c")
+@query("G18_mean_rates", f"""{B}, c AS (SELECT category, {_COUNTS.format(p='score >= 25')} FROM f_eval_big GROUP BY 1), m AS (SELECT avg(tp/(tp+fn)) AS r, avg(fp/(fp+tn)) AS a FROM c), p AS (SELECT r, a, CAST(unnest([0.01,0.02,0.05,0.1]) AS DOUBLE) AS p FROM m)
+SELECT round(r,6) AS recall, round(a,6) AS false_alarm_rate, p AS prevalence, round(r*p/(r*p+a*(1-p)),6) AS prevalence_precision, round(1-(r*p+a*(1-p)),6) AS reduction_ratio, round(1000*p*(1-r),6) AS missed, round(1000*(1-p)*a,6) AS false_alarms FROM p""")
 def g18(spark, sf):
-    return rounded(metrics.at_threshold(rows(spark, sf), F.lit(25.0), ["category"]).agg(F.avg("recall").alias("recall"), F.avg("false_alarm_rate").alias("false_alarm_rate")))
+    mean = metrics.at_threshold(rows(spark, sf), F.lit(25.0), ["category"]).agg(F.avg("recall").alias("recall"), F.avg("false_alarm_rate").alias("false_alarm_rate"))
+    return rounded(metrics.impact_grid(mean, (0.01, 0.02, 0.05, 0.1)).select("recall", "false_alarm_rate", "prevalence", "prevalence_precision", "reduction_ratio", "missed", "false_alarms"))
 
 
 @query("G22_verdict")
@@ -149,6 +170,12 @@ def neighbours(spark, sf):
     return videos.select("video", (F.col("video") + 1).alias("other"))
 
 
+@query("H16_side_by_side", "WITH x AS (" + ORACLES["H3_segment_report"] + """), l AS (UNPIVOT (SELECT video, CAST(frames AS DOUBLE) AS frames, CAST(truth_runs AS DOUBLE) AS truth_runs, segment_recall, frame_recall, false_alarms_per_min, alarm_time_ratio FROM x) ON frames, truth_runs, segment_recall, frame_recall, false_alarms_per_min, alarm_time_ratio INTO NAME measure VALUE v)
+SELECT a.video AS "left", b.video AS "right", a.measure, a.v AS left_value, b.v AS right_value FROM l a JOIN l b ON b.video = a.video + 1 AND b.measure = a.measure""")
+def h16(spark, sf):
+    return rounded(segments.side_by_side(segments.report(frames(spark, sf)), neighbours(spark, sf)))
+
+
 @query("H17_compared_videos")
 def h17(spark, sf):
     return rounded(segments.compared(segments.report(frames(spark, sf)), neighbours(spark, sf)))
@@ -188,15 +215,20 @@ def d11(spark, sf):
     return QUERIES["I7_feature_drift"](spark, sf).orderBy(F.nullif(F.nanvl("psi", F.lit(-1.0)), F.lit(-1.0)).desc_nulls_last(), "feature")
 
 
-@query("J1_run_rows", f"{ctes('f_runs')} SELECT run_id, created_at FROM f_runs")
+@query("J1_run_rows", f"""{ctes('f_runs')} SELECT run_id, created_at, CAST(to_json(struct_pack(recall := CAST(recall AS DOUBLE), prec := CAST(prec AS DOUBLE), fn := fn)) AS VARCHAR) AS metrics, CAST(to_json(struct_pack(kind := kind)) AS VARCHAR) AS config_json FROM f_runs""")
 def j1(spark, sf):
-    return registry.run_rows(view(spark, sf, "f_runs")).where("metrics is not null").select("run_id", "created_at")
+    runs = view(spark, sf, "f_runs").withColumns({c: F.col(c).cast("double") for c in ("recall", "prec")})
+    return registry.run_rows(runs.select("seq", "run_id", "created_at", "recall", "prec", "fn", "kind"), ("kind",))
 
 
-@query("J3_registered", f"{ctes('f_registry')}, l AS (SELECT project, count(*) AS n FROM f_registry GROUP BY 1), r AS (SELECT project, seq, n + row_number() OVER (PARTITION BY project ORDER BY seq) AS k FROM f_registry JOIN l USING (project) WHERE status='candidate') SELECT project, seq, version, status FROM f_registry UNION ALL SELECT project, seq, concat('v', lpad(CAST(k AS VARCHAR), 3, '0')), 'candidate' FROM r")
+@query("J3_registered", f"""{ctes('f_registry')}, l AS (SELECT project, count(*) AS n FROM f_registry GROUP BY 1), r AS (SELECT project, seq, n + row_number() OVER (PARTITION BY project ORDER BY seq) AS k FROM f_registry JOIN l USING (project) WHERE status='candidate')
+SELECT project, seq, version, status, NULL AS run_id, NULL AS thresholds FROM f_registry
+UNION ALL SELECT project, seq, concat('v', lpad(CAST(k AS VARCHAR), 3, '0')), 'candidate', concat('run-', seq), CASE WHEN seq % 3 = 0 THEN NULL ELSE '{{"de":' || (seq % 7 + 0.5) || ',"en":' || (seq % 5 + 0.25) || '}}' END FROM r""")
 def j3(spark, sf):
     reg = view(spark, sf, "f_registry")
-    return registry.register(reg, reg.where("status = 'candidate'").select("project", "seq", "recall", "prec")).select("project", "seq", "version", "status")
+    own = F.create_map(F.lit("de"), F.col("seq") % 7 + 0.5, F.lit("en"), F.col("seq") % 5 + 0.25).cast("map<string,double>")
+    runs = reg.where("status = 'candidate'").select("project", "seq", "recall", "prec", F.concat(F.lit("run-"), F.col("seq").cast("string")).alias("run_id"), F.when(F.col("seq") % 3 != 0, own).alias("thresholds"))
+    return registry.register(reg, runs).select("project", "seq", "version", "status", "run_id", "thresholds")
 
 
 _PROMOTED = f"{ctes('f_registry')}, c AS (SELECT project, max(version) AS chosen FROM f_registry GROUP BY 1)"
@@ -251,10 +283,23 @@ def vectors(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", (F.col("label") < 3).cast("int").alias("y"))
 
 
+@query("K20_classifiers")
+def k20(spark, sf):
+    df, out = vectors(spark, sf), None
+    for kind in learners.KINDS:
+        got = metrics.auroc(learners.cross_fitted(df, kind).select("y", F.col("probability").alias("score"))).select(F.lit(kind).alias("kind"), "auroc")
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
 @query("K21_defect_probability")
 def k21(spark, sf):
-    df = vectors(spark, sf)
-    return rounded(learners.probabilities(df, learners.fit(df, "logistic")).select("vec_id", "y", "probability"))
+    return rounded(learners.cross_fitted(vectors(spark, sf), "logistic").select("vec_id", "y", "probability"))
+
+
+@query("D14_strongest_features")
+def d14(spark, sf):
+    return rounded(learners.importance(spark, learners.fit(vectors(spark, sf), "logistic"), 15))
 
 
 @query("K22_feature_importance")
@@ -280,10 +325,14 @@ def i12(spark, sf):
     return drift.retraining_signals(production, live, QUERIES["I8_drift_summary"](spark, sf), labels_)
 
 
-@query("I13_train_baseline", f"{ctes('f_features')}, l AS (SELECT doc_id FROM labels) SELECT feature, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std FROM f_features WHERE id IN (SELECT doc_id FROM l) GROUP BY feature")
+@query("I13_train_baseline", f"""{ctes('f_features')}, l AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id % 10 < 6 AND toxic IN (0, 1) GROUP BY 1),
+q AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM f_features WHERE id IN (SELECT doc_id FROM l) GROUP BY 1)
+SELECT feature, round(m,6) AS mean, round(s,6) AS std, n, CAST(len(e) AS BIGINT) AS n_edges, round(e[3],6) AS third_edge,
+  (SELECT round(count(*) FILTER (f.value < q.e[2])/count(*),6) FROM f_features f WHERE f.feature=q.feature AND f.id IN (SELECT doc_id FROM l)) AS first_share, (SELECT round(avg(toxic),6) FROM l) AS defect_ratio FROM q""")
 def i13(spark, sf):
-    known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("id")).distinct()
-    return rounded(drift.baseline(view(spark, sf, "f_features").join(known.hint("merge"), "id", "left_semi")).select("feature", "mean", "std"))
+    train = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id % 10 < 6 and toxic in (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    got = drift.train_baseline(view(spark, sf, "f_features"), train.select("id", (F.col("toxic") == 1).alias("defect")))
+    return rounded(got.select("feature", "mean", "std", "n", F.size("edges").alias("n_edges"), F.get("edges", F.lit(2)).alias("third_edge"), F.get("props", F.lit(0)).alias("first_share"), "defect_ratio"))
 
 
 @query("H18_causes")

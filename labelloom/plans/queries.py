@@ -121,6 +121,7 @@ def resolved(spark, sf):
     return labels.resolve(view(spark, sf, "f_manifest"), view(spark, sf, "f_label_events"), TYPE_MAP)
 
 
+
 @query("C1_append_dedup", f"""{ctes('f_manifest')}, b AS (SELECT *, row_number() OVER (PARTITION BY sha1 ORDER BY seq) AS k FROM f_manifest WHERE seq % 2 = 1)
 SELECT seq, image_id FROM b WHERE k=1 AND sha1 NOT IN (SELECT sha1 FROM f_manifest WHERE seq % 2 = 0)""")
 def c1(spark, sf):
@@ -159,9 +160,12 @@ def c9(spark, sf):
     return labels.sample(view(spark, sf, "f_manifest"), 25, 7).select("seq", "image_id")
 
 
-@query("E1_resolve", f"{_RESOLVED} SELECT seq, image_id, label, raw_defect_type, defect_type, label_source, verified FROM r")
+@query("E1_resolve", f"""{_RESOLVED.replace(ctes("f_manifest", "f_label_events"), ctes("f_manifest", "f_label_events", "f_splits"))}
+SELECT r.seq, r.image_id, r.label, raw_defect_type, r.defect_type, label_source, r.verified, {", ".join(f"CAST(e.{c} AS DOUBLE) AS {c}" for c in labels.ROI)}, coalesce(s.split, 'unassigned') AS split
+FROM r LEFT JOIN e ON e.image_seq = r.seq LEFT JOIN f_splits s ON s.seq = r.seq""")
 def e1(spark, sf):
-    return resolved(spark, sf).select("seq", "image_id", "label", "raw_defect_type", "defect_type", "label_source", "verified")
+    got = labels.resolve(view(spark, sf, "f_manifest"), view(spark, sf, "f_label_events"), TYPE_MAP, view(spark, sf, "f_splits"))
+    return got.select("seq", "image_id", "label", "raw_defect_type", "defect_type", "label_source", "verified", *[F.col(c).cast("double").alias(c) for c in labels.ROI], "split")
 
 
 @query("F2_progress", f"""{_RESOLVED} SELECT count(*) AS total, count(*) FILTER (label='normal') AS normal, count(*) FILTER (label='defect') AS defect, count(*) FILTER (label='unlabeled') AS unlabeled,
@@ -313,10 +317,10 @@ def e15(spark, sf):
 
 
 @query("H3_segment_report", f"""{_SEG}, pr AS ({_RUNS.format(gap=0, flag='predicted')}), rr AS ({_RUNS.format(gap=0, flag='predicted AND truth')}),
-b AS (SELECT video, count(*) FILTER (truth) AS t, count(*) FILTER (predicted) AS p, count(*) FILTER (truth AND predicted) AS tp, count(*) FILTER (predicted AND NOT truth) AS w, count(*) FILTER (NOT truth) AS n, (max(pos)-min(pos))/30.0 AS d FROM f_frames GROUP BY 1),
+b AS (SELECT video, count(*) AS f, count(*) FILTER (truth) AS t, count(*) FILTER (predicted) AS p, count(*) FILTER (truth AND predicted) AS tp, count(*) FILTER (predicted AND NOT truth) AS w, count(*) FILTER (NOT truth) AS n, (max(pos)-min(pos))/30.0 AS d FROM f_frames GROUP BY 1),
 h AS (SELECT video, count(*) AS tr, count(*) FILTER (hits>=1) AS c FROM hits GROUP BY 1), a AS (SELECT video, count(*) AS fa FROM fa GROUP BY 1), p1 AS (SELECT video, count(*) AS pr FROM pr GROUP BY 1), r1 AS (SELECT video, count(*) AS rr FROM rr GROUP BY 1),
 x AS (SELECT b.*, coalesce(tr,0) AS tr, coalesce(c,0) AS c, coalesce(fa,0) AS fa, coalesce(pr,0) AS pr, coalesce(rr,0) AS rr FROM b LEFT JOIN h USING (video) LEFT JOIN a USING (video) LEFT JOIN p1 USING (video) LEFT JOIN r1 USING (video))
-SELECT video, tr AS truth_runs, pr AS predicted_runs, c AS caught, tr-c AS missed, fa AS false_alarms, rr AS on_target, round(coalesce(tp/nullif(t,0),'NaN'::DOUBLE),6) AS frame_recall, round(coalesce(tp/nullif(p,0),'NaN'::DOUBLE),6) AS frame_precision,
+SELECT video, f AS frames, tr AS truth_runs, pr AS predicted_runs, c AS caught, tr-c AS missed, fa AS false_alarms, rr AS on_target, round(coalesce(tp/nullif(t,0),'NaN'::DOUBLE),6) AS frame_recall, round(coalesce(tp/nullif(p,0),'NaN'::DOUBLE),6) AS frame_precision,
 round(CAST(d AS DOUBLE),6) AS duration_sec, round(coalesce(w/nullif(n,0),0),6) AS alarm_time_ratio, round(coalesce(c/nullif(tr,0),'NaN'::DOUBLE),6) AS segment_recall, round(CASE WHEN d>0 THEN CAST(fa*60/d AS DOUBLE) ELSE 'NaN'::DOUBLE END,6) AS false_alarms_per_min, coalesce(w/nullif(n,0),0)>=0.5 AS flooding FROM x""")
 def h3(spark, sf):
     return rounded(segments.report(view(spark, sf, "f_frames")))

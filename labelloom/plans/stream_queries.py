@@ -45,10 +45,12 @@ def a11(spark, sf):
     return rounded(sources.conformed(raw, spark.createDataFrame([], "seq long, score double, note string").schema))
 
 
-@query("A12_evolved_log", f"{ctes('f_inference_log')} SELECT seq, CASE WHEN seq % 2 = 0 THEN NULL ELSE grp END AS grp FROM f_inference_log")
+@query("A12_evolved_log", f"{ctes('f_inference_log')} SELECT seq, CASE WHEN seq % 2 = 0 THEN NULL ELSE grp END AS grp, CAST(NULL AS VARCHAR) AS note FROM f_inference_log")
 def a12(spark, sf):
-    log = view(spark, sf, "f_inference_log").select("seq", "grp")
-    return sources.evolved(log.where("seq % 2 = 0").select("seq"), log.where("seq % 2 = 1"), {"seq", "grp"})
+    log, path = view(spark, sf, "f_inference_log").select("seq", "grp"), scratch(spark, "log")
+    log.where("seq % 2 = 0").select("seq").write.parquet(path)  # files of the first generation know no group
+    log.where("seq % 2 = 1").write.mode("append").parquet(path)
+    return sources.grown(spark, path, spark.createDataFrame([], "seq long, grp string, note string").schema)
 
 
 @query("A16_run_history", f"{ctes('f_runs')} SELECT seq, run_id FROM f_runs")
@@ -56,10 +58,61 @@ def a16(spark, sf):
     return view(spark, sf, "f_runs").orderBy(F.desc("created_at"), F.desc("seq")).select("seq", "run_id")
 
 
-@query("A17_coco_annotations", f"{ctes('f_boxes')} SELECT image_id * 100000 + row_number() OVER (PARTITION BY image_id ORDER BY seq) AS id, image_id, dense_rank() OVER (ORDER BY label) AS category_id, CAST(x AS BIGINT) AS x, CAST(w*h AS BIGINT) AS area FROM f_boxes")
+_COCO = f"""{ctes('f_boxes', 'f_images')}, u AS (SELECT *, row_number() OVER (ORDER BY image_id) AS id FROM f_images WHERE image_id IN (SELECT image_id FROM f_boxes)), k AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT DISTINCT label FROM f_boxes))"""
+
+
+def _coco(spark, sf):
+    return sources.coco(view(spark, sf, "f_boxes"), view(spark, sf, "f_images"))
+
+
+@query("A17_coco_annotations", f"{_COCO} SELECT row_number() OVER (ORDER BY u.id, seq) AS id, u.id AS image_id, k.id AS category_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(w*h AS BIGINT) AS area, 0 AS iscrowd FROM f_boxes b JOIN u USING (image_id) JOIN k ON k.label = b.label")
 def a17(spark, sf):
-    marks = sources.coco(view(spark, sf, "f_boxes"), view(spark, sf, "f_images"))[1]
-    return marks.select("id", "image_id", "category_id", F.col("bbox")[0].cast("long").alias("x"), F.col("area").cast("long").alias("area"))
+    box = [F.col("bbox")[i].cast("long").alias(c) for i, c in enumerate("xywh")]
+    return _coco(spark, sf)[1].select("id", "image_id", "category_id", *box, F.col("area").cast("long").alias("area"), "iscrowd")
+
+
+@query("A17_coco_images", f"{_COCO} SELECT id, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, path AS file_name FROM u")
+def a17_images(spark, sf):
+    return _coco(spark, sf)[0].select("id", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "file_name")
+
+
+@query("A17_coco_categories", f"{_COCO} SELECT id, label AS name FROM k")
+def a17_categories(spark, sf):
+    return rounded(_coco(spark, sf)[2])
+
+
+_LAID = "SELECT concat('n', s_nationkey, '/', s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.txt' WHEN 3 THEN '.Mp4' ELSE '.avi' END) AS path, strlen(s_name) AS length FROM supplier"
+
+
+def _laid(spark, sf):
+    """A file for each supplier, by nation, of images, videos and others: the folder."""
+    root = scratch(spark, "files")
+    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    suffix = F.element_at(F.array(*map(F.lit, (".JPG", ".png", ".txt", ".Mp4", ".avi"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_suppkey").cast("string"), suffix).alias("path"), F.col("s_name").cast("binary").alias("content"))
+    sources.laid_out(rows, root).agg(F.sum("length")).first()  # written here
+    return root
+
+
+def _name():
+    return F.regexp_extract("path", r"/(n[0-9]+/[^/]+)$", 1)
+
+
+@query("A1_image_files", f"WITH l AS ({_LAID}) SELECT path, length FROM l WHERE lower(path) LIKE '%.jpg' OR path LIKE '%.png'")
+def a1(spark, sf):
+    return sources.files(spark, [_laid(spark, sf)]).orderBy("path").select(_name().alias("path"), "length")
+
+
+@query("A2_image_count", f"WITH l AS ({_LAID}) SELECT split_part(path, '/', 1) AS folder, count(*) AS n FROM l WHERE lower(path) LIKE '%.jpg' OR path LIKE '%.png' GROUP BY 1")
+def a2(spark, sf):
+    return sources.files(spark, [_laid(spark, sf)]).groupBy(F.split(_name(), "/")[0].alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query("A22_video_files", f"WITH l AS ({_LAID}), v AS (SELECT * FROM l WHERE lower(path) LIKE '%.mp4' OR path LIKE '%.avi') SELECT path, length FROM v ORDER BY NOT starts_with(path, 'n3/'), path LIMIT 25")
+def a22(spark, sf):
+    root = _laid(spark, sf)
+    inner = f"{root}/n3" if spark.read.parquet(f"{sf}/supplier.parquet").where("s_nationkey = 3").head(1) else root
+    return sources.videos(spark, [inner, root], 25).select(_name().alias("path"), "length")
 
 
 @query("A19_export_rows")
@@ -105,10 +158,13 @@ def n3(spark, sf):
     return streams.drained(streams.daily_counts(rows, "at"), "daily").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("N4_alarm_sessions")
+@query("N4_alarm_sessions", """WITH a AS (SELECT user_id AS video, ts FROM events WHERE value >= 50), b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY video ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM a),
+s AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b), g AS (SELECT video, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS frames FROM s GROUP BY video, k)
+SELECT video, CAST(epoch_us(start) AS BIGINT) AS start, CAST(epoch_us("end") AS BIGINT) AS "end", frames FROM g WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM a)""")
 def n4(spark, sf):
     alarms = _events(spark, sf).where("value >= 50").select(F.col("user_id").alias("video"), "at")
-    return streams.drained(streams.alarm_sessions(alarms, "video", "at", "1 hour"), "sessions")
+    got = streams.drained(streams.alarm_sessions(alarms, "video", "at", "1 hour"), "sessions")
+    return got.select("video", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "frames")
 
 
 @query("N5_moving_frames", MOVING)

@@ -51,9 +51,15 @@ def c11(spark, sf):
     return df.where(labels.quality_flags(df).rlike("blurry|overexposed")).select("seq")
 
 
-@query("C12_scope", f"{_S} SELECT seq FROM s WHERE split='test'")
+@query("C12_scope", f"""{_S}, a AS (SELECT 'all' AS scope, seq FROM s UNION ALL SELECT 'test', seq FROM s WHERE split='test' UNION ALL SELECT 'unlabeled', seq FROM s WHERE label='unlabeled'
+  UNION ALL SELECT 'category', seq FROM s WHERE category='de' UNION ALL SELECT 'first category', seq FROM s WHERE category=(SELECT min(category) FROM s))
+SELECT scope, seq FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq) AS k FROM a) WHERE k <= 40""")
 def c12(spark, sf):
-    return tables.in_scope(split_manifest(spark, sf), "test").select("seq")
+    df, out = split_manifest(spark, sf), None
+    for scope, kind, value in (("all", "all", None), ("test", "test", None), ("unlabeled", "unlabeled", None), ("category", "category", "de"), ("first category", "category", "nowhere")):
+        rows = tables.in_scope(df, kind, value, limit=40).select(F.lit(scope).alias("scope"), "seq")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("C14_labelled", f"{M} SELECT seq, label FROM f_manifest WHERE label <> 'unlabeled'")
@@ -77,7 +83,7 @@ def c22(spark, sf):
     return view(spark, sf, "f_inference_log").select("image_seq").distinct()
 
 
-@query("D6_half_split", f"{ctes('f_eval')} SELECT id, substr(md5(concat('42:', CAST(y AS VARCHAR), ':', CAST(id AS VARCHAR))),1,1) < '8' AS first FROM f_eval")
+@query("D6_half_split", f"{ctes('f_eval')} SELECT id, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id) <= count(*) OVER (PARTITION BY y) // 2 AS first FROM f_eval")
 def d6(spark, sf):
     return tables.half_split(view(spark, sf, "f_eval"), "y", "id").select("id", "first")
 
@@ -118,10 +124,27 @@ def e12(spark, sf):
     return tables.split_gap(split_images(spark, sf), view(spark, sf, "f_boxes"))
 
 
-@query("E16_trace", f"{ctes('f_label_events', 'f_inference_log', 'f_reviews')} SELECT image_seq, 'event' AS stage, seq AS at FROM f_label_events UNION ALL SELECT image_seq, 'inference', seq FROM f_inference_log UNION ALL SELECT image_seq, 'review', seq FROM f_reviews")
+#: What each table says of an image, by stage: the table and the columns told. Times are not among them, as engines write them apart.
+_TOLD = {"manifest": ("f_manifest", ("source", "category", "label", "defect_type")), "effective": ("r", ("label", "defect_type", "label_source", "verified")), "event": ("f_label_events", ("label", "defect_type", "verified", "labeled_by")), "inference": ("f_inference_log", ("version", "decision", "score")), "review": ("f_reviews", ("status", "input_tokens", "defect"))}
+_SAYS = {"score": "CAST(floor(score) AS BIGINT)"}
+
+
+def _trace_sql() -> str:
+    parts = []
+    for stage, (name, columns) in _TOLD.items():
+        key = "seq" if stage in ("manifest", "effective") else "image_seq"
+        parts.append(f"SELECT {key} AS image_seq, '{stage}' AS stage, seq AS at, CAST(to_json(struct_pack(seq := seq, {', '.join(f'{c} := {_SAYS.get(c, c)}' for c in columns)})) AS VARCHAR) AS detail FROM {name}")
+    return _RESOLVED.replace(ctes("f_manifest", "f_label_events"), ctes("f_manifest", "f_label_events", "f_inference_log", "f_reviews")) + " " + " UNION ALL ".join(parts)
+
+
+@query("E16_trace", _trace_sql())
 def e16(spark, sf):
-    named = {"event": "f_label_events", "inference": "f_inference_log", "review": "f_reviews"}
-    return tables.trace({k: view(spark, sf, v) for k, v in named.items()}, "image_seq").select("image_seq", "stage", "at")
+    parts = {}
+    for stage, (name, columns) in _TOLD.items():
+        df = resolved(spark, sf) if stage == "effective" else view(spark, sf, name)
+        key = "seq" if stage in ("manifest", "effective") else "image_seq"
+        parts[stage] = df.select(F.col(key).alias("image_seq"), F.col("seq").cast("long").alias("seq"), *[F.expr(_SAYS.get(c, c)).alias(c) for c in columns])
+    return tables.trace(parts, "image_seq")
 
 
 @query("F1_manifest_summary", f"{M} SELECT count(*) AS total, count(DISTINCT source) AS sources, count(DISTINCT category) AS categories, count(*) FILTER (label='defect') AS defect FROM f_manifest")
@@ -157,9 +180,11 @@ def f8(spark, sf):
     return rounded(manifest(spark, sf).groupBy("category").agg(F.avg("blur_score").alias("blur"), F.avg("brightness").alias("bright")))
 
 
-@query("F12_detection_readiness", f"{ctes('f_boxes')}, c AS (SELECT label, count(*) AS n FROM f_boxes GROUP BY 1) SELECT count(*) AS classes, count(*) FILTER (n<1500) AS n_thin, coalesce(string_agg(label, ',' ORDER BY label) FILTER (n<1500), '') AS thin, count(*) FILTER (n<1500) = 0 AS ready FROM c")
+@query("F12_detection_readiness", f"""{_S}, c AS (SELECT label, count(*) AS n FROM f_boxes GROUP BY 1), i AS (SELECT count(DISTINCT image_id) AS n FROM f_boxes), a AS (SELECT count(*) AS n FROM s WHERE split IN ('train','val','test'))
+SELECT (SELECT n FROM i) AS images_with_boxes, CAST(sum(n) AS BIGINT) AS boxes, count(*) AS classes, '{{' || string_agg('"' || label || '":' || n, ',' ORDER BY label) || '}}' AS per_class,
+  coalesce(string_agg(label, ',' ORDER BY label) FILTER (n<1500), '') AS thin, (SELECT n FROM a) AS splits_assigned, (SELECT n FROM i) >= 1500 AND (SELECT n FROM a) > 0 AS ready FROM c""")
 def f12(spark, sf):
-    return tables.detection_readiness(view(spark, sf, "f_boxes"), 1500)
+    return tables.detection_readiness(view(spark, sf, "f_boxes"), split_manifest(spark, sf), 1500)
 
 
 _OUT = f"""{_S}, o AS (SELECT split, label, CASE WHEN width IS NULL OR width <= 0 THEN 'unreadable' WHEN split='unassigned' THEN 'no_split'
@@ -176,9 +201,10 @@ def f30(spark, sf):
     return tables.export_usable(tables.export_outcomes(split_images(spark, sf), view(spark, sf, "f_boxes")))
 
 
-@query("F15_last_batch", f"{ctes('f_inference_log')} SELECT version, count(*) AS n, count(*) FILTER (decision='defect') AS defects, round(avg(score),6) AS mean_score FROM f_inference_log GROUP BY version")
+@query("F15_last_batch", f"""{ctes('f_inference_log')}, d AS (SELECT *, CAST(logged_at AS DATE) AS day, CAST(json_extract_string(props,'$.k') AS DOUBLE) AS latency FROM f_inference_log), l AS (SELECT version, max(day) AS day FROM d GROUP BY 1)
+SELECT version, CAST(day AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (decision='defect') AS defect, count(*) FILTER (decision='normal') AS normal, round(avg(latency),6) AS latency_mean, count(*) FILTER (score IS NULL) AS failed FROM d JOIN l USING (version, day) GROUP BY 1, 2""")
 def f15(spark, sf):
-    return rounded(view(spark, sf, "f_inference_log").groupBy("version").agg(F.count("*").alias("n"), tables.count_if(F.col("decision") == "defect").alias("defects"), F.avg("score").alias("mean_score")))
+    return rounded(tables.last_batch(view(spark, sf, "f_inference_log").withColumn("latency", F.from_json("props", "k double")["k"])))
 
 
 @query("F19_model_advice", f"{_S}, c AS (SELECT count(*) FILTER (split='train' AND label='normal') AS normals, count(*) FILTER (split='train' AND label='defect') AS defects FROM s) SELECT normals, defects, defects=0 AS baseline_blocked, normals=0 AS anomaly_blocked, CASE WHEN (normals=0 AND defects>0) OR defects>=10 THEN 'baseline' ELSE 'anomaly' END AS recommended, normals>0 AND normals<15 AS few_normals FROM c")
@@ -245,9 +271,11 @@ def b12(spark, sf):
     return df.select("seq", tables.flag_words(labels.quality_flags(df)).alias("words"))
 
 
-@query("C13_largest_video", f"{M} SELECT grp FROM f_manifest WHERE trim(grp) <> '' GROUP BY grp ORDER BY count(*) DESC, grp DESC LIMIT 1")
+@query("C13_largest_video", f"""{M}, g AS (SELECT grp FROM f_manifest WHERE trim(grp) <> '' GROUP BY grp ORDER BY count(*) DESC, grp DESC LIMIT 1),
+f AS (SELECT grp, seq, row_number() OVER (ORDER BY seq) - 1 AS p, count(*) OVER () AS n FROM f_manifest WHERE grp = (SELECT grp FROM g))
+SELECT grp, seq FROM f WHERE n <= 20 OR p IN (SELECT CAST(floor(k * (n / 20)) AS BIGINT) FROM (SELECT unnest(range(0, 20)) AS k), (SELECT DISTINCT n FROM f))""")
 def c13(spark, sf):
-    return tables.largest_group(manifest(spark, sf), "grp")
+    return tables.video_subset(manifest(spark, sf), "grp", ["seq"], 20).select("grp", "seq")
 
 
 @query("C15_numbered_frames", f"{M} SELECT seq FROM f_manifest WHERE trim(grp) NOT IN ('', 'nan', 'None')")

@@ -3,22 +3,64 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from labelloom.operators.boxes import class_ids
+from labelloom.operators.labels import ranked
+
+from .scratch import sized, written
 
 #: Suffixes of image files, and words that mean true.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
 TRUE = ("true", "1", "yes", "y")
 
 
+VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv", "webm", "m4v")
+
+
 def files(spark: SparkSession, roots: list[str], suffixes=IMAGE_SUFFIXES) -> DataFrame:
-    """path, length, modificationTime of files with one of the suffixes below the roots, each once (A1, A2, A22); contents stay unread."""
+    """path, length, modificationTime of files with one of the suffixes below the roots, each once (A1, A2); contents stay unread."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots).select("path", "length", "modificationTime")
     return listed.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).dropDuplicates(["path"])
 
 
+def videos(spark: SparkSession, roots: list[str], limit: int = 200) -> DataFrame:
+    """path, length of up to ``limit`` videos, root by root in the given order and by path within one, each once."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    first = F.lit(len(roots))
+    for k, root in reversed(list(enumerate(roots))):
+        named = at(root).getFileSystem(conf).makeQualified(at(root)).toString()  # as the listing writes it
+        first = F.when(F.col("path").startswith(named.rstrip("/") + "/"), k).otherwise(first)
+    return files(spark, roots, VIDEO_SUFFIXES).orderBy(first, "path").limit(limit).select("path", "length")
+
+
+def laid_out(rows: DataFrame, root: str) -> DataFrame:
+    """Write each row's ``content`` (binary) as the file ``root/path``, and return path and length of what was written.
+
+    Tasks write files of their own; a task that runs again writes the same ones.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            names, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for folder in {n.rpartition("/")[0] for n in names}:
+                store.create_dir(f"{base}/{folder}", recursive=True)
+            for n, content in zip(names, contents, strict=True):
+                with store.open_output_stream(f"{base}/{n}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"path": names, "length": pa.array([len(c) for c in contents], pa.int64())})
+
+    return rows.select("path", "content").mapInArrow(put, "path string, length long")
+
+
 def conformed(df: DataFrame, schema: StructType) -> DataFrame:
     """The columns of ``schema``: absent ones null, values that do not read as the type null."""
     return df.select(*[_as(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None), f.dataType.simpleString()).alias(f.name) for f in schema])
@@ -35,6 +77,18 @@ def said_true(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin(*TRUE), F.lit(False))
 
 
+def grown(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The rows of a table whose files were written under several generations of its schema, with the columns of ``schema``.
+
+    Files that lack a column have null in it. A table with a column that the schema does not know is another's: it is left
+    alone, and None returned.
+    """
+    stored = spark.read.option("mergeSchema", True).parquet(path)
+    if set(stored.columns) - set(schema.names):
+        return None
+    return conformed(stored, schema)
+
+
 def evolved(old: DataFrame, new: DataFrame, known: set[str]) -> DataFrame:
     """Old and new rows with the columns of both, absent ones null (A12); a column that is not known is an error."""
     strange = (set(old.columns) | set(new.columns)) - known
@@ -48,9 +102,52 @@ def append_by_day(df: DataFrame, time: str, path: str) -> None:
     df.withColumn("day", F.to_date(time)).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
-def official_split(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], encoding: str = "UTF-8") -> DataFrame:
+#: Encodings that foreign files are tried in, in this order.
+ENCODINGS = ("utf-8-sig", "cp949")
+
+
+def _recoded(df: DataFrame, encoding: str) -> DataFrame:
+    """Texts that were read byte by byte, as the encoding means them, with ``bad``: whether a cell of the row is not valid in it."""
+    names = df.columns
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad, out = [False] * b.num_rows, []
+            for column in b.columns:
+                cells = column.to_pylist()
+                for k, x in enumerate(cells):
+                    if x is not None:
+                        try:
+                            cells[k] = x.encode("latin-1").decode(encoding)
+                        except UnicodeDecodeError:
+                            cells[k], bad[k] = None, True
+                out.append(pa.array(cells, pa.string()))
+            yield pa.RecordBatch.from_arrays([*out, pa.array(bad, pa.bool_())], names=[*names, "bad"])
+
+    return df.mapInArrow(decode, StructType([*df.schema.fields, StructField("bad", BooleanType())]))
+
+
+def readable_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """A CSV with a header in the first encoding that all of it is valid in (A13); none is an error.
+
+    Cells are told apart byte by byte, which leaves every other byte as it is in encodings that hold ASCII, and decoded in
+    tasks; a trial reads until it finds a cell that is not valid.
+    """
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    for encoding in encodings:
+        try:
+            named = [c.encode("latin-1").decode(encoding) for c in raw.columns]
+        except UnicodeDecodeError:
+            continue
+        got = _recoded(raw.toDF(*[f"c{k}" for k in range(len(named))]), encoding)
+        if not got.where("bad").head(1):
+            return got.drop("bad").toDF(*named)
+    raise ValueError(f"{path} is in none of the encodings {', '.join(encodings)}")
+
+
+def official_split(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
     """A CSV of foreign column names with ours: each name takes the first of its spellings that the file has."""
-    df = spark.read.option("header", True).option("encoding", encoding).csv(path)
+    df = readable_csv(spark, path, encodings)
     named = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
     return df.select(*[next((F.col(f"`{named[s]}`") for s in spelt if s in named), F.lit(None).cast("string")).alias(ours) for ours, spelt in columns.items()])
 
@@ -115,14 +212,15 @@ def import_outcomes(listing: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def coco(boxes: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, annotations and categories of a COCO export as three tables (A17), to be written as such.
+    """images, annotations and categories of a COCO export as three tables with dense ids from 1 (A17), to be written as such.
 
-    Image ids are the images' own numbers; an annotation's id is its image's with its place in it, so no numbering spans
-    the table.
+    Images are numbered by image_id, annotations by image and seq, categories by label. Numbers come from counted ranges of
+    the whole table, so no task numbers all rows.
     """
-    kinds = boxes.select("label").distinct().withColumn("category_id", F.row_number().over(Window.orderBy("label")).cast("long"))
-    used = images.join(boxes.select("image_id").distinct().hint("merge"), "image_id", "left_semi")
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy("seq"))
-    marks = boxes.withColumn("place", place).join(F.broadcast(kinds), "label")
-    annotations = marks.select((F.col("image_id") * 100000 + F.col("place")).alias("id"), "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
-    return used.select(F.col("image_id").alias("id"), "width", "height", F.col("path").alias("file_name")), annotations, kinds.select(F.col("category_id").alias("id"), F.col("label").alias("name"))
+    used = written(images.join(boxes.select("image_id").distinct().hint("merge"), "image_id", "left_semi"), "images")
+    numbers = ranked(used, [], ["image_id"], ["image_id"]).select("image_id", F.col("r").alias("image"))
+    kinds = written(class_ids(boxes).select("label", (F.col("class_id") + 1).alias("category_id")), "classes")
+    marks = written(boxes.join(numbers.hint("merge"), "image_id").join(sized(kinds), "label"), "marks")
+    order = ranked(marks, [], ["image", "seq"], ["seq"]).select("seq", F.col("r").alias("id"))
+    annotations = marks.join(order.hint("merge"), "seq").select("id", F.col("image").alias("image_id"), "category_id", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
+    return used.join(numbers.hint("merge"), "image_id").select(F.col("image").alias("id"), "width", "height", F.col("path").alias("file_name")), annotations, kinds.select(F.col("category_id").alias("id"), F.col("label").alias("name"))

@@ -33,4 +33,4 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0  # what they give is held against rules in test_scale_forms and test_model_rules
