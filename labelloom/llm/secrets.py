@@ -8,9 +8,11 @@ words beside it. The forest is trained on labelled findings, a bounded sample of
 
 No table of labelled findings comes with the corpus. ``labelled_findings`` makes them from two places. Candidates of the
 corpus are labelled only where their form or place leaves no doubt: formats that issuers publish and values given to a
-credential's name are findings, addresses, paths, digests behind a word for one and frequent words are not; all
-others train nothing. Forms that the corpus lacks come from ``example_findings``, lines that Spark derives from hashes.
-A caller with reviewed findings passes them instead.
+credential's name are findings; addresses, paths, digests behind a word for one, names made of words, integrity digests and
+embedded data are not, whatever name stands beside them; all others train nothing. Forms that the corpus lacks, hard
+ones on both sides among them, come from ``example_findings``, lines that Spark derives from hashes. Part of the rows
+train a second time without what stands beside the value, so that trees have to tell a value by itself too. A caller with
+reviewed findings passes them instead.
 """
 
 from __future__ import annotations
@@ -32,16 +34,20 @@ SHORT_RUN = r"[A-Za-z0-9+/_=.-]{8,}"
 PIECE = r"(?s)\G.*?[A-Za-z0-9+/_=.-]{%d,}[^A-Za-z0-9+/_=.-]*"
 #: Words beside a candidate that speak for or against a credential.
 NAMES = ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "credential", "credentials", "bearer", "auth", "authorization")
-AGAINST = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "version", "rev", "revision", "etag", "see", "from", "mail", "email")
+AGAINST = ("commit", "sha1", "sha256", "sha384", "sha512", "md5", "checksum", "digest", "hash", "uuid", "guid", "version", "rev", "revision", "etag", "see", "from", "mail", "email", "integrity", "base64", "image", "src", "href", "cache")
 #: Formats of credentials that their issuers publish.
 ISSUED = (r"^(AKIA|ASIA)[A-Z0-9]{16,20}$", r"^gh[pousr]_[A-Za-z0-9]{30,}$", r"^github_pat_[A-Za-z0-9_]{22,}$", r"^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}$", r"^xox[abprs]-[A-Za-z0-9-]{20,}$", r"^sk_(live|test)_[A-Za-z0-9]{16,}$", r"^glpat-[A-Za-z0-9_-]{20,}$")
 
-FEATURES = ["length", "transitions", "lower_digit", "lower_upper", "digit_share", "upper_share", "hex_share", "distinct_share", "dictionary", "longest_letters", "dashes", "dots", "slashes", "path", "mail", "named", "against", "quoted", "assigned"]
+#: What a value's surroundings tell; hidden from a row that trains a second time.
+CONTEXT = ("path", "mail", "named", "against", "quoted", "assigned")
+#: One row in so many trains a second time without its surroundings, unless they alone tell what it is.
+HIDDEN = 3
+FEATURES = ["length", "transitions", "lower_digit", "lower_upper", "digit_share", "upper_share", "hex_share", "distinct_share", "dictionary", "longest_letters", "dashes", "dots", "slashes", "word_share", "path", "mail", "named", "against", "quoted", "assigned"]
 
 
 def _named(x: Column, names: tuple[str, ...]) -> Column:
-    """Whether one of the names stands in a text, alone or as a part that signs set off."""
-    return F.lower(x).rlike(r"(?<![a-z0-9])(" + "|".join(names) + r")(?![a-z0-9])")
+    """Whether one of the names stands in a text, alone or as a part that signs or a capital set off."""
+    return F.lower(F.regexp_replace(x, "([a-z])([A-Z])", "$1_$2")).rlike(r"(?<![a-z0-9])(" + "|".join(names) + r")(?![a-z0-9])")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -104,10 +110,12 @@ def featured(rows: DataFrame, dictionary: Dictionary) -> DataFrame:
             "dashes": count("[-_]"),
             "dots": count("[.]"),
             "slashes": count("/"),
-            "path": F.col("word").rlike(r"://|^[\"'(]?[/.]|[A-Za-z0-9]/[A-Za-z0-9._-]+/|\.(py|js|txt|html|json|md|com|org|net)\b").cast("double"),
+            # Characters in parts that signs set off and that are letters of one case: names are made of such.
+            "word_share": (n - F.length(F.regexp_replace(v, r"(?<![A-Za-z0-9])([A-Z]?[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9])", ""))) / n,
+            "path": F.col("word").rlike(r"://|^[\"'(]?[/.]|(?<![A-Za-z0-9])[a-z][a-z0-9._-]*/[a-z0-9._-]+/|\.(py|js|txt|html|json|md|com|org|net)\b").cast("double"),
             "mail": F.col("word").contains("@").cast("double"),
             "named": _named(beside, NAMES).cast("double"),
-            "against": _named(F.concat_ws(" ", "before2", "before"), AGAINST).cast("double"),
+            "against": _named(beside, AGAINST).cast("double"),
             "quoted": F.col("word").rlike("[\"'`]").cast("double"),
             "assigned": (F.col("before").rlike("[=:]$") | F.col("word").rlike("[=:].")).cast("double"),
         }
@@ -123,10 +131,13 @@ def labelled_findings(rows: DataFrame) -> DataFrame:
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     given = F.lower(F.col("before2")).rlike(r"(^|[^a-z])(" + "|".join(NAMES) + r")[\"']?$") & F.col("before").isin("=", ":", ":=")
     inside = F.lower(word).rlike(r"(^|[^a-z])(" + "|".join(NAMES) + r")[\"']?[=:]")
-    place = word.contains("@") | word.rlike("://") | v.rlike(r"^\.{0,2}/|^[A-Za-z0-9._-]+(/[A-Za-z0-9._-]+){2,}$")
+    place = word.contains("@") | word.rlike("://") | v.rlike(r"^\.{0,2}/|^[a-z0-9._-]+(/[a-z0-9._-]+){2,}$")
+    # Names that programs give to things, and what stands in a page or a lock file for its content.
+    wordy = v.rlike(r"^([a-z]{2,}|v?[0-9]{1,4})([_.-]+([a-z]{2,}|v?[0-9]{1,4}))+$") & v.rlike("[a-z]{3}")
+    embedded = v.rlike("^sha(256|384|512)-") | word.rlike(r"(?i)base64,|sha(256|384|512)-")
     digest = v.rlike("^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$") & F.lower(F.concat_ws(" ", "before2", "before")).rlike(r"\b(" + "|".join(AGAINST) + r")\b")
     plain = v.rlike("^[A-Za-z]+([._-][A-Za-z]*)*$")
-    label = F.when(issued, 1.0).when(place | digest, 0.0).when((given | inside) & mixed, 1.0).when(plain & ~given & ~inside, 0.0)
+    label = F.when(issued & ~embedded, 1.0).when(place | digest | wordy | embedded, 0.0).when((given | inside) & mixed, 1.0).when(plain & ~given & ~inside, 0.0)
     return rows.withColumn("label", label).where("label is not null")
 
 
@@ -134,6 +145,7 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     """doc_id, text: lines with credentials of published formats and with look-alikes, their values cut from hashes."""
     hexes = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     mixed = lambda salt, size: F.substr(F.regexp_replace(F.base64(F.unhex(F.concat(hexes(salt), hexes(salt + "+")))), "[+/=]", "x"), F.lit(1), F.lit(size))
+    wide = lambda salt, size: F.substr(F.regexp_replace(F.base64(F.unhex(F.concat(hexes(salt), hexes(salt + "-")))), "[=]", "y"), F.lit(1), F.lit(size))
     upper = lambda salt, size: F.upper(mixed(salt, size))
     lower = lambda salt: F.translate(F.lower(mixed(salt, 9)), "0123456789", "aeioulnrst")
     name = F.element_at(F.array(*[F.lit(x) for x in ("API_KEY", "db.password", "client_secret", "auth-token", "SECRET_KEY")]), (F.col("id") % 5 + 1).cast("int"))
@@ -141,6 +153,8 @@ def example_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         F.concat(F.lit("aws AKIA"), upper("a", 16), F.lit(" set")), F.concat(F.lit("GITHUB_TOKEN=ghp_"), mixed("b", 36)), F.concat(F.lit("use ghp_"), mixed("c", 36), F.lit(" here")),
         F.concat(F.lit("Authorization: Bearer eyJ"), mixed("d", 17), F.lit(".eyJ"), mixed("e", 30), F.lit("."), mixed("f", 43)), F.concat(F.lit("then eyJ"), mixed("g", 20), F.lit(".eyJ"), mixed("h", 40), F.lit("."), mixed("i", 43)),
         F.concat(name, F.lit(' = "'), mixed("j", 32), F.lit('"')), F.concat(name, F.lit("="), mixed("k", 24)), F.concat(name, F.lit(": '"), hexes("l"), F.lit("'")), F.concat(F.lit('{"'), name, F.lit('": "'), mixed("m", 12), F.lit('"}')),
+        F.concat(F.lit('aws_secret_access_key = "'), wide("A", 20), F.lit("/"), mixed("B", 8), F.lit("/"), wide("C", 10), F.lit('"')), F.concat(F.lit("SECRET_KEY="), mixed("D", 9), F.lit("/"), mixed("E", 11), F.lit("+"), mixed("F", 18)), F.concat(F.lit("the password: '"), mixed("G", 10), F.lit("!' works")), F.concat(F.lit("access "), mixed("H", 14), F.lit("/"), mixed("I", 12), F.lit("/"), mixed("J", 12), F.lit(" granted")),
+        F.concat(F.lit('cache_key = "'), lower("K"), F.lit("_"), lower("L"), F.lit("_page_v2_2024\"")), F.concat(F.lit("primary_key: "), lower("M"), F.lit("_"), lower("N"), F.lit("_id")), F.concat(F.lit('token_type="'), lower("O"), F.lit("-"), lower("P"), F.lit('"')), F.concat(F.lit('"integrity": "sha512-'), wide("Q", 43), F.lit("/"), wide("R", 42), F.lit('=="')), F.concat(F.lit("src=data:image/png;base64,iVBORw0KGgo"), wide("S", 40), F.lit("/"), wide("T", 43)), F.concat(F.lit('"key": "'), lower("U"), F.lit("."), lower("V"), F.lit('.title"')),
         F.concat(F.lit("slack xoxb-"), mixed("n", 12), F.lit("-"), mixed("o", 24)), F.concat(F.lit("pay sk_live_"), mixed("p", 24)),
         F.concat(F.lit("see commit "), F.substr(hexes("q"), F.lit(1), F.lit(40)), F.lit(" for more")), F.concat(F.lit("sha256 "), hexes("r"), F.lit(" file")), F.concat(F.lit("md5: "), F.md5(F.col("id").cast("string").cast("binary")), F.lit(" ok")),
         F.concat(F.lit("open /usr/"), lower("s"), F.lit("/lib/"), lower("t"), F.lit(".py now")), F.concat(F.lit("at src/"), lower("u"), F.lit("/"), lower("v"), F.lit("/main.js line")), F.concat(F.lit("go https://www."), lower("w"), F.lit(".com/docs/"), lower("x"), F.lit("/index.html")),
@@ -153,7 +167,8 @@ def fit(findings: DataFrame):
     """A forest from labelled, featured findings, at most TRAIN_ROWS of each label taken by hash; None where a label is absent."""
     order = F.xxhash64(F.lit(SEED), "doc_id", "at", "value")
     sample = findings.where("label = 1").orderBy(order).limit(TRAIN_ROWS).unionByName(findings.where("label = 0").orderBy(order).limit(TRAIN_ROWS))
-    sample = written(sample.select(*FEATURES, "label"), "findings")
+    hidden = sample.where(F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "at", "value"), F.lit(HIDDEN)) == 0).where("against = 0").withColumns({c: F.lit(0.0) for c in CONTEXT})
+    sample = written(sample.unionByName(hidden).select(*FEATURES, "label"), "findings")
     counts = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None

@@ -529,3 +529,57 @@ def test_partition_sums_solve_the_normal_equations(spark):
     f = quality_model.fourier(pts, n=20_000)[:, :-1]
     kernel = np.exp(-((pts[:, None] - pts[None]) ** 2).sum(2) / (2 * 22))
     assert np.abs(f @ f.T - kernel).max() < 0.05
+
+
+def test_templates_are_ranked_by_compression_and_winners_confirmed(spark):
+    import zstandard
+
+    t, rng = licenses.TEMPLATES, random.Random(10)
+    filler = lambda n: " ".join("".join(rng.choice("aeioulnrstdm") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    m = licenses.Matcher()
+
+    def saved(k, block):
+        raw, own = " ".join(block).encode(), " ".join(licenses.words(list(t.values())[k])).encode()
+        as_dict = zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = lambda x, **kw: len(zstandard.ZstdCompressor(level=9, write_content_size=False, **kw).compress(x))
+        return (size(raw) - size(raw, dict_data=as_dict)) / m.own[k]
+
+    for name, text in t.items():
+        block = licenses.words(f"{filler(30)} {text} {filler(30)}")
+        got, want = [k for _, k in m.ranked(block)], sorted(range(len(t)), key=lambda k: -saved(k, block))
+        own = m.names.index(name)
+        assert m.reductions(block)[own] >= licenses.WIN and got == want and own in got[:3]
+    # Whole files, over lines and behind comment signs, with a word or two of other wording.
+    texts = [f"{filler(80)}\n" + "\n".join(" * " + " ".join(x.split()[k : k + 9]) for k in range(0, len(x.split()), 9)) + f"\n{filler(80)}" for x in t.values()]
+    got = defaultdict(set)
+    for r in licenses.license_scan(docs(spark, list(enumerate(texts)))).where("confirmed").collect():
+        got[r["doc_id"]].add(r["license"])
+        assert r["saving"] >= licenses.WIN and r["wording"] >= licenses.CONFIRM
+    assert all(name in got[k] for k, name in enumerate(t))
+    exact = {"GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header", "BSD-2-Clause-full", "BSD-3-Clause-full"}
+    assert all(got[k] & exact == {name} for k, name in enumerate(t) if name in exact)
+    mit = t["MIT-full"].replace("free of charge", "without charge").replace("merge, ", "")
+    row = licenses.license_scan(docs(spark, [(1, mit)])).where("license = 'MIT-full'").first()
+    assert row["confirmed"] and '"free of"' in row["differences"] and "merge" in row["differences"]
+    prose = "The copyright office issued a licence for fishing; the warranty of the boat had run out and permission is needed to redistribute its catch."
+    assert licenses.license_scan(docs(spark, [(1, prose), (2, None), (3, "")])).where("confirmed").count() == 0
+
+
+def test_hard_secrets_and_look_alikes_beside_names(spark):
+    rng = random.Random(31)
+    made = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda n=7: made("aeioulnrstdmbcfgp", n)
+    prose = lambda: " ".join(word(rng.randint(3, 9)) for _ in range(12))
+    secret = ['aws_secret_access_key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"', "password: hunter2Blue!9x", f"use ghp_{made(alnum, 36)} now", f"AKIA{made(alnum[26:], 16)} is it", f"slack xoxb-{made(alnum, 12)}-{made(alnum, 24)}"]
+    plain = ['cache_key = "user_profile_page_v2_2024"', f'"integrity": "sha512-{made(alnum + "+/", 86)}=="', f'<img src="data:image/png;base64,iVBORw0KGgo{made(alnum + "+/", 90)}">', f"commit {made('0123456789abcdef', 40)}", "uuid 123e4567-e89b-12d3-a456-426614174000", "see /usr/local/share/things/readme.txt here", "call getUserProfileFromRemoteCache now"]
+    # A form of neither side's examples: account keys of connection strings, and names of translations.
+    held = {True: [f"Endpoint=x;AccountKey={made(alnum + '+/', 60)}==;" for _ in range(40)], False: [f'label_key("{word()}.{word()}.{word()}_title")' for _ in range(40)]}
+    lines = [(x, True) for x in secret] + [(x, False) for x in plain] + [(x, k) for k, v in held.items() for x in v]
+    rows = [(k, f"{prose()} {x} {prose()}") for k, (x, _) in enumerate(lines)]
+    corpus = docs(spark, [*rows, *[(1000 + k, f"{prose()} {prose()}") for k in range(200)]])
+    found = {r["doc_id"] for r in secrets.secret_scan(corpus).where("is_secret").collect()}
+    told = [(x, k in found) for k, (x, _) in enumerate(lines)]
+    assert all(got == want for (x, got), (_, want) in zip(told[: len(secret) + len(plain)], lines, strict=False)), [t for t, (_, w) in zip(told, lines, strict=True) if t[1] != w][:12]
+    right = [got == want for (_, got), (_, want) in zip(told, lines, strict=True)][len(secret) + len(plain) :]
+    assert sum(right[:40]) >= 36 and sum(right[40:]) >= 36, (sum(right[:40]), sum(right[40:]))
