@@ -36,7 +36,7 @@ from .common import in_arrow, scratch, slices, written
 
 FRAME_TOKENS = 1 << 16
 #: Bytes of pieces and ids that a Python worker remembers; characters that are encoded at once.
-CACHE_BYTES, PORTION_CHARS = 16 << 20, 1 << 20
+CACHE_BYTES, PORTION_CHARS = 16 << 20, 2 << 20
 # Fixed values of the Zstandard Seekable Format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
@@ -278,7 +278,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, doc
         code, n = encoder(tokenizer), 0
         with files.open_output_stream(inner, compression=None) as sink:
             shard_file = ShardWriter(sink)
-            for batch in slices(chain([first], batches)):
+            for batch in slices(chain([first], batches), 1000):
                 keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
                 for a, b in portions(texts, PORTION_CHARS):
                     for key, ids in zip(keys[a:b], code.encode(texts[a:b]), strict=True):
