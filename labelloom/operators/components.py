@@ -11,8 +11,8 @@ from labelloom.sources.scratch import dropped, written
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, label: nodes (id) that edges (a, b) connect share the least of their ids.
 
-    A round gives each label the least label that an edge of its nodes leads to, and then follows labels of labels to
-    their end twice, so a chain takes rounds by the logarithm of its length. The driver sees a count a round.
+    A round gives each label the least label that an edge of its nodes leads to, and then each node its label's
+    label, so a chain takes rounds by the logarithm of its length. The driver sees a count a round.
     """
     labels = written(nodes.select("id", F.col("id").alias("label")), "labels")
     both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -23,10 +23,9 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not lower.head(1):
             break
         hooked = labels.join(lower.hint("merge"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-        for _ in range(2):
-            hooked = written(hooked, "hooked")
-            up = hooked.where("id <> label").select(F.col("id").alias("label"), F.col("label").alias("to"))
-            hooked = hooked.join(up.hint("merge"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        # The label of a node's label is looked up in the same pass: both sides are small steps from written tables.
+        up = hooked.where("id <> label").select(F.col("id").alias("label"), F.col("label").alias("to"))
+        hooked = hooked.join(up.hint("merge"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         before, labels = labels, written(hooked, "labels")
         for done in (before, lower):
             dropped(done)
