@@ -22,14 +22,31 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def latest_labels(events: DataFrame) -> DataFrame:
-    """The latest label of each image, kept as state (N1): each batch writes the images that it changed, its own folder anew on a retry."""
+def latest_labels(events: DataFrame, every: int = 16) -> DataFrame:
+    """The latest label of each image, kept as state.
+
+    A batch writes the images that it changed, by its number, so one that is run again writes the same place. Each
+    ``every`` batches the newest whole table and the batches since become the next whole table: what a reader puts together
+    is one table and fewer than ``every`` batches, however long the stream runs. Equal seqs are repeats of one event.
+    """
     spark, path = events.sparkSession, scratch(events.sparkSession, "labels")
-    kept = events.groupBy("image_seq").agg(F.max_by(F.struct("seq", "label", "verified"), "seq").alias("x")).select("image_seq", "x.*")
-    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    newest = lambda df: df.groupBy("image_seq").agg(F.max_by(F.struct("seq", "label", "verified"), "seq").alias("x")).select("image_seq", "x.*")
+    kept, written = newest(events), []
+
+    def upto(batch: int) -> DataFrame:
+        """The last whole table before ``batch`` and the batches from there on to it."""
+        first = batch // every * every
+        tables = [f"{path}/whole/{first - 1:09d}"] * (first > 0) + [f"{path}/batch/{k:09d}" for k in range(first, batch + 1)]
+        return newest(spark.read.schema(kept.schema).parquet(*tables))
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch/{batch:09d}")
+        if batch % every == every - 1:
+            upto(batch).write.mode("overwrite").parquet(f"{path}/whole/{batch:09d}")
+        written[:] = [batch]
+
     kept.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", path + "-log").trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.schema(kept.schema).parquet(path)
-    return stored.groupBy("image_seq").agg(F.max_by(F.struct("seq", "label", "verified"), "seq").alias("x")).select("image_seq", "x.*")
+    return upto(written[0]) if written else spark.createDataFrame([], kept.schema)
 
 
 def new_contents(stream: DataFrame, time: str, key: str = "sha1", within: str = "1 day") -> DataFrame:
@@ -84,4 +101,4 @@ def moving_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20,
 def feedback(log: DataFrame, truth: DataFrame) -> DataFrame:
     """Log rows of a stream with the verified labels of a table (N6): seq, y_true, y_pred."""
     known = truth.select("image_seq", F.when(F.col("label") == "defect", 1).otherwise(0).alias("y_true"))
-    return log.join(known.hint("shuffle_hash"), "image_seq").select("seq", "y_true", F.when(F.col("decision") == "defect", 1).otherwise(0).alias("y_pred"))
+    return log.join(known.hint("merge"), "image_seq").select("seq", "y_true", F.when(F.col("decision") == "defect", 1).otherwise(0).alias("y_pred"))

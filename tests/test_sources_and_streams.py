@@ -46,6 +46,19 @@ def test_state_carries_over_batches(spark, tmp_path):
     assert got == {tuple(r) for r in segments.drop_still_frames(frames, most_drops=5).collect()}
 
 
+@pytest.mark.parametrize("every", [2, 3, 16])
+def test_latest_labels_of_many_batches_and_of_none(spark, tmp_path, every):
+    rows = [(k, k * 7 % 10, None if k % 5 == 0 else f"l{k}", k % 2 == 0) for k in range(60)]
+    events = spark.createDataFrame(rows, "seq long, image_seq long, label string, verified boolean")
+    (tmp_path / "none").mkdir()
+    for k in (3, 0, 5, 1, 4, 2):  # later batches hold older events too
+        events.where(f"seq % 6 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda name: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    want = {image: (image, *max((seq, label, ok) for seq, i, label, ok in rows if i == image)) for image in range(10)}
+    assert sorted(map(tuple, streams.latest_labels(read("in"), every).collect())) == sorted(want.values())
+    assert streams.latest_labels(read("none"), every).count() == 0
+
+
 def test_streamed_and_batch_filters_agree(spark):
     assert {tuple(r) for r in QUERIES["N5_moving_frames"](spark, SF).collect()} == {tuple(r) for r in QUERIES["H14_still_frames"](spark, SF).collect()}
 
