@@ -10,9 +10,9 @@ from labelloom.sources.scratch import scratch
 
 
 def read(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """A stream of the rows of the named Parquet table of a folder."""
+    """A stream of the rows of the named Parquet table of a folder, be it one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{file}}}")  # as a pattern, since a stream's path proper must be a folder
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
@@ -83,6 +83,8 @@ def moving_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20,
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(f"{path}/state/{batch - 1:09d}")
 
+    batches = []
+
     def fold(df: DataFrame, batch: int) -> None:
         before = state(batch)
         here = df.select("video", "pos", "cells", F.lit(None).cast("int").alias("drops"))
@@ -93,8 +95,11 @@ def moving_frames(frames: DataFrame, least: float = 0.005, most_drops: int = 20,
         moved = spark.read.schema(schema).parquet(f"{path}/folded/{batch:09d}")
         kept = before.join(moved.where("not kept").select("video").hint("merge"), "video", "left_anti")
         kept.unionByName(moved.where("not kept")).write.mode("overwrite").parquet(f"{path}/state/{batch:09d}")
+        batches.append(batch)
 
     frames.writeStream.foreachBatch(fold).option("checkpointLocation", path + "-log").trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], "video long, pos long")
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/folded").where("drops = 0 and cells is null").select("video", "pos")
 
 

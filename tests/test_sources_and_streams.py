@@ -46,6 +46,18 @@ def test_state_carries_over_batches(spark, tmp_path):
     assert got == {tuple(r) for r in segments.drop_still_frames(frames, most_drops=5).collect()}
 
 
+def test_moving_frames_of_a_table_of_many_files_and_of_none(spark, tmp_path):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors.repartition(5).write.parquet(str(tmp_path / "many" / "embeddings.parquet"))
+    vectors.limit(0).write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    want = {tuple(r) for r in QUERIES["N5_moving_frames"](spark, SF).collect()}
+    assert want and {tuple(r) for r in QUERIES["N5_moving_frames"](spark, str(tmp_path / "many")).collect()} == want
+    (tmp_path / "empty").mkdir()
+    stream = spark.readStream.schema("video long, pos long, cells array<double>").parquet(str(tmp_path / "empty"))
+    for none in (QUERIES["N5_moving_frames"](spark, str(tmp_path / "none")), streams.moving_frames(stream)):
+        assert none.columns == ["video", "pos"] and none.count() == 0
+
+
 @pytest.mark.parametrize("every", [2, 3, 16])
 def test_latest_labels_of_many_batches_and_of_none(spark, tmp_path, every):
     rows = [(k, k * 7 % 10, None if k % 5 == 0 else f"l{k}", k % 2 == 0) for k in range(60)]
