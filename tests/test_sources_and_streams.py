@@ -58,6 +58,13 @@ def test_moving_frames_of_a_table_of_many_files_and_of_none(spark, tmp_path):
         assert none.columns == ["video", "pos"] and none.count() == 0
 
 
+@pytest.mark.parametrize(("name", "table"), [("N2_new_contents", "documents"), ("N3_daily_counts", "events")])
+def test_streams_read_tables_of_many_files(spark, tmp_path, name, table):
+    spark.read.parquet(f"{SF}/{table}.parquet").repartition(5).write.parquet(str(tmp_path / f"{table}.parquet"))
+    told = lambda folder: sorted(map(tuple, QUERIES[name](spark, folder).collect()), key=str)
+    assert told(str(tmp_path)) == told(SF) != []
+
+
 @pytest.mark.parametrize("every", [2, 3, 16])
 def test_latest_labels_of_many_batches_and_of_none(spark, tmp_path, every):
     rows = [(k, k * 7 % 10, None if k % 5 == 0 else f"l{k}", k % 2 == 0) for k in range(60)]
