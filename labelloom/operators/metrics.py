@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.sources.scratch import sized, written
+
 from .ordered import cuts, prefix_sums
 
 STEPS, MIN_DEFECTS = 60, 5
@@ -52,13 +54,17 @@ def _steps(df: DataFrame, by: list[str]) -> DataFrame:
 
 def ranking(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """auroc (G2) and average_precision (G3) of each group in one pass: ties as half, steps over distinct scores; NaN with one class."""
+    return _ranking(_steps(df, by), by)
+
+
+def _ranking(steps: DataFrame, by: list[str]) -> DataFrame:
     p, n = F.sum("pos"), F.sum("neg")
     both, nan = (p > 0) & (n > 0), F.lit(float("nan"))
     area = F.sum(F.col("pos") * (F.col("under_neg") + F.col("neg") / 2.0))
     # Alarmed at a score are all rows that do not lie under it.
     tp, alarms = F.col("total_pos") - F.col("under_pos"), F.col("total_pos") + F.col("total_neg") - F.col("under_pos") - F.col("under_neg")
-    steps = F.sum(F.col("pos") * tp / alarms)
-    return _steps(df, by).groupBy(*by).agg(F.when(both, area / (p.cast("double") * n)).otherwise(nan).alias("auroc"), F.when(both, steps / p).otherwise(nan).alias("average_precision"))
+    found = F.sum(F.col("pos") * tp / alarms)
+    return steps.groupBy(*by).agg(F.when(both, area / (p.cast("double") * n)).otherwise(nan).alias("auroc"), F.when(both, found / p).otherwise(nan).alias("average_precision"))
 
 
 def auroc(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -89,7 +95,11 @@ def sweep(df: DataFrame, by: list[str] = (), steps: int = STEPS) -> DataFrame:
     Quantiles and their counts are read from the same running sums of pos and neg over the distinct scores: rows meet no
     table of thresholds. With fewer rows than steps the quantiles are the scores themselves.
     """
-    met = cuts(_steps(df, by), by, "score", ["pos", "neg"], [k / (steps - 1) for k in range(steps)], least=steps)
+    return _sweep(_steps(df, by), by, steps)
+
+
+def _sweep(at_scores: DataFrame, by: list[str], steps: int = STEPS) -> DataFrame:
+    met = cuts(at_scores, by, "score", ["pos", "neg"], [k / (steps - 1) for k in range(steps)], least=steps)
     once = met.groupBy(*by, F.col("t").alias("threshold")).agg(*[F.first(c).alias(c) for c in ("under_pos", "under_neg", "total_pos", "total_neg")])
     at = {"tp": F.col("total_pos") - F.col("under_pos"), "fp": F.col("total_neg") - F.col("under_neg"), "fn": F.col("under_pos"), "tn": F.col("under_neg")}
     return rates(once.select(*by, "threshold", *[c.alias(n) for n, c in at.items()]))
@@ -103,8 +113,12 @@ def threshold_for_recall(df: DataFrame, target: float = 0.95, by: list[str] = ()
 
 def thresholds_by_category(df: DataFrame, target: float = 0.95) -> DataFrame:
     """Per category: threshold, or null and the reason it was skipped."""
+    return _thresholds(sweep(df, ["category"]), target)
+
+
+def _thresholds(swept: DataFrame, target: float) -> DataFrame:
     order = F.when(F.col("recall") >= target, F.struct("fp", -F.col("threshold")))
-    got = sweep(df, ["category"]).groupBy("category").agg(F.max(F.col("tp") + F.col("fn")).alias("defects"), F.min_by("threshold", order).alias("threshold"))
+    got = swept.groupBy("category").agg(F.max(F.col("tp") + F.col("fn")).alias("defects"), F.min_by("threshold", order).alias("threshold"))
     reason = F.when(F.col("defects") < MIN_DEFECTS, "few_defects").when(F.col("threshold").isNull(), "infeasible")
     return got.select("category", "defects", F.when(reason.isNull(), F.col("threshold")).alias("threshold"), reason.alias("skipped"))
 
@@ -210,10 +224,22 @@ def localization_summary(images: DataFrame) -> DataFrame:
 
 
 def validated(df: DataFrame, target: float = 0.95) -> DataFrame:
-    """Per category: auroc and average precision on all rows, the threshold from the rows with ``first``, metrics on the others."""
-    per = thresholds_by_category(df.where("first"), target).where("threshold is not null").select("category", "threshold")
-    rest = df.where("not first").join(per.hint("shuffle_hash"), "category")
-    return at_threshold(rest, F.col("threshold"), ["category", "threshold"]).join(ranking(df, ["category"]).hint("merge"), "category")
+    """Per category: auroc and average precision on all rows, the threshold from the rows with ``first``, metrics on the others.
+
+    Rows are counted by score once, those with ``first`` beside all of them; everything is read from these counts.
+    """
+    by, weights = ["category"], ["pos", "neg", "first_pos", "first_neg"]
+    true, first = F.col("y") == 1, F.col("first")
+    kinds = [F.when(true, 1).otherwise(0), F.when(true, 0).otherwise(1), F.when(first & true, 1).otherwise(0), F.when(~first | true, 0).otherwise(1)]
+    scores = written(df.groupBy(*by, "score").agg(*[F.sum(c).alias(w) for c, w in zip(kinds, weights, strict=True)]), "scores")
+    steps = prefix_sums(scores, by, "score", weights)
+    own = [F.col(f"{kind}first_{w}").alias(f"{kind}{w}") for kind in ("", "under_", "total_") for w in ("pos", "neg")]
+    swept = _sweep(steps.where("first_pos + first_neg > 0").select(*by, "score", *own), by)
+    per = written(_thresholds(swept, target).where("threshold is not null").select(*by, "threshold"), "thresholds")
+    rest = scores.select(*by, "score", (F.col("pos") - F.col("first_pos")).alias("pos"), (F.col("neg") - F.col("first_neg")).alias("neg")).where("pos + neg > 0").join(sized(per), by)
+    over = lambda c, yes: F.sum(F.when(F.col("score") >= F.col("threshold"), F.col(c) if yes else 0).otherwise(0 if yes else F.col(c)))
+    told = rest.groupBy(*by, "threshold").agg(over("pos", True).alias("tp"), over("neg", True).alias("fp"), over("pos", False).alias("fn"), over("neg", False).alias("tn"))
+    return rates(told).join(_ranking(steps, by).hint("merge"), by)
 
 
 def verdict(df: DataFrame, target: float = 0.95) -> DataFrame:

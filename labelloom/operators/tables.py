@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labels import even_sample, ranked
+from labelloom.sources.scratch import sized, written
+
+from .labels import even_sample
 
 LEAST_DEFECTS, LEAST_NORMALS, THIN_CLASS = 10, 15, 50
 SPLITS = ("train", "val", "test")
@@ -48,11 +50,22 @@ def video_subset(df: DataFrame, group: str, order: list[str], limit: int, name:
 def half_split(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Adds first: whether the row lies in the half of its label that thresholds are chosen on.
 
-    The first floor(n / 2) of a label's n rows in seeded order; ranks come from counted ranges, so no label is sorted in one task.
+    The first floor(n / 2) of a label's n rows in seeded order. Rows are counted by the first digits of their hash; the
+    last row of the half is found among those of one count, and every row compared with it: no row is shuffled for it,
+    and no label sorted. Rows that share a key stand on one side.
     """
+    rows = written(df, "halves")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    halves = ranked(df, [label], [order, F.col(key)], [key]).select(key, (F.col("r") <= F.floor(F.col("size") / 2)).alias("first"))
-    return df.join(halves.hint("merge"), key)
+    at, near = F.struct(order.alias("hash"), F.col(key).alias("key")), F.substring(order, 1, 4)
+    counts = rows.groupBy(F.col(label).alias("label"), near.alias("near")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy("label")
+    upto = counts.select("label", "near", "c", F.sum("c").over(group.orderBy("near")).alias("upto"), F.floor(F.sum("c").over(group) / 2).alias("half"))
+    here = written(upto.where((F.col("upto") - F.col("c") < F.col("half")) & (F.col("half") <= F.col("upto"))).select("label", "near", (F.col("half") - F.col("upto") + F.col("c")).alias("r")), "near")
+    some = rows.select(F.col(label).alias("own"), at.alias("at")).join(sized(here), F.col("own").eqNullSafe(F.col("label")) & (F.substring("at.hash", 1, 4) == F.col("near")))
+    last = some.withColumn("place", F.row_number().over(group.orderBy("at"))).where("place = r").select("label", F.col("at").alias("last"))
+    last = written(last.withColumnsRenamed({"label": "half_label", "last": "half_last"}), "last")
+    both = rows.join(sized(last), F.col(label).eqNullSafe(F.col("half_label")), "left")
+    return both.withColumn("first", F.coalesce(at <= F.col("half_last"), F.lit(False))).drop("half_label", "half_last")
 
 
 def last_batch(log: DataFrame, at: str = "logged_at") -> DataFrame:

@@ -1,5 +1,6 @@
 """Forms that do without one task for a group: against numpy and plain Python on small frames."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -165,6 +166,22 @@ def test_halves_are_exact(spark):
     assert got == {0: (33, 67), 1: (17, 34)}
 
 
+def test_halves_move_no_row_and_lose_none(spark):
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else k % 2, f"x{k}") for k in range(100)] + [(200, 7, "alone")], "id long, y int, note string")
+    got = tables.half_split(df, "y", "id")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and got.columns == ["id", "y", "note", "first"]
+    rows = got.collect()
+    assert sorted(r["note"] for r in rows) == sorted(r["note"] for r in df.collect())
+    for y, size in ((None, 20), (0, 40), (1, 40), (7, 1)):
+        seeded = sorted((hashlib.md5(f"42:{r['id']}".encode()).hexdigest(), r["id"]) for r in rows if r["y"] == y)
+        assert len(seeded) == size and {i for _, i in seeded[: size // 2]} == {r["id"] for r in rows if r["y"] == y and r["first"]}
+
+
+def test_validation_reads_its_rows_once(spark):
+    got = QUERIES["G17_validation"](spark, SF)
+    assert got.inputFiles() and not [f for f in got.inputFiles() if "testdata" in f]
+
+
 def test_splits_and_regions_reach_the_resolved_rows(spark):
     m = spark.createDataFrame([(1, "normal", "none", "train"), (2, "unlabeled", "none", "train"), (3, "defect", "glue", "val")], "seq long, label string, defect_type string, split string")
     events = spark.createDataFrame([(1, 2, "defect", "scratch", True, 5, 6, 7, 8), (2, 3, "normal", "none", False, None, None, None, None)], "seq long, image_seq long, label string, defect_type string, verified boolean, roi_x long, roi_y long, roi_w long, roi_h long")
