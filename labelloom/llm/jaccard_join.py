@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, in_arrow, quoted, settle, sized, slices, table, written
+from .common import BROADCAST_ROWS, forget, in_arrow, quoted, settle, sized, slices, table, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, (3, 4)
@@ -39,6 +39,8 @@ BITS, WIDE = 2048, 1536
 GROUP, FAN = 1024, 16
 #: A shingle in more heads than HOT goes behind the others, the most frequent MAX_HOT of them (8 MB); any choice gives the same links.
 HOT, MAX_HOT = 256, 1_000_000
+#: Bits of the map that tells which shingles may stand in two heads (8 MB); fewer let more through to the join that decides.
+FILTER = 1 << 26
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)], dtype=np.uint64)
 
@@ -355,6 +357,28 @@ def _reordered(reps: DataFrame, keys: DataFrame, docs: DataFrame) -> tuple[DataF
     return written(in_arrow(_texts(ids, docs), measure, "rep long, n long, head array<long>, sig array<long>, wide binary"), "heads"), ids
 
 
+def may_meet(reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """rep, key of the shingles in heads whose bit is set in a map of ``keys``: all that are among them and few others.
+
+    Most shingles stand in one head alone; those are not to be shuffled to a join only to be dropped there.
+    """
+    bit = F.col("key").bitwiseAND(F.lit(FILTER - 1))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 64, dtype=np.uint64)
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = reps.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = b.column(1)
+            key = np.asarray(heads.flatten()).view(np.uint64)
+            rep = np.repeat(np.asarray(b.column(0)), np.asarray(heads.value_lengths()))
+            on = (shared.value[((key & np.uint64(FILTER - 1)) >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_pydict({"rep": rep[on], "key": key[on].view(np.int64)})
+
+    return in_arrow(reps.select("rep", "head"), keep, "rep long, key long")
+
+
 def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """key, rep, c of the root's children that hold two sets or more, one child for all with the same sets; and rep, n, sig, wide of the sets."""
     heads = lambda r: r.select("rep", F.explode("head").alias("key"))
@@ -368,7 +392,11 @@ def children(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         settle(reps.sparkSession)
         counts = counted(reps)
         settle(reps.sparkSession)
-    met = heads(reps).join(sized(counts.select("key")), "key", "left_semi")
+    keys = counts.select("key")
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = heads(reps).join(F.broadcast(keys), "key", "left_semi")
+    else:
+        met = may_meet(reps, keys).join(keys.hint("merge"), "key", "left_semi")
     if reps.groupBy("rep").count().where("count > 1").head(1):
         met = met.distinct()  # an id of several texts stands once under a child
     met = written(met, "met")

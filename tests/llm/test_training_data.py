@@ -225,6 +225,22 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_few_heads_go_on_to_the_join_that_tells_who_meets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shared = rng.integers(-(2**63), 2**63 - 1, 40)
+    heads = [[int(shared[k % 40]), *map(int, rng.integers(-(2**63), 2**63 - 1, 30))] for k in range(200)]
+    reps = spark.createDataFrame(list(enumerate(heads)), "rep long, head array<long>")
+    keys = spark.createDataFrame([(int(k),) for k in shared], "key long")
+    got = {tuple(r) for r in jaccard_join.may_meet(reps, keys).collect()}
+    assert {(k, h[0]) for k, h in enumerate(heads)} <= got <= {(k, x) for k, h in enumerate(heads) for x in h} and len(got) < 210
+    told = {}
+    for rows in (jaccard_join.BROADCAST_ROWS, 0):  # 0: through the map of bits
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", rows)
+        words = [" ".join(f"w{(k // 4) * 50 + j}" for j in range(40)) + f" tail{k}" for k in range(60)]
+        told[rows] = sorted(map(tuple, jaccard_join.jaccard_components(docs(spark, [(k, w) for k, w in enumerate(words)])).collect()))
+    assert len(set(map(str, told.values()))) == 1 and {c for _, _, c in told[0]} == set(range(0, 60, 4))
+
+
 def test_signature_trees_find_every_similar_pair():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, (6, 200), dtype=np.uint64)
