@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of ids or hashes that are broadcast at most: some 20 MB on each executor.
 BROADCAST_ROWS = 500_000
@@ -76,6 +77,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of few rows that the driver has; by Arrow, as a list of rows would start Python workers of another kind on the executors, which stay beside the others."""
+    schema = spark.createDataFrame([], schema).schema
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names=schema.names), schema)
+
+
 def quoted(names: Iterable[str]) -> list[Column]:
     """The columns of those names, dots and backticks in them included."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in names]

@@ -18,11 +18,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, sized, table, written
+from .common import few_rows, quoted, sized, table, written
 
 BLOCK = 16
 #: Words of a shard, about, and shards whose quotas one task deals at once.
@@ -95,7 +95,7 @@ def _driver_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     n_blocks = blocks(sizes)
     votes = [t * b / n if n else 0.0 for t, b, n in zip(target, n_blocks, sizes, strict=True)]
     quota = sainte_lague(votes, round(sum(votes)), MOST * n_blocks)
-    return totals.sparkSession.createDataFrame([(k, s, n, t, int(q)) for k, ((s, n), t, q) in enumerate(zip(rows, target, quota, strict=True))], PLAN)
+    return few_rows(totals.sparkSession, [(k, s, n, t, int(q)) for k, ((s, n), t, q) in enumerate(zip(rows, target, quota, strict=True))], PLAN)
 
 
 def _wide_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -107,7 +107,7 @@ def _wide_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     before = [0]
     for _, k, _ in parts:
         before.append(before[-1] + k)
-    base = placed.sparkSession.createDataFrame([(p, low - b) for (p, _, low), b in zip(parts, before, strict=False)], "p int, less long")
+    base = few_rows(placed.sparkSession, [(p, low - b) for (p, _, low), b in zip(parts, before, strict=False)], "p int, less long")
     weight = F.array(*[F.lit(float(w)) for w in weights])
     sid = (F.col("at") - F.col("less")).alias("sid")
     n_blocks = F.when(F.col("n") > 0, F.greatest(F.lit(1), F.bround(F.col("n") / BLOCK))).otherwise(0).cast("long")
@@ -143,10 +143,11 @@ def _wide_plan(totals: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return rows.select("sid", "source", F.col("n").alias("source_size"), "target", F.col("got").alias("quota"))
 
 
-def _share(part: pd.DataFrame) -> pd.DataFrame:
+def _share(part: pa.Table) -> pa.Table:
     """Of up to FAN shards: the quota of their parent, by Sainte-Laguë over their words."""
-    part = part.sort_values("shard")
-    return part.assign(quota=sainte_lague(part["words"], int(part["quota"].iloc[0]), MOST * part["n_blocks"]))
+    part = part.sort_by("shard")
+    quota = sainte_lague(part["words"].to_numpy(), part["quota"][0].as_py(), MOST * part["n_blocks"].to_numpy())
+    return part.set_column(part.column_names.index("quota"), "quota", pa.array(quota, pa.int64()))
 
 
 def shard_quotas(shards: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def shard_quotas(shards: DataFrame, quotas: DataFrame) -> DataFrame:
         given = shards.withColumn("parent", parent).join(given.hint("merge"), ["sid", "parent"])
         keys = ["sid", "parent"]
     schema = "sid long, shard long, words long, n_blocks long, quota long" + ", parent long" * (len(keys) - 1)
-    got = given.select("sid", "shard", "words", "n_blocks", "quota", *keys[1:]).groupBy(*keys).applyInPandas(_share, schema)
+    got = given.select("sid", "shard", "words", "n_blocks", "quota", *keys[1:]).groupBy(*keys).applyInArrow(_share, schema)
     return written(got.select("sid", "shard", "words", "n_blocks", "quota"), "quotas")
 
 

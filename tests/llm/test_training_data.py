@@ -599,3 +599,12 @@ def test_hard_secrets_and_look_alikes_beside_names(spark):
     assert all(got == want for (x, got), (_, want) in zip(told[: len(secret) + len(plain)], lines, strict=False)), [t for t, (_, w) in zip(told, lines, strict=True) if t[1] != w][:12]
     right = [got == want for (_, got), (_, want) in zip(told, lines, strict=True)][len(secret) + len(plain) :]
     assert sum(right[:40]) >= 36 and sum(right[40:]) >= 36, (sum(right[:40]), sum(right[40:]))
+
+
+def test_the_plan_of_a_mix_starts_no_python_workers_of_its_own(spark):
+    rows = spark.createDataFrame([("b", 300), (None, 60), ("a", 900)], "source string, size long")
+    plan = mixing._driver_plan(rows, mixing.WEIGHTS)
+    assert "RDD" not in plan._jdf.queryExecution().toString()  # rows by way of Python's RDDs pass through workers
+    assert [r[:4] for r in plan.orderBy("sid").collect()] == [(0, "a", 900, 787.5), (1, "b", 300, 315.0), (2, None, 60, 157.5)]
+    none = mixing._driver_plan(rows.limit(0), mixing.WEIGHTS)
+    assert none.schema == plan.schema and none.count() == 0
